@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from seqframe.llm import bpe, decontaminate, simhash, token_store
+from seqframe.llm import bpe, decontaminate, simhash, token_store, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +37,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_digests(simhash.near_duplicates(_table(spark, sf_dir, "documents")))
 
 
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digests(decontaminate.find(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
 
@@ -44,7 +49,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_codec": op1_bpe_codec,
     "op2_token_store": op2_token_store,
     "op4_simhash": op4_simhash,
+    "op7_topk": op7_topk,
     "op9_decontaminate": op9_decontaminate,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_topk": """
+        with v as (
+            select vec_id, list_transform(embedding, lambda x: floor(64 * cast(x as double))) as q
+            from embeddings
+            where embedding is not null
+              and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+        ), scored as (
+            select a.vec_id as query_id, b.vec_id as vec_id, cast(list_inner_product(a.q, b.q) as bigint) as score
+            from v a join v b on a.vec_id <> b.vec_id
+            where a.vec_id % 20 = 0
+        ), ranked as (
+            select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank from scored
+        )
+        select query_id, rank, vec_id, score from ranked where rank <= 20
+    """,
+}
