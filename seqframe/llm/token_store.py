@@ -28,6 +28,7 @@ gives an empty store.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 import zlib
@@ -45,7 +46,7 @@ from seqframe.llm.common import new_folder
 #: Fewest, usual additional, and most ids of a chunk.
 LEAST, USUAL, MOST = 128, 512, 4096
 #: Words that a Python worker remembers before it starts afresh, and the longest of them.
-REMEMBERED, LONGEST = 500_000, 60
+REMEMBERED, LONGEST = 600_000, 60
 
 
 class WordEncoder:
@@ -62,20 +63,39 @@ class WordEncoder:
         self.library = Tokenizer.from_str(spec)
         self.library.no_truncation()
         self.library.no_padding()
+        # the same merges for parts that are one lower-case pre-token already, many of them in one call
+        described = json.loads(spec)
+        bare = {"normalizer": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}}
+        self.merges = Tokenizer.from_str(json.dumps(described | bare | {"added_tokens": [], "truncation": None, "padding": None}))
         letter, mark = "A-Za-zÀ-ÖØ-öø-įı-ɏ", r"!-&(-/:-;=?-@\[-`{}~"  # no U+0130, whose lower case has a mark; no apostrophe, nor the signs of special tokens
         self.parts = re.compile(rf"[{letter}]+(?=[ \n{mark}]|\Z)|[{mark}]+(?=[ \n{letter}]|\Z)|[^ \n]+").findall
+        self.whole = re.compile(rf"[{letter}]+|[{mark}]+").fullmatch
         self.known: dict[str, bytes] = {}
 
+    def _learn(self, new: list[str]) -> dict[str, bytes]:
+        whole = [p for p in new if self.whole(p)]
+        found: dict[str, bytes] = {}
+        if whole:
+            encoded = self.merges.encode([p.lower() for p in whole], is_pretokenized=True, add_special_tokens=False)
+            raw = np.array(encoded.ids, "<u4").tobytes()
+            ends = (4 * np.cumsum(np.bincount(encoded.word_ids, minlength=len(whole)))).tolist()
+            found.update((p, raw[i:j]) for p, i, j in zip(whole, [0, *ends], ends, strict=False))
+        rest = [p for p in new if p not in found]
+        for p, e in zip(rest, self.library.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            found[p] = np.array(e.ids, "<u4").tobytes()
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        self.known.update((p, x) for p, x in found.items() if len(p) <= LONGEST)
+        return found
+
     def encode(self, text: str) -> bytes:
         parts = self.parts(text)
         entries = list(map(self.known.get, parts))
         if None in entries:
-            new = list({p for p, x in zip(parts, entries, strict=True) if x is None})
-            found = {p: np.array(e.ids, "<u4").tobytes() for p, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True)}
-            entries = [found[p] if x is None else x for p, x in zip(parts, entries, strict=True)]
-            if len(self.known) > REMEMBERED:
-                self.known.clear()
-            self.known.update((p, x) for p, x in found.items() if len(p) <= LONGEST)
+            places = [i for i, x in enumerate(entries) if x is None]
+            found = self._learn(list({parts[i] for i in places}))
+            for i in places:
+                entries[i] = found[parts[i]]
         return b"".join(entries)
 
 
