@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqframe.llm import bpe, decontaminate, simhash, token_store, topk
+from seqframe.llm import bpe, decontaminate, language, quality, simhash, token_store, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,13 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_digests(simhash.near_duplicates(_table(spark, sf_dir, "documents")))
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = language.train(docs.filter(language.fold("doc_id", 4) != 2))
+    held_out = (language.fold("doc_id", 4) == 2).alias("held_out")
+    return language.predict(docs, model).select("doc_id", held_out, "lang_pred", "score")
+
+
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
 
@@ -45,12 +52,22 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digests(decontaminate.find(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = quality.train(docs.filter(language.fold("doc_id", 5) != 0), _table(spark, sf_dir, "labels"))
+    held_out = (language.fold("doc_id", 5) == 0).alias("held_out")
+    predicted = (F.col("score") >= quality.LEAST).cast("int").alias("predicted")
+    return quality.score(docs, model).select("doc_id", held_out, "score", predicted)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_codec": op1_bpe_codec,
     "op2_token_store": op2_token_store,
     "op4_simhash": op4_simhash,
+    "op6_language": op6_language,
     "op7_topk": op7_topk,
     "op9_decontaminate": op9_decontaminate,
+    "op10_quality": op10_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {
