@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqframe.llm import bpe, decontaminate, language, quality, simhash, token_store, topk
+from seqframe.llm import bpe, decontaminate, language, quality, simhash, token_store, topk, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,20 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_digests(simhash.near_duplicates(_table(spark, sf_dir, "documents")))
 
 
+#: The given URL rules, a fixed list: verdict, host and start of the path.
+URL_RULES = [
+    ("block", "com/en/"),
+    ("allow", "example.com/en/7"),
+    ("allow", "net/de/"),
+    ("block", "example.net/de/8"),
+    ("block", "org/es/"),
+]
+
+
+def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = language.train(docs.filter(language.fold("doc_id", 4) != 2))
@@ -64,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_codec": op1_bpe_codec,
     "op2_token_store": op2_token_store,
     "op4_simhash": op4_simhash,
+    "op5_urls": op5_urls,
     "op6_language": op6_language,
     "op7_topk": op7_topk,
     "op9_decontaminate": op9_decontaminate,
