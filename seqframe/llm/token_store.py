@@ -46,7 +46,7 @@ from seqframe.llm.common import new_folder
 #: Fewest, usual additional, and most ids of a chunk.
 LEAST, USUAL, MOST = 128, 512, 4096
 #: Words that a Python worker remembers before it starts afresh, and the longest of them.
-REMEMBERED, LONGEST = 600_000, 60
+REMEMBERED, LONGEST = 900_000, 60
 
 
 class WordEncoder:
@@ -73,30 +73,35 @@ class WordEncoder:
         self.known: dict[str, bytes] = {}
 
     def _learn(self, new: list[str]) -> dict[str, bytes]:
-        whole = [p for p in new if self.whole(p)]
+        simple = list(filter(self.whole, new))
         found: dict[str, bytes] = {}
-        if whole:
-            encoded = self.merges.encode([p.lower() for p in whole], is_pretokenized=True, add_special_tokens=False)
+        if simple:
+            encoded = self.merges.encode([p.lower() for p in simple], is_pretokenized=True, add_special_tokens=False)
             raw = np.array(encoded.ids, "<u4").tobytes()
-            ends = (4 * np.cumsum(np.bincount(encoded.word_ids, minlength=len(whole)))).tolist()
-            found.update((p, raw[i:j]) for p, i, j in zip(whole, [0, *ends], ends, strict=False))
+            ends = (4 * np.cumsum(np.bincount(encoded.word_ids, minlength=len(simple)))).tolist()
+            found = dict(zip(simple, [raw[i:j] for i, j in zip([0, *ends], ends, strict=False)], strict=True))
         rest = [p for p in new if p not in found]
         for p, e in zip(rest, self.library.encode_batch_fast(rest, add_special_tokens=False), strict=True):
             found[p] = np.array(e.ids, "<u4").tobytes()
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        self.known.update((p, x) for p, x in found.items() if len(p) <= LONGEST)
+        self.known.update(found if max(map(len, found)) <= LONGEST else {p: x for p, x in found.items() if len(p) <= LONGEST})
         return found
 
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        split = list(map(self.parts, texts))
+        looked = [list(map(self.known.get, parts)) for parts in split]
+        gaps = [[i for i, x in enumerate(entries) if x is None] if None in entries else [] for entries in looked]
+        missing = {parts[i] for parts, places in zip(split, gaps, strict=True) for i in places}
+        if missing:
+            found = self._learn(list(missing))
+            for parts, entries, places in zip(split, looked, gaps, strict=True):
+                for i in places:
+                    entries[i] = found[parts[i]]
+        return [b"".join(entries) for entries in looked]
+
     def encode(self, text: str) -> bytes:
-        parts = self.parts(text)
-        entries = list(map(self.known.get, parts))
-        if None in entries:
-            places = [i for i, x in enumerate(entries) if x is None]
-            found = self._learn(list({parts[i] for i in places}))
-            for i in places:
-                entries[i] = found[parts[i]]
-        return b"".join(entries)
+        return self.encode_many([text])[0]
 
 
 _MADE: dict[bytes, WordEncoder] = {}
@@ -194,9 +199,9 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int, path: str | None =
         encoder, sent = _encoder(shared.value), set()
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                some = batch.slice(at, 512)
-                raws = [encoder.encode(t) + end if t else end for t in some.column(1).to_pylist()]
+            for at in range(0, batch.num_rows, 256):
+                some = batch.slice(at, 256)
+                raws = [x + end for x in encoder.encode_many([t or "" for t in some.column(1).to_pylist()])]
                 ids = np.frombuffer(b"".join(raws), "<u4")
                 lengths = np.array([len(r) // 4 for r in raws])
                 stops = np.cumsum(lengths)
@@ -289,40 +294,32 @@ def recipes(spark: SparkSession, path: str) -> DataFrame:
     return rows.join(F.broadcast(before), "pid").withColumn("start", F.col("_before") + F.col("local_start")).drop("_before")
 
 
-def _shift(matrix: tuple[int, ...], value: int) -> int:
-    out, i = 0, 0
-    while value:
-        if value & 1:
-            out ^= matrix[i]
-        value >>= 1
-        i += 1
+def _applied(matrix: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """A GF(2) matrix, by columns, times each value."""
+    out = np.zeros_like(values)
+    for i in range(32):
+        out ^= matrix[i] * (values >> np.uint32(i) & np.uint32(1))
     return out
 
 
 @cache
-def _doubled(power: int) -> tuple[int, ...]:
-    """The GF(2) matrix, by columns, that appends 2**power zero bits to a CRC-32."""
+def _doubled(power: int) -> np.ndarray:
+    """The matrix that appends 2**power zero bits to a CRC-32."""
     if power == 0:
-        return (0xEDB88320, *(1 << i for i in range(31)))
-    half = _doubled(power - 1)
-    return tuple(_shift(half, x) for x in half)
-
-
-@cache
-def _appended(n_bytes: int) -> tuple[int, ...]:
-    columns = [1 << i for i in range(32)]
-    bits, power = n_bytes * 8, 0
-    while bits:
-        if bits & 1:
-            columns = [_shift(_doubled(power), x) for x in columns]
-        bits >>= 1
-        power += 1
-    return tuple(columns)
+        return np.array([0xEDB88320, *(1 << i for i in range(31))], np.uint32)
+    return _applied(_doubled(power - 1), _doubled(power - 1))
 
 
-def join_crc(first: int, second: int, second_bytes: int) -> int:
-    """The CRC-32 of two pieces one after the other."""
-    return _shift(_appended(second_bytes), first) ^ second
+def join_crcs(crcs: np.ndarray, sizes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """CRC-32s of pieces that lie one after the other in groups; `sizes` in bytes, `starts`: the first piece of each group (none is empty)."""
+    ends = np.append(starts[1:], len(sizes))
+    total = np.cumsum(sizes)
+    bits = 8 * (np.repeat(total[ends - 1], ends - starts) - total)  # what follows a piece in its group
+    values = crcs.astype(np.uint32)
+    for power in range(int(bits.max(initial=0)).bit_length()):
+        some = np.flatnonzero(bits >> power & 1)
+        values[some] = _applied(_doubled(power), values[some])
+    return np.bitwise_xor.reduceat(values, starts)
 
 
 def _chunk_digests(spark: SparkSession, path: str) -> DataFrame:
@@ -353,14 +350,18 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            crcs = []
-            for n_tokens, root, parts in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
-                if any(p["n"] is None for p in parts) or merkle([p["key"] for p in parts]) != root or sum(p["n"] for p in parts) != n_tokens:
-                    raise ValueError("a document can't be rebuilt from its recipe")
-                crc = 0
-                for p in parts:
-                    crc = join_crc(crc, p["crc"], 4 * p["n"])
-                crcs.append(crc)
+            if not batch.num_rows:
+                continue
+            parts = batch.column(4)
+            ends = np.cumsum(parts.value_lengths().to_numpy())
+            starts = np.concatenate([[0], ends[:-1]])
+            _, keys, sizes, crcs = parts.flatten().flatten()
+            if sizes.null_count:
+                raise ValueError("a document can't be rebuilt from its recipe: chunks are missing")
+            sizes, names = sizes.to_numpy(), keys.to_pylist()
+            if (np.add.reduceat(sizes, starts) != batch.column(2).to_numpy()).any() or [merkle(names[i:j]) for i, j in zip(starts.tolist(), ends.tolist(), strict=True)] != batch.column(3).to_pylist():
+                raise ValueError("a document can't be rebuilt from its recipe")
+            crcs = join_crcs(crcs.to_numpy(), 4 * sizes.astype(np.int64), starts)
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(0), batch.column(2), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return docs.mapInArrow(work, "doc_id long, start long, n_tokens long, ids_crc32 long")
