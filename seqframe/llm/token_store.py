@@ -49,6 +49,14 @@ LEAST, USUAL, MOST = 128, 512, 4096
 REMEMBERED, LONGEST = 900_000, 60
 
 
+def _latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class WordEncoder:
     """The ids of whole texts, from the tokenizers library, which encodes each distinct part of a text once.
 
@@ -88,8 +96,15 @@ class WordEncoder:
         self.known.update(found if max(map(len, found)) <= LONGEST else {p: x for p, x in found.items() if len(p) <= LONGEST})
         return found
 
+    def _split(self, text: str) -> list[str]:
+        bare = text.replace(" ", "").replace(",", "").replace(".", "").replace("\n", "")
+        if bare.isalnum() and _latin(bare) and not any(x in text for x in ("..", ",,", ".,", ",.")):
+            # Latin-1 letters and digits with lone commas and full stops: each of these is a pre-token of its own
+            return text.replace(".", " .").replace(",", " ,").replace("\n", " ").split(" ")
+        return self.parts(text)
+
     def encode_many(self, texts: list[str]) -> list[bytes]:
-        split = list(map(self.parts, texts))
+        split = list(map(self._split, texts))
         looked = [list(map(self.known.get, parts)) for parts in split]
         gaps = [[i for i, x in enumerate(entries) if x is None] if None in entries else [] for entries in looked]
         missing = {parts[i] for parts, places in zip(split, gaps, strict=True) for i in places}
@@ -242,7 +257,7 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int, path: str | None =
     # each task sends a chunk once, so a key has as many rows as there are tasks at most; recipes are dealt by document and never compared
     nth = F.row_number().over(Window.partitionBy("kind", "key", "doc_id", "root").orderBy("kind"))
     objects = made.withColumn("_nth", nth).filter((F.col("kind") == "recipe") | (F.col("_nth") == 1)).drop("_nth")
-    objects.write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/objects")
+    objects.write.partitionBy("kind").option("compression", "snappy").parquet(f"{path}/objects")
     _write_recipes(spark, path)
     return path
 
