@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqframe.llm import bpe, decontaminate, language, licenses, quality, simhash, token_store, topk, urls
+from seqframe.llm import bpe, decontaminate, language, licenses, linededup, quality, simhash, token_store, topk, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +67,10 @@ def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
 
 
+def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.report(linededup.decide(_table(spark, sf_dir, "documents")))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digests(decontaminate.find(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
 
@@ -87,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_urls": op5_urls,
     "op6_language": op6_language,
     "op7_topk": op7_topk,
+    "op8_lines": op8_lines,
     "op9_decontaminate": op9_decontaminate,
     "op10_quality": op10_quality,
 }

@@ -1,0 +1,108 @@
+import itertools
+import random
+
+import numpy as np
+
+from seqframe.llm import linededup as ld
+
+
+def grams(line):
+    return {line[i : i + 8] for i in range(len(line) - 7)} if len(line) >= 8 else {line}
+
+
+def jaccard(a, b):
+    a, b = grams(a), grams(b)
+    return len(a & b) / len(a | b)
+
+
+def brute(docs):
+    """Kept places of each document by all pairs of lines."""
+    lines = sorted({x for _, t in docs for line in (t or "").split("\n") if (x := ld.normal(line))})
+    group = {x: {x} for x in lines}
+    for a, b in itertools.combinations(lines, 2):
+        if group[a] is not group[b] and jaccard(a, b) >= 0.8:
+            group[a] |= group[b]
+            for x in group[b]:
+                group[x] = group[a]
+    seen, dropped = set(), {k: [] for k, _ in docs}
+    for k, t in sorted(docs, key=lambda d: (d[0] is not None, d[0])):
+        for i, line in enumerate((t or "").split("\n")):
+            if x := ld.normal(line):
+                if id(group[x]) in seen:
+                    dropped[k].append(i)
+                seen.add(id(group[x]))
+    return dropped
+
+
+def fixture(rng):
+    vocabulary = ["".join(rng.choice("abcdeéü ") for _ in range(rng.randint(3, 9))).strip() or "x" for _ in range(400)]
+    pool = []
+    for _ in range(60):
+        words = [rng.choice(vocabulary) for _ in range(rng.randint(1, 60))]
+        pool.append(" ".join(words))
+        for _ in range(rng.randint(0, 4)):
+            copy = list(words)
+            if len(copy) > 25:
+                copy[rng.randrange(len(copy))] = rng.choice(vocabulary)
+            pool.append(rng.choice([" ", "  "]).join(copy).replace("a", rng.choice("aA"), 1))
+    docs = [(k, "\n".join(rng.choice([*pool, "", " \t"]) for _ in range(rng.randint(0, 9)))) for k in range(120)]
+    return [*docs, (500, None), (501, ""), (502, "\n \n"), (None, pool[0]), (503, "long line " * 20_000 + "\n" + "long line " * 20_000), (504, docs[3][1])]
+
+
+def test_against_all_pairs(spark):
+    for seed, block in ((1, ld.BLOCK_CHARS), (2, 700)):
+        docs = fixture(random.Random(seed))
+        df = spark.createDataFrame([(*d, 3, "s") for d in docs], "doc_id long, text string, names int, kept string").repartition(5)
+        want = brute(docs)
+        rows = ld.report(ld.decide(df, block_chars=block)).collect()
+        assert {r.doc_id: r.dropped for r in rows} == want and len(rows) == len(docs)
+        for r in rows:
+            assert r.n_dropped == len(r.dropped)
+        if seed == 1:
+            texts = dict(docs)
+            out = ld.deduplicate(df)
+            assert out.schema == df.schema
+            for r in out.collect():
+                t = texts[r.doc_id]
+                assert r.text == (t if not t else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in want[r.doc_id]))
+                assert (r.names, r.kept) == (3, "s")
+
+
+def test_recall_of_the_bands():
+    rng = random.Random(3)
+    met = {0.8: [0, 0], 0.9: [0, 0]}
+    for _ in range(400):
+        base = "".join(rng.choice("abcdefghijklmnop ") for _ in range(rng.randint(120, 400)))
+        copy = list(base)
+        for _ in range(rng.randint(1, 5)):
+            copy[rng.randrange(len(copy))] = "#"
+        copy = "".join(copy)
+        s = jaccard(base, copy)
+        for least in met:
+            if least <= s < least + 0.1:
+                keys = ld.band_keys([base, copy])
+                met[least][0] += bool((keys[0] == keys[1]).any())
+                met[least][1] += 1
+    assert met[0.8][0] >= 0.97 * met[0.8][1] and met[0.9][0] == met[0.9][1] and met[0.9][1] > 50
+
+
+def test_links_span_their_components():
+    rng = random.Random(4)
+    base = "".join(rng.choice("abcdefgh ") for _ in range(200))
+    lines = [base[:i] + "#" + base[i + 1 :] for i in range(0, 200, 9)] + ["short", "", "other line of no likeness at all"]
+    reached = {0}
+    for i, new in ld.similar_links(lines):
+        assert all(jaccard(lines[i], lines[j]) >= 0.8 for j in new)
+        reached |= set(new.tolist())
+    assert reached == set(range(len(lines) - 3))
+
+
+def test_hashes_depend_on_the_line_alone():
+    lines = ["one line of text", "x", "another line, a longer one", "é" * 30]
+    alone = np.concatenate([ld.band_keys([x]) for x in lines])
+    assert (ld.band_keys(lines) == alone).all()
+
+
+def test_empty_table(spark):
+    none = spark.createDataFrame([], "doc_id long, text string")
+    assert ld.report(ld.decide(none)).count() == 0 and ld.deduplicate(none).count() == 0
