@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from seqframe.llm.common import slices
 
@@ -247,35 +248,39 @@ def _passes(items: DataFrame, item: str, text: str) -> Iterator[list[tuple[str,
     yield held
 
 
-def find(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
-    """`key`, `text`, `n_words`, `spans` (merged word spans covered by windows) and `items` (with occurring windows, sorted) of every document.
-
-    One map over the documents, no shuffle, as long as the windows fit one pass; a larger benchmark takes a pass for each group of
-    items, and spans are merged as rows go from pass to pass.
-    """
+def _found(docs: DataFrame, items: DataFrame, text: str, item: str, item_text: str) -> DataFrame:
+    """`docs` with its columns followed by _words, _spans and _items."""
     spark = docs.sparkSession
-    kind = docs.schema[key].dataType.simpleString()
-    schema = f"`{key}` {kind}, `{text}` string, n_words long, spans array<struct<start: long, end: long>>, items array<string>"
+    n, at = len(docs.columns), docs.columns.index(text)
+    schema = T.StructType([*docs.schema.fields, *T.StructType.fromDDL("_words long, _spans array<struct<start: long, end: long>>, _items array<string>").fields])
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    out = docs.select(key, text)
+    out = docs
     for number, group in enumerate(_passes(items, item, item_text)):
         shared = spark.sparkContext.broadcast(group)
 
         def work(batches: Iterator[pa.RecordBatch], shared=shared, number=number) -> Iterator[pa.RecordBatch]:
             windows = Windows(shared.value)
-            for batch in slices(batches, 1, SHARD_BYTES):
-                rows = _shard(batch.column(1).to_pylist(), windows)
+            for batch in slices(batches, at, SHARD_BYTES):
+                rows = _shard(batch.column(at).to_pylist(), windows)
                 if number:
-                    rows = [_joined(a, s, i) for a, s, i in zip(rows, batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], span_type), pa.array([r[2] for r in rows], pa.list_(pa.string()))],
-                    [key, text, "n_words", "spans", "items"],
-                )
+                    rows = [_joined(a, s, i) for a, s, i in zip(rows, batch.column(n + 1).to_pylist(), batch.column(n + 2).to_pylist(), strict=True)]
+                new = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], span_type), pa.array([r[2] for r in rows], pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:n], *new], [*batch.schema.names[:n], "_words", "_spans", "_items"])
 
         out = out.mapInArrow(work, schema)
     return out
 
 
+def find(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
+    """`key`, `text`, `n_words`, `spans` (merged word spans covered by windows) and `items` (with occurring windows, sorted) of every document.
+
+    One map over the documents, no shuffle, as long as the windows fit one pass; a larger benchmark takes a pass for each group of
+    items, and spans are merged as rows go from pass to pass.
+    """
+    found = _found(docs.select(key, text), items, text, item, item_text)
+    return found.withColumnsRenamed({"_words": "n_words", "_spans": "spans", "_items": "items"})
+
+
 def _joined(row: tuple, spans: list[dict], items: list[str]) -> tuple:
     merged: list[dict] = []
     for s in sorted([*row[1], *spans], key=lambda s: s["start"]):
@@ -298,19 +303,23 @@ def without_spans(text: str | None, spans: list[dict]) -> str | None:
     return "".join([*out, text[last:]])
 
 
-def remove(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """`key`, the text without all benchmark spans, and `n_hit`, the words removed."""
-    found = find(docs, items, key, text)
-    kind = docs.schema[key].dataType.simpleString()
+def remove(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """`keep` (default: `key` and `text`) of every document, its text without all benchmark spans, and `n_hit`, the words removed; a document with spans of which no word remains is left out."""
+    chosen = docs.select(keep or [key, text])
+    n, at = len(chosen.columns), chosen.columns.index(text)
+    found = _found(chosen, items, text, "item_id", "text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans = batch.column(2).to_pylist()
-            cleaned = [without_spans(t, s) for t, s in zip(batch.column(1).to_pylist(), spans, strict=True)]
-            hit = [sum(x["end"] - x["start"] for x in s) for s in spans]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cleaned, batch.schema.field(1).type), pa.array(hit, pa.int64())], [key, text, "n_hit"])
-
-    return found.select(key, text, "spans").mapInArrow(work, f"`{key}` {kind}, `{text}` string, n_hit long")
+            spans = batch.column(n + 1).to_pylist()
+            cleaned = [without_spans(t, s) for t, s in zip(batch.column(at).to_pylist(), spans, strict=True)]
+            hit = np.array([sum(x["end"] - x["start"] for x in s) for s in spans], np.int64)
+            columns = [*batch.columns[:n], pa.array(hit)]
+            columns[at] = pa.array(cleaned, batch.schema.field(at).type)
+            rows = pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:n], "n_hit"])
+            yield rows.filter(pa.array((hit == 0) | (hit < batch.column(n).to_numpy())))
+
+    return found.mapInArrow(work, T.StructType([*chosen.schema.fields, T.StructField("n_hit", T.LongType())]))
 
 
 def digests(found: DataFrame, key: str = "doc_id") -> DataFrame:

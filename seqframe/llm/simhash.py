@@ -224,5 +224,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, key: str = "doc_id", text
     return prints.join(named, "fp", "left").select(key, "fp", "component_id")
 
 
+def first_of_each(docs: DataFrame, shingle: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of `docs` whose `key` is the smallest of its component, and those without a key; repeated rows of that key stay once each."""
+    others = near_duplicates(docs, shingle, key, text).filter(F.col(key) != F.col("component_id")).select(F.col(key).alias("_gone")).distinct()
+    return docs.join(others, F.col(key) == F.col("_gone"), "left_anti")
+
+
 def hexadecimal(fp: str = "fp"):
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
