@@ -28,8 +28,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from seqframe.llm.common import worker_cache
+
 #: Fragments that a Python worker remembers before it starts afresh (the last such set is kept beside it), and the longest of them.
-REMEMBERED, LONGEST = 250_000, 120
+REMEMBERED, LONGEST = 120_000, 120
 
 #: Output columns of `round_trip` and their types.
 COLUMNS = {
@@ -164,16 +166,13 @@ class BoundaryBPE:
         return self.decode_bytes(ids).decode()
 
 
-_MADE: dict[bytes, BoundaryBPE] = {}
-
-
 def _codec(spec: str) -> BoundaryBPE:
     """One codec, with what it remembers, for all tasks of a Python worker."""
-    key = hashlib.blake2b(spec.encode(), digest_size=16).digest()
-    if key not in _MADE:
-        _MADE.clear()
-        _MADE[key] = BoundaryBPE(spec)
-    return _MADE[key]
+    key, made = hashlib.blake2b(spec.encode(), digest_size=16).digest(), worker_cache("bpe")
+    if key not in made:
+        made.clear()
+        made[key] = BoundaryBPE(spec)
+    return made[key]
 
 
 def round_trip(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", columns: tuple[str, ...] = ("n_tokens", "ids", "decoded")) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -62,8 +62,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def arrow_map(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(work, schema)
+_HELD: dict[str, dict[bytes, object]] = {}
+
+
+def worker_cache(operator: str) -> dict[bytes, object]:
+    """What one operator keeps from task to task in a Python worker; what others kept there is given up, so that memory holds one operator's at a time."""
+    for other in [x for x in _HELD if x != operator]:
+        del _HELD[other]
+        pa.default_memory_pool().release_unused()
+    return _HELD.setdefault(operator, {})
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: int, most_bytes: int) -> Iterator[pa.RecordBatch]:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seqframe.llm.common import slices
+from seqframe.llm.common import slices, worker_cache
 
 #: Words of a window; words between sampled suffix positions; bytes of text in a shard; windows searched, and broadcast, in one pass.
 WINDOW, SAMPLED, SHARD_BYTES, PASS_WINDOWS = 10, 8, 8 << 20, 1_000_000
@@ -259,6 +259,7 @@ def _found(docs: DataFrame, items: DataFrame, text: str, item: str, item_text: s
         shared = spark.sparkContext.broadcast(group)
 
         def work(batches: Iterator[pa.RecordBatch], shared=shared, number=number) -> Iterator[pa.RecordBatch]:
+            worker_cache("decontaminate")
             windows = Windows(shared.value)
             for batch in slices(batches, at, SHARD_BYTES):
                 rows = _shard(batch.column(at).to_pylist(), windows)

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from seqframe.llm.common import bounded_rows, stratified_ids
+from seqframe.llm.common import bounded_rows, stratified_ids, worker_cache
 
 #: Texts a language to learn from; words, and n-grams of a length, that the model keeps a language; longest n-gram.
 EACH, KEPT, LONGEST = 800, 20_000, 5
@@ -126,6 +126,7 @@ def predict(docs: DataFrame, model: list[tuple[str, int, str, int, int]], key: s
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("language")
         made = Model(shared.value)
         for batch in batches:
             found = [made.predict(t.as_py()) for t in batch.column(1)]

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from seqframe.llm.common import written
+from seqframe.llm.common import worker_cache, written
 from seqframe.llm.components import Forest, components
 
 #: Characters of a shingle; least Jaccard similarity; bands and rows of a signature.
@@ -104,6 +104,7 @@ def band_keys(lines: list[str]) -> np.ndarray:
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    worker_cache("lines")
     sent: set[int] = set()
     kind = pa.list_(pa.struct([("line", pa.int64()), ("bands", pa.list_(pa.int64()))]))
     for batch in batches:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqframe.llm.common import bounded_rows
+from seqframe.llm.common import bounded_rows, worker_cache
 
 #: Labelled texts to learn from; tokens and shapes in the model; numbers in a vector and non-zero ones in an index vector; neighbours on each side; hidden units.
 SAMPLE, TOKENS, SHAPES, WIDTH, NONZERO, AROUND, HIDDEN = 5000, 20_000, 4000, 64, 6, 2, 24
@@ -192,6 +192,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("quality")
         made = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
@@ -207,6 +208,7 @@ def keep(docs: DataFrame, model: Model, least: float, key: str = "doc_id", text:
     at = docs.columns.index(text)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("quality")
         made = shared.value
         for batch in batches:
             for i in range(0, batch.num_rows, 1024):

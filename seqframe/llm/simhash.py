@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from seqframe.llm.common import written
+from seqframe.llm.common import worker_cache, written
 from seqframe.llm.components import Forest, components
 
 #: Bits that may differ (what the keys below are made for); seed of the shingles' hash; fingerprints that one task compares under one key.
@@ -140,6 +140,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, key: str = "doc_id", text: s
     """`key` and `fp`, the fingerprint as a signed long."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("simhash")
         for batch in batches:
             fps = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], [key, "fp"])

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from seqframe.llm.common import new_folder
+from seqframe.llm.common import new_folder, worker_cache
 
 #: Fewest, usual additional, and most ids of a chunk.
 LEAST, USUAL, MOST = 128, 512, 4096
@@ -119,15 +119,12 @@ class WordEncoder:
         return self.encode_many([text])[0]
 
 
-_MADE: dict[bytes, WordEncoder] = {}
-
-
 def _encoder(spec: str) -> WordEncoder:
-    key = hashlib.blake2b(spec.encode(), digest_size=16).digest()
-    if key not in _MADE:
-        _MADE.clear()
-        _MADE[key] = WordEncoder(spec)
-    return _MADE[key]
+    key, made = hashlib.blake2b(spec.encode(), digest_size=16).digest(), worker_cache("tokens")
+    if key not in made:
+        made.clear()
+        made[key] = WordEncoder(spec)
+    return made[key]
 
 
 def merkle(keys: list[bytes]) -> bytes:
