@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from seqframe.llm.common import worker_cache
+from seqframe.llm.common import small_batches, worker_cache
 
 #: Fragments that a Python worker remembers before it starts afresh (the last such set is kept beside it), and the longest of them.
 REMEMBERED, LONGEST = 120_000, 120
@@ -207,7 +207,7 @@ def round_trip(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(made[c], types[c]) for c in columns)], [key, *columns])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(work, f"`{key}` {kind}, " + ", ".join(f"{c} {COLUMNS[c]}" for c in columns))
+    return small_batches(docs).select(key, text).mapInArrow(work, f"`{key}` {kind}, " + ", ".join(f"{c} {COLUMNS[c]}" for c in columns))
 
 
 def decode(encoded: DataFrame, tokenizer: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -220,4 +220,4 @@ def decode(encoded: DataFrame, tokenizer: str, key: str = "doc_id", ids: str = "
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([codec.decode(x.as_py() or ()) for x in batch.column(1)], pa.string())], [key, "decoded"])
 
-    return encoded.select(key, ids).mapInArrow(work, f"`{key}` {encoded.schema[key].dataType.simpleString()}, decoded string")
+    return small_batches(encoded).select(key, ids).mapInArrow(work, f"`{key}` {encoded.schema[key].dataType.simpleString()}, decoded string")

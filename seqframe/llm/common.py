@@ -12,6 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: Bytes of rows that go to a Python worker at once.
+ARROW_BYTES = 8 << 20
+#: How many times the keys that a stratum may give are ordered for it.
+SLACK = 4
+
 _LEFT: list[tuple[SparkSession, str]] = []
 
 
@@ -62,6 +67,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """`df`; from now on its session sends rows to Python in Arrow batches of `ARROW_BYTES` at most (a longer row goes alone), as texts may be long."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+    return df
+
+
 _HELD: dict[str, dict[bytes, object]] = {}
 
 
@@ -93,9 +104,15 @@ def slices(batches: Iterator[pa.RecordBatch], column: int, most_bytes: int) -> I
 
 
 def stratified_ids(df: DataFrame, key: str, group: str, each: int, salt: str) -> DataFrame:
-    """Up to `each` values of `key` per `group`, picked by a hash of the key, so alike on every run and partitioning."""
-    order = Window.partitionBy(group).orderBy(F.xxhash64(F.lit(salt), F.col(key)), F.col(key))
-    return df.select(key, group).withColumn("_nth", F.row_number().over(order)).filter(F.col("_nth") <= each).drop("_nth")
+    """Up to `each` values of `key` per `group`, those of least hash, so alike on every run and partitioning.
+
+    Groups are counted first, so that only about `SLACK` * `each` keys of a group go on to be ordered, however large it is.
+    """
+    place = F.pmod(F.xxhash64(F.lit(salt), F.col(key)), F.lit(1 << 30))
+    sizes = df.groupBy(group).agg(F.count("*").alias("_size"))
+    order = Window.partitionBy(group).orderBy("_place", F.col(key))
+    near = df.select(key, group, place.alias("_place")).join(sizes, group).filter(F.col("_place") * F.col("_size") < F.lit(SLACK * each * (1 << 30)))
+    return near.withColumn("_nth", F.row_number().over(order)).filter(F.col("_nth") <= each).select(key, group)
 
 
 def bounded_rows(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seqframe.llm.common import slices, worker_cache
+from seqframe.llm.common import slices, small_batches, worker_cache
 
 #: Words of a window; words between sampled suffix positions; bytes of text in a shard; windows searched, and broadcast, in one pass.
 WINDOW, SAMPLED, SHARD_BYTES, PASS_WINDOWS = 10, 8, 8 << 20, 1_000_000
@@ -254,7 +254,7 @@ def _found(docs: DataFrame, items: DataFrame, text: str, item: str, item_text: s
     n, at = len(docs.columns), docs.columns.index(text)
     schema = T.StructType([*docs.schema.fields, *T.StructType.fromDDL("_words long, _spans array<struct<start: long, end: long>>, _items array<string>").fields])
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    out = docs
+    out = small_batches(docs)
     for number, group in enumerate(_passes(items, item, item_text)):
         shared = spark.sparkContext.broadcast(group)
 

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from seqframe.llm.common import bounded_rows, stratified_ids, worker_cache
+from seqframe.llm.common import bounded_rows, small_batches, stratified_ids, worker_cache
 
 #: Texts a language to learn from; words, and n-grams of a length, that the model keeps a language; longest n-gram.
 EACH, KEPT, LONGEST = 800, 20_000, 5
@@ -69,7 +69,7 @@ def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: s
     """Rows (language, n-gram length or 0 for words, token, its count, all counts of that length in the language)."""
     known = labelled.select(key, text, label).filter(F.col(label).isNotNull() & F.col(text).isNotNull())
     sample = bounded_rows(known, stratified_ids(known, key, label, EACH, "language").select(key), key)
-    counted = sample.select(label, text).mapInArrow(_counts, "lang string, size int, token string, n long").groupBy("lang", "size", "token").agg(F.sum("n").alias("n"))
+    counted = small_batches(sample).select(label, text).mapInArrow(_counts, "lang string, size int, token string, n long").groupBy("lang", "size", "token").agg(F.sum("n").alias("n"))
     totals = counted.groupBy("lang", "size").agg(F.sum("n").alias("total"))
     place = F.row_number().over(Window.partitionBy("lang", "size").orderBy(F.desc("n"), "token"))
     kept = counted.withColumn("_nth", place).filter(F.col("_nth") <= KEPT).drop("_nth")
@@ -132,7 +132,7 @@ def predict(docs: DataFrame, model: list[tuple[str, int, str, int, int]], key: s
             found = [made.predict(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], [key, "lang_pred", "score"])
 
-    return docs.select(key, text).mapInArrow(work, f"`{key}` {docs.schema[key].dataType.simpleString()}, lang_pred string, score double")
+    return small_batches(docs).select(key, text).mapInArrow(work, f"`{key}` {docs.schema[key].dataType.simpleString()}, lang_pred string, score double")
 
 
 def fold(key: str, parts: int) -> Column:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqframe.llm.common import bounded_rows, worker_cache
+from seqframe.llm.common import bounded_rows, small_batches, worker_cache
 
 #: Labelled texts to learn from; tokens and shapes in the model; numbers in a vector and non-zero ones in an index vector; neighbours on each side; hidden units.
 SAMPLE, TOKENS, SHAPES, WIDTH, NONZERO, AROUND, HIDDEN = 5000, 20_000, 4000, 64, 6, 2, 24
@@ -199,7 +199,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
                 some = batch.slice(at, 1024)
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(made.scores(some.column(1).to_pylist()), pa.float64())], [key, "score"])
 
-    return docs.select(key, text).mapInArrow(work, f"`{key}` {docs.schema[key].dataType.simpleString()}, score double")
+    return small_batches(docs).select(key, text).mapInArrow(work, f"`{key}` {docs.schema[key].dataType.simpleString()}, score double")
 
 
 def keep(docs: DataFrame, model: Model, least: float, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -215,4 +215,4 @@ def keep(docs: DataFrame, model: Model, least: float, key: str = "doc_id", text:
                 some = batch.slice(i, 1024)
                 yield some.filter(pa.array(made.scores(some.column(at).to_pylist()) >= least))
 
-    return docs.mapInArrow(work, docs.schema)
+    return small_batches(docs).mapInArrow(work, docs.schema)

@@ -112,4 +112,28 @@ ORACLE_SQL: dict[str, str] = {
         )
         select query_id, rank, vec_id, score from ranked where rank <= 20
     """,
+    "op9_decontaminate": r"""
+        with dw as (
+            select doc_id, row_number() over () as r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+            from documents
+        ), iw as (
+            select cast(item_id as varchar) as item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+            from benchmark
+        ), win as (
+            select distinct item, least(len(w), 10) as n, list_slice(w, i, i + 9) as v
+            from (select item, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) as i from iw where len(w) > 0)
+        ), pos as (
+            select r, w, unnest(range(1, len(w) + 1)) as p from dw
+        ), occ as (
+            select c.r, c.p, c.n, win.item
+            from (select r, p, n, list_slice(w, p, p + n - 1) as v from pos cross join (select distinct n from win)) c
+            join win on win.n = c.n and win.v = c.v
+        ), hit as (
+            select r, count(distinct h) as n_hit from (select r, unnest(range(p, p + n)) as h from occ) group by r
+        ), found as (
+            select r, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct r, item from occ) group by r
+        )
+        select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+        from dw left join hit using (r) left join found using (r)
+    """,
 }

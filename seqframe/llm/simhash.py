@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from seqframe.llm.common import worker_cache, written
+from seqframe.llm.common import small_batches, worker_cache, written
 from seqframe.llm.components import Forest, components
 
 #: Bits that may differ (what the keys below are made for); seed of the shingles' hash; fingerprints that one task compares under one key.
@@ -145,7 +145,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, key: str = "doc_id", text: s
             fps = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], [key, "fp"])
 
-    return docs.select(key, text).mapInArrow(work, f"`{key}` {docs.schema[key].dataType.simpleString()}, fp long")
+    return small_batches(docs).select(key, text).mapInArrow(work, f"`{key}` {docs.schema[key].dataType.simpleString()}, fp long")
 
 
 def _with_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,10 +219,15 @@ def links(distinct: DataFrame, block: int = BLOCK) -> DataFrame:
 def near_duplicates(docs: DataFrame, shingle: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
     """`key`, `fp` (signed long) and `component_id`, the smallest `key` reachable over links of `DISTANCE` bits at most, for every row."""
     prints = written(fingerprints(docs, shingle, key, text), "fingerprints")
-    distinct = prints.groupBy("fp").agg(F.min(F.col(key).cast("long")).alias("node")).filter("node is not null")
+    counted = written(prints.groupBy("fp").agg(F.min(F.col(key).cast("long")).alias("node"), F.count("*").alias("_n")), "distinct-fingerprints")
+    distinct = counted.filter("node is not null")
     found = components(links(distinct), "simhash")
-    named = distinct.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return prints.join(named, "fp", "left").select(key, "fp", "component_id")
+    named = distinct.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"), "_n")
+    # a fingerprint that has over 1/1000 of all rows is one of 1000 at most, so those may be broadcast and their rows stay where they are
+    many = F.lit(prints.count() / 1000)
+    common = F.broadcast(named.filter(F.col("_n") > many).drop("_n"))
+    rest = prints.join(common.select("fp"), "fp", "left_anti").join(named.filter(F.col("_n") <= many).drop("_n"), "fp", "left")
+    return prints.join(common, "fp").unionByName(rest).select(key, "fp", "component_id")
 
 
 def first_of_each(docs: DataFrame, shingle: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:

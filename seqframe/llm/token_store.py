@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from seqframe.llm.common import new_folder, worker_cache
+from seqframe.llm.common import new_folder, small_batches, worker_cache
 
 #: Fewest, usual additional, and most ids of a chunk.
 LEAST, USUAL, MOST = 128, 512, 4096
@@ -250,7 +250,7 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int, path: str | None =
                     schema=schema,
                 )
 
-    made = docs.select(F.col(key).cast("long"), text).mapInArrow(work, "kind string, key binary, payload binary, doc_id long, n_tokens long, keys array<binary>, sizes array<int>, root binary")
+    made = small_batches(docs).select(F.col(key).cast("long"), text).mapInArrow(work, "kind string, key binary, payload binary, doc_id long, n_tokens long, keys array<binary>, sizes array<int>, root binary")
     # each task sends a chunk once, so a key has as many rows as there are tasks at most; recipes are dealt by document and never compared
     nth = F.row_number().over(Window.partitionBy("kind", "key", "doc_id", "root").orderBy("kind"))
     objects = made.withColumn("_nth", nth).filter((F.col("kind") == "recipe") | (F.col("_nth") == 1)).drop("_nth")
