@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqframe.llm import bpe, decontaminate, language, linededup, quality, simhash
+from seqframe.llm import alike, bpe, decontaminate, language, linededup, quality, simhash
 from seqframe.llm.common import written
 from seqframe.llm.queries import tokenizer_path
 
@@ -22,13 +22,17 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, without lines that an earlier one (or the same one, before) has alike."""
-    return linededup.deduplicate(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    """Documents without lines that an earlier one (or the same one, before) has alike; one that had lines and loses all goes, as a copy."""
+    left = linededup.deduplicate(docs, drop_emptied=True)
+    return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates by five-word SimHash."""
-    return simhash.first_of_each(docs, shingle=5)
+    """The document with the smallest id of each group of near-duplicates: five-word SimHash within three bits, then five-word Jaccard similarity of 0.8.
+
+    Three bits are far less than documents of similarity 0.8 differ in, hence the second step over what the first leaves.
+    """
+    return alike.first_of_similar(simhash.first_of_each(docs, shingle=5))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,6 +4,8 @@ A line is compared by its normal form: white space squeezed, lower case. Equal
 normal forms are one line, named by a 64-bit hash. Every other likeness goes
 through character shingles (`SHINGLE` characters; a shorter line is one shingle):
 
+The steps are those of `alike`:
+
 1. One pass over the documents makes a one-permutation MinHash signature of each
    line that a task hasn't seen yet (bins that stay empty borrow from the next),
    and from it `BANDS` band keys of `ROWS` values. At a Jaccard similarity of 0.8
@@ -29,238 +31,31 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
-
-from seqframe.llm.common import worker_cache, written
-from seqframe.llm.components import Forest, components
-
-#: Characters of a shingle; least Jaccard similarity; bands and rows of a signature.
-SHINGLE, LEAST, BANDS, ROWS = 8, 0.8, 16, 6
-#: Characters that a task compares at once under one group, about; most bits of the bitmap of names.
-BLOCK_CHARS, MOST_BITS = 1 << 20, 1 << 26
-#: Names of lines that a task remembers, so as to send each once; characters hashed at a time.
-REMEMBERED, AT_ONCE = 400_000, 1 << 20
-
-_BINS = BANDS * ROWS
-_EMPTY = np.uint32(0xFFFFFFFF)
-
-
-def normal(line: str) -> str:
-    return " ".join(line.split()).lower()
-
 
-def name_of(line: str) -> int:
-    """The 64-bit name, signed, of a normal form."""
-    x = xxhash.xxh3_64_intdigest(line.encode())
-    return x - (1 << 64) if x >> 63 else x
+from seqframe.llm.alike import BLOCK_CHARS, Kind, links, name_of, normal, shingles, signed
+from seqframe.llm.common import small_batches
+from seqframe.llm.components import components
 
 
-def shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the shingles of all lines, and how many each line has."""
-    padded = [x if len(x) >= SHINGLE else x.ljust(SHINGLE, "\0") for x in lines]
-    codes = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-    sizes = np.fromiter(map(len, padded), np.int64, len(padded))
-    h = (codes + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-    h ^= h >> np.uint64(31)
-    width, factor = 1, 0xD6E8FEB86659FD93
-    while width < SHINGLE:  # by doubling: SHINGLE is a power of two
-        h = h[:-width] * np.uint64(factor) + h[width:]
-        h ^= h >> np.uint64(29)
-        factor = factor * 0xBF58476D1CE4E5B9 & 0xFFFFFFFFFFFFFFFF | 1
-        width *= 2
-    h *= np.uint64(0x94D049BB133111EB)
-    h ^= h >> np.uint64(32)
-    counts = sizes - SHINGLE + 1
-    before = np.cumsum(counts) - counts
-    at = np.repeat(np.cumsum(sizes) - sizes - before, counts) + np.arange(int(counts.sum()))
-    return h[at], counts
+def cut_lines(text: str) -> list[str]:
+    return text.split("\n")
 
 
-def band_keys(lines: list[str]) -> np.ndarray:
-    """Band keys of each line, `BANDS` signed 64-bit numbers."""
-    h, counts = shingles(lines)
-    owner = np.repeat(np.arange(len(lines)) * _BINS, counts)
-    bins = ((h >> np.uint64(32)) * np.uint64(_BINS) >> np.uint64(32)).astype(np.int64)
-    least = np.full(len(lines) * _BINS, _EMPTY)
-    np.minimum.at(least, owner + bins, h.astype(np.uint32))
-    least = least.reshape(-1, _BINS)
-    # a bin that got nothing takes the value of the next that did, and how far that is
-    twice = np.concatenate([least, least], axis=1)[:, ::-1]
-    place = np.where(twice != _EMPTY, np.arange(2 * _BINS), -1)
-    source = np.maximum.accumulate(place, axis=1)[:, ::-1][:, :_BINS]
-    source = 2 * _BINS - 1 - source
-    far = source - np.arange(_BINS)
-    values = np.take_along_axis(least, source % _BINS, axis=1).astype(np.uint64) + far.astype(np.uint64) * np.uint64(0x1000193)
-    keys = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F), (len(lines), BANDS)).copy()
-    for row in values.reshape(len(lines), BANDS, ROWS).transpose(2, 0, 1):
-        keys = (keys ^ row) * np.uint64(0x9E3779B97F4A7C15)
-        keys ^= keys >> np.uint64(30)
-    return keys.view(np.int64)
-
-
-def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    worker_cache("lines")
-    sent: set[int] = set()
-    kind = pa.list_(pa.struct([("line", pa.int64()), ("bands", pa.list_(pa.int64()))]))
-    for batch in batches:
-        texts = batch.column(1).to_pylist()
-        names, fresh, owners = [], [], []
-        for i, text in enumerate(texts):
-            row: list[int | None] = []
-            for line in text.split("\n") if text is not None else ():
-                if line := normal(line):
-                    row.append(name := name_of(line))
-                    if name not in sent:
-                        if len(sent) > REMEMBERED:
-                            sent.clear()
-                        sent.add(name)
-                        fresh.append((name, line))
-                        owners.append(i)
-                else:
-                    row.append(None)
-            names.append(row)
-        bands, start, size = [], 0, 0
-        for k, (_, line) in enumerate(fresh):
-            size += len(line)
-            if size >= AT_ONCE or k == len(fresh) - 1:
-                bands.append(band_keys([x for _, x in fresh[start : k + 1]]))
-                start, size = k + 1, 0
-        flat = np.concatenate(bands).reshape(-1) if bands else np.zeros(0, np.int64)
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(fresh) + 1) * BANDS, pa.int32()), pa.array(flat, pa.int64()))
-        structs = pa.StructArray.from_arrays([pa.array([x for x, _ in fresh], pa.int64()), lists], ["line", "bands"])
-        offsets = np.searchsorted(np.array(owners, np.int64), np.arange(len(texts) + 1))
-        new = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), structs)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.list_(pa.int64())), new.cast(kind)], ["doc_id", "names", "fresh"])
-
-
-def _bitmap(lines: DataFrame) -> tuple[int, np.ndarray]:
-    """A bitmap of hashed names in `lines` (line), of 16 bits a name and `MOST_BITS` at most; a full one only sends more texts."""
-    count = lines.count()
-    bits = min(MOST_BITS, max(1 << 16, 1 << (16 * count).bit_length()))
-    place = F.pmod(F.col("line"), F.lit(bits))
-    words = lines.groupBy((place / 64).cast("long").alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))).alias("bits"))
-    out = np.zeros(bits // 64, np.int64)
-    found = words.toArrow()
-    out[found.column("word").to_numpy()] = found.column("bits").to_numpy()
-    return bits, out.view(np.uint64)
-
-
-def _texts(docs: DataFrame, lines: DataFrame, text: str) -> DataFrame:
-    """`line` and `value`, the normal form, of the named lines (and of few others)."""
-    shared = docs.sparkSession.sparkContext.broadcast(_bitmap(lines))
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (bits, bitmap), sent = shared.value, set()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                values = [x for t in batch.column(0).slice(at, 512).to_pylist() if t for line in t.split("\n") if (x := normal(line))]
-                names = np.array(list(map(name_of, values)), np.int64)
-                place = names % bits
-                out = []
-                for k in np.flatnonzero(bitmap[place >> 6] >> (place & 63).astype(np.uint64) & np.uint64(1)).tolist():
-                    name = int(names[k])
-                    if name not in sent:
-                        if len(sent) > REMEMBERED:
-                            sent.clear()
-                        sent.add(name)
-                        out.append((name, values[k]))
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.string())], ["line", "value"])
-
-    return docs.select(text).mapInArrow(work, "line long, value string")
-
-
-def similar_links(values: list[str], least: float = LEAST) -> Iterator[tuple[int, np.ndarray]]:
-    """Places (i, those newly reached from i) of a spanning forest of the links among lines, by exact Jaccard similarity."""
-    h, counts = shingles(values)
-    owner = np.repeat(np.arange(len(values)), counts)
-    order = np.lexsort((h, owner))
-    h, owner = h[order], owner[order]
-    first = np.ones(len(h), bool)
-    first[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
-    h, owner = h[first], owner[first]
-    _, codes = np.unique(h, return_inverse=True)
-    sizes = np.bincount(owner, minlength=len(values))
-    ends = np.cumsum(sizes)
-    flag = np.zeros(int(codes.max(initial=-1)) + 1, bool)
-    left = np.arange(len(values))
-    left_codes, left_sizes = codes, sizes
-    while len(left) > 1:
-        queue = [int(left[0])]
-        left_codes, left_sizes, left = left_codes[left_sizes[0] :], left_sizes[1:], left[1:]
-        while queue and len(left):
-            i = queue.pop()
-            own = codes[ends[i] - sizes[i] : ends[i]]
-            flag[own] = True
-            both = np.add.reduceat(flag[left_codes], np.cumsum(left_sizes) - left_sizes, dtype=np.int64)
-            flag[own] = False
-            near = both >= least * (len(own) + left_sizes - both)
-            if near.any():
-                reached = left[near]
-                queue.extend(reached.tolist())
-                left_codes = left_codes[np.repeat(~near, left_sizes)]
-                left, left_sizes = left[~near], left_sizes[~near]
-                yield i, reached
-
-
-def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links within each run of rows with equal (group, first block, second block); those that join nothing new in this task are left out."""
-    forest = Forest()
-
-    def group(names: list[int], values: list[str]) -> list[tuple[int, int]]:
-        one = dict(zip(names, values, strict=True))
-        names, values = list(one), list(one.values())
-        return [(names[i], names[j]) for i, reached in similar_links(values) for j in reached.tolist() if forest.join(names[i], names[j])]
-
-    held: tuple[list[int], list[str]] = ([], [])
-    now, made = None, []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys = np.stack([batch.column(i).to_numpy() for i in range(3)])
-        names, values = batch.column(3).to_pylist(), batch.column(4).to_pylist()
-        cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
-        for i, j in zip(cuts, cuts[1:], strict=False):
-            here = tuple(keys[:, i].tolist())
-            if here != now:
-                made += group(*held)
-                held, now = ([], []), here
-            held[0].extend(names[i:j])
-            held[1].extend(values[i:j])
-        yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], pa.int64())], ["a", "b"])
-        made = []
-    made += group(*held)
-    yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], pa.int64())], ["a", "b"])
-
-
-def _links(docs: DataFrame, signed: DataFrame, text: str, block_chars: int) -> DataFrame:
-    fresh = signed.select(F.explode("fresh").alias("f")).select(F.col("f.line").alias("line"), F.explode("f.bands").alias("band"))
-    under = Window.partitionBy("band")
-    met = fresh.withColumn("hub", F.min("line").over(under)).withColumn("_last", F.max("line").over(under)).filter("hub < _last")
-    met = written(met.select("hub", "line").distinct(), "line-groups")
-    values = _texts(docs, met.select("line").distinct(), text).groupBy("line").agg(F.min("value").alias("value"))
-    group = met.join(values, "line")
-    chars = F.sum(F.length("value") + 1).over(Window.partitionBy("hub"))
-    blocks = F.ceil(F.col("_chars") / block_chars).cast("long")
-    dealt = group.withColumn("_chars", chars).withColumn("_own", F.pmod(F.xxhash64("line"), blocks)).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    dealt = dealt.select("hub", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), "line", "value")
-    return dealt.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j").mapInArrow(_linked, "a long, b long")
+LINES = Kind(cut_lines, shingles)
 
 
 def decide(docs: DataFrame, key: str = "doc_id", text: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """`doc_id`, `names` (of a text's lines, null for blank ones) and `kept` (place and name of each non-blank line that stays)."""
-    kind = docs.schema[key].dataType.simpleString()
-    signed = written(docs.select(key, text).mapInArrow(_signed, f"doc_id {kind}, names array<long>, fresh array<struct<line: long, bands: array<long>>>"), "line-signatures")
-    alike = components(_links(docs, signed, text, block_chars), "lines")
-    places = signed.select("doc_id", F.posexplode("names").alias("place", "line")).filter("line is not null")
+    signatures = signed(docs, LINES, key, text)
+    alike = components(links(docs, signatures, LINES, text, block_chars), "lines")
+    places = signatures.select("doc_id", F.posexplode("names").alias("place", "line")).filter("line is not null")
     first = places.groupBy("line").agg(F.min(F.struct("doc_id", "place", "line")).alias("at"))
     named = first.join(alike, first.line == alike.node, "left").select(F.coalesce("component", "line").alias("component"), "at")
     kept = named.groupBy("component").agg(F.min("at").alias("at")).groupBy(F.col("at.doc_id").alias("_doc")).agg(F.collect_list(F.struct(F.col("at.place").alias("place"), F.col("at.line").alias("line"))).alias("kept"))
-    return signed.select("doc_id", "names").join(kept, F.col("doc_id").eqNullSafe(F.col("_doc")), "left").drop("_doc")
+    return signatures.select("doc_id", "names").join(kept, F.col("doc_id").eqNullSafe(F.col("_doc")), "left").drop("_doc")
 
 
 def report(decided: DataFrame) -> DataFrame:
@@ -271,22 +66,27 @@ def report(decided: DataFrame) -> DataFrame:
     return decided.select("doc_id", F.size(lines).alias("n_lines"), F.size(dropped).alias("n_dropped"), dropped.alias("dropped"))
 
 
-def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """`docs` with all its columns, each text without the lines that go."""
+def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", block_chars: int = BLOCK_CHARS, drop_emptied: bool = False) -> DataFrame:
+    """`docs` with all its columns, each text without the lines that go; with `drop_emptied`, without the rows that lose all the lines they had."""
     decided = decide(docs, key, text, block_chars).groupBy("doc_id").agg(F.flatten(F.collect_set("kept")).alias("_kept")).withColumnRenamed("doc_id", "_doc")
     joined = docs.join(decided, F.col(key).eqNullSafe(F.col("_doc")), "left").drop("_doc")
     at, last = docs.columns.index(text), len(docs.columns)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
+            out, stay = [], []
             for value, kept in zip(batch.column(at).to_pylist(), batch.column(last).to_pylist(), strict=True):
                 if value:
                     stays = {(k["place"], k["line"]) for k in kept or ()}
-                    value = "\n".join(line for i, line in enumerate(value.split("\n")) if not (x := normal(line)) or (i, name_of(x)) in stays)
+                    lines = [(line, x, not x or (i, name_of(x)) in stays) for i, line in enumerate(value.split("\n")) for x in [normal(line)]]
+                    emptied = any(x for _, x, _ in lines) and not any(x and good for _, x, good in lines)
+                    value = "\n".join(line for line, _, good in lines if good)
+                else:
+                    emptied = False
                 out.append(value)
+                stay.append(not (emptied and drop_emptied))
             columns = [batch.column(i) for i in range(last)]
             columns[at] = pa.array(out, batch.schema.field(at).type)
-            yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:last])
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:last]).filter(pa.array(stay, pa.bool_()))
 
-    return joined.mapInArrow(work, docs.schema)
+    return small_batches(joined).mapInArrow(work, docs.schema)

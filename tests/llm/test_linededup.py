@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 
+from seqframe.llm import alike
 from seqframe.llm import linededup as ld
 
 
@@ -50,7 +51,7 @@ def fixture(rng):
 
 
 def test_against_all_pairs(spark):
-    for seed, block in ((1, ld.BLOCK_CHARS), (2, 700)):
+    for seed, block in ((1, alike.BLOCK_CHARS), (2, 700)):
         docs = fixture(random.Random(seed))
         df = spark.createDataFrame([(*d, 3, "s") for d in docs], "doc_id long, text string, names int, kept string").repartition(5)
         want = brute(docs)
@@ -80,7 +81,7 @@ def test_recall_of_the_bands():
         s = jaccard(base, copy)
         for least in met:
             if least <= s < least + 0.1:
-                keys = ld.band_keys([base, copy])
+                keys = alike.band_keys([base, copy])
                 met[least][0] += bool((keys[0] == keys[1]).any())
                 met[least][1] += 1
     assert met[0.8][0] >= 0.97 * met[0.8][1] and met[0.9][0] == met[0.9][1] and met[0.9][1] > 50
@@ -91,7 +92,7 @@ def test_links_span_their_components():
     base = "".join(rng.choice("abcdefgh ") for _ in range(200))
     lines = [base[:i] + "#" + base[i + 1 :] for i in range(0, 200, 9)] + ["short", "", "other line of no likeness at all"]
     reached = {0}
-    for i, new in ld.similar_links(lines):
+    for i, new in alike.similar_links(lines):
         assert all(jaccard(lines[i], lines[j]) >= 0.8 for j in new)
         reached |= set(new.tolist())
     assert reached == set(range(len(lines) - 3))
@@ -99,8 +100,27 @@ def test_links_span_their_components():
 
 def test_hashes_depend_on_the_line_alone():
     lines = ["one line of text", "x", "another line, a longer one", "é" * 30]
-    alone = np.concatenate([ld.band_keys([x]) for x in lines])
-    assert (ld.band_keys(lines) == alone).all()
+    alone = np.concatenate([alike.band_keys([x]) for x in lines])
+    assert (alike.band_keys(lines) == alone).all()
+
+
+def test_word_windows():
+    pieces = ["a b c d e f g", "x", "zz a b c d e", "é b", "b c d e f"]
+    h, counts = alike.word_shingles(pieces)
+    assert counts.tolist() == [3, 1, 2, 1, 1]
+    windows = [" ".join(p.split()[i : i + 5]) for p, n in zip(pieces, counts, strict=True) for i in range(n)]
+    for i, a in enumerate(windows):
+        for j, b in enumerate(windows):
+            assert (h[i] == h[j]) == (a == b)
+    long = "w " * 50_000 + "end"
+    assert alike.word_shingles([long])[1].tolist() == [50_001 - 4]
+
+
+def test_emptied_rows(spark):
+    docs = spark.createDataFrame([(1, "a\nb"), (2, "a\n\nb"), (3, ""), (4, None), (5, " \n")], "doc_id long, text string")
+    out = ld.deduplicate(docs, drop_emptied=True)
+    assert {r.doc_id: r.text for r in out.collect()} == {1: "a\nb", 3: "", 4: None, 5: " \n"}
+    assert {r.doc_id: r.text for r in ld.deduplicate(docs).collect()}[2] == ""
 
 
 def test_empty_table(spark):

@@ -1,7 +1,7 @@
 import random
 
 import corpus_pipeline as cp
-from seqframe.llm import decontaminate, linededup, quality, simhash
+from seqframe.llm import alike, decontaminate, quality, simhash
 from seqframe.llm.queries import tokenizer_path
 
 SF = "/root/testdata/sf0.001"
@@ -20,13 +20,13 @@ def test_stages(spark):
     assert sum(labels[k] for k in kept if k in labels) >= 0.95 * sum(labels.values())
     assert sum(1 - labels[k] for k in kept if k in labels) <= 0.3 * sum(1 - q for q in labels.values())  # 87 labels here; test_classifiers has held-out figures
     deduped = {r.doc_id: r.text for r in inputs["lines"].collect()}
-    assert deduped.keys() == kept.keys()
     seen = set()
     for k in sorted(kept):
-        for line in (deduped[k] or "").split("\n"):
-            x = linededup.normal(line)
-            assert not x or x not in seen
-            seen.add(x)
+        old = {x for line in (kept[k] or "").split("\n") if (x := alike.normal(line))}
+        new = [x for line in (deduped.get(k) or "").split("\n") if (x := alike.normal(line))]
+        assert (k in deduped) == (bool(new) or not old)
+        assert not seen & set(new) and len(set(new)) == len(new) and set(new) <= old
+        seen |= set(new)
     prints = {k: simhash.fingerprint(t, 5) for k, t in deduped.items()}
     name = {k: k for k in prints}
     for _ in range(9):
@@ -65,6 +65,43 @@ def test_stages(spark):
         assert rows[k].ids == library.encode(clean[k] or "", add_special_tokens=False).ids
 
 
+def test_near_copies_go(spark):
+    """Groups by all pairs of documents: five-word fingerprints within three bits, then Jaccard similarity of 0.8."""
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choice("abcdefghijklmno") for _ in range(rng.randint(2, 8))) for _ in range(900)]
+    texts = ["", None, " ", "one two", "one  TWO", "one two three"]
+    for _ in range(14):
+        base = [rng.choice(vocabulary) for _ in range(rng.choice([4, 30, 200, 900]))]
+        texts.append(" ".join(base))
+        for _ in range(4):
+            copy = list(base)
+            for _ in range(rng.choice([0, len(base) // 100, len(base) // 45, len(base) // 8])):
+                copy[rng.randrange(len(copy))] = rng.choice(vocabulary)
+            texts.append(rng.choice([" ", "\n"]).join(copy))
+    order = list(range(len(texts)))
+    rng.shuffle(order)
+    docs = spark.createDataFrame([(i, texts[i], "en", "s", 0) for i in order], "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    found = {r.doc_id for r in cp.near_duplicate_stage(spark, docs, SF).collect()}
+
+    def first(keys, linked):
+        name = {k: k for k in keys}
+        for _ in range(9):
+            for a in keys:
+                for b in keys:
+                    if linked(a, b):
+                        name[a] = name[b] = min(name[a], name[b])
+        return {k for k in keys if name[k] == k}
+
+    prints = [simhash.fingerprint(t, 5) for t in texts]
+    grams = []
+    for t in texts:
+        w = alike.normal(t or "").split()
+        grams.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    left = first(range(len(texts)), lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 3)
+    left = first(sorted(left), lambda a, b: len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b]) and bool(grams[a]))
+    assert found == left and len(found) < len(texts) - 20
+
+
 def test_run_and_empty_tables(spark, tmp_path):
     assert cp.run(spark, SF).columns == ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"]
     for table in ("documents", "labels", "benchmark"):
