@@ -109,7 +109,7 @@ class Model:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         found = words(text)
-        if not found or not self.langs:
+        if not self.langs or not (any(map(str.isalpha, found)) or any(c.isalpha() for w in found for c in w)):
             return UNKNOWN, 0.0
         total = np.zeros(len(self.langs))
         first, seen, own = self.tables[0].get, self.seen.get, self.word

@@ -28,7 +28,7 @@ def test_backoff_by_hand():
     assert model.word("z").tolist() == pytest.approx([-20.0, math.log(1 / 3)])
     assert model.word("q").tolist() == [0, 0]
     assert model.predict("Known known!")[0] == "a" and model.predict("xaby")[0] == "b"
-    assert model.predict(None) == model.predict("") == model.predict("12 _ ?!") == (language.UNKNOWN, 0.0)
+    assert model.predict(None) == model.predict("") == model.predict("12 _ ?! ²") == (language.UNKNOWN, 0.0)
     assert language.Model([]).predict("text") == (language.UNKNOWN, 0.0)
 
 
