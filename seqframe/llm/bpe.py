@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from seqframe.llm.common import small_batches, worker_cache
 
 #: Fragments that a Python worker remembers before it starts afresh (the last such set is kept beside it), and the longest of them.
-REMEMBERED, LONGEST = 120_000, 120
+REMEMBERED, LONGEST = 80_000, 120
 
 #: Output columns of `round_trip` and their types.
 COLUMNS = {

@@ -248,27 +248,43 @@ def _passes(items: DataFrame, item: str, text: str) -> Iterator[list[tuple[str,
     yield held
 
 
-def _found(docs: DataFrame, items: DataFrame, text: str, item: str, item_text: str) -> DataFrame:
-    """`docs` with its columns followed by _words, _spans and _items."""
+_FOUND = "_words long, _spans array<struct<start: long, end: long>>, _items array<string>"
+
+
+def _found(docs: DataFrame, items: DataFrame, text: str, item: str, item_text: str, cleaned: bool = False) -> DataFrame:
+    """`docs` with its columns followed by _words, _spans and _items; if `cleaned`, the rows of `remove` instead, made in the last pass."""
     spark = docs.sparkSession
     n, at = len(docs.columns), docs.columns.index(text)
-    schema = T.StructType([*docs.schema.fields, *T.StructType.fromDDL("_words long, _spans array<struct<start: long, end: long>>, _items array<string>").fields])
+    schema = T.StructType([*docs.schema.fields, *T.StructType.fromDDL(_FOUND).fields])
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     out = small_batches(docs)
-    for number, group in enumerate(_passes(items, item, item_text)):
+    groups = _passes(items, item, item_text)
+    group, number = next(groups), 0
+    while group is not None:
+        following = next(groups, None)
         shared = spark.sparkContext.broadcast(group)
+        clean = cleaned and following is None
 
-        def work(batches: Iterator[pa.RecordBatch], shared=shared, number=number) -> Iterator[pa.RecordBatch]:
+        def work(batches: Iterator[pa.RecordBatch], shared=shared, number=number, clean=clean) -> Iterator[pa.RecordBatch]:
             worker_cache("decontaminate")
             windows = Windows(shared.value)
             for batch in slices(batches, at, SHARD_BYTES):
-                rows = _shard(batch.column(at).to_pylist(), windows)
+                texts = batch.column(at).to_pylist()
+                rows = _shard(texts, windows)
                 if number:
                     rows = [_joined(a, s, i) for a, s, i in zip(rows, batch.column(n + 1).to_pylist(), batch.column(n + 2).to_pylist(), strict=True)]
-                new = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], span_type), pa.array([r[2] for r in rows], pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:n], *new], [*batch.schema.names[:n], "_words", "_spans", "_items"])
-
-        out = out.mapInArrow(work, schema)
+                if clean:
+                    columns = list(batch.columns[:n])
+                    columns[at] = pa.array([without_spans(t, r[1]) for t, r in zip(texts, rows, strict=True)], batch.schema.field(at).type)
+                    hit = np.array([sum(x["end"] - x["start"] for x in r[1]) for r in rows], np.int64)
+                    stays = pa.array((hit == 0) | (hit < np.array([r[0] for r in rows])))
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(hit)], [*batch.schema.names[:n], "n_hit"]).filter(stays)
+                else:
+                    new = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], span_type), pa.array([r[2] for r in rows], pa.list_(pa.string()))]
+                    yield pa.RecordBatch.from_arrays([*batch.columns[:n], *new], [*batch.schema.names[:n], "_words", "_spans", "_items"])
+
+        out = out.mapInArrow(work, T.StructType([*docs.schema.fields, T.StructField("n_hit", T.LongType())]) if clean else schema)
+        group, number = following, number + 1
     return out
 
 
@@ -306,21 +322,7 @@ def without_spans(text: str | None, spans: list[dict]) -> str | None:
 
 def remove(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """`keep` (default: `key` and `text`) of every document, its text without all benchmark spans, and `n_hit`, the words removed; a document with spans of which no word remains is left out."""
-    chosen = docs.select(keep or [key, text])
-    n, at = len(chosen.columns), chosen.columns.index(text)
-    found = _found(chosen, items, text, "item_id", "text")
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            spans = batch.column(n + 1).to_pylist()
-            cleaned = [without_spans(t, s) for t, s in zip(batch.column(at).to_pylist(), spans, strict=True)]
-            hit = np.array([sum(x["end"] - x["start"] for x in s) for s in spans], np.int64)
-            columns = [*batch.columns[:n], pa.array(hit)]
-            columns[at] = pa.array(cleaned, batch.schema.field(at).type)
-            rows = pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:n], "n_hit"])
-            yield rows.filter(pa.array((hit == 0) | (hit < batch.column(n).to_numpy())))
-
-    return found.mapInArrow(work, T.StructType([*chosen.schema.fields, T.StructField("n_hit", T.LongType())]))
+    return _found(docs.select(keep or [key, text]), items, text, "item_id", "text", cleaned=True)
 
 
 def digests(found: DataFrame, key: str = "doc_id") -> DataFrame:
