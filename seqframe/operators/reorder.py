@@ -1,9 +1,11 @@
 """One-to-one matching of records that keeps an order.
 
 Both joins are multiset joins: equal keys on the two sides are numbered, and a
-number is matched with the same number. Numbering takes a key's rows in slices of
-`SLICE` ordinals, counts the slices, and adds the counts of those before, so that
-a key with a great part of all rows (a poly-N read) is never one task's work.
+number is matched with the same number. A key's rows are numbered by one window,
+but not those of keys that have over `SUPPORT` of all rows and over `SLICE` rows (a
+poly-N read): these, 1 / `SUPPORT` keys at most, are taken in slices of `SLICE`
+ordinals, the slices counted, and the counts of those before added, so that no
+large key is one task's work.
 """
 
 from __future__ import annotations
@@ -14,20 +16,39 @@ from pyspark.sql.window import Window
 
 from seqframe.functions.sequence import bkdr_hash, chop2, trim_mate_suffix, with_suffix
 
-#: Ordinals of a slice; bases of a source chunk.
-SLICE, CHUNK_BASES = 1 << 20, 1_000_000_000
+#: Share of all rows from which a key is sliced; ordinals of a slice, and rows from which a key is sliced; bases of a source chunk.
+SUPPORT, SLICE, CHUNK_BASES = 1 / 1000, 1 << 20, 1_000_000_000
 _SPAN = 1 << 40
 
 
+def frequent(rows: DataFrame, key: str, most: int, support: float = SUPPORT) -> list:
+    """Values of `key` that have over `most` rows and over `support` of all; 1 / `support` at most.
+
+    Scans alone, no shuffle of rows; a table of `most` rows or fewer is only counted.
+    """
+    if rows.count() <= most:
+        return []
+    found = rows.select(key).filter(F.col(key).isNotNull()).stat.freqItems([key], support).first()[0] or []
+    counted = rows.filter(F.col(key).isin(list(found))).groupBy(key).count().filter(F.col("count") > most)
+    return [r[0] for r in counted.collect()]
+
+
 def ranked(rows: DataFrame, key: str, order: Column, name: str = "_k", slice_: int = SLICE) -> DataFrame:
     """`rows` with their number (from 1) among equal `key`s by `order`, a distinct long."""
-    cut = rows.withColumn("_o", order.cast("bigint")).withColumn("_slice", F.floor(F.col("_o") / slice_))
+    ordered = rows.withColumn("_o", order.cast("bigint"))
+    one_window = F.row_number().over(Window.partitionBy(key).orderBy("_o")).cast("bigint")
+    large = frequent(rows, key, slice_)
+    if not large:
+        return ordered.withColumn(name, one_window).drop("_o")
+    common = F.coalesce(F.col(key).isin(large), F.lit(False))
+    rare = ordered.filter(~common).withColumn(name, one_window)
+    cut = ordered.filter(common).withColumn("_slice", F.col("_o") - F.pmod("_o", F.lit(slice_)))
     local = cut.withColumn("_r", F.row_number().over(Window.partitionBy(key, "_slice").orderBy("_o")))
     counts = cut.groupBy(key, "_slice").agg(F.count("*").alias("_n"))
     earlier = Window.partitionBy(key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).filter("_before > 0").select(key, "_slice", "_before")
-    # only keys that reach over several slices have rows in `before`
-    return local.join(before, [key, "_slice"], "left").withColumn(name, F.col("_r") + F.coalesce("_before", F.lit(0))).drop("_o", "_slice", "_r", "_before")
+    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).select(key, "_slice", "_before")
+    sliced = local.join(before, [key, "_slice"], "left").withColumn(name, F.col("_r") + F.coalesce("_before", F.lit(0)))
+    return rare.drop("_o").unionByName(sliced.drop("_o", "_slice", "_r", "_before"))
 
 
 def multiset_join(left: DataFrame, right: DataFrame, key: str, left_order: Column, right_order: Column, how: str = "left", slice_: int = SLICE) -> DataFrame:
