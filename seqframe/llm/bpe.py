@@ -28,11 +28,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from seqframe.llm.common import small_batches, worker_cache
+from seqframe.llm.common import slices, small_batches, worker_cache
 
 #: Fragments that a Python worker remembers before it starts afresh (the last such set is kept beside it), and the longest of them.
 REMEMBERED, LONGEST = 80_000, 120
 
+#: Bytes of text encoded before their rows are sent on.
+AT_ONCE = 1 << 20
+
 #: Output columns of `round_trip` and their types.
 COLUMNS = {
     "n_tokens": "long",
@@ -186,7 +189,7 @@ def round_trip(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str =
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec, made = _codec(shared.value), None
         types = {"n_tokens": pa.int64(), "ids": pa.list_(pa.int32()), "decoded": pa.string(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
-        for batch in batches:
+        for batch in slices(batches, 1, AT_ONCE):
             made = {c: [] for c in columns}
             for value in batch.column(1):
                 parts = codec.parts_of(value.as_py())

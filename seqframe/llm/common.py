@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 #: Bytes of rows that go to a Python worker at once.
-ARROW_BYTES = 8 << 20
+ARROW_BYTES = 4 << 20
 #: How many times the keys that a stratum may give are ordered for it.
 SLACK = 4
 
@@ -78,9 +81,12 @@ _HELD: dict[str, dict[bytes, object]] = {}
 
 def worker_cache(operator: str) -> dict[bytes, object]:
     """What one operator keeps from task to task in a Python worker; what others kept there is given up, so that memory holds one operator's at a time."""
-    for other in [x for x in _HELD if x != operator]:
-        del _HELD[other]
+    if operator not in _HELD:
+        _HELD.clear()
+        gc.collect()
         pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # only some C libraries can give freed memory back
+            ctypes.CDLL(None).malloc_trim(0)
     return _HELD.setdefault(operator, {})
 
 

@@ -43,7 +43,7 @@ LEAST = 0.3
 #: Features beside the vectors: repeats, distinct tokens, length.
 EXTRA = 3
 #: Tokens that a Python worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 
 _RUNS = re.compile(r"(?P<A>[A-ZÀ-ÖØ-Þ]+)|(?P<a>[a-zß-öø-ÿ]+)|(?P<n>[0-9]+)|(?P<w>[^\W\d_]+)|(?P<s>(.)\6*)", re.DOTALL)
 
