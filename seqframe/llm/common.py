@@ -112,12 +112,13 @@ def slices(batches: Iterator[pa.RecordBatch], column: int, most_bytes: int) -> I
 def stratified_ids(df: DataFrame, key: str, group: str, each: int, salt: str) -> DataFrame:
     """Up to `each` values of `key` per `group`, those of least hash, so alike on every run and partitioning.
 
-    Groups are counted first, so that only about `SLACK` * `each` keys of a group go on to be ordered, however large it is.
+    Groups are counted first, so that only about `SLACK` * `each` keys of a group go on to be ordered, however large it is. The counts
+    are broadcast: a row a group, far smaller than the model that is made of `each` texts a group and broadcast too.
     """
     place = F.pmod(F.xxhash64(F.lit(salt), F.col(key)), F.lit(1 << 30))
     sizes = df.groupBy(group).agg(F.count("*").alias("_size"))
     order = Window.partitionBy(group).orderBy("_place", F.col(key))
-    near = df.select(key, group, place.alias("_place")).join(sizes, group).filter(F.col("_place") * F.col("_size") < F.lit(SLACK * each * (1 << 30)))
+    near = df.select(key, group, place.alias("_place")).join(F.broadcast(sizes), group).filter(F.col("_place") * F.col("_size") < F.lit(SLACK * each * (1 << 30)))
     return near.withColumn("_nth", F.row_number().over(order)).filter(F.col("_nth") <= each).select(key, group)
 
 
