@@ -23,10 +23,15 @@ from seqframe.llm.components import Forest, components
 
 #: Characters of a line's shingle and words of a document's; least Jaccard similarity; bands and rows of a signature.
 SHINGLE, WORDS, LEAST, BANDS, ROWS = 8, 5, 0.8, 16, 6
+#: Characters of the second, finer shingle that lines of `SHINGLE` to `SHORT` characters have too: one changed word of up to 14
+#: characters leaves a longer line at `LEAST` by the first.
+FINE, SHORT = 4, 200
 #: Characters that a task compares at once under one group, about; most bits of the bitmap of names.
 BLOCK_CHARS, MOST_BITS = 1 << 20, 1 << 26
 #: Names that a task remembers, so as to send each piece once; characters hashed at a time.
 REMEMBERED, AT_ONCE = 400_000, 1 << 20
+#: Characters whose windows are hashed in one go, so that the steps stay in a core's cache.
+IN_CACHE = 1 << 15
 
 _BINS = BANDS * ROWS
 _EMPTY = np.uint32(0xFFFFFFFF)
@@ -43,22 +48,31 @@ def name_of(line: str) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the shingles of all lines, and how many each line has."""
-    padded = [x if len(x) >= SHINGLE else x.ljust(SHINGLE, "\0") for x in lines]
-    codes = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-    sizes = np.fromiter(map(len, padded), np.int64, len(padded))
-    h = (codes + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+def _windows(codes: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each window of `size` characters."""
+    h = (codes.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     h ^= h >> np.uint64(31)
     width, factor = 1, 0xD6E8FEB86659FD93
-    while width < SHINGLE:  # by doubling: SHINGLE is a power of two
-        h = h[:-width] * np.uint64(factor) + h[width:]
+    while width < size:  # by doubling; the last two parts overlap if `size` is no power of two
+        step = min(width, size - width)
+        h = h[:-step] * np.uint64(factor) + h[step:]
         h ^= h >> np.uint64(29)
         factor = factor * 0xBF58476D1CE4E5B9 & 0xFFFFFFFFFFFFFFFF | 1
-        width *= 2
+        width += step
     h *= np.uint64(0x94D049BB133111EB)
     h ^= h >> np.uint64(32)
-    counts = sizes - SHINGLE + 1
+    return h
+
+
+def shingles(lines: list[str], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shingles of `size` characters of all lines, and how many each line has."""
+    padded = [x if len(x) >= size else x.ljust(size, "\0") for x in lines]
+    codes = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), "<u4")
+    sizes = np.fromiter(map(len, padded), np.int64, len(padded))
+    h = np.empty(max(0, len(codes) - size + 1), np.uint64)
+    for start in range(0, len(h), IN_CACHE):
+        h[start : start + IN_CACHE] = _windows(codes[start : start + IN_CACHE + size - 1], size)
+    counts = sizes - size + 1
     before = np.cumsum(counts) - counts
     at = np.repeat(np.cumsum(sizes) - sizes - before, counts) + np.arange(int(counts.sum()))
     return h[at], counts
@@ -108,25 +122,56 @@ def _powers(factor: np.uint64, n: int) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Kind:
+    """`fine`, if given, are the second shingles of pieces of `SHINGLE` to `SHORT` characters: two such are also alike if alike by these."""
+
     cut: Callable[[str], list[str]]
     shingles: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]
+    fine: Callable[[list[str]], tuple[np.ndarray, np.ndarray]] | None = None
+
+    def has_fine(self, piece: str) -> bool:
+        return self.fine is not None and SHINGLE <= len(piece) <= SHORT
+
+
+fine_shingles = partial(shingles, size=FINE)
+
+
+#: For each bin, all bins in an order of its own.
+_ORDERS = np.argsort(np.random.default_rng(1).random((_BINS, _BINS)), axis=1)
+
+
+def _borrowed(least: np.ndarray) -> np.ndarray:
+    """`least` with each empty bin given the value of the first full one in its own order, so that the bins of a band differ in what they borrow, however few shingles a piece has."""
+    full = least != _EMPTY
+    out = least.copy()
+    piece, place = np.nonzero(~full & full.any(axis=1)[:, None])
+    for step in range(_BINS):
+        if not len(piece):
+            break
+        other = _ORDERS[place, step]
+        good = full[piece, other]
+        out[piece[good], place[good]] = least[piece[good], other[good]]
+        piece, place = piece[~good], place[~good]
+    return out
 
 
-def band_keys(lines: list[str], hashes: Callable[[list[str]], tuple[np.ndarray, np.ndarray]] = shingles) -> np.ndarray:
-    """Band keys of each piece, `BANDS` signed 64-bit numbers."""
+def band_keys(lines: list[str], hashes: Callable[[list[str]], tuple[np.ndarray, np.ndarray]] = shingles, few: bool = False) -> np.ndarray:
+    """Band keys of each piece, `BANDS` signed 64-bit numbers; `few`: pieces have few shingles, and common ones, so a key must not hang on one of them."""
     h, counts = hashes(lines)
     owner = np.repeat(np.arange(len(lines)) * _BINS, counts)
     bins = ((h >> np.uint64(32)) * np.uint64(_BINS) >> np.uint64(32)).astype(np.int64)
     least = np.full(len(lines) * _BINS, _EMPTY)
     np.minimum.at(least, owner + bins, h.astype(np.uint32))
     least = least.reshape(-1, _BINS)
-    # a bin that got nothing takes the value of the next that did, and how far that is
-    twice = np.concatenate([least, least], axis=1)[:, ::-1]
-    place = np.where(twice != _EMPTY, np.arange(2 * _BINS), -1)
-    source = np.maximum.accumulate(place, axis=1)[:, ::-1][:, :_BINS]
-    source = 2 * _BINS - 1 - source
-    far = source - np.arange(_BINS)
-    values = np.take_along_axis(least, source % _BINS, axis=1).astype(np.uint64) + far.astype(np.uint64) * np.uint64(0x1000193)
+    if few:
+        values = _borrowed(least).astype(np.uint64)
+    else:
+        # a bin that got nothing takes the value of the next that did, and how far that is
+        twice = np.concatenate([least, least], axis=1)[:, ::-1]
+        place = np.where(twice != _EMPTY, np.arange(2 * _BINS), -1)
+        source = np.maximum.accumulate(place, axis=1)[:, ::-1][:, :_BINS]
+        source = 2 * _BINS - 1 - source
+        far = source - np.arange(_BINS)
+        values = np.take_along_axis(least, source % _BINS, axis=1).astype(np.uint64) + far.astype(np.uint64) * np.uint64(0x1000193)
     keys = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F), (len(lines), BANDS)).copy()
     for row in values.reshape(len(lines), BANDS, ROWS).transpose(2, 0, 1):
         keys = (keys ^ row) * np.uint64(0x9E3779B97F4A7C15)
@@ -158,14 +203,18 @@ def signed(docs: DataFrame, kind: Kind, key: str, text: str) -> DataFrame:
                     else:
                         row.append(None)
                 names.append(row)
-            bands, start, size = [], 0, 0
-            for k, (_, piece) in enumerate(fresh):
-                size += len(piece)
-                if size >= AT_ONCE or k == len(fresh) - 1:
-                    bands.append(band_keys([x for _, x in fresh[start : k + 1]], kind.shingles))
-                    start, size = k + 1, 0
-            flat = np.concatenate(bands).reshape(-1) if bands else np.zeros(0, np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(fresh) + 1) * BANDS, pa.int32()), pa.array(flat, pa.int64()))
+            short = np.array([kind.has_fine(x) for _, x in fresh], bool)
+            ends = np.concatenate([[0], np.cumsum(BANDS * (1 + short))])
+            flat = np.zeros(int(ends[-1]), np.int64)
+            for hashes, some, past in ((kind.shingles, range(len(fresh)), 0), (kind.fine, np.flatnonzero(short).tolist(), BANDS)):
+                start, size = 0, 0
+                for k, i in enumerate(some):
+                    size += len(fresh[i][1])
+                    if size >= AT_ONCE or k == len(some) - 1:
+                        at = list(some[start : k + 1])
+                        flat[ends[at][:, None] + np.arange(past, past + BANDS)] = band_keys([fresh[i][1] for i in at], hashes, few=past > 0)
+                        start, size = k + 1, 0
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))
             structs = pa.StructArray.from_arrays([pa.array([x for x, _ in fresh], pa.int64()), lists], ["line", "bands"])
             offsets = np.searchsorted(np.array(owners, np.int64), np.arange(len(texts) + 1))
             new = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), structs)
@@ -214,6 +263,12 @@ def _texts(docs: DataFrame, lines: DataFrame, kind: Kind, text: str) -> DataFram
 def similar_links(values: list[str], least: float = LEAST, hashes: Callable[[list[str]], tuple[np.ndarray, np.ndarray]] = shingles) -> Iterator[tuple[int, np.ndarray]]:
     """Places (i, those newly reached from i) of a spanning forest of the links among lines, by exact Jaccard similarity."""
     h, counts = hashes(values)
+    if len(values) == 2:  # most groups
+        one, other = np.unique(h[: counts[0]]), np.unique(h[counts[0] :])
+        both = len(np.intersect1d(one, other, assume_unique=True))
+        if both >= least * (len(one) + len(other) - both):
+            yield 0, np.array([1])
+        return
     owner = np.repeat(np.arange(len(values)), counts)
     order = np.lexsort((h, owner))
     h, owner = h[order], owner[order]
@@ -244,14 +299,24 @@ def similar_links(values: list[str], least: float = LEAST, hashes: Callable[[lis
                 yield i, reached
 
 
-def _linked(hashes: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _linked(kind: Kind, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links within each run of rows with equal (group, first block, second block); those that join nothing new in this task are left out."""
     forest = Forest()
 
     def group(names: list[int], values: list[str]) -> list[tuple[int, int]]:
         one = dict(zip(names, values, strict=True))
         names, values = list(one), list(one.values())
-        return [(names[i], names[j]) for i, reached in similar_links(values, hashes=hashes) for j in reached.tolist() if forest.join(names[i], names[j])]
+        short = [i for i, x in enumerate(values) if kind.has_fine(x)]
+        ways = [(kind.shingles, range(len(values))), (kind.fine, short)]
+        found, linked = [], 0
+        for hashes, some in ways[::-1] if len(short) == len(values) else ways:
+            if linked == len(values) - 1 or len(some) < 2:  # all are in one component already, or none can be joined
+                continue
+            linked = 0
+            for i, reached in similar_links([values[k] for k in some], hashes=hashes):
+                linked += len(reached)
+                found += [(names[some[i]], names[some[j]]) for j in reached.tolist() if forest.join(names[some[i]], names[some[j]])]
+        return found
 
     held: tuple[list[int], list[str]] = ([], [])
     now, made = None, []
@@ -275,7 +340,7 @@ def _linked(hashes: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], batche
 
 
 def links(docs: DataFrame, signatures: DataFrame, kind: Kind, text: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """Links a, b between names that join all pieces that share a band key and have a Jaccard similarity of `LEAST` or more."""
+    """Links a, b between names that join all pieces that share a band key and have a Jaccard similarity of `LEAST` or more by either shingles."""
     fresh = signatures.select(F.explode("fresh").alias("f")).select(F.col("f.line").alias("line"), F.explode("f.bands").alias("band"))
     under = Window.partitionBy("band")
     met = fresh.withColumn("hub", F.min("line").over(under)).withColumn("_last", F.max("line").over(under)).filter("hub < _last")
@@ -286,7 +351,7 @@ def links(docs: DataFrame, signatures: DataFrame, kind: Kind, text: str, block_c
     blocks = F.ceil(F.col("_chars") / block_chars).cast("long")
     dealt = group.withColumn("_chars", chars).withColumn("_own", F.pmod(F.xxhash64("line"), blocks)).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     dealt = dealt.select("hub", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), "line", "value")
-    return dealt.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j").mapInArrow(partial(_linked, kind.shingles), "a long, b long")
+    return dealt.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j").mapInArrow(partial(_linked, kind), "a long, b long")
 
 
 def whole(text: str) -> list[str]:

@@ -2,14 +2,19 @@
 
 A line is compared by its normal form: white space squeezed, lower case. Equal
 normal forms are one line, named by a 64-bit hash. Every other likeness goes
-through character shingles (`SHINGLE` characters; a shorter line is one shingle):
+through character shingles (`SHINGLE` characters; a shorter line is one shingle).
+A changed word touches too many of these in a line that isn't long, so two lines
+of `SHINGLE` to `SHORT` characters are also alike if their finer shingles (`FINE`
+characters) say so; longer ones are not, as long lines of the same words in
+another order share most of those.
 
 The steps are those of `alike`:
 
 1. One pass over the documents makes a one-permutation MinHash signature of each
    line that a task hasn't seen yet (bins that stay empty borrow from the next),
    and from it `BANDS` band keys of `ROWS` values. At a Jaccard similarity of 0.8
-   two lines share a key with a probability of 0.99, at 0.9 of 0.99999.
+   two lines share a key with a probability of 0.99, at 0.9 of 0.99999. Lines of up
+   to `SHORT` characters have a second signature, of the finer shingles.
 2. Lines that share a key meet in the group of the smallest line name under that
    key. The texts of such lines, and only those, are fetched by a second pass: a
    bitmap of their names, of bounded size, tells which lines to send.
@@ -35,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqframe.llm.alike import BLOCK_CHARS, Kind, links, name_of, normal, shingles, signed
+from seqframe.llm.alike import BLOCK_CHARS, Kind, fine_shingles, links, name_of, normal, shingles, signed
 from seqframe.llm.common import small_batches
 from seqframe.llm.components import components
 
@@ -44,7 +49,7 @@ def cut_lines(text: str) -> list[str]:
     return text.split("\n")
 
 
-LINES = Kind(cut_lines, shingles)
+LINES = Kind(cut_lines, shingles, fine_shingles)
 
 
 def decide(docs: DataFrame, key: str = "doc_id", text: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:

@@ -126,3 +126,30 @@ def test_emptied_rows(spark):
 def test_empty_table(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert ld.report(ld.decide(none)).count() == 0 and ld.deduplicate(none).count() == 0
+
+
+def fine_jaccard(a, b):
+    a, b = ({x[i : i + 4] for i in range(len(x) - 3)} for x in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_one_word_edits_of_short_lines(spark):
+    """Lines of 40 to 100 characters and copies with one word changed: those of a similarity of 0.8 by four characters go, other lines stay."""
+    rng = random.Random(6)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 8))) for _ in range(3000)]
+    bases, copies = [], []
+    while len(bases) < 400:
+        words = [rng.choice(vocabulary) for _ in range(rng.randint(7, 16))]
+        base = " ".join(words)
+        words[rng.randrange(len(words))] = rng.choice(vocabulary)
+        if 40 <= len(base) <= 100:
+            bases.append(base)
+            copies.append(" ".join(words))
+    near = [fine_jaccard(a, b) >= 0.8 for a, b in zip(bases, copies, strict=True)]
+    assert sum(near) > 150 and sum(near) > 2 * sum(jaccard(a, b) >= 0.8 for a, b in zip(bases, copies, strict=True))
+    docs = [(i, x) for i, x in enumerate(bases)] + [(1000 + i, x) for i, x in enumerate(copies)]
+    rows = {r.doc_id: r.n_dropped for r in ld.report(ld.decide(spark.createDataFrame(docs, "doc_id long, text string").repartition(3))).collect()}
+    found = [rows[1000 + i] == 1 for i in range(400)]
+    assert all(rows[i] == 0 for i in range(400))
+    assert not any(f and not n for f, n in zip(found, near, strict=True))
+    assert sum(found) >= 0.97 * sum(near)
