@@ -1,13 +1,18 @@
 """Groups of equal or similar pieces of text: MinHash candidates, exact Jaccard similarity, union-find.
 
 A `Kind` says how a text is cut into pieces, what a piece's normal form is, and what its shingles are. Equal normal forms
-are one piece, named by a 64-bit hash. `signed`, `links` and `components` of `links` are the steps; operator 8 uses them for
-lines, the near-duplicate stage of the pipeline for whole documents.
+are one piece, named by a 128-bit hash; half of it is enough to find groups, as pieces that share a half only meet there once
+more. `signed`, `links` and `components` of `links` are the steps; operator 8 uses them for lines, the near-duplicate stage of the
+pipeline for whole documents.
+
+Defined results: a null or blank text has no pieces with a name; equal pieces are one, however many rows have them; a piece of
+any length is compared whole; rows are told apart by key and text, so null and repeated keys are rows of their own; other columns
+are ignored or kept, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import partial
 
@@ -18,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from seqframe.llm.common import small_batches, worker_cache, written
+from seqframe.llm.common import give_back, hot_keys, row_columns, small_batches, spread_join, with_facts, worker_cache, written
 from seqframe.llm.components import Forest, components
 
 #: Characters of a line's shingle and words of a document's; least Jaccard similarity; bands and rows of a signature.
@@ -28,8 +33,8 @@ SHINGLE, WORDS, LEAST, BANDS, ROWS = 8, 5, 0.8, 16, 6
 FINE, SHORT = 4, 200
 #: Characters that a task compares at once under one group, about; most bits of the bitmap of names.
 BLOCK_CHARS, MOST_BITS = 1 << 20, 1 << 26
-#: Names that a task remembers, so as to send each piece once; characters hashed at a time.
-REMEMBERED, AT_ONCE = 400_000, 1 << 20
+#: Names that a task remembers, so as to send each piece once; characters and pieces hashed at a time.
+REMEMBERED, AT_ONCE, MANY = 400_000, 1 << 18, 2048
 #: Characters whose windows are hashed in one go, so that the steps stay in a core's cache.
 IN_CACHE = 1 << 15
 
@@ -39,13 +44,14 @@ _EMPTY = np.uint32(0xFFFFFFFF)
 
 def normal(piece: str) -> str:
     """White space squeezed, lower case."""
+    if piece.isprintable() and "  " not in piece:  # no white space but single blanks
+        return piece.strip(" ").lower()
     return " ".join(piece.split()).lower()
 
 
-def name_of(line: str) -> int:
-    """The 64-bit name, signed, of a normal form."""
-    x = xxhash.xxh3_64_intdigest(line.encode())
-    return x - (1 << 64) if x >> 63 else x
+def name_of(piece: str) -> bytes:
+    """The 128-bit name of a normal form."""
+    return xxhash.xxh3_128_digest(piece.encode())
 
 
 def _windows(codes: np.ndarray, size: int) -> np.ndarray:
@@ -179,49 +185,65 @@ def band_keys(lines: list[str], hashes: Callable[[list[str]], tuple[np.ndarray,
     return keys.view(np.int64)
 
 
+def _groups(sizes: Iterable[int]) -> Iterator[tuple[int, int]]:
+    """Ranges of pieces of these sizes that have `AT_ONCE` characters and `MANY` pieces at most (one longer piece stays alone)."""
+    start = held = end = 0
+    for end, size in enumerate(sizes):
+        if end > start and (held + size > AT_ONCE or end - start >= MANY):
+            yield start, end
+            start, held = end, 0
+        held += size
+    if start <= end and held:
+        yield start, end + 1
+
+
+def _bands(pieces: list[str], kind: Kind) -> tuple[np.ndarray, np.ndarray]:
+    """Band keys of all pieces one after another (twice `BANDS` for one with finer shingles), and where each piece's begin."""
+    short = np.fromiter(map(kind.has_fine, pieces), bool, len(pieces))
+    ends = np.concatenate([[0], np.cumsum(BANDS * (1 + short))])
+    flat = np.zeros(int(ends[-1]), np.int64)
+    for hashes, some, past in ((kind.shingles, np.arange(len(pieces)), 0), (kind.fine, np.flatnonzero(short), BANDS)):
+        for i, j in _groups(len(pieces[k]) for k in some):
+            at = some[i:j]
+            flat[ends[at][:, None] + np.arange(past, past + BANDS)] = band_keys([pieces[k] for k in at], hashes, few=past > 0)
+    return flat, ends
+
+
 def signed(docs: DataFrame, kind: Kind, key: str, text: str) -> DataFrame:
-    """`doc_id`, `names` (of a text's pieces, null for blank ones) and `fresh` (name and band keys of pieces that the task hadn't seen)."""
+    """`doc_id`, `h1`, `h2` (a row's identity, see `row_columns`), `names` (of a text's pieces, null for blank ones) and `fresh` (half a name, characters and band keys of pieces that the task hadn't seen)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_cache("alike")
-        sent: set[int] = set()
-        new_type = pa.list_(pa.struct([("line", pa.int64()), ("bands", pa.list_(pa.int64()))]))
+        sent: set[bytes] = set()
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            names, fresh, owners = [], [], []
-            for i, value in enumerate(texts):
-                row: list[int | None] = []
+            names: list[bytes | None] = []
+            ends, places, fresh = [0], [], []
+            for value in batch.column(3).to_pylist():
                 for piece in kind.cut(value) if value is not None else ():
                     if piece := normal(piece):
-                        row.append(name := name_of(piece))
+                        names.append(name := name_of(piece))
                         if name not in sent:
                             if len(sent) > REMEMBERED:
                                 sent.clear()
                             sent.add(name)
-                            fresh.append((name, piece))
-                            owners.append(i)
+                            places.append(len(names) - 1)
+                            fresh.append(piece)
                     else:
-                        row.append(None)
-                names.append(row)
-            short = np.array([kind.has_fine(x) for _, x in fresh], bool)
-            ends = np.concatenate([[0], np.cumsum(BANDS * (1 + short))])
-            flat = np.zeros(int(ends[-1]), np.int64)
-            for hashes, some, past in ((kind.shingles, range(len(fresh)), 0), (kind.fine, np.flatnonzero(short).tolist(), BANDS)):
-                start, size = 0, 0
-                for k, i in enumerate(some):
-                    size += len(fresh[i][1])
-                    if size >= AT_ONCE or k == len(some) - 1:
-                        at = list(some[start : k + 1])
-                        flat[ends[at][:, None] + np.arange(past, past + BANDS)] = band_keys([fresh[i][1] for i in at], hashes, few=past > 0)
-                        start, size = k + 1, 0
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))
-            structs = pa.StructArray.from_arrays([pa.array([x for x, _ in fresh], pa.int64()), lists], ["line", "bands"])
-            offsets = np.searchsorted(np.array(owners, np.int64), np.arange(len(texts) + 1))
-            new = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), structs)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.list_(pa.int64())), new.cast(new_type)], ["doc_id", "names", "fresh"])
+                        names.append(None)
+                ends.append(len(names))
+            flat, starts = _bands(fresh, kind)
+            halves = np.frombuffer(b"".join([names[i][:8] for i in places]), "<i8")
+            bands = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(flat, pa.int64()))
+            structs = pa.StructArray.from_arrays([pa.array(halves, pa.int64()), pa.array(list(map(len, fresh)), pa.int32()), bands], ["line", "chars", "bands"])
+            new = pa.ListArray.from_arrays(pa.array(np.searchsorted(np.array(places, np.int64), ends), pa.int32()), structs)
+            named = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(names, pa.binary()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], named, new], ["doc_id", "h1", "h2", "names", "fresh"])
+        sent.clear()
+        give_back()
 
     doc_id = docs.schema[key].dataType.simpleString()
-    return written(small_batches(docs).select(key, text).mapInArrow(work, f"doc_id {doc_id}, names array<long>, fresh array<struct<line: long, bands: array<long>>>"), "signatures")
+    rows = small_batches(docs).select(*row_columns(f"`{key}`", f"`{text}`"), F.col(f"`{text}`").alias("text"))
+    return written(rows.mapInArrow(work, f"doc_id {doc_id}, h1 long, h2 int, names array<binary>, fresh array<struct<line: long, chars: int, bands: array<long>>>"), "signatures")
 
 
 def _bitmap(lines: DataFrame) -> tuple[int, np.ndarray]:
@@ -237,27 +259,30 @@ def _bitmap(lines: DataFrame) -> tuple[int, np.ndarray]:
 
 
 def _texts(docs: DataFrame, lines: DataFrame, kind: Kind, text: str) -> DataFrame:
-    """`line` and `value`, the normal form, of the named lines (and of few others)."""
+    """`line`, `name` and `value`, the normal form, of the pieces whose half names are in `lines` (and of few others)."""
     shared = docs.sparkSession.sparkContext.broadcast(_bitmap(lines))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("alike")
         (bits, bitmap), sent = shared.value, set()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 values = [x for t in batch.column(0).slice(at, 512).to_pylist() if t for piece in kind.cut(t) if (x := normal(piece))]
-                names = np.array(list(map(name_of, values)), np.int64)
-                place = names % bits
+                names = list(map(name_of, values))
+                halves = np.frombuffer(b"".join(names), "<i8")[::2]
+                place = halves % bits
                 out = []
                 for k in np.flatnonzero(bitmap[place >> 6] >> (place & 63).astype(np.uint64) & np.uint64(1)).tolist():
-                    name = int(names[k])
-                    if name not in sent:
+                    if names[k] not in sent:
                         if len(sent) > REMEMBERED:
                             sent.clear()
-                        sent.add(name)
-                        out.append((name, values[k]))
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.string())], ["line", "value"])
+                        sent.add(names[k])
+                        out.append(k)
+                yield pa.RecordBatch.from_arrays([pa.array(halves[out], pa.int64()), pa.array([names[k] for k in out], pa.binary()), pa.array([values[k] for k in out], pa.string())], ["line", "name", "value"])
+        sent.clear()
+        give_back()
 
-    return docs.select(text).mapInArrow(work, "line long, value string")
+    return small_batches(docs).select(f"`{text}`").mapInArrow(work, "line long, name binary, value string")
 
 
 def similar_links(values: list[str], least: float = LEAST, hashes: Callable[[list[str]], tuple[np.ndarray, np.ndarray]] = shingles) -> Iterator[tuple[int, np.ndarray]]:
@@ -301,11 +326,14 @@ def similar_links(values: list[str], least: float = LEAST, hashes: Callable[[lis
 
 def _linked(kind: Kind, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links within each run of rows with equal (group, first block, second block); those that join nothing new in this task are left out."""
+    worker_cache("alike")
     forest = Forest()
 
-    def group(names: list[int], values: list[str]) -> list[tuple[int, int]]:
+    def group(names: list[bytes], values: list[str]) -> list[tuple[bytes, bytes]]:
         one = dict(zip(names, values, strict=True))
         names, values = list(one), list(one.values())
+        if len(names) < 2 or len(names) == 2 and forest.root(names[0]) == forest.root(names[1]):
+            return []
         short = [i for i, x in enumerate(values) if kind.has_fine(x)]
         ways = [(kind.shingles, range(len(values))), (kind.fine, short)]
         found, linked = [], 0
@@ -318,7 +346,10 @@ def _linked(kind: Kind, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
                 found += [(names[some[i]], names[some[j]]) for j in reached.tolist() if forest.join(names[some[i]], names[some[j]])]
         return found
 
-    held: tuple[list[int], list[str]] = ([], [])
+    def rows(made: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([m[0] for m in made], pa.binary()), pa.array([m[1] for m in made], pa.binary())], ["a", "b"])
+
+    held: tuple[list[bytes], list[str]] = ([], [])
     now, made = None, []
     for batch in batches:
         if not batch.num_rows:
@@ -333,25 +364,37 @@ def _linked(kind: Kind, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
                 held, now = ([], []), here
             held[0].extend(names[i:j])
             held[1].extend(values[i:j])
-        yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], pa.int64())], ["a", "b"])
+        yield rows(made)
         made = []
-    made += group(*held)
-    yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], pa.int64())], ["a", "b"])
+    yield rows(made + group(*held))
+    del held, forest
+    give_back()
+
+
+def _met(signatures: DataFrame) -> DataFrame:
+    """`hub`, `line`, `chars`: which half names meet in which group, that of the smallest under a band key they share.
+
+    Band keys that over 1/HOT of all have are counted apart, and their groups are found by broadcast; all others are ordered by key.
+    """
+    fresh = signatures.select(F.explode("fresh").alias("f")).select(F.col("f.line").alias("line"), F.col("f.chars").alias("chars"), F.explode("f.bands").alias("band"))
+    under = Window.partitionBy("band")
+    hot = hot_keys(fresh, "band", F.min("line").alias("hub"), F.max("line").alias("_last"))
+    rest = fresh if hot is None else fresh.join(F.broadcast(hot.select("band")), "band", "left_anti")
+    met = rest.withColumn("hub", F.min("line").over(under)).withColumn("_last", F.max("line").over(under)).filter("hub < _last").select("hub", "line", "chars")
+    if hot is not None:
+        met = met.unionByName(fresh.join(F.broadcast(hot), "band").filter("hub < _last").select("hub", "line", "chars"))
+    return written(met.distinct(), "groups")
 
 
 def links(docs: DataFrame, signatures: DataFrame, kind: Kind, text: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Links a, b between names that join all pieces that share a band key and have a Jaccard similarity of `LEAST` or more by either shingles."""
-    fresh = signatures.select(F.explode("fresh").alias("f")).select(F.col("f.line").alias("line"), F.explode("f.bands").alias("band"))
-    under = Window.partitionBy("band")
-    met = fresh.withColumn("hub", F.min("line").over(under)).withColumn("_last", F.max("line").over(under)).filter("hub < _last")
-    met = written(met.select("hub", "line").distinct(), "groups")
-    values = _texts(docs, met.select("line").distinct(), kind, text).groupBy("line").agg(F.min("value").alias("value"))
-    group = met.join(values, "line")
-    chars = F.sum(F.length("value") + 1).over(Window.partitionBy("hub"))
-    blocks = F.ceil(F.col("_chars") / block_chars).cast("long")
-    dealt = group.withColumn("_chars", chars).withColumn("_own", F.pmod(F.xxhash64("line"), blocks)).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    dealt = dealt.select("hub", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), "line", "value")
-    return dealt.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j").mapInArrow(partial(_linked, kind), "a long, b long")
+    met = _met(signatures)
+    values = _texts(docs, met.select("line").distinct(), kind, text).groupBy("line", "name").agg(F.min("value").alias("value"))
+    sizes = met.groupBy("hub").agg(F.ceil(F.sum(F.col("chars") + F.lit(1)) / block_chars).cast("long").alias("blocks"), F.count("*").alias("_n"))
+    group = spread_join(met, sizes, "hub", met.count()).drop("chars").join(values, "line")
+    group = group.withColumn("_own", F.pmod(F.xxhash64("name"), F.col("blocks"))).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    group = group.select("hub", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), "name", "value")
+    return group.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j").mapInArrow(partial(_linked, kind), "a binary, b binary")
 
 
 def whole(text: str) -> list[str]:
@@ -359,15 +402,22 @@ def whole(text: str) -> list[str]:
 
 
 #: Whole documents by windows of `WORDS` words, and the characters of them that a task compares at once.
-DOCUMENTS, DOCUMENT_BLOCK = Kind(whole, word_shingles), 1 << 24
+DOCUMENTS, DOCUMENT_BLOCK = Kind(whole, word_shingles), 1 << 22
 
 
 def first_of_similar(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of `docs` but those that a smaller `key` goes before in their component of documents of similarity `LEAST` or more; texts without words and rows without a key stay."""
+    """The rows of `docs` but those that an earlier one goes before in their component of documents of similarity `LEAST` or more.
+
+    The earlier row is that of the smaller `key`, rows with a null key last; of repeated rows (equal in key and text) all stay or go.
+    Null texts and texts without words stay; other columns are kept, whatever their names; an empty table gives none.
+    """
     signatures = signed(docs, DOCUMENTS, key, text)
     near = components(links(docs, signatures, DOCUMENTS, text, DOCUMENT_BLOCK), "documents")
-    places = signatures.select("doc_id", F.get("names", F.lit(0)).alias("line")).filter("line is not null and doc_id is not null")
-    first = places.groupBy("line").agg(F.min("doc_id").alias("_first")).join(near, F.col("line") == F.col("node"), "left").select("line", "_first", F.coalesce("component", "line").alias("component"))
-    least = first.groupBy("component").agg(F.min("_first").alias("_stays"))
-    gone = places.join(first.join(least, "component").select("line", "_stays"), "line").filter("doc_id <> _stays").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(key) == F.col("_gone"), "left_anti")
+    row = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h1", "h2")
+    places = signatures.select(row.alias("at"), F.get("names", F.lit(0)).alias("line")).filter("line is not null")
+    first = places.groupBy("line").agg(F.min("at").alias("_first"), F.count("*").alias("_n")).join(near, F.col("line") == F.col("node"), "left").select("line", "_first", "_n", F.coalesce("component", "line").alias("component"))
+    first = written(first, "first-documents")
+    least = first.groupBy("component").agg(F.min("_first").alias("_stays"), F.count("*").alias("_n"))
+    named = spread_join(first.select("line", "component", F.col("_n").alias("_rows")), least, "component", first.count()).select("line", "_stays", F.col("_rows").alias("_n"))
+    gone = spread_join(places, named, "line", places.count()).filter("at <> _stays").select("at.doc_id", "at.h1", "at.h2").distinct()
+    return with_facts(docs, gone, key, text, "left_anti").select("row.*")

@@ -6,12 +6,13 @@ import atexit
 import contextlib
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -26,8 +27,10 @@ _LEFT: list[tuple[SparkSession, str]] = []
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: `spark.checkpoint.dir`.
 
-    Only where that setting is absent (a single machine, as in tests) a local
-    folder is made and set as the checkpoint folder.
+    Only where that setting is absent and all tasks run in the driver's own
+    process (as in tests) a local folder is made and set as the checkpoint
+    folder; a cluster without that setting is an error, as a machine's own
+    folder can't be seen by the others.
     """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if found:
@@ -35,6 +38,8 @@ def shared_folder(spark: SparkSession) -> str:
     set_already = spark.sparkContext.getCheckpointDir()
     if set_already:
         return set_already.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = "file://" + tempfile.mkdtemp(prefix="seqframe-")
     spark.sparkContext.setCheckpointDir(own)
     return own
@@ -56,10 +61,8 @@ def remove(spark: SparkSession, path: str) -> None:
 
 def _sweep() -> None:
     for spark, path in _LEFT:
-        try:
+        with contextlib.suppress(Exception):  # its session may have ended: then it can't be reached any more
             remove(spark, path)
-        except Exception:  # the session has ended: nothing can be reached any more
-            return
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -84,12 +87,76 @@ def worker_cache(operator: str) -> dict[bytes, object]:
     if operator not in _HELD:
         _HELD.clear()
         gc.collect()
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # only some C libraries can give freed memory back
-            ctypes.CDLL(None).malloc_trim(0)
+        give_back()
     return _HELD.setdefault(operator, {})
 
 
+def give_back() -> None:
+    """Give memory that is free in this process back to the system; after a task whose arrays were large."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only some C libraries can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def fresh_name(name: str, *taken: Iterable[str]) -> str:
+    """`name`, with underscores before it until no column of `taken` is called so, in whatever case."""
+    used = {x.lower() for names in taken for x in names}
+    while name.lower() in used:
+        name = "_" + name
+    return name
+
+
+def row_columns(key: str, text: str) -> list[Column]:
+    """`doc_id`, `h1` and `h2`: a row's identity, 96 bits of hash of its text beside its key, as keys may be null or repeated. Rows that agree in both are repeated rows."""
+    return [F.col(key).alias("doc_id"), F.xxhash64(text).alias("h1"), F.hash(text).alias("h2")]
+
+
+def with_facts(docs: DataFrame, facts: DataFrame, key: str, text: str, how: str) -> DataFrame:
+    """`docs` in a struct `row`, joined with `facts` (doc_id, h1, h2 and others, one row each) by identity.
+
+    Columns of any name may stand in `docs`. The facts are small beside the texts: each partition's are hashed, so texts aren't sorted.
+    """
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *row_columns(f"`{key}`", f"`{text}`"))
+    other = facts.withColumnsRenamed({"doc_id": "_d", "h1": "_h1", "h2": "_h2"}).hint("shuffle_hash")
+    same = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("h1").eqNullSafe(F.col("_h1")) & F.col("h2").eqNullSafe(F.col("_h2"))
+    out = rows.join(other, same, how)
+    return out.drop("doc_id", "h1", "h2", "_d", "_h1", "_h2")
+
+
+#: A key is hot if it has over 1/HOT of all rows, so there are HOT such keys at most, and over FEW rows.
+HOT, FEW = 1000, 64
+
+
+def threshold(total: int) -> float:
+    return max(total / HOT, FEW)
+
+
+def spread_join(rows: DataFrame, facts: DataFrame, key: str, total: int) -> DataFrame:
+    """`rows` inner joined with `facts` (one row a key; `_n`: how many of all `total` rows, at least, the key has; dropped).
+
+    Facts of hot keys, `HOT` at most, are broadcast and their rows stay where they are; all others meet in a shuffle.
+    """
+    many = F.lit(threshold(total))
+    hot = F.broadcast(facts.filter(F.col("_n") > many).drop("_n"))
+    rest = rows.join(hot.select(key), key, "left_anti").join(facts.filter(F.col("_n") <= many).drop("_n"), key)
+    return rows.join(hot, key).unionByName(rest)
+
+
+def hot_keys(rows: DataFrame, key: str, *facts: Column) -> DataFrame | None:
+    """The hot values of `key` and their `facts` (aggregates), `HOT` rows at most; None if there are none.
+
+    Rows are counted by a hash of the key into a fixed number of buckets first; only keys of heavy buckets are counted each.
+    """
+    bucket = F.pmod(F.xxhash64(key), F.lit(1 << 16))
+    counts = rows.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n")).toArrow()  # a row a bucket, so of fixed size
+    sizes = counts.column("n").to_numpy()
+    many = threshold(int(sizes.sum()))
+    heavy = counts.column("bucket").to_numpy()[sizes > many].tolist()
+    if not heavy:
+        return None
+    return rows.filter(bucket.isin(heavy)).groupBy(key).agg(F.count("*").alias("_n"), *facts).filter(F.col("_n") > many).drop("_n")
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: int, most_bytes: int) -> Iterator[pa.RecordBatch]:
     """The same rows in batches whose `column` holds about `most_bytes` at most (one longer value stays alone)."""
     for batch in batches:
@@ -118,7 +185,8 @@ def stratified_ids(df: DataFrame, key: str, group: str, each: int, salt: str) ->
     place = F.pmod(F.xxhash64(F.lit(salt), F.col(key)), F.lit(1 << 30))
     sizes = df.groupBy(group).agg(F.count("*").alias("_size"))
     order = Window.partitionBy(group).orderBy("_place", F.col(key))
-    near = df.select(key, group, place.alias("_place")).join(F.broadcast(sizes), group).filter(F.col("_place") * F.col("_size") < F.lit(SLACK * each * (1 << 30)))
+    # in doubles, as the product leaves 64 bits once a group has 2^33 rows
+    near = df.select(key, group, place.alias("_place")).join(F.broadcast(sizes), group).filter(F.col("_place").cast("double") * F.col("_size") < F.lit(float(SLACK * each * (1 << 30))))
     return near.withColumn("_nth", F.row_number().over(order)).filter(F.col("_nth") <= each).select(key, group)
 
 

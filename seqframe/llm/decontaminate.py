@@ -19,16 +19,18 @@ rows of their own; other columns are ignored; an empty benchmark marks nothing.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seqframe.llm.common import slices, small_batches, worker_cache
+from seqframe.llm.common import fresh_name, give_back, slices, small_batches, worker_cache
 
 #: Words of a window; words between sampled suffix positions; bytes of text in a shard; windows searched, and broadcast, in one pass.
 WINDOW, SAMPLED, SHARD_BYTES, PASS_WINDOWS = 10, 8, 8 << 20, 1_000_000
@@ -248,15 +250,25 @@ def _passes(items: DataFrame, item: str, text: str) -> Iterator[list[tuple[str,
     yield held
 
 
-_FOUND = "_words long, _spans array<struct<start: long, end: long>>, _items array<string>"
+def _windows(token: str, items: Broadcast) -> Windows:
+    """The windows of one pass, made once in a Python worker; `token` names the pass."""
+    made = worker_cache("decontaminate")
+    if token not in made:
+        made.clear()
+        made[token] = Windows(items.value)
+    return made[token]
+
+
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
 def _found(docs: DataFrame, items: DataFrame, text: str, item: str, item_text: str, cleaned: bool = False) -> DataFrame:
-    """`docs` with its columns followed by _words, _spans and _items; if `cleaned`, the rows of `remove` instead, made in the last pass."""
+    """`docs` with three columns added, words, spans and items; if `cleaned`, with its texts cleaned and one column added, the words removed, in the last pass."""
     spark = docs.sparkSession
     n, at = len(docs.columns), docs.columns.index(text)
-    schema = T.StructType([*docs.schema.fields, *T.StructType.fromDDL(_FOUND).fields])
-    span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    words_, spans_, items_, hits_ = (fresh_name(x, docs.columns) for x in ("_words", "_spans", "_items", "_hits"))
+    added = T.StructType.fromDDL(f"{words_} long, {spans_} array<struct<start: long, end: long>>, {items_} array<string>")
+    schema = T.StructType([*docs.schema.fields, *added.fields])
     out = small_batches(docs)
     groups = _passes(items, item, item_text)
     group, number = next(groups), 0
@@ -265,9 +277,8 @@ def _found(docs: DataFrame, items: DataFrame, text: str, item: str, item_text: s
         shared = spark.sparkContext.broadcast(group)
         clean = cleaned and following is None
 
-        def work(batches: Iterator[pa.RecordBatch], shared=shared, number=number, clean=clean) -> Iterator[pa.RecordBatch]:
-            worker_cache("decontaminate")
-            windows = Windows(shared.value)
+        def work(batches: Iterator[pa.RecordBatch], shared=shared, number=number, clean=clean, token=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
+            windows = _windows(token, shared)
             for batch in slices(batches, at, SHARD_BYTES):
                 texts = batch.column(at).to_pylist()
                 rows = _shard(texts, windows)
@@ -278,12 +289,13 @@ def _found(docs: DataFrame, items: DataFrame, text: str, item: str, item_text: s
                     columns[at] = pa.array([without_spans(t, r[1]) for t, r in zip(texts, rows, strict=True)], batch.schema.field(at).type)
                     hit = np.array([sum(x["end"] - x["start"] for x in r[1]) for r in rows], np.int64)
                     stays = pa.array((hit == 0) | (hit < np.array([r[0] for r in rows])))
-                    yield pa.RecordBatch.from_arrays([*columns, pa.array(hit)], [*batch.schema.names[:n], "n_hit"]).filter(stays)
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(hit)], [*batch.schema.names[:n], hits_]).filter(stays)
                 else:
-                    new = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], span_type), pa.array([r[2] for r in rows], pa.list_(pa.string()))]
-                    yield pa.RecordBatch.from_arrays([*batch.columns[:n], *new], [*batch.schema.names[:n], "_words", "_spans", "_items"])
+                    new = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], _SPANS), pa.array([r[2] for r in rows], pa.list_(pa.string()))]
+                    yield pa.RecordBatch.from_arrays([*batch.columns[:n], *new], [*batch.schema.names[:n], words_, spans_, items_])
+            give_back()
 
-        out = out.mapInArrow(work, T.StructType([*docs.schema.fields, T.StructField("n_hit", T.LongType())]) if clean else schema)
+        out = out.mapInArrow(work, T.StructType([*docs.schema.fields, T.StructField(hits_, T.LongType())]) if clean else schema)
         group, number = following, number + 1
     return out
 
@@ -295,7 +307,7 @@ def find(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "te
     items, and spans are merged as rows go from pass to pass.
     """
     found = _found(docs.select(key, text), items, text, item, item_text)
-    return found.withColumnsRenamed({"_words": "n_words", "_spans": "spans", "_items": "items"})
+    return found.toDF(key, text, "n_words", "spans", "items")
 
 
 def _joined(row: tuple, spans: list[dict], items: list[str]) -> tuple:
@@ -320,9 +332,13 @@ def without_spans(text: str | None, spans: list[dict]) -> str | None:
     return "".join([*out, text[last:]])
 
 
-def remove(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """`keep` (default: `key` and `text`) of every document, its text without all benchmark spans, and `n_hit`, the words removed; a document with spans of which no word remains is left out."""
-    return _found(docs.select(keep or [key, text]), items, text, "item_id", "text", cleaned=True)
+def remove(docs: DataFrame, items: DataFrame, text: str = "text", hits: str | None = "n_hit") -> DataFrame:
+    """Every row of `docs` with all its columns, its text without all benchmark spans, and, unless `hits` is None, a column of that name with the number of words removed.
+
+    A row with spans of which no word remains is left out.
+    """
+    found = _found(docs, items, text, "item_id", "text", cleaned=True)
+    return found.drop(found.columns[-1]) if hits is None else found.withColumnRenamed(found.columns[-1], hits)
 
 
 def digests(found: DataFrame, key: str = "doc_id") -> DataFrame:

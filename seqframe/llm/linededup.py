@@ -1,7 +1,7 @@
 """Operator 8: fuzzy line deduplication by MinHash.
 
 A line is compared by its normal form: white space squeezed, lower case. Equal
-normal forms are one line, named by a 64-bit hash. Every other likeness goes
+normal forms are one line, named by a 128-bit hash. Every other likeness goes
 through character shingles (`SHINGLE` characters; a shorter line is one shingle).
 A changed word touches too many of these in a line that isn't long, so two lines
 of `SHINGLE` to `SHORT` characters are also alike if their finer shingles (`FINE`
@@ -27,9 +27,11 @@ The steps are those of `alike`:
 
 Defined results: blank lines are never duplicates; a null text has no lines and
 stays null, an empty one stays empty; a text may lose all its lines and is then
-empty; a null doc_id counts as the first; rows with an equal doc_id share their
-places, so equal lines at the same place of such rows stay or go together; other
-columns are ignored or, in `deduplicate`, kept; an empty table gives none.
+empty (or goes, with `drop_emptied`); a null doc_id counts as the first; rows with
+an equal doc_id are rows of their own, in the order of a hash of their texts, but
+repeated rows (equal in doc_id and text) stay or go together, line by line; other
+columns are ignored or, in `deduplicate`, kept, whatever their names; an empty
+table gives none.
 """
 
 from __future__ import annotations
@@ -40,8 +42,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqframe.llm.alike import BLOCK_CHARS, Kind, fine_shingles, links, name_of, normal, shingles, signed
-from seqframe.llm.common import small_batches
+from seqframe.llm.alike import BLOCK_CHARS, Kind, fine_shingles, links, shingles, signed
+from seqframe.llm.common import fresh_name, give_back, small_batches, with_facts, worker_cache
 from seqframe.llm.components import components
 
 
@@ -52,46 +54,52 @@ def cut_lines(text: str) -> list[str]:
 LINES = Kind(cut_lines, shingles, fine_shingles)
 
 
-def decide(docs: DataFrame, key: str = "doc_id", text: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """`doc_id`, `names` (of a text's lines, null for blank ones) and `kept` (place and name of each non-blank line that stays)."""
+def decide(docs: DataFrame, key: str = "doc_id", text: str = "text", block_chars: int = BLOCK_CHARS) -> tuple[DataFrame, DataFrame]:
+    """The rows of `docs` by identity (doc_id, h1, h2) with their lines' `names` (null for blank lines), and `kept`, the places of the non-blank lines that stay, for each identity that has any."""
     signatures = signed(docs, LINES, key, text)
     alike = components(links(docs, signatures, LINES, text, block_chars), "lines")
-    places = signatures.select("doc_id", F.posexplode("names").alias("place", "line")).filter("line is not null")
-    first = places.groupBy("line").agg(F.min(F.struct("doc_id", "place", "line")).alias("at"))
+    places = signatures.select("doc_id", "h1", "h2", F.posexplode("names").alias("place", "line")).filter("line is not null")
+    first = places.groupBy("line").agg(F.min(F.struct("doc_id", "h1", "h2", "place")).alias("at"))
     named = first.join(alike, first.line == alike.node, "left").select(F.coalesce("component", "line").alias("component"), "at")
-    kept = named.groupBy("component").agg(F.min("at").alias("at")).groupBy(F.col("at.doc_id").alias("_doc")).agg(F.collect_list(F.struct(F.col("at.place").alias("place"), F.col("at.line").alias("line"))).alias("kept"))
-    return signatures.select("doc_id", "names").join(kept, F.col("doc_id").eqNullSafe(F.col("_doc")), "left").drop("_doc")
+    stays = named.groupBy("component").agg(F.min("at").alias("at")).select("at.*")
+    return signatures.drop("fresh"), stays.groupBy("doc_id", "h1", "h2").agg(F.collect_list("place").alias("kept"))
 
 
-def report(decided: DataFrame) -> DataFrame:
+def report(decided: tuple[DataFrame, DataFrame]) -> DataFrame:
     """`doc_id`, `n_lines` (not blank), `n_dropped` and `dropped`, the places (from 0) of the lines that go, ascending."""
-    stays = F.transform(F.coalesce("kept", F.array().cast("array<struct<place: int, line: bigint>>")), lambda k: k["place"])
+    rows, kept = decided
     lines = F.filter(F.transform("names", lambda x, i: F.when(x.isNotNull(), i)), lambda i: i.isNotNull())
-    dropped = F.array_sort(F.array_except(lines, stays))
-    return decided.select("doc_id", F.size(lines).alias("n_lines"), F.size(dropped).alias("n_dropped"), dropped.alias("dropped"))
+    rows = rows.select("doc_id", "h1", "h2", lines.alias("lines"))
+    other = kept.withColumnsRenamed({"doc_id": "_d", "h1": "_h1", "h2": "_h2"})
+    rows = rows.join(other, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")), "left")
+    dropped = F.when(F.col("kept").isNull(), F.col("lines")).otherwise(F.array_except("lines", "kept"))
+    return rows.select("doc_id", F.size("lines").alias("n_lines"), F.size(dropped).alias("n_dropped"), dropped.alias("dropped"))
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", block_chars: int = BLOCK_CHARS, drop_emptied: bool = False) -> DataFrame:
     """`docs` with all its columns, each text without the lines that go; with `drop_emptied`, without the rows that lose all the lines they had."""
-    decided = decide(docs, key, text, block_chars).groupBy("doc_id").agg(F.flatten(F.collect_set("kept")).alias("_kept")).withColumnRenamed("doc_id", "_doc")
-    joined = docs.join(decided, F.col(key).eqNullSafe(F.col("_doc")), "left").drop("_doc")
     at, last = docs.columns.index(text), len(docs.columns)
+    joined = with_facts(docs, decide(docs, key, text, block_chars)[1], key, text, "left")
+    joined = joined.select("row.*", F.col("kept").alias(fresh_name("kept", docs.columns)))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("lines")
         for batch in batches:
             out, stay = [], []
-            for value, kept in zip(batch.column(at).to_pylist(), batch.column(last).to_pylist(), strict=True):
+            for value, kept in zip(batch.column(at).to_pylist(), batch.column(last), strict=True):
+                emptied = False
                 if value:
-                    stays = {(k["place"], k["line"]) for k in kept or ()}
-                    lines = [(line, x, not x or (i, name_of(x)) in stays) for i, line in enumerate(value.split("\n")) for x in [normal(line)]]
-                    emptied = any(x for _, x, _ in lines) and not any(x and good for _, x, good in lines)
-                    value = "\n".join(line for line, _, good in lines if good)
-                else:
-                    emptied = False
+                    places = set(kept.values.to_pylist()) if kept.is_valid else ()
+                    lines = value.split("\n")
+                    left = [x for i, x in enumerate(lines) if i in places or not x.strip()]
+                    if len(left) < len(lines):
+                        emptied = not places
+                        value = "\n".join(left)
                 out.append(value)
                 stay.append(not (emptied and drop_emptied))
             columns = [batch.column(i) for i in range(last)]
             columns[at] = pa.array(out, batch.schema.field(at).type)
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:last]).filter(pa.array(stay, pa.bool_()))
+        give_back()
 
     return small_batches(joined).mapInArrow(work, docs.schema)

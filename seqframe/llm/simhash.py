@@ -19,10 +19,11 @@ forest of the links, never all pairs. A key with more fingerprints than
 fingerprints are one from the start, whatever their number.
 
 Defined results: null and word-less texts have fingerprint zero and are linked
-like any other; a text with fewer words than a shingle has one shingle; rows
-with an equal doc_id are rows of their own; a null doc_id has a fingerprint but
-names no component unless nothing else does; other columns are ignored; an empty
-table gives none.
+like any other; a text with fewer words than a shingle has one shingle; rows with
+an equal or a null key are rows of their own and link like any other; a component
+is named by its smallest key that isn't null, and by null only if it has none;
+other columns are ignored or, in `first_of_each`, kept, whatever their names; keys
+may be of any ordered type; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from seqframe.llm.common import small_batches, worker_cache, written
+from seqframe.llm.common import hot_keys, row_columns, small_batches, spread_join, with_facts, worker_cache, written
 from seqframe.llm.components import Forest, components
 
 #: Bits that may differ (what the keys below are made for); seed of the shingles' hash; fingerprints that one task compares under one key.
@@ -137,24 +138,24 @@ def fingerprint(text: str | None, shingle: int) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """`key` and `fp`, the fingerprint as a signed long."""
+    """`doc_id`, `h1`, `h2` (a row's identity, see `row_columns`) and `fp`, the fingerprint as a signed long, of every row."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_cache("simhash")
         for batch in batches:
-            fps = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], [key, "fp"])
+            fps = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(3)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(fps, pa.int64())], ["doc_id", "h1", "h2", "fp"])
 
-    return small_batches(docs).select(key, text).mapInArrow(work, f"`{key}` {docs.schema[key].dataType.simpleString()}, fp long")
+    rows = small_batches(docs).select(*row_columns(f"`{key}`", f"`{text}`"), F.col(f"`{text}`").alias("text"))
+    return rows.mapInArrow(work, f"doc_id {docs.schema[key].dataType.simpleString()}, h1 long, h2 int, fp long")
 
 
 def _with_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 4096):
-            some = batch.slice(at, 4096)
-            fps, nodes = some.column(0).to_numpy(), some.column(1).to_numpy()
+            fps = batch.slice(at, 4096).column(0).to_numpy()
             keys, owner = keys_of(fps.view(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(fps[owner], pa.int64()), pa.array(nodes[owner], pa.int64())], ["key", "fp", "node"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(fps[owner], pa.int64())], ["key", "fp"])
 
 
 def spanning_links(fps: np.ndarray, distance: int = DISTANCE) -> Iterator[tuple[int, np.ndarray]]:
@@ -173,67 +174,83 @@ def spanning_links(fps: np.ndarray, distance: int = DISTANCE) -> Iterator[tuple[
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links within each run of rows with equal (key, first block, second block); those that join nothing new in this task are left out."""
+    worker_cache("simhash")
     forest, made = Forest(), []
 
-    def group(fps: np.ndarray, nodes: np.ndarray) -> None:
+    def group(fps: np.ndarray) -> None:
         for i, reached in spanning_links(fps.view(np.uint64)):
-            a = int(nodes[i])
-            made.extend((a, b) for b in nodes[reached].tolist() if forest.join(a, b))
+            a = int(fps[i])
+            made.extend((a, b) for b in fps[reached].tolist() if forest.join(a, b))
 
-    held: list[tuple[np.ndarray, ...]] = []
+    def rows() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], pa.int64())], ["a", "b"])
+
+    held: list[np.ndarray] = []
     name = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        names = np.stack([batch.column(i).to_numpy() for i in range(3)])
-        fps, nodes = batch.column(3).to_numpy(), batch.column(4).to_numpy()
+        names, fps = np.stack([batch.column(i).to_numpy() for i in range(3)]), batch.column(3).to_numpy()
         cuts = [0, *(np.flatnonzero((names[:, 1:] != names[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
         for i, j in zip(cuts, cuts[1:], strict=False):
             here = tuple(names[:, i].tolist())
             if here != name:
                 if held:
-                    group(*map(np.concatenate, zip(*held, strict=True)))
+                    group(np.concatenate(held))
                 held, name = [], here
-            held.append((fps[i:j], nodes[i:j]))
+            held.append(fps[i:j])
         if made:
-            yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], pa.int64())], ["a", "b"])
+            yield rows()
             made.clear()
     if held:
-        group(*map(np.concatenate, zip(*held, strict=True)))
-    if made:
-        yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], pa.int64())], ["a", "b"])
+        group(np.concatenate(held))
+    yield rows()
 
 
 def links(distinct: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Links a, b (long) between nodes of `distinct` (fp, node; both distinct longs) that join all fingerprints within `DISTANCE` bits."""
-    keyed = distinct.select("fp", "node").mapInArrow(_with_keys, "key long, fp long, node long")
-    met = keyed.withColumn("_n", F.count("*").over(Window.partitionBy("key"))).filter("_n > 1")
-    blocks = F.ceil(F.col("_n") / block).cast("long")
+    """Links a, b between the fingerprints of `distinct` (fp, distinct longs) that join all within `DISTANCE` bits.
+
+    Keys that over 1/HOT of all fingerprints' keys are equal to are counted apart and found by broadcast; all others are ordered by key.
+    """
+    keyed = distinct.select("fp").mapInArrow(_with_keys, "key long, fp long")
+    hot = hot_keys(keyed, "key", F.count("*").alias("n"))
+    rest = keyed if hot is None else keyed.join(F.broadcast(hot.select("key")), "key", "left_anti")
+    met = rest.withColumn("n", F.count("*").over(Window.partitionBy("key"))).filter("n > 1")
+    if hot is not None:
+        met = met.unionByName(keyed.join(F.broadcast(hot), "key"))
+    blocks = F.ceil(F.col("n") / block).cast("long")
     own = F.pmod(F.xxhash64("fp"), blocks)
     # a key with several blocks: each fingerprint goes to the pairs of its own block with every block
-    dealt = met.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    dealt = dealt.select("key", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), "fp", "node")
+    dealt = met.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp")
     return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_linked, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """`key`, `fp` (signed long) and `component_id`, the smallest `key` reachable over links of `DISTANCE` bits at most, for every row."""
+def _row():
+    """A row's identity, in the order of rows: by key, null keys last."""
+    return F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h1", "h2")
+
+
+def with_first(docs: DataFrame, shingle: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """`fingerprints` with `first`, the identity (last, doc_id, h1, h2) of the first row in the component that links of `DISTANCE` bits at most join."""
     prints = written(fingerprints(docs, shingle, key, text), "fingerprints")
-    counted = written(prints.groupBy("fp").agg(F.min(F.col(key).cast("long")).alias("node"), F.count("*").alias("_n")), "distinct-fingerprints")
-    distinct = counted.filter("node is not null")
-    found = components(links(distinct), "simhash")
-    named = distinct.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"), "_n")
-    # a fingerprint that has over 1/1000 of all rows is one of 1000 at most, so those may be broadcast and their rows stay where they are
-    many = F.lit(prints.count() / 1000)
-    common = F.broadcast(named.filter(F.col("_n") > many).drop("_n"))
-    rest = prints.join(common.select("fp"), "fp", "left_anti").join(named.filter(F.col("_n") <= many).drop("_n"), "fp", "left")
-    return prints.join(common, "fp").unionByName(rest).select(key, "fp", "component_id")
+    counted = written(prints.groupBy("fp").agg(F.min(_row()).alias("first"), F.count("*").alias("rows")), "distinct-fingerprints")
+    found = components(links(counted), "simhash")
+    rooted = written(counted.join(found, F.col("fp") == F.col("node"), "left").select("fp", "rows", "first", F.coalesce("component", "fp").alias("root")), "rooted-fingerprints")
+    firsts = rooted.groupBy("root").agg(F.min("first").alias("first"), F.count("*").alias("_n"))
+    named = spread_join(rooted.drop("first"), firsts, "root", rooted.count()).select("fp", "first", F.col("rows").alias("_n"))
+    return spread_join(prints, named, "fp", prints.count())
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """`key`, `fp` (signed long) and `component_id`, the smallest `key` reachable over links of `DISTANCE` bits at most (null if all keys there are), for every row."""
+    return with_first(docs, shingle, key, text).select(F.col("doc_id").alias(key), "fp", F.col("first.doc_id").alias("component_id"))
 
 
 def first_of_each(docs: DataFrame, shingle: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of `docs` whose `key` is the smallest of its component, and those without a key; repeated rows of that key stay once each."""
-    others = near_duplicates(docs, shingle, key, text).filter(F.col(key) != F.col("component_id")).select(F.col(key).alias("_gone")).distinct()
-    return docs.join(others, F.col(key) == F.col("_gone"), "left_anti")
+    """The rows of `docs` that are the first of their component, by `key`; of repeated rows (equal in key and text) all stay or go."""
+    gone = with_first(docs, shingle, key, text).filter(_row() != F.col("first")).select("doc_id", "h1", "h2").distinct()
+    return with_facts(docs, gone, key, text, "left_anti").select("row.*")
 
 
 def hexadecimal(fp: str = "fp"):

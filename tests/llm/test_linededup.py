@@ -18,7 +18,7 @@ def jaccard(a, b):
 
 def brute(docs):
     """Kept places of each document by all pairs of lines."""
-    lines = sorted({x for _, t in docs for line in (t or "").split("\n") if (x := ld.normal(line))})
+    lines = sorted({x for _, t in docs for line in (t or "").split("\n") if (x := alike.normal(line))})
     group = {x: {x} for x in lines}
     for a, b in itertools.combinations(lines, 2):
         if group[a] is not group[b] and jaccard(a, b) >= 0.8:
@@ -28,7 +28,7 @@ def brute(docs):
     seen, dropped = set(), {k: [] for k, _ in docs}
     for k, t in sorted(docs, key=lambda d: (d[0] is not None, d[0])):
         for i, line in enumerate((t or "").split("\n")):
-            if x := ld.normal(line):
+            if x := alike.normal(line):
                 if id(group[x]) in seen:
                     dropped[k].append(i)
                 seen.add(id(group[x]))

@@ -89,11 +89,12 @@ def test_large_keys_are_dealt_out_whole(spark):
             prints.add(x)
             for i in rng.sample(range(64), rng.randint(1, 4)):
                 x ^= 1 << i
-    rows = [(i, fp) for i, fp in enumerate(prints)]
-    distinct = spark.createDataFrame([(fp - (1 << 64) if fp >> 63 else fp, i) for i, fp in rows], "fp long, node long")
+    signed = {fp: fp - (1 << 64) if fp >> 63 else fp for fp in prints}
+    distinct = spark.createDataFrame([(x,) for x in signed.values()], "fp long")
+    want = brute([(signed[fp], fp) for fp in prints])
     for block in (2, 8192):
         found = {r.node: r.component for r in components(simhash.links(distinct, block)).collect()}
-        assert {i: found.get(i, i) for i, _ in rows} == brute(rows)
+        assert {x: found.get(x, x) for x in signed.values()} == want
 
 
 def test_components_of_a_chain_and_a_star(spark):
