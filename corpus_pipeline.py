@@ -2,7 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
 Parquet and read again as the next one's docs. All but the last return the
-columns of `documents`.
+columns of `documents`, whatever others there are beside doc_id and text.
+
+Defined results: a document with a null or empty text stays in stages 2 to 4 (its
+quality is scored as that of no words); null and repeated doc_ids are documents of
+their own, but repeated rows (equal in doc_id and text) stay or go together; texts
+are read whole, however long; equal values are broken by doc_id; columns named like
+those that a stage makes for itself don't clash; empty tables give none.
 """
 
 from __future__ import annotations
@@ -15,6 +21,13 @@ from seqframe.llm.common import written
 from seqframe.llm.queries import tokenizer_path
 
 
+def _counted(docs: DataFrame) -> DataFrame:
+    """`docs` with `n_chars`, if it has such a column, as the texts are now."""
+    if "n_chars" not in docs.columns:
+        return docs
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier passes; it learns as in its own query, from the folds that aren't held out."""
     model = quality.train(docs.filter(language.fold("doc_id", 5) != 0), spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -23,8 +36,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that an earlier one (or the same one, before) has alike; one that had lines and loses all goes, as a copy."""
-    left = linededup.deduplicate(docs, drop_emptied=True)
-    return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return _counted(linededup.deduplicate(docs, drop_emptied=True))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,13 +44,13 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Three bits are far less than documents of similarity 0.8 differ in, hence the second step over what the first leaves.
     """
-    return alike.first_of_similar(simhash.first_of_each(docs, shingle=5))
+    return alike.first_of_similar(written(simhash.first_of_each(docs, shingle=5), "simhash-kept"))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their benchmark passages; one of which nothing else remains goes."""
-    cleaned = decontaminate.remove(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=docs.columns)
-    return cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    cleaned = decontaminate.remove(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), hits=None)
+    return _counted(cleaned)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
