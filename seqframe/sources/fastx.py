@@ -1,4 +1,4 @@
-"""FASTA and FASTQ records as a Python data source.
+"""FASTA and FASTQ records as a Python data source.
 
 `spark.read.format("fastx").load(paths)` after `register(spark)`. A file is one
 partition, since records may span lines and a gzip stream can't be split;
@@ -16,12 +16,18 @@ Option `malformed`, for a quality that is missing or of another length: `fail`
 (default) raises, `skip` leaves the record out, `stop` ends the file there.
 A schema given by the user narrows the columns that are sent.
 
-`fasta_lines` is a way for FASTA alone in which large plain files are split.
+Plain files of a known `layout` are split every `split_bytes`: `four_line` (FASTQ
+whose records are four lines each, as sequencers write it) and `fasta`. A piece has
+the records that begin in it; the first is found by the layout: a line with `@`
+whose next but one begins with `+` and whose fourth is as long as its second, or a
+line with `>`. `read_fastx` numbers records over all pieces of a file, by a first
+pass that counts them.
+
+`fasta_lines` is a way for FASTA without Python, in which large plain files are split.
 """
 
 from __future__ import annotations
 
-import gzip
 import io
 import json
 import re
@@ -32,6 +38,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.window import Window
+
+from seqframe.sources.files import found, is_gzip, opened, store_of
+
+#: Bytes of a piece.
+SPLIT_BYTES = 64 << 20
 
 SCHEMA = StructType(
     [
@@ -53,15 +65,13 @@ class MalformedRecord(ValueError):
     pass
 
 
-def _opened(stream: BinaryIO) -> BinaryIO:
-    """The stream, or what it holds compressed; several gzip members follow each other."""
-    buffered = io.BufferedReader(stream) if not isinstance(stream, io.BufferedReader) else stream
-    return gzip.GzipFile(fileobj=buffered) if buffered.peek(2)[:2] == b"\x1f\x8b" else buffered
-
-
 def records(stream: BinaryIO, malformed: str = "fail") -> Iterator[tuple[str, str | None, str, str | None]]:
     """(name, comment, seq, qual) of each record."""
-    lines = (line.rstrip(b"\n") for line in _opened(stream))
+    return parsed((line.rstrip(b"\n") for line in opened(stream)), malformed)
+
+
+def parsed(lines: Iterator[bytes], malformed: str = "fail") -> Iterator[tuple[str, str | None, str, str | None]]:
+    """(name, comment, seq, qual) of each record in lines without their ends."""
     lines = (line[:-1] if len(line) > 1 and line.endswith(b"\r") else line for line in lines)
     line = next(lines, None)
     while line is not None:
@@ -97,54 +107,94 @@ def records(stream: BinaryIO, malformed: str = "fail") -> Iterator[tuple[str, st
         yield name, comment, seq.decode(), b"".join(quals).decode()
 
 
-def _found(paths: list[str]) -> list[tuple[str, int]]:
-    """Files below the given paths, in order, and their sizes."""
-    from pyarrow import fs
-
-    out: list[tuple[str, int]] = []
-    for path in paths:
-        store, inner = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
-        info = store.get_file_info(inner)
-        if info.type == fs.FileType.NotFound:
-            raise FileNotFoundError(path)
-        if info.type == fs.FileType.File:
-            out.append((path, info.size))
-        else:
-            prefix = path.rstrip("/")
-            below = store.get_file_info(fs.FileSelector(inner, recursive=True))
-            out += sorted((f"{prefix}{x.path[len(inner.rstrip('/')):]}", x.size) for x in below if x.is_file and not x.base_name.startswith(("_", ".")))
-    return out
+def _begins(layout: str, held: list[bytes]) -> bool:
+    """Whether a record begins at the first of these lines (without their ends)."""
+    if layout == "fasta":
+        return held[0].startswith(b">")
+    return len(held) > 3 and held[0].startswith(b"@") and held[2].startswith(b"+") and len(held[1]) == len(held[3])
+
+
+def piece(stream: BinaryIO, layout: str, start: int, end: int) -> Iterator[bytes]:
+    """The lines of the records of a plain file that begin at `start` or later and before `end`."""
+    if start:
+        stream.seek(start - 1)
+        at = start - 1 + len(stream.readline())
+    else:
+        stream.seek(0)
+        at = 0
+    held: list[tuple[int, bytes]] = []  # lines read ahead, with their places
+
+    def ahead() -> None:
+        nonlocal at
+        while len(held) < 4 and (line := stream.readline()):
+            held.append((at, line.rstrip(b"\n").removesuffix(b"\r")))
+            at += len(line)
+
+    ahead()
+    if start:
+        while held and not _begins(layout, [x for _, x in held]):
+            held.pop(0)
+            ahead()
+    while held:
+        if held[0][0] >= end and _begins(layout, [x for _, x in held]):
+            return
+        size = 4 if layout == "four_line" and _begins(layout, [x for _, x in held]) else 1
+        for _, line in held[:size]:
+            yield line
+        del held[:size]
+        ahead()
 
 
 class FilePartition(InputPartition):
-    def __init__(self, file_id: int, path: str) -> None:
-        self.file_id, self.path = file_id, path
+    """A file, or the piece of it from `start` to `end`."""
+
+    def __init__(self, file_id: int, path: str, number: int = 0, start: int = 0, end: int | None = None) -> None:
+        self.file_id, self.path, self.number, self.start, self.end = file_id, path, number, start, end
+
+
+#: The piece of the file that a record comes from; only where files are split.
+PIECE = StructField("piece", IntegerType(), False)
+LAYOUTS = ("any", "four_line", "fasta")
 
 
 class FastxReader(DataSourceReader):
     def __init__(self, schema: StructType, options: dict[str, str]) -> None:
         self.columns = schema.fieldNames()
-        unknown = set(self.columns) - set(SCHEMA.fieldNames())
+        unknown = set(self.columns) - {*SCHEMA.fieldNames(), PIECE.name}
         if unknown:
             raise ValueError(f"fastx has no columns {sorted(unknown)}")
         self.malformed = options.get("malformed", "fail")
         if self.malformed not in ("fail", "skip", "stop"):
             raise ValueError("malformed must be fail, skip or stop")
+        self.layout = options.get("layout", "any")
+        if self.layout not in LAYOUTS:
+            raise ValueError(f"layout must be one of {LAYOUTS}")
+        self.split_bytes = int(options.get("split_bytes", SPLIT_BYTES))
         paths = options.get("paths")
         self.paths = json.loads(paths) if paths else [options["path"]]
 
     def partitions(self) -> list[FilePartition]:
-        return [FilePartition(i, path) for i, (path, _) in enumerate(_found(self.paths))]
+        out = []
+        for i, (path, size) in enumerate(found(self.paths)):
+            if self.layout == "any" or size <= self.split_bytes or is_gzip(path):
+                out.append(FilePartition(i, path))
+            else:
+                out += [FilePartition(i, path, k, at, at + self.split_bytes) for k, at in enumerate(range(0, size, self.split_bytes))]
+        return out
+
+    def _records(self, part: FilePartition) -> Iterator[tuple[str, str | None, str, str | None]]:
+        store, inner = store_of(part.path)
+        if part.end is None:
+            with store.open_input_stream(inner, compression=None) as stream:
+                yield from records(io.BufferedReader(stream), self.malformed)
+        else:
+            with store.open_input_file(inner) as stream:
+                yield from parsed(piece(io.BufferedReader(stream), self.layout, part.start, part.end), self.malformed)
 
     def read(self, partition: FilePartition) -> Iterator[tuple[Any, ...]]:
-        from pyarrow import fs
-
-        path = partition.path
-        store, inner = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
-        with store.open_input_stream(inner, compression=None) as stream:
-            for number, (name, comment, seq, qual) in enumerate(records(io.BufferedReader(stream), self.malformed)):
-                row = {"file_id": partition.file_id, "rec_no": number, "name": name, "comment": comment, "seq": seq, "qual": qual, "l_seq": len(seq)}
-                yield tuple(row[c] for c in self.columns)
+        for number, (name, comment, seq, qual) in enumerate(self._records(partition)):
+            row = {"file_id": partition.file_id, "rec_no": number, "name": name, "comment": comment, "seq": seq, "qual": qual, "l_seq": len(seq), "piece": partition.number}
+            yield tuple(row[c] for c in self.columns)
 
 
 class FastxSource(DataSource):
@@ -163,12 +213,25 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(FastxSource)
 
 
-def read_fastx(spark: SparkSession, *paths: str, columns: list[str] | None = None, malformed: str = "fail") -> DataFrame:
-    """Records of all files, numbered by file and within it; `columns` narrows what is read."""
+def read_fastx(spark: SparkSession, *paths: str, columns: list[str] | None = None, malformed: str = "fail", layout: str = "any", split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """Records of all files, numbered by file and within it; `columns` narrows what is read, a `layout` other than `any` splits plain files.
+
+    With `malformed="stop"` files aren't split, as what follows a bad record is another piece's.
+    """
     register(spark)
     fields = {f.name: f for f in SCHEMA.fields}
-    schema = StructType([fields[c] for c in columns] if columns else list(fields.values()))
-    return spark.read.format("fastx").schema(schema).option("malformed", malformed).option("paths", json.dumps(list(paths))).load()
+    wanted = columns or list(fields)
+    source = spark.read.format("fastx").option("malformed", malformed).option("paths", json.dumps(list(paths)))
+    if layout == "any" or malformed == "stop":
+        return source.schema(StructType([fields[c] for c in wanted])).load()
+    source = source.option("layout", layout).option("split_bytes", split_bytes)
+    if "rec_no" not in wanted:
+        return source.schema(StructType([fields[c] for c in wanted])).load()
+    counts = source.schema(StructType([fields["file_id"], PIECE])).load().groupBy("file_id", "piece").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file_id").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = F.broadcast(counts.select("file_id", "piece", before.alias("before")))  # a row a piece
+    rows = source.schema(StructType([*(fields[c] for c in dict.fromkeys([*wanted, "file_id"])), PIECE])).load()
+    return rows.join(counts, ["file_id", "piece"]).withColumn("rec_no", F.col("rec_no") + F.col("before")).select(*wanted)
 
 
 def fasta_lines(spark: SparkSession, path: str) -> DataFrame:

@@ -6,17 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from seqframe.sources.files import numbered, text_lines
 
-def numbered(lines: DataFrame) -> DataFrame:
-    """`line_no` (from 0, in file order) and `value`; two passes, the first of which only counts."""
-    pairs = lines.select("value").rdd.zipWithIndex().map(lambda x: (x[1], x[0][0]))
-    return lines.sparkSession.createDataFrame(pairs, "line_no long, value string")
+__all__ = ["bare_reads", "numbered", "read_lines"]
 
 
 def read_lines(spark: SparkSession, path: str, missing_ok: bool = False) -> DataFrame:
-    """Numbered lines of a file; with `missing_ok` a missing file has none."""
+    """Numbered lines of a file or folder, compressed or not; with `missing_ok` a missing one has none."""
     try:
-        return numbered(spark.read.text(path))
+        return numbered(text_lines(spark, path))
     except AnalysisException:
         if not missing_ok:
             raise

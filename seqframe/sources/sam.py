@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqframe.functions.text import c_int
+from seqframe.sources.files import text_lines
 
 #: Mandatory fields in file order and whether each is a number; fixed by the format.
 FIELDS = {
@@ -24,8 +25,8 @@ FIELDS = {
 
 
 def read_sam(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of alignment text (column `value`); splits where the file isn't compressed."""
-    return spark.read.text(path)
+    """Lines of alignment text (column `value`), compressed or not, told by content; splits where a file isn't compressed."""
+    return text_lines(spark, path)
 
 
 def _tag(parts: Column, tag: str) -> Column:
@@ -35,12 +36,22 @@ def _tag(parts: Column, tag: str) -> Column:
     return F.coalesce(c_int(F.substring(F.try_element_at(mine, F.lit(-1)), 6, 1 << 30)), F.lit(0))
 
 
-def parse_records(lines: DataFrame, keep: tuple[str, ...] = (), value: str = "value") -> DataFrame:
-    """One row an alignment: the mandatory fields and `opt` (`nm`, `as`); header and blank lines are left out, `keep` columns kept."""
-    parts = F.split(F.col(value), "\t")
-    body = lines.filter(~F.col(value).startswith("@") & (F.trim(value) != "")).withColumn("_parts", parts)
-    fields = [(c_int(F.coalesce(F.get("_parts", F.lit(i)), F.lit(""))) if number else F.coalesce(F.get("_parts", F.lit(i)), F.lit(""))).alias(name) for i, (name, number) in enumerate(FIELDS.items())]
-    return body.select(*keep, *fields, F.struct(_tag(F.col("_parts"), "NM").alias("nm"), _tag(F.col("_parts"), "AS").alias("as")).alias("opt"))
+def parse_records(lines: DataFrame, keep: tuple[str, ...] = (), value: str = "value", blank: str = "drop") -> DataFrame:
+    """One row an alignment: the mandatory fields and `opt` (`nm`, `as`); header lines are left out, `keep` columns kept.
+
+    `blank`: a blank line is left out (`drop`), or an alignment whose fields are empty and zero (`zero`).
+
+    A line is split once: the parts come out of an `explode` of one value, through which no filter or projection is pushed.
+    """
+    if blank not in ("drop", "zero"):
+        raise ValueError("blank must be drop or zero")
+    body = lines.filter(~F.col(value).startswith("@"))
+    if blank == "drop":
+        body = body.filter(F.trim(value) != "")
+    parts = F.col("_parts")
+    fields = [(c_int(F.coalesce(F.get(parts, F.lit(i)), F.lit(""))) if number else F.coalesce(F.get(parts, F.lit(i)), F.lit(""))).alias(name) for i, (name, number) in enumerate(FIELDS.items())]
+    split = body.select(*keep, F.explode(F.array(F.split(F.col(value), "\t"))).alias("_parts"))
+    return split.select(*keep, *fields, F.struct(_tag(parts, "NM").alias("nm"), _tag(parts, "AS").alias("as")).alias("opt"))
 
 
 def _header_field(value: Column, name: str) -> Column:

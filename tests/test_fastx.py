@@ -1,11 +1,15 @@
 import gzip
 import io
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from seqframe.sinks.fastx import listing, rendered, write_fastx
-from seqframe.sources.fastx import MalformedRecord, fasta_lines, read_fastx, records
+from seqframe.sources.fastx import MalformedRecord, fasta_lines, parsed, piece, read_fastx, records
+from seqframe.sources.files import file_sizes, text_lines
+from seqframe.sources.lines import read_lines
+from seqframe.sources.sam import parse_records, read_sam
 
 CASES = {
     "wrapped": (b">a one two\nAC\n\nGT\n>b\nNN\n>c x\nA", [("a", "one two", "ACGT", None), ("b", None, "NN", None), ("c", "x", "A", None)]),
@@ -82,3 +86,75 @@ def test_round_trip_in_order(spark, tmp_path):
     assert df.filter("rid = 0").select(rendered().alias("v")).first().v == ">r0 c 0\nA"
     numbered = df.filter("rid < 2").orderBy("rid").select((F.col("rid") + 1).alias("rec_no"), "name", "comment")
     assert [r.value for r in listing(numbered).collect()] == ["No.1\tr0 c 0", "No.2\tr1"]
+
+
+def four_lines(n):
+    rng = random.Random(n)
+    out = []
+    for i in range(n):
+        size = rng.randint(1, 40)
+        qual = "".join(rng.choice("@+>I!") for _ in range(size))
+        out.append((f"r{i}", None if i % 3 else f"c {i}", "".join(rng.choice("ACGTN") for _ in range(size)), qual))
+    return out
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+@pytest.mark.parametrize("size", [1, 37, 400, 1 << 20])
+def test_pieces_of_a_four_line_file(spark, tmp_path, end, size):
+    rows = four_lines(150)
+    text = "".join(f"@{n}{' ' + c if c else ''}{end}{s}{end}+{n if len(s) % 2 else ''}{end}{q}{end}" for n, c, s, q in rows)
+    (tmp_path / "x.fq").write_text(text, newline="")
+    (tmp_path / "y.fq.gz").write_bytes(gzip.compress(text.encode()))
+    step = max(size, 37)
+    found = []
+    for at in range(0, len(text), size if size > 1 else step):
+        with open(tmp_path / "x.fq", "rb") as stream:
+            found += list(parsed(piece(stream, "four_line", at, at + (size if size > 1 else step))))
+    assert found == rows
+    if size in (37, 400):
+        df = read_fastx(spark, f"{tmp_path}/x.fq", f"{tmp_path}/y.fq.gz", layout="four_line", split_bytes=max(size, 400))
+        assert df.rdd.getNumPartitions() > 2 and df.columns == read_fastx(spark, f"{tmp_path}/x.fq").columns
+        back = {(r.file_id, r.rec_no): (r.name, r.comment, r.seq, r.qual) for r in df.collect()}
+        assert back == {(f, i): r for f in (0, 1) for i, r in enumerate(rows)}
+        assert sorted(r.name for r in read_fastx(spark, f"{tmp_path}/x.fq", columns=["name"], layout="four_line", split_bytes=400).collect()) == sorted(r[0] for r in rows)
+
+
+def test_pieces_of_a_fasta_file(spark, tmp_path):
+    text = "".join(f">n{i} c\nAC\n{'GT' * (i % 30)}\n" for i in range(200))
+    (tmp_path / "x.fa").write_text(text)
+    want = [(r.rec_no, r.name, r.seq) for r in read_fastx(spark, f"{tmp_path}/x.fa").collect()]
+    df = read_fastx(spark, f"{tmp_path}/x.fa", columns=["rec_no", "name", "seq"], layout="fasta", split_bytes=333)
+    assert sorted(map(tuple, df.collect())) == want
+    with pytest.raises(Exception, match="layout"):
+        read_fastx(spark, f"{tmp_path}/x.fa", layout="other").count()
+
+
+def test_lines_by_content(spark, tmp_path):
+    """Compression is told by the first bytes, whatever a file is called; numbers follow files and lines."""
+    (tmp_path / "t").mkdir()
+    data = {"a.txt": ["one", "", "two é"], "b.txt.gz": ["three"], "c.sam": ["four", "five"], "d.gz": ["six"], "e": []}
+    for name, rows in data.items():
+        raw = "".join(f"{x}\n" for x in rows).encode()
+        (tmp_path / "t" / name).write_bytes(gzip.compress(raw) if name in ("b.txt.gz", "c.sam") else raw)
+    assert sorted(r.value for r in text_lines(spark, f"{tmp_path}/t").collect()) == sorted(x for rows in data.values() for x in rows)
+    for name, rows in data.items():
+        assert [tuple(r) for r in read_lines(spark, f"{tmp_path}/t/{name}").orderBy("line_no").collect()] == list(enumerate(rows))
+    (tmp_path / "u").mkdir()
+    for i in range(5):
+        (tmp_path / f"u/{i}.txt").write_text("".join(f"{i} {k}\n" for k in range((7 * i) % 5 * 40)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "150")
+    rows = sorted(map(tuple, read_lines(spark, f"{tmp_path}/u").collect()))
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert rows == list(enumerate(f"{i} {k}" for i in range(5) for k in range((7 * i) % 5 * 40)))
+    sizes = {r.file.rsplit("/", 1)[1]: r.bytes for r in file_sizes(spark, f"{tmp_path}/t").collect()}
+    assert sizes == {name: (tmp_path / "t" / name).stat().st_size for name in data}
+    plan = read_lines(spark, f"{tmp_path}/u")._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Exchange" not in plan.replace("BroadcastExchange", "")
+
+
+def test_sam_by_content(spark, tmp_path):
+    line = "\t".join(["q", "0", "c", "7", "3", "4M", "*", "0", "0", "ACGT", "*"])
+    (tmp_path / "x.sam").write_bytes(gzip.compress(f"@HD\tVN:1\n{line}\n\n".encode()))
+    lines = read_sam(spark, f"{tmp_path}/x.sam")
+    assert [(r.qname, r.pos) for r in parse_records(lines).collect()] == [("q", 7)]
+    assert sorted((r.qname, r.pos) for r in parse_records(lines, blank="zero").collect()) == [("", 0), ("q", 7)]
