@@ -34,15 +34,11 @@ def flag_census(alignments: DataFrame) -> DataFrame:
     return alignments.agg(*[F.count_if(flags.has(F.col("flag"), name)).alias(name) for name in flags.BITS])
 
 
-def with_truth(alignments: DataFrame, distance: int = 10, malformed: str = "fail") -> DataFrame:
-    """Primary alignments of simulated single-end reads with `correct`.
-
-    A simulated name is `rname_pos1_pos2_...`. An alignment is correct on that reference within `distance` of pos1, or on the
-    reverse strand of pos2 - length + 1. `malformed`: a name without the three parts fails, or is left out (`skip`).
-    """
+def _truth(distance: int, malformed: str) -> tuple[Column, Column, Column]:
+    """Whether an alignment is a primary one of a single-end read (else it fails), its name is sound, and it is correct."""
     if malformed not in ("fail", "skip"):
         raise ValueError("malformed must be fail or skip")
-    paired = F.when(flags.has(F.col("flag"), "read1", "read2"), F.raise_error(F.lit("alignments of paired reads aren't supported")).cast("boolean")).otherwise(F.lit(True))
+    single = F.when(flags.has(F.col("flag"), "read1", "read2"), F.raise_error(F.lit("alignments of paired reads aren't supported")).cast("boolean")).otherwise(F.lit(True))
     parts = F.split("qname", "_")
     pos1, pos2 = strict_digits(F.get(parts, F.lit(1))), strict_digits(F.get(parts, F.lit(2)))
     sound = (F.size(parts) >= 4) & pos1.isNotNull() & pos2.isNotNull()
@@ -51,7 +47,17 @@ def with_truth(alignments: DataFrame, distance: int = 10, malformed: str = "fail
     expected = F.when(flags.has(F.col("flag"), "reverse"), pos2 - F.length("seq") + 1).otherwise(pos1)
     correct = (F.get(parts, F.lit(0)) == F.col("rname")) & (F.abs(F.col("pos") - expected) <= distance)
     # the paired check sees every row, unmapped ones too; the name is looked at in primary ones alone
-    return alignments.filter(F.when(paired, flags.primary(F.col("flag")))).filter(sound).withColumn("correct", correct)
+    return F.when(single, flags.primary(F.col("flag"))), sound, correct
+
+
+def with_truth(alignments: DataFrame, distance: int = 10, malformed: str = "fail") -> DataFrame:
+    """Primary alignments of simulated single-end reads with `correct`.
+
+    A simulated name is `rname_pos1_pos2_...`. An alignment is correct on that reference within `distance` of pos1, or on the
+    reverse strand of pos2 - length + 1. `malformed`: a name without the three parts fails, or is left out (`skip`).
+    """
+    primary, sound, correct = _truth(distance, malformed)
+    return alignments.filter(primary).filter(sound).withColumn("correct", correct)
 
 
 def mapq_accuracy(alignments: DataFrame, distance: int = 10, malformed: str = "fail") -> DataFrame:
@@ -64,8 +70,10 @@ def unmapped(alignments: DataFrame) -> DataFrame:
 
 
 def accuracy_total(alignments: DataFrame, distance: int = 10, malformed: str = "fail") -> DataFrame:
-    """One row: mapped (primary), correct, unmapped, and the percentage correct of all reads (null without any)."""
-    truth = with_truth(alignments, distance, malformed).select(F.lit(1).alias("m"), F.col("correct").cast("int").alias("c"), F.lit(0).alias("u"))
-    lost = alignments.filter(~flags.mapped(F.col("flag"))).select(F.lit(0).alias("m"), F.lit(0).alias("c"), F.lit(1).alias("u"))
-    sums = truth.unionByName(lost).agg(*[F.coalesce(F.sum(x), F.lit(0)).cast("bigint").alias(n) for x, n in (("m", "mapped"), ("c", "correct"), ("u", "unmapped"))])
+    """One row: mapped (primary), correct, unmapped, and the percentage correct of all reads (null without any); one pass."""
+    primary, sound, correct = _truth(distance, malformed)
+    verdict = F.when(primary, F.when(sound, correct.cast("int"))).alias("c")  # null where it isn't counted
+    counted = F.when(primary, sound).alias("m")
+    rows = alignments.select(counted, verdict, (~flags.mapped(F.col("flag"))).alias("u"))
+    sums = rows.agg(F.count_if("m").alias("mapped"), F.coalesce(F.sum("c"), F.lit(0)).cast("bigint").alias("correct"), F.count_if("u").alias("unmapped"))
     return sums.withColumn("accuracy", F.try_divide(F.col("correct") * 100.0, F.col("mapped") + F.col("unmapped")))

@@ -21,9 +21,10 @@ def nth_record(records: DataFrame, n: int) -> DataFrame:
 def sequence_view(records: DataFrame, requests: DataFrame) -> DataFrame:
     """For each request (`name`, `start` from 1, `length`) the bases of the first record of that name; an unknown name gives no row, a range beyond it null bases.
 
-    Requests are joined by name; only needed records' sequences travel.
+    Names alone are looked through first; then only the sequences of the records that are asked for travel.
     """
-    first = records.groupBy("name").agg(F.min_by(F.struct("comment", "seq"), "rec_no").alias("_r"))
-    found = requests.join(first, "name")
-    seq = F.col("_r.seq")
-    return found.select("name", F.coalesce("_r.comment", F.lit("")).alias("comment"), F.length(seq).alias("l_seq"), "start", "length", bases_at(seq, F.col("start"), F.col("length")).alias("bases"), in_bounds(seq, F.col("start"), F.col("length")).alias("in_bounds"))
+    names = records.select("name", "rec_no").join(requests.select("name").distinct(), "name", "left_semi")
+    first = names.groupBy("name").agg(F.min("rec_no").alias("rec_no"))
+    found = records.select("name", "rec_no", F.coalesce("comment", F.lit("")).alias("comment"), "seq").join(first, ["name", "rec_no"], "left_semi").drop("rec_no")
+    seq = F.col("seq")
+    return requests.join(found, "name").select("name", "comment", F.length(seq).alias("l_seq"), "start", "length", bases_at(seq, F.col("start"), F.col("length")).alias("bases"), in_bounds(seq, F.col("start"), F.col("length")).alias("in_bounds"))

@@ -10,26 +10,34 @@ large key is one task's work.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from seqframe.functions.sequence import bkdr_hash, chop2, trim_mate_suffix, with_suffix
+from seqframe.functions.sequence import bkdr_hash, chop2, is_strict, trim_mate_suffix, with_suffix
 
 #: Share of all rows from which a key is sliced; ordinals of a slice, and rows from which a key is sliced; bases of a source chunk.
 SUPPORT, SLICE, CHUNK_BASES = 1 / 1000, 1 << 20, 1_000_000_000
+#: Buckets that rows are counted in to find large keys; source reads whose bases are summed together to find the ends of chunks.
+BUCKETS, READS = 1 << 14, 1 << 20
 _SPAN = 1 << 40
 
 
 def frequent(rows: DataFrame, key: str, most: int, support: float = SUPPORT) -> list:
     """Values of `key` that have over `most` rows and over `support` of all; 1 / `support` at most.
 
-    Scans alone, no shuffle of rows; a table of `most` rows or fewer is only counted.
+    Rows are counted by a hash of the key into a fixed number of buckets, combined before the shuffle; only if a bucket has that
+    many are its keys counted each.
     """
-    if rows.count() <= most:
+    bucket = F.pmod(F.xxhash64(key), F.lit(BUCKETS))
+    known = rows.select(key).filter(F.col(key).isNotNull())
+    sizes = {r.bucket: r.n for r in known.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n")).collect()}
+    many = max(most, support * sum(sizes.values()))
+    heavy = [b for b, n in sizes.items() if n > many]
+    if not heavy:
         return []
-    found = rows.select(key).filter(F.col(key).isNotNull()).stat.freqItems([key], support).first()[0] or []
-    counted = rows.filter(F.col(key).isin(list(found))).groupBy(key).count().filter(F.col("count") > most)
+    counted = known.filter(bucket.isin(heavy)).groupBy(key).count().filter(F.col("count") > many)
     return [r[0] for r in counted.collect()]
 
 
@@ -63,17 +71,68 @@ def constant_length_chunk(ordinal: Column, length: int, chunk_bases: int = CHUNK
     return F.floor(ordinal / -(-chunk_bases // length)).cast("bigint")
 
 
-def reorder_by_sequence(bare: DataFrame, source: DataFrame, tie: str = "lifo", chunk: Column | None = None, unmatched: str = "keep", slice_: int = SLICE) -> DataFrame:
+def chunk_starts(source: DataFrame, chunk_bases: int = CHUNK_BASES, reads: int = READS) -> list[int]:
+    """W5 for reads of any length: the first ordinal (`sid`, a distinct long from 0 on) of each chunk of a source.
+
+    A chunk ends with the read that brings its bases to `chunk_bases`. Empty reads are none. Bases are summed by ranges of `reads`
+    ordinals once; then only the range that a chunk ends in is looked into, one after another, so a job a chunk, each over a
+    range. The list has one number for every `chunk_bases` bases of the source.
+    """
+    rows = source.filter("seq <> ''").select(F.col("sid").cast("bigint").alias("sid"), F.length("seq").cast("bigint").alias("l"))
+    sums = sorted((r.range, r.l, r.first) for r in rows.groupBy(F.floor(F.col("sid") / reads).cast("bigint").alias("range")).agg(F.sum("l").alias("l"), F.min("sid").alias("first")).collect())
+    starts, held = [], 0
+    for range_, bases, first in sums:
+        if not starts or held >= chunk_bases:
+            starts.append(first)
+            held = 0
+        if held + bases < chunk_bases:
+            held += bases
+            continue
+        inside = rows.filter((F.col("sid") >= range_ * reads) & (F.col("sid") < (range_ + 1) * reads)).orderBy("sid").toArrow()  # `reads` rows at most
+        sids, until = inside.column("sid").to_numpy(), np.cumsum(inside.column("l").to_numpy())
+        done = 0
+        while (end := int(np.searchsorted(until, done + chunk_bases - held))) < len(until) - 1:
+            starts.append(int(sids[end + 1]))
+            held, done = 0, int(until[end])
+        held += int(until[-1]) - done
+    return starts
+
+
+def chunk_by(starts: list[int], ordinal: Column) -> Column:
+    """The chunk, from 0, of a source read, by the ordinals that chunks start at."""
+    return F.size(F.filter(F.array(*[F.lit(x).cast("bigint") for x in starts[1:]]), lambda x: x <= ordinal)).cast("bigint") if len(starts) > 1 else F.lit(0).cast("bigint")
+
+
+def _strict(rows: DataFrame, strict: bool) -> DataFrame:
+    if not strict:
+        return rows
+    sound = F.when(is_strict(F.col("seq")), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("a base that is none of A, C, G, N, T in "), F.col("seq"))).cast("boolean"))
+    return rows.filter(sound)
+
+
+def empty_reads(bare: DataFrame, source: DataFrame) -> DataFrame:
+    """how many reads without bases each side has; these take no part."""
+    def count(rows: DataFrame, name: str) -> DataFrame:
+        return rows.select((F.coalesce(F.col("seq"), F.lit("")) == "").cast("bigint").alias("e"), F.lit(name).alias("side"))
+
+    both = count(bare, "bare").unionByName(count(source, "source"))
+    sums = [F.coalesce(F.sum(F.when(F.col("side") == x, F.col("e"))), F.lit(0)).cast("bigint").alias(f"{x}_empty") for x in ("bare", "source")]
+    return both.agg(*sums)
+
+
+def reorder_by_sequence(bare: DataFrame, source: DataFrame, tie: str = "lifo", chunk: Column | None = None, unmatched: str = "keep", slice_: int = SLICE, strict_alphabet: bool = False) -> DataFrame:
     """Bare reads (`rid`, `seq`) with name, comment and quality of a source read (`sid`, `name`, `comment`, `seq`, `qual`) of equal bases.
 
     Bare reads are served in order. Of equal source reads the last comes first (`lifo`), within each `chunk` (a long made of source
-    columns, under 2^22), or the first (`fifo`). Empty sequences are no reads. `unmatched` bare reads are kept without a name, dropped, or fail.
+    columns, under 2^22), or the first (`fifo`). Empty sequences are no reads (`empty_reads` counts them). `unmatched` bare reads are kept
+    without a name, dropped, or fail. With `strict_alphabet` any base but A, C, G, N and T fails.
     """
     if tie not in ("lifo", "fifo") or unmatched not in ("keep", "drop", "fail"):
         raise ValueError("tie must be lifo or fifo; unmatched keep, drop or fail")
     sid = F.col("sid") if tie == "fifo" else F.lit(_SPAN - 1) - F.col("sid")
     order = sid if chunk is None else chunk * _SPAN + sid
-    out = multiset_join(bare.select("rid", "seq").filter("seq <> ''"), source.filter("seq <> ''"), "seq", F.col("rid"), order, "left", slice_)
+    reads, pool = (_strict(x.filter("seq <> ''"), strict_alphabet) for x in (bare.select("rid", "seq"), source))
+    out = multiset_join(reads, pool, "seq", F.col("rid"), order, "left", slice_)
     out = out.select("rid", "name", "comment", "seq", "qual", F.col("sid").isNotNull().alias("_met"))
     if unmatched == "drop":
         out = out.filter("_met")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window, WindowSpec
+from pyspark.sql.window import Window
 
 from seqframe.functions.sequence import n_count
 
@@ -50,14 +50,37 @@ def reference_length(sequences: DataFrame, ln: str = "ln") -> DataFrame:
     return sequences.agg(F.coalesce(F.sum(F.col(ln).cast("bigint")), F.lit(0)).cast("bigint").alias("ref_len"))
 
 
-def kth_smallest(rows: DataFrame, value: Column, k: int) -> DataFrame:
-    """The k-th smallest value (from 1), repeats counted; no row if there are fewer. Values are counted first, so equal ones are one row."""
-    counted = rows.select(value.alias("value")).filter("value is not null").groupBy("value").agg(F.count("*").alias("_n"))
-    # a value is the answer if fewer than k lie below it and k or fewer reach it: the k least distinct values have it
-    least = counted.orderBy("value").limit(k)
-    below = F.sum("_n").over(_running("value"))
-    return least.withColumn("_to", below).filter((F.col("_to") >= k) & (F.col("_to") - F.col("_n") < k)).select("value")
-
-
-def _running(order: str) -> WindowSpec:
-    return Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)  # over k rows at most
+#: Distinct values that one task orders, and ranges that more of them are dealt to.
+ORDERED, RANGES = 1 << 20, 256
+
+
+def kth_smallest(rows: DataFrame, value: Column, k: int, ordered: int = ORDERED) -> DataFrame:
+    """The k-th smallest value (from 1), repeats counted; no row if there are fewer.
+
+    Equal values are counted first. While there are more than `ordered` distinct ones, they are counted by ranges whose ends are
+    values taken by a hash, and only the range that has the k-th goes on; so no task orders more.
+    """
+    counted = rows.select(value.alias("value")).filter("value is not null").groupBy("value").agg(F.count("*").alias("n"))
+    round_ = 0
+    while (distinct := counted.count()) > ordered:
+        place = F.pmod(F.xxhash64(F.lit(round_), "value"), F.lit(max(1, distinct // RANGES)))
+        ends = sorted(r.value for r in counted.filter(place == 0).select("value").limit(4 * RANGES).collect())
+        round_ += 1
+        if not ends:
+            continue
+        bounds = F.array(*[F.lit(e) for e in ends])
+        range_ = F.size(F.filter(bounds, lambda e: e < F.col("value")))
+        sizes = {r.range: r.n for r in counted.groupBy(range_.alias("range")).agg(F.sum("n").alias("n")).collect()}  # a row a range
+        before, at = 0, 0
+        while at <= len(ends) and before + sizes.get(at, 0) < k:
+            before, at = before + sizes.get(at, 0), at + 1
+        if at > len(ends):
+            return counted.limit(0).select("value")
+        k -= before
+        if at:
+            counted = counted.filter(F.col("value") > F.lit(ends[at - 1]))
+        if at < len(ends):
+            counted = counted.filter(F.col("value") <= F.lit(ends[at]))
+    reached = F.sum("n").over(Window.orderBy("value").rowsBetween(Window.unboundedPreceding, 0))  # over `ordered` rows at most
+    least = counted.orderBy("value").limit(k) if k < ordered else counted
+    return least.withColumn("to", reached).filter((F.col("to") >= k) & (F.col("to") - F.col("n") < k)).select("value")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from seqframe.functions.text import clock_seconds, fields
+from seqframe.functions.text import clock_seconds, fields, memory_short
 
 
 def variable(lines: DataFrame, name: str) -> DataFrame:
@@ -33,7 +33,11 @@ def stage_profile(lines: DataFrame) -> DataFrame:
 
 
 def run_profile(lines: DataFrame, run: str = "run") -> DataFrame:
-    """One row a run of a matching log: reads, seconds of input, trie, search and the rest (write), matched reads, total, and percentages."""
+    """One row a run of a matching log (A13, P10): reads, seconds of input, trie, search and the rest (write), matched and same reads, total, memory, and percentages.
+
+    `same` and `same_share` are the second and sixth field of the last line with `same reads`, `ram` the last but one of the last
+    line with `MAX_rss` in short form (`None` for none); seconds of input and total come from the last such line, the others are summed.
+    """
     f = fields(F.col("value"))
     value = F.col("value")
     near_last = clock_seconds(F.try_element_at(f, F.lit(-2)))
@@ -53,6 +57,9 @@ def run_profile(lines: DataFrame, run: str = "run") -> DataFrame:
         total("Chunk", near_last).alias("trie"),
         total("read matched", near_last).alias("search"),
         total("read matched", number(F.get(f, F.lit(0)))).cast("bigint").alias("matched"),
+        F.coalesce(last("same reads", number(F.get(f, F.lit(1)))), F.lit(0).cast("bigint")).alias("same"),
+        last("same reads", F.get(f, F.lit(5))).alias("same_share"),
+        memory_short(F.coalesce(last("MAX_rss", F.try_element_at(f, F.lit(-2)).try_cast("double")), F.lit(0.0))).alias("ram"),
         last("Elapsed_seconds", F.ceil(F.try_element_at(f, F.lit(-1)).try_cast("double"))).alias("total"),
     )
     out = out.withColumn("write", F.col("total") - F.col("input") - F.col("trie") - F.col("search"))

@@ -30,8 +30,11 @@ def box_table(rows: Sequence[Sequence[object]], title: str = "", info: str = "")
 
 
 def frame_table(df: DataFrame, title: str = "", most: int = 1000) -> str:
-    """A box of a small DataFrame; `most` rows at most."""
-    return box_table([df.columns, *df.limit(most).collect()], title)
+    """A box of a small DataFrame; one of more than `most` rows is an error."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a table of more than {most} rows")
+    return box_table([df.columns, *rows], title)
 
 
 def _percent(part: int, whole: int) -> str:
@@ -59,6 +62,7 @@ def sam_summary_report(row, ref_len: int) -> str:
     def mean(x: float | None) -> str:
         return "-" if x is None else "%.2f" % x
 
+    # labels and their width are fixed values of the output format
     pairs = [
         ("Reference_length", ref_len),
         ("Alignments", row.alignments),

@@ -1,4 +1,5 @@
 import math
+import random
 from types import SimpleNamespace
 
 import pytest
@@ -105,6 +106,54 @@ def test_logs(spark):
     assert logs.accuracy_of_table(empty, 0).first().accuracy is None
 
 
+def test_run_profile_memory_and_same_reads(spark):
+    rows = ["Input 10 reads in 0:00:01 s", "Found 1,234 same reads, taking 0.14% of the reads", "MAX_rss: 2097153 KB", "Elapsed_seconds 9"]
+    log = spark.createDataFrame(list(enumerate(rows)), "line_no long, value string").withColumn("run", F.lit("x"))
+    r = logs.run_profile(log).first()
+    assert (r.same, r.same_share, r.ram) == (1234, "0.14%", "3G")
+    none = logs.run_profile(log.filter("line_no = 0")).first()
+    assert (none.same, none.same_share, none.ram, none.total) == (0, None, "None", None)
+
+
+def test_rounding_like_c(spark):
+    rng = random.Random(1)
+    numbers = [0.125, 0.375, 1.005, 2.675, 1.115, -0.125, 0.0, -0.0, -0.001, 1e12, 123456.785, 0.5, 1.5, 2.5, 0.045, 8.345]
+    numbers += [rng.randint(-(10**7), 10**7) / 1000 + 0.0005 for _ in range(2000)] + [rng.random() * 10 ** rng.randint(-6, 9) for _ in range(2000)] + [rng.randint(0, 10**6) / 8 for _ in range(500)]
+    for digits in (0, 1, 2, 3):
+        assert values(spark, lambda x, d=digits: text.fixed(x, d), numbers, "double") == [f"%.{digits}f" % x for x in numbers]
+    assert values(spark, lambda x: text.fixed(x, 2), [None], "double") == [None]
+
+
+def test_kth_smallest_by_ranges(spark):
+    rng = random.Random(2)
+    for kind, pool in (("long", [rng.randint(-500, 500) for _ in range(3000)]), ("string", [f"v{rng.randint(0, 700):04d}" for _ in range(3000)])):
+        rows = spark.createDataFrame([(x,) for x in pool] + [(None,)], f"x {kind}").repartition(3)
+        for k in (1, 2, 1499, 2999, 3000):
+            assert [r.value for r in stats.kth_smallest(rows, F.col("x"), k, ordered=40).collect()] == [sorted(pool)[k - 1]]
+        assert stats.kth_smallest(rows, F.col("x"), 3001, ordered=40).count() == 0
+    assert stats.kth_smallest(rows.limit(0), F.col("x"), 1).count() == 0
+
+
+def test_children_and_stages(spark, tmp_path):
+    status, usage = measure.child(["python3", "-c", "import sys; x = bytes(30_000_000); sys.exit(3)"])
+    assert status == 3 and usage.wall > 0 and usage.peak_kb > 20_000
+    report = measure.usage_report(["ls", "-l"], measure.Usage(3725.25, 7450.5, 3 << 19), 0)
+    assert report.splitlines() == ['\tCommand:     "ls -l"', "\tMAX_rss:     1.5 GB", "\tCPU_time:    02:04:10  i.e.  7450.5 sec", "\tWall_clock:  01:02:05  i.e.  3725.2 sec", "\tJob_CPU:     2.00", "\tExit_status: 0"]
+    assert [measure.write_report(tmp_path / "p", report).name for _ in range(2)] == ["0001.pstat", "0002.pstat"]
+    with pytest.raises(FileExistsError):
+        measure.write_report(tmp_path / "p", report, most=2)
+    spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count().collect()
+    rows = measure.stage_metrics(spark).collect()
+    assert rows and any(r.shuffle_written > 0 and r.tasks > 0 for r in rows)
+    assert "driver" in {r.executor for r in measure.executor_peaks(spark).collect()}
+
+
+def test_frame_tables_are_whole(spark):
+    assert tables.frame_table(spark.range(3)).count("\n") == 8
+    with pytest.raises(ValueError, match="more than 3"):
+        tables.frame_table(spark.range(4), most=3)
+
+
 def test_measure():
     out, usage = measure.measured(lambda: sum(range(1000)))
     assert out == 499500 and usage.wall >= 0 and usage.peak_kb > 0 and usage.ratio >= 0

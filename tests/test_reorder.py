@@ -71,3 +71,52 @@ def test_no_partition_dependence(spark):
     _, _, b, s = tables(spark, random.Random(5))
     want = sorted(map(str, reorder.reorder_by_sequence(b.coalesce(1), s.coalesce(1)).collect()))
     assert sorted(map(str, reorder.reorder_by_sequence(b.repartition(9), s.repartition(8)).collect())) == want
+
+
+@pytest.mark.parametrize("reads", [3, 64, 1 << 20])
+def test_chunks_of_reads_of_any_length(spark, reads):
+    """A chunk ends with the read that brings its bases to the bound; empty reads are none."""
+    rng = random.Random(reads)
+    rows = [(i * 2, "A" * rng.choice([0, 1, 5, 30, 90])) for i in range(300)]
+    source = spark.createDataFrame(rows, "sid long, seq string").repartition(4)
+    for most in (1, 40, 100, 10**9):
+        want, held = [], most
+        for sid, seq in rows:
+            if seq:
+                if held >= most:
+                    want.append(sid)
+                    held = 0
+                held += len(seq)
+        starts = reorder.chunk_starts(source, most, reads)
+        assert starts == want
+        found = {r.sid: r.c for r in source.select("sid", reorder.chunk_by(starts, F.col("sid")).alias("c")).collect()}
+        assert all(found[sid] == sum(x <= sid for x in want[1:]) for sid, _ in rows)
+    assert reorder.chunk_starts(source.limit(0)) == []
+
+
+def test_odd_chunks_one_by_one(spark):
+    rng = random.Random(9)
+    seqs = ["ACGT" * n for n in (1, 3, 8)]
+    bare = [(i, rng.choice(seqs)) for i in range(200)]
+    source = [(i, f"s{i}", None, rng.choice(seqs), None) for i in range(200)]
+    s = spark.createDataFrame(source, "sid long, name string, comment string, seq string, qual string").repartition(3)
+    starts = reorder.chunk_starts(s, 300, 16)
+    out = reorder.reorder_by_sequence(spark.createDataFrame(bare, "rid long, seq string"), s, chunk=reorder.chunk_by(starts, F.col("sid")))
+    assert sorted((r.rid, r.name, r.comment, r.qual) for r in out.collect()) == sorted(one_by_one(bare, source, "lifo", lambda i: sum(x <= i for x in starts[1:])))
+
+
+def test_strict_alphabet_and_empty_reads(spark):
+    bare = spark.createDataFrame([(0, "ACGTN"), (1, "acgt"), (2, ""), (3, None)], "rid long, seq string")
+    source = spark.createDataFrame([(0, "a", None, "ACGTN", None), (1, "b", None, "", None)], "sid long, name string, comment string, seq string, qual string")
+    assert tuple(reorder.empty_reads(bare, source).first()) == (2, 1)
+    assert tuple(reorder.empty_reads(bare.limit(0), source.limit(0)).first()) == (0, 0)
+    assert reorder.reorder_by_sequence(bare, source).count() == 2
+    with pytest.raises(Exception, match="none of A, C, G, N, T"):
+        reorder.reorder_by_sequence(bare, source, strict_alphabet=True).collect()
+    assert reorder.reorder_by_sequence(bare.filter("rid <> 1"), source, strict_alphabet=True).count() == 1
+
+
+def test_large_keys_are_found(spark):
+    rows = spark.createDataFrame([(i, "hot" if i % 3 == 0 else f"k{i}") for i in range(600)] + [(1000 + i, None) for i in range(300)], "id long, key string")
+    assert reorder.frequent(rows, "key", 100) == ["hot"]
+    assert reorder.frequent(rows, "key", 250) == [] and reorder.frequent(rows.limit(0), "key", 1) == []
