@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from seqframe.functions import sequence, text
 from seqframe.operators import align, lookup, reorder, stats
 from seqframe.plans.fixtures import view, with_views
+from seqframe.plans.scratch import new_folder
 from seqframe.report import logs
-from seqframe.sinks.fastx import rendered
-from seqframe.sources import fastx, sam
+from seqframe.sinks.fastx import listing, rendered, write_fastx
+from seqframe.sources import fastx, files, lines, sam
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -49,6 +51,14 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sam.parse_records(alignment_lines(spark, sf_dir), keep=("k",))
 
 
+def _file(lines: DataFrame, name: str, order: str | None = None, **options: str) -> str:
+    """A folder of text files that hold the lines (column `value`)."""
+    folder = new_folder(lines.sparkSession, name)
+    ordered = lines.orderBy(order) if order else lines
+    ordered.select("value").write.options(**options).text(folder)
+    return folder
+
+
 _TRUTH = """with truth as (
     select mapq, split_part(qname,'_',1) = rname
         and abs(pos - case when (flag & 16) <> 0 then cast(split_part(qname,'_',3) as int) - length(seq) + 1 else cast(split_part(qname,'_',2) as int) end) <= {d} as correct
@@ -100,6 +110,14 @@ def sam_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.sam_summary(_records(spark, sf_dir))
 
 
+@query("select qname, flag, rname, pos, mapq, '32M' as cigar, seq, nm, as_score from alignments", "alignments")
+def sam_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alignments written as compressed text, with a header, and read as a file."""
+    lines = alignment_lines(spark, sf_dir).select("value").unionByName(header_lines(spark, sf_dir))
+    records = sam.parse_records(sam.read_sam(spark, _file(lines, "sam", compression="gzip")))
+    return records.select("qname", "flag", "rname", "pos", "mapq", "cigar", "seq", F.col("opt.nm").alias("nm"), F.col("opt.as").alias("as_score"))
+
+
 @query("select k, qname, flag, rname, pos, mapq, '32M' as cigar, '*' as rnext, 0 as pnext, 0 as tlen, seq, '*' as qual, nm, as_score from alignments", "alignments")
 def sam_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _records(spark, sf_dir).select("*", F.col("opt.nm").alias("nm"), F.col("opt.as").alias("as_score")).drop("opt")
@@ -182,6 +200,22 @@ def reorder_by_sequence_chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reorder.reorder_by_sequence(view(spark, sf_dir, "bare_reads"), view(spark, sf_dir, "reads"), chunk=chunk)
 
 
+@query(None)
+def reorder_by_sequence_odd_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Source reads of several lengths in chunks of a number of bases; a running total that starts anew isn't SQL, so the tests hold it."""
+    reads = view(spark, sf_dir, "reads").withColumn("seq", F.substring("seq", F.lit(1), (F.col("sid") % 7 + 8).cast("int")))
+    bare = view(spark, sf_dir, "bare_reads").withColumn("seq", F.substring("seq", F.lit(1), (F.col("rid") % 5 + 8).cast("int")))
+    chunk = reorder.chunk_by(reorder.chunk_starts(reads, SMALL_CHUNK), F.col("sid"))
+    return reorder.reorder_by_sequence(bare, reads, chunk=chunk, strict_alphabet=True)
+
+
+@query("select count(*) filter (where o_orderkey % 11 = 0) as bare_empty, count(*) filter (where o_orderkey % 13 = 0) as source_empty from orders")
+def reorder_empty_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bare = view(spark, sf_dir, "bare_reads").withColumn("seq", F.when(F.col("rid") % 11 == 0, "").otherwise(F.col("seq")))
+    source = view(spark, sf_dir, "reads").withColumn("seq", F.when(F.col("sid") % 13 != 0, F.col("seq")))
+    return reorder.empty_reads(bare, source)
+
+
 @query(
     """with b as (select seq, count(*) as nb from bare_reads group by seq), s as (select seq, count(*) as ns from reads group by seq),
     both_ as (select length(coalesce(b.seq, s.seq)) as l, coalesce(nb, 0) as nb, coalesce(ns, 0) as ns from b full join s on b.seq = s.seq)
@@ -267,8 +301,6 @@ def base_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select sid, name, comment, seq, case when sid % 5 <> 0 then qual end as qual from reads", "reads")
 def fastx_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records written as text and read back by the data source; part files in name order give the ordinals' order."""
-    from seqframe.plans.scratch import new_folder
-
     reads = view(spark, sf_dir, "reads").withColumn("qual", F.when(F.col("sid") % 5 != 0, F.col("qual")))
     folder = new_folder(spark, "fastx")
     reads.withColumn("comment", F.concat_ws(" ", F.col("sid").cast("string"), "comment")).select(rendered().alias("value")).write.option("compression", "gzip").text(folder)
@@ -296,14 +328,19 @@ def fmt_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """with k as (select o_orderkey, o_orderkey * 1031 as kb from orders)
+    """with k as (select o_orderkey, o_orderkey * 10313 as kb from orders)
     select o_orderkey, case when kb = 0 then 'None' when kb > 1048576 then concat(cast(cast(ceil(kb / 1024.0 / 1024.0) as bigint) as string), 'G') when kb > 1024 then concat(cast(cast(ceil(kb / 1024.0) as bigint) as string), 'M') else '<1M' end as short,
-    case when kb < 1024 then concat(cast(kb as string), ' KB') when kb < 1048576 then concat(cast(kb // 1024 as string), ' MB') else 'GB' end as long_ from k"""
+    case when kb < 1024 then concat(cast(kb as string), ' KB') when kb < 1048576 then concat(cast(kb // 1024 as string), ' MB') else concat(printf('%.1f', kb / cast(1048576 as double)), ' GB') end as long_ from k"""
 )
 def fmt_ram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kb = F.col("o_orderkey") * 1031
-    long_ = F.when(kb < 1 << 20, text.memory_text(kb)).otherwise("GB")  # one decimal is rounded unlike C here and there; the tests hold it
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", text.memory_short(kb).alias("short"), long_.alias("long_"))
+    kb = F.col("o_orderkey") * 10313
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", text.memory_short(kb).alias("short"), text.memory_text(kb).alias("long_"))
+
+
+@query("select o_orderkey, printf('%.2f', v) as two, printf('%.1f', v) as one from (select o_orderkey, (o_orderkey - 5000) / cast(8 as double) + o_orderkey % 1000 * cast('0.005' as double) as v from orders)")
+def fmt_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = (F.col("o_orderkey") - 5000) / F.lit(8.0) + F.col("o_orderkey") % 1000 * F.lit(0.005)
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", text.fixed(v, 2).alias("two"), text.fixed(v, 1).alias("one"))
 
 
 @query("select o_orderkey, cast(o_orderkey % 100 * 3600 + o_orderkey % 60 * 60 + o_orderkey % 59 as double) as seconds from orders")
@@ -348,3 +385,114 @@ def log_variable(spark: SparkSession, sf_dir: str) -> DataFrame:
     least = events.agg(F.min("event_type")).first()[0]
     lines = events.select(F.col("event_id").alias("line_no"), F.concat_ws(" ", F.concat(F.lit("x_"), F.col("event_type")), F.col("event_id").cast("string"), F.lit("end")).alias("value"))
     return logs.variable(lines, f"x_{least}")
+
+
+@query("select row_number() over (order by sid) - 1 as rec_no, name, seq, qual from reads", "reads")
+def fastx_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records written in an order and read back in pieces: their numbers follow that order."""
+    reads = view(spark, sf_dir, "reads").repartition(5)
+    folder = new_folder(spark, "ordered")
+    write_fastx(reads, folder, order="sid", compression="none")
+    back = fastx.read_fastx(spark, folder, layout="four_line", split_bytes=50_000)
+    counts = back.groupBy("file_id").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("file_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a file
+    offsets = F.broadcast(counts.select("file_id", before.alias("before")))
+    return back.join(offsets, "file_id").select((F.col("rec_no") + F.col("before")).alias("rec_no"), "name", "seq", "qual")
+
+
+@query("select name from reads", "reads")
+def fastx_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names alone, by a narrowed schema."""
+    folder = new_folder(spark, "names")
+    view(spark, sf_dir, "reads").select(rendered().alias("value")).write.text(folder)
+    return fastx.read_fastx(spark, folder, columns=["name"])
+
+
+@query("select concat('No.', cast(rec_no as string), chr(9), name) as value from contigs", "contigs")
+def contig_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listing(view(spark, sf_dir, "contigs"))
+
+
+@query("select rid, case when rid % 4 = 0 then 'ACGTN' else seq end as seq from bare_reads where rid % 3 <> 0 and rid % 7 <> 0", "bare_reads")
+def bare_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bare reads as lines of a compressed file whose name doesn't say so, headers and blank lines among them."""
+    reads = view(spark, sf_dir, "bare_reads")
+    value = F.when(F.col("rid") % 3 == 0, "@header").when(F.col("rid") % 7 == 0, " ").when(F.col("rid") % 4 == 0, "ACGTN ").otherwise(F.col("seq"))
+    folder = _file(reads.select("rid", value.alias("value")), "bare", "rid")
+    return lines.bare_reads(lines.read_lines(spark, folder))
+
+
+@query("select rid as line_no, seq as value from bare_reads", "bare_reads")
+def line_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reads = view(spark, sf_dir, "bare_reads").withColumnRenamed("seq", "value")
+    return lines.read_lines(spark, _file(reads, "lines", "rid", compression="gzip"))
+
+
+@query("select cast(sum(length(n_name) + 1) as bigint) as bytes from nation")
+def file_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = _file(spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_name").alias("value")), "sizes")
+    return files.file_sizes(spark, folder).agg(F.sum("bytes").alias("bytes"))
+
+
+@query("select sid, nullif(case when sid % 3 = 0 then '' else comment end, '') as comment from reads", "reads")
+def empty_to_null(spark: SparkSession, sf_dir: str) -> DataFrame:
+    comment = F.when(F.col("sid") % 3 == 0, "").otherwise(F.col("comment"))
+    return view(spark, sf_dir, "reads").select("sid", sequence.none_if_empty(comment).alias("comment"))
+
+
+@query(
+    """with e as (select event_type as run, event_id as k from events),
+    r as (select run, 1000 * cast(max(k) as bigint) as reads, cast(max_by(k % 5000, k) as double) as input, cast(sum(k % 60) as double) as trie, cast(sum(k % 30) as double) as search,
+        cast(sum(k % 900) as bigint) as matched, cast(max(k) as bigint) as same, cast(max(k) as string) || '%' as same_share, max(k) as kb, cast(ceil(max(k) * 1000.5) as bigint) as total from e group by run)
+    select run, reads, input, trie, search, matched, same, same_share, case when kb > 1048576 then cast(cast(ceil(kb / 1048576.0) as bigint) as string) || 'G' when kb > 1024 then cast(cast(ceil(kb / 1024.0) as bigint) as string) || 'M' else '<1M' end as ram, total, total - input - trie - search as write,
+    input * 100 / total as input_share, trie * 100 / total as trie_share, search * 100 / total as search_share, (total - input - trie - search) * 100 / total as write_share, matched * cast(100 as double) / reads as matched_share from r"""
+)
+def log_run_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logs made of events, one a type: each event gives lines of all kinds."""
+    k = F.col("event_id")
+    kinds = [
+        F.concat(F.lit("Input "), text.thousands(k * 1000), F.lit(" reads in "), text.clock(k % 5000), F.lit(" s")),
+        F.concat(F.lit("Chunk 1 in "), text.clock(k % 60), F.lit(" s")),
+        F.concat(text.thousands(k % 900), F.lit(" read matched in "), text.clock(k % 30), F.lit(" s")),
+        F.concat(F.lit("Found "), text.thousands(k), F.lit(" same reads, taking "), k.cast("string"), F.lit("% of the reads")),
+        F.concat(F.lit("MAX_rss: "), k.cast("string"), F.lit(" KB")),
+        F.concat(F.lit("Elapsed_seconds "), (k * F.lit(1000.5)).cast("string")),
+    ]
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("run"), k, F.posexplode(F.array(*kinds)).alias("i", "value"))
+    return logs.run_profile(rows.select("run", (k * 10 + F.col("i")).alias("line_no"), "value"))
+
+
+@query("select cast(max(event_id) * 60 as double) as seconds from events where event_id % 2 = 0")
+def log_elapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mark = F.when(F.col("event_id") % 2 == 0, "Elapsed (wall clock) time: ").otherwise("other ")
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("line_no"), F.concat(mark, F.col("event_id").cast("string"), F.lit(":00")).alias("value"))
+    return logs.elapsed(rows)
+
+
+@query(
+    _TRUTH.format(d=10)
+    + """, sums as (select count(*) as mapped, count(*) filter (where correct) as correct from truth)
+    select mapped, correct, (correct * cast(100 as double)) / (mapped + (select count(*) from alignments where (flag & 4) <> 0)) as accuracy from sums""",
+    "alignments",
+)
+def mapq_table_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The MAPQ table written as a report and read again."""
+    records = _records(spark, sf_dir)
+    lost = align.unmapped(records).select(F.lit(-1).alias("line_no"), F.col("unmapped").cast("string").alias("value"))
+    table = align.mapq_accuracy(records).select(F.col("mapq").alias("line_no"), F.concat_ws(" ", "mapq", "aligned", "correct").alias("value"))
+    folder = _file(lost.unionByName(table), "mapq", "line_no")
+    unmapped, rows = logs.read_mapq_table(lines.read_lines(spark, folder))
+    return logs.accuracy_of_table(rows, unmapped)
+
+
+@query("select case when o_orderkey % 3 = 0 then 'x' else 'y' end as kind, count(*) as reads, count(*) - count(distinct seq) as duplicates from reads join orders on sid = o_orderkey group by 1", "reads")
+def read_duplicates_by(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.when(F.col("sid") % 3 == 0, "x").otherwise("y").alias("kind")
+    return stats.duplicates(view(spark, sf_dir, "reads").select(kind, "seq"), by=("kind",))
+
+
+@query("select value from (select l_extendedprice as value, row_number() over (order by l_extendedprice) as k from lineitem) where k = (select count(*) // 2 from lineitem)")
+def median_price(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A k in the middle, found by ranges of a few thousand distinct values each."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return stats.kth_smallest(rows, F.col("l_extendedprice"), rows.count() // 2, ordered=5000)
