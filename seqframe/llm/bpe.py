@@ -5,15 +5,18 @@ Where two neighbouring bytes never do, no token can span them, so the text may
 be cut there and the parts encoded apart; concatenated, they are the encoding.
 
 Cuts must also be certain for the pre-tokenizer, which splits a text before any
-merge. So a cut is made only between a visible character and a following space
-or line feed, and between ASCII or Latin letters, digits and ASCII punctuation
+merge. So a cut is made only between a visible character (no white space of any
+other kind) and a following space or line feed, and between ASCII or Latin letters, digits and ASCII punctuation
 other than the apostrophe, and only if the table built from the vocabulary has
 no token with that pair of bytes inside. The tokenizers library encodes each
 distinct fragment; a Python worker remembers the results.
 
 Defined results: a null text counts as empty and gives no ids; equal texts give
 equal rows; special tokens found in a text become their own ids, as in the
-tokenizers library; other input columns are ignored; an empty table gives none.
+tokenizers library; texts of any length are encoded whole (a fragment without a
+cut, such as a long run of one kind, is as long as it is); rows with null or equal
+keys are rows of their own; other input columns are ignored, whatever their names;
+an empty table gives none.
 """
 
 from __future__ import annotations
@@ -83,8 +86,6 @@ class BoundaryBPE:
         self.library.no_truncation()
         self.library.no_padding()
         self.fragments = self._cutter()
-        #: White space of other kinds leaves cuts uncertain.
-        self.unusual = re.compile(r"[^\S \n]").search
         self.known: dict[str, tuple[bytes, str]] = {}
         self.older: dict[str, tuple[bytes, str]] = {}
 
@@ -107,7 +108,9 @@ class BoundaryBPE:
         if self.together[np.ix_(range(0x21, 0x7F), [0x20, 0x0A])].any():
             return lambda text: [text]
         joined = "".join(chr(x) for x in range(0x80, 0x10000) if (x & 0x3F | 0x80) in open_ends and not 0xD800 <= x < 0xE000) + ("\U00010000-\U0010ffff" if open_ends else "")
-        more = rf"(?:(?<=[{joined}])[ \n]+[^ \n]*)*" if joined else ""
+        # white space of other kinds is one run with the blanks after it, which the pre-tokenizer splits by what follows, so there is no cut inside
+        joined += "".join(re.escape(chr(x)) for x in range(0x3001) if re.match(r"[^\S \n]", chr(x))) + "\u180e\u200b-\u200d\ufeff"
+        more = rf"(?:(?<=[{joined}])[ \n]+[^ \n]*)*"
         end = r"[ \n]|\Z"
         ways = [rf"[{own}]+(?={end}|[{others}])" for own, others in ((a, b + c), (c, a + b), (b, a + c)) if own]
         return re.compile(rf"[ \n]*(?:{'|'.join([*ways, rf'[^ {chr(92)}n]+{more}'])})|[ \n]+").findall
@@ -129,7 +132,7 @@ class BoundaryBPE:
         """Encoded fragments of a text without special tokens, each as bytes of ids and as decimal text."""
         if not text:
             return []
-        fragments = [text] if self.unusual(text) else self.fragments(text)
+        fragments = self.fragments(text)
         entries = list(map(self.known.get, fragments))
         if None in entries:
             found = self._learn([f for f, x in zip(fragments, entries, strict=True) if x is None])

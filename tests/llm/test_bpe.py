@@ -27,6 +27,16 @@ def test_same_ids_as_the_library(pair):
         assert own.decode(ids) == library.decode(ids, skip_special_tokens=False) == text
 
 
+def test_other_white_space_keeps_the_cuts(pair):
+    library, own = pair
+    blanks = [chr(x) for x in range(0x3001) if chr(x).isspace()] + ["\u180e", "\u200b", "\ufeff", "  ", " \n"]
+    rng = random.Random(7)
+    for _ in range(6000):
+        text = "".join(rng.choice(blanks) if rng.random() < 0.5 else rng.choice(["a", "The", "1", "!", "é", "中", "'s", "x1-"]) for _ in range(rng.randint(1, 10)))
+        assert own.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids, text
+    assert len(own.fragments("one two\tthree four five\u00a0 six seven")) > 4
+
+
 def test_same_text_as_the_library_for_any_ids(pair):
     library, own = pair
     rng = random.Random(6)
