@@ -10,19 +10,23 @@ Layout of a store (all Parquet, below one shared folder):
   (ids before it in the file), `n_tokens`, `keys`, `sizes` and `root`, the Merkle
   root of the document's chunk keys. A file's last row also has `file_root`, the
   Merkle root of the file's document roots.
+- `manifest`: one row: `files`, how many recipe files there are, and `root`, the
+  Merkle root of their roots.
 
 Chunks end where a rolling hash of 16 ids meets a mask, so equal passages give
 equal chunks wherever they stand; no chunk but a document's last has fewer than
 `LEAST` ids and none has more than `MOST`.
 
-Reading checks every chunk against its key and every document against its root.
+Reading checks every chunk against its key, every document against its root, every
+file against its root and all files against the manifest, so nothing can be lost or
+damaged unnoticed.
 `read_digests` never moves payloads: a chunk gives its CRC-32, and the CRC of a
 document follows from those of its chunks by arithmetic in GF(2).
 
 Defined results: a null text is empty (its ids are the end id alone); a null
 doc_id comes first; rows with the same doc_id are kept as documents of their
-own, in the order of their roots; other columns are ignored; an empty table
-gives an empty store.
+own, in the order of their roots; texts of any length are encoded whole; other
+columns are ignored, whatever their names; an empty table gives an empty store.
 """
 
 from __future__ import annotations
@@ -295,6 +299,29 @@ def _write_recipes(spark: SparkSession, path: str) -> None:
             yield held.set_column(7, "file_root", last)
 
     rows.mapInArrow(running, _RECIPES).write.option("compression", "zstd").parquet(f"{path}/recipes")
+    spark.createDataFrame([_manifest(spark, path)], _MANIFEST).coalesce(1).write.parquet(f"{path}/manifest")
+
+
+_MANIFEST = "files long, root binary"
+
+
+def _manifest(spark: SparkSession, path: str) -> tuple[int, bytes]:
+    """How many files of recipes there are, and the Merkle root of their roots; a row a file comes to the driver, one after another."""
+    files, roots = 0, MerkleStream()
+    for row in spark.read.schema(_RECIPES).parquet(f"{path}/recipes").filter("file_root is not null").select("pid", "file_root").orderBy("pid", "file_root").toLocalIterator():
+        files += 1
+        roots.add(bytes(row.file_root))
+    return files, roots.root()
+
+
+def verify(spark: SparkSession, path: str) -> None:
+    """Fail unless all files of recipes are there and meet their roots and the manifest."""
+    stated = spark.read.schema(_MANIFEST).parquet(f"{path}/manifest").first()
+    if stated is None or (stated.files, bytes(stated.root)) != _manifest(spark, path):
+        raise ValueError("files of recipes are missing or don't meet the manifest")
+    broken = [r.pid for r in broken_files(spark, path).take(5)]
+    if broken:
+        raise ValueError(f"files of recipes don't meet their roots: {broken}")
 
 
 def recipes(spark: SparkSession, path: str) -> DataFrame:
@@ -356,7 +383,8 @@ def _exploded(rows: DataFrame) -> DataFrame:
 
 
 def read_digests(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every stored document, from its files; fails if a chunk is lost or damaged or a recipe doesn't meet its root."""
+    """doc_id, start, n_tokens, ids_crc32 of every stored document, from its files; fails if a chunk or a file is lost or damaged or a recipe doesn't meet its root."""
+    verify(spark, path)
     parts = _exploded(recipes(spark, path)).join(_chunk_digests(spark, path), "key", "left")
     docs = parts.groupBy("start", "doc_id", "n_tokens", "root").agg(F.sort_array(F.collect_list(F.struct("pos", "key", "n", "crc"))).alias("parts"))
 
@@ -380,7 +408,8 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start and ids of every stored document, put together from its chunks."""
+    """doc_id, start and ids of every stored document, put together from its chunks, with the same checks."""
+    verify(spark, path)
     chunks = _objects(spark, path, "chunk").select("key", "payload")
     docs = _exploded(recipes(spark, path)).join(chunks, "key", "left").groupBy("start", "doc_id", "n_tokens", "root").agg(F.sort_array(F.collect_list(F.struct("pos", "key", "payload"))).alias("parts"))
 

@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
 
@@ -80,3 +81,34 @@ def test_damage_is_found(spark, tmp_path):
         p.unlink()
     with pytest.raises(Exception, match="can't be rebuilt"):
         ts.read_digests(spark, path).collect()
+
+
+def test_lost_files_are_found(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"text {i} of many") for i in range(60)], "doc_id long, text string").repartition(4)
+    for n, spoil in enumerate(("last", "first", "rows")):
+        path = ts.write_store(docs, PATH, 2, f"file://{tmp_path}/store{n}")
+        ts.verify(spark, path)
+        folder = tmp_path / f"store{n}/recipes"
+        files = sorted(folder.glob("*.parquet"))
+        if spoil == "rows":  # a file that lost a document, but kept its root
+            table = pq.read_table(files[0])
+            pq.write_table(table.slice(1), files[0])
+            for crc in folder.glob(".*.crc"):
+                crc.unlink()
+        else:
+            files[0 if spoil == "first" else -1].unlink()
+        with pytest.raises(ValueError, match="recipes"):
+            ts.read_digests(spark, path)
+
+
+def test_repeated_and_null_ids(spark, tmp_path):
+    library = Tokenizer.from_file(PATH)
+    texts = [(None, "zz"), (3, "a b"), (3, "c"), (3, "a b"), (None, "zz"), (2, "q " * 3000)]
+    docs = spark.createDataFrame([(*t, 1, "x") for t in texts], "doc_id long, text string, n int, kind string").repartition(3)
+    path = ts.write_store(docs, PATH, 2, f"file://{tmp_path}/store")
+    rows = sorted(ts.read_digests(spark, path).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in rows] == [None, None, 2, 3, 3, 3]
+    sizes = [len(library.encode(t, add_special_tokens=False).ids) + 1 for _, t in texts]
+    assert sorted(r.n_tokens for r in rows) == sorted(sizes)
+    assert [r.start for r in rows] == [sum(r.n_tokens for r in rows[:i]) for i in range(len(rows))]
+    assert len({r.ids_crc32 for r in rows}) == 4
