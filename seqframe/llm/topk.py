@@ -1,20 +1,24 @@
 """Operator 7: exact top-k search by tiled matrix products.
 
-Vectors are scaled and floored to integers. Queries are dealt to blocks and
-candidates to shards, both by a hash of their row, so that no tile has more than
-about `BLOCK` x `SHARD` rows whatever the input; each pair of block and shard is
-one tile. A task multiplies the matrices of its tiles, keeps each query's best k
-by partial selection, and the lists of a query are merged in a tree: those of
-`FAN` shards at a time, then the rest, in sorted k-row steps.
+Vectors are scaled and floored to integers. Queries are dealt to blocks of about
+`BLOCK` rows and candidates to shards, both by a hash of their row; each pair of
+block and shard is one tile. A block is what a task holds, a shard only passes by,
+so shards are as large as the number of tasks to keep busy allows, and `SHARD`
+rows at most: a candidate is sent once a block, a query once a shard, and each tile
+gives k rows a query. A task multiplies its queries with a few candidates at a
+time, keeps each query's best k by partial selection among those that reach its
+k-th score, and the lists of a query are merged in a tree, `FAN` shards at a time.
 
 Products are exact: doubles are used where no sum can leave the 53 bits that
 they hold, integers of 64 bits otherwise, and Python's integers beyond.
 
 Defined results: vectors that are null or hold a null or non-finite component
-take no part; vectors of unequal lengths are compared as if the shorter ended in
+take no part, nor do rows with a null id; vectors of unequal lengths are compared as if the shorter ended in
 zeros; ties go to the smaller id; rows with equal ids are candidates of their
-own, but never of a query with their id; a score beyond 64 bits becomes the
-nearest long; other columns are ignored; an empty table gives no rows.
+own, but never of a query with their id; a query id with several different vectors
+has a list for each, equal rows are one query; a score beyond 64 bits becomes the
+nearest long; other columns are ignored, whatever their names; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -27,8 +31,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Rows of a query block and of a candidate shard, about; shards whose lists meet in the first merge.
-BLOCK, SHARD, FAN = 2048, 16_384, 16
+#: Rows of a query block, about, and of a candidate shard, at least and at most about; tiles for each core, if there are enough rows; shards whose lists meet in one merge; products made at once.
+BLOCK, LEAST, SHARD, TILES, FAN, AT_ONCE = 4096, 4096, 1 << 20, 2, 16, 1 << 22
 
 _LONG = (-(1 << 63), (1 << 63) - 1)
 
@@ -86,48 +90,47 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 def _tiles(k: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by tile, queries first; candidates are multiplied as they come, a few thousand at a time."""
-        tile, query_ids, query_rows, kept = None, [], [], {}
+        """Rows come sorted by tile, queries first; candidates are multiplied as they come, a few at a time."""
+        tile, queries, kept = None, [], []
+        at_least = np.zeros(0, np.int64)
 
         def flush() -> Iterator[pa.RecordBatch]:
-            out = [(tile[0], tile[1], q, v, s) for q, (ids, scores) in kept.items() for v, s in zip(ids.tolist(), scores.tolist(), strict=True)]
+            out = [(tile[1], q, h, v, s) for (q, h, _), (ids, scores) in zip(queries, kept, strict=True) for v, s in zip(ids.tolist(), scores.tolist(), strict=True)]
             for i in range(0, len(out), 100_000):
                 cols = list(zip(*out[i : i + 100_000], strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int64())], ["shard", "query_id", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.int64()) for c in cols[1:])], ["shard", "query_id", "query", "vec_id", "score"])
 
         def compare(ids: np.ndarray, rows: list[bytes]) -> None:
-            width = max(map(len, [*query_rows, *rows])) // 8
-            scores = products(_matrix(query_rows, width), _matrix(rows, width))
-            for row, q in zip(scores, query_ids, strict=True):
-                others = ids != q
-                if others.all():
-                    some_ids, some = ids, row
-                else:
-                    some_ids, some = ids[others], row[others]
-                if q in kept:
-                    some_ids, some = np.concatenate([kept[q][0], some_ids]), np.concatenate([kept[q][1], some])
+            width = max(map(len, [*(r for _, _, r in queries), *rows])) // 8
+            scores = products(_matrix([r for _, _, r in queries], width), _matrix(rows, width))
+            for i in np.flatnonzero((scores >= at_least[:, None]).any(axis=1)).tolist():
+                some = np.flatnonzero((scores[i] >= at_least[i]) & (ids != queries[i][0]))
+                some_ids, some = np.concatenate([kept[i][0], ids[some]]), np.concatenate([kept[i][1], scores[i, some]])
                 top = best(some, some_ids, k)
-                kept[q] = some_ids[top], some[top]
+                kept[i] = some_ids[top], some[top]
+                if len(top) == k:
+                    at_least[i] = some[top[-1]]
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             names = np.stack([batch.column(i).to_numpy() for i in range(3)])
-            ids, rows = batch.column(3).to_numpy(), batch.column(4).to_pylist()
+            ids, hashes, rows = batch.column(3).to_numpy(), batch.column(4).to_pylist(), batch.column(5).to_pylist()
             cuts = [0, *(np.flatnonzero((names[:, 1:] != names[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
             for i, j in zip(cuts, cuts[1:], strict=False):
                 here = tuple(names[:2, i].tolist())
                 if here != tile:
                     if tile is not None:
                         yield from flush()
-                    tile, query_ids, query_rows, kept = here, [], [], {}
+                    tile, queries, kept = here, [], []
                 if names[2, i] == 0:
-                    for q, r in zip(ids[i:j].tolist(), rows[i:j], strict=True):
-                        query_ids.append(q)
-                        query_rows.append(r)
-                elif query_ids:
-                    for at in range(i, j, 4096):
-                        compare(ids[at : min(j, at + 4096)], rows[at : min(j, at + 4096)])
+                    queries += zip(ids[i:j].tolist(), hashes[i:j], rows[i:j], strict=True)
+                    kept += [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * (j - i)
+                    at_least = np.full(len(queries), _LONG[0])
+                elif queries:
+                    step = max(1, AT_ONCE // len(queries))
+                    for at in range(i, j, step):
+                        compare(ids[at : min(j, at + step)], rows[at : min(j, at + step)])
         if tile is not None:
             yield from flush()
 
@@ -135,23 +138,29 @@ def _tiles(k: int):
 
 
 def _ranked(rows: DataFrame, k: int, *by: str) -> DataFrame:
-    order = Window.partitionBy("query_id", *by).orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query_id", "query", *by).orderBy(F.desc("score"), "vec_id")
     return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def search(vectors: DataFrame, is_query: Column, k: int, scale: float = 64, key: str = "vec_id", vector: str = "embedding", block: int = BLOCK, shard: int = SHARD) -> DataFrame:
+def tile_counts(queries: int, candidates: int, cores: int, block: int = BLOCK, least: int = LEAST, shard: int = SHARD) -> tuple[int, int]:
+    """How many blocks of queries and shards of candidates there are."""
+    blocks = max(1, -(-queries // block))
+    wanted = -(-TILES * cores // blocks)
+    return blocks, max(1, -(-candidates // shard), min(wanted, -(-candidates // least)))
+
+
+def search(vectors: DataFrame, is_query: Column, k: int, scale: float = 64, key: str = "vec_id", vector: str = "embedding", block: int = BLOCK, least: int = LEAST, shard: int = SHARD) -> DataFrame:
     """query_id, rank, vec_id, score: the k best inner products of every row that `is_query` (a condition on `key`) holds for with all other rows."""
     rows = quantize(vectors, scale, key, vector)
-    total = vectors.count()
-    shards = max(1, -(-total // shard))
+    total, n_queries = vectors.agg(F.count("*"), F.count_if(is_query)).first()
+    blocks, shards = tile_counts(n_queries, total, vectors.sparkSession.sparkContext.defaultParallelism, block, least, shard)
     of_query = rows.withColumnRenamed("id", key).filter(is_query).withColumnRenamed(key, "id").dropDuplicates(["id", "v"])
-    n_queries = vectors.filter(is_query).count()
-    blocks = max(1, -(-n_queries // block))
     # each query goes to every shard and each candidate to every block: tiles, not pairs of rows
     dealt = F.xxhash64("id", "v")
-    queries = of_query.select(F.pmod(dealt, F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(0).alias("role"), "id", "v")
-    others = rows.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(dealt, F.lit(shards)).cast("int").alias("shard"), F.lit(1).alias("role"), "id", "v")
+    queries = of_query.select(F.pmod(dealt, F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(0).alias("role"), "id", F.xxhash64("v").alias("query"), "v")
+    others = rows.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(dealt, F.lit(shards)).cast("int").alias("shard"), F.lit(1).alias("role"), "id", F.lit(0).cast("long").alias("query"), "v")
     tiles = queries.unionByName(others).repartition("block", "shard").sortWithinPartitions("block", "shard", "role")
-    found = tiles.mapInArrow(_tiles(k), "shard int, query_id long, vec_id long, score long")
-    merged = _ranked(found.withColumn("_group", (F.col("shard") / FAN).cast("int")), k, "_group").drop("rank", "_group", "shard")
-    return _ranked(merged, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    found = tiles.mapInArrow(_tiles(k), "shard int, query_id long, query long, vec_id long, score long")
+    while shards > 1:
+        found, shards = _ranked(found.withColumn("shard", (F.col("shard") / FAN).cast("int")), k, "shard").drop("rank"), -(-shards // FAN)
+    return _ranked(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

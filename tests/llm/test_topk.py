@@ -16,13 +16,13 @@ def brute(rows, k):
                 yield q, r, i, -s
 
 
-@pytest.mark.parametrize("block,shard", [(2048, 16384), (3, 7), (1, 40)])
+@pytest.mark.parametrize("block,shard", [(4096, 1 << 20), (3, 7), (1, 40), (5, 2)])
 def test_against_brute_force(spark, block, shard):
     rng = random.Random(block)
     rows = [(i, [float(rng.randint(-3, 3)) / 4 for _ in range(6)]) for i in range(120)]
     rows += [(200, None), (201, [0.1, None] * 3), (205, [float("nan")] * 6), (206, [float("inf")] * 6), (210, rows[3][1]), (211, rows[3][1]), (215, []), (216, [2.0])]
     df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<float>, rank int").repartition(4)
-    found = topk.search(df, F.col("vec_id") % 5 == 0, 9, block=block, shard=shard)
+    found = topk.search(df, F.col("vec_id") % 5 == 0, 9, block=block, least=min(shard, 50), shard=shard)
     assert sorted(tuple(r) for r in found.collect()) == sorted(brute(rows, 9))
 
 
@@ -37,3 +37,21 @@ def test_few_rows(spark):
     one = spark.createDataFrame([(0, [1.0])], "vec_id long, embedding array<float>")
     assert topk.search(one, F.col("vec_id") % 5 == 0, 3).count() == 0
     assert topk.search(one.limit(0), F.col("vec_id") % 5 == 0, 3).count() == 0
+
+
+def test_repeated_queries(spark):
+    """Equal rows are one query, another vector under the same id is a query of its own."""
+    rows = [(5, [1.0, 0.0]), (5, [1.0, 0.0]), (5, [0.0, 1.0]), (None, [9.0, 9.0]), *((i, [i / 4, 3 - i / 4]) for i in (1, 2, 3, 7))]
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], "vec_id long, embedding array<double>, query int, score int").repartition(3)
+    found = sorted(tuple(r) for r in topk.search(df, F.col("vec_id") % 5 == 0, 2).collect())
+    lists = [[(1, 7, 64 * 64 * 7 // 4), (2, 3, 64 * 64 * 3 // 4)], [(1, 1, 64 * 64 * 11 // 4), (2, 2, 64 * 64 * 10 // 4)]]
+    assert found == sorted((5, *x) for rows in lists for x in rows)
+
+
+def test_tiles_follow_the_counts():
+    assert topk.tile_counts(0, 0, 8) == (1, 1)
+    assert topk.tile_counts(50, 1000, 8) == (1, 1)
+    blocks, shards = topk.tile_counts(2500, 50_000, 8)
+    assert (blocks, shards) == (1, 13)
+    blocks, shards = topk.tile_counts(50_000_000, 1_000_000_000, 4000)
+    assert blocks == -(-50_000_000 // topk.BLOCK) and shards == -(-1_000_000_000 // topk.SHARD)
