@@ -20,21 +20,24 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from seqframe.llm.common import bounded_rows, small_batches, stratified_ids, worker_cache
+from seqframe.llm.common import bounded_rows, small_batches, stratified_ids, worker_cache, written
 
 #: Texts a language to learn from; words, and n-grams of a length, that the model keeps a language; longest n-gram.
 EACH, KEPT, LONGEST = 800, 20_000, 5
-#: Unseen words that a Python worker remembers.
-REMEMBERED = 200_000
+#: Unseen words that a Python worker remembers, and the longest of them.
+REMEMBERED, REMEMBERED_LENGTH = 200_000, 120
 UNKNOWN = "und"
 
 _WORDS = re.compile(r"[^\W\d_]+").findall
@@ -65,46 +68,78 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang") -> list[tuple[str, int, str, int, int]]:
-    """Rows (language, n-gram length or 0 for words, token, its count, all counts of that length in the language)."""
-    known = labelled.select(key, text, label).filter(F.col(label).isNotNull() & F.col(text).isNotNull())
-    sample = bounded_rows(known, stratified_ids(known, key, label, EACH, "language").select(key), key)
-    counted = small_batches(sample).select(label, text).mapInArrow(_counts, "lang string, size int, token string, n long").groupBy("lang", "size", "token").agg(F.sum("n").alias("n"))
+#: What training gives: for each language, n-gram length (0 for words) and token its count, and all counts of that length in the language.
+COUNTS = pa.schema([("lang", pa.string()), ("size", pa.int32()), ("token", pa.string()), ("n", pa.int64()), ("total", pa.int64())])
+
+
+def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang") -> pa.Table:
+    """A table of `COUNTS`, of up to `KEPT` tokens a language and length."""
+    known = labelled.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(label).cast("string").alias("lang")).filter("lang is not null and text is not null")
+    sample = bounded_rows(known, stratified_ids(known, "key", "lang", EACH, "language").select("key"), "key")
+    counted = small_batches(sample).select("lang", "text").mapInArrow(_counts, "lang string, size int, token string, n long").groupBy("lang", "size", "token").agg(F.sum("n").alias("n"))
+    counted = written(counted, "language-counts")
     totals = counted.groupBy("lang", "size").agg(F.sum("n").alias("total"))
     place = F.row_number().over(Window.partitionBy("lang", "size").orderBy(F.desc("n"), "token"))
-    kept = counted.withColumn("_nth", place).filter(F.col("_nth") <= KEPT).drop("_nth")
-    return [tuple(r) for r in kept.join(F.broadcast(totals), ["lang", "size"]).select("lang", "size", "token", "n", "total").collect()]
+    kept = counted.withColumn("nth", place).filter(F.col("nth") <= KEPT).drop("nth")
+    return kept.join(F.broadcast(totals), ["lang", "size"]).select("lang", "size", "token", "n", "total").toArrow().cast(COUNTS)
+
+
+#: Languages in alphabetical order and, for each length, tokens and a matrix of their log frequencies by language.
+Tables = tuple[list[str], list[tuple[list[str], np.ndarray]]]
+
+
+def tables(counts: pa.Table) -> Tables:
+    """Log frequencies of `COUNTS`; a token that a language doesn't have gets less than its rarest one there, and -20 where the language has none of that length."""
+    langs = sorted(set(counts.column("lang").to_pylist()))
+    out = []
+    for size in range(LONGEST + 1):
+        some = counts.filter(pc.equal(counts.column("size"), size))
+        lang = np.array([langs.index(x) for x in some.column("lang").to_pylist()], np.int64)
+        tokens = some.column("token").combine_chunks().dictionary_encode()
+        n, total = some.column("n").to_numpy(), some.column("total").to_numpy()
+        matrix = np.full((len(tokens.dictionary), len(langs)), -20.0)
+        present, first = np.unique(lang, return_index=True)
+        matrix[:, present] = np.log(0.5 / (total[first] + 1))
+        matrix[tokens.indices.to_numpy(), lang] = np.log(n / (total + 1))
+        out.append((tokens.dictionary.to_pylist(), matrix))
+    return langs, out
 
 
 class Model:
-    def __init__(self, rows: list[tuple[str, int, str, int, int]]) -> None:
-        self.langs = sorted({r[0] for r in rows})
-        at = {x: i for i, x in enumerate(self.langs)}
-        self.tables: list[dict[str, np.ndarray]] = [{} for _ in range(LONGEST + 1)]
-        floor = np.full((LONGEST + 1, len(self.langs)), -20.0)
-        for lang, size, _, _, total in rows:
-            floor[size, at[lang]] = math.log(0.5 / (total + 1))
-        for lang, size, token, n, total in rows:
-            table = self.tables[size]
-            if token not in table:
-                table[token] = floor[size].copy()
-            table[token][at[lang]] = math.log(n / (total + 1))
-        self.seen: dict[str, np.ndarray] = {}
+    """Log frequencies, with the rows of unseen words that were met beside those of the known ones."""
+
+    def __init__(self, found: Tables) -> None:
+        self.langs, every = found
+        self.grams = [({t: i for i, t in enumerate(tokens)}, matrix) for tokens, matrix in every]
+        self.known = len(every[0][0])
+        self.rows = np.concatenate([every[0][1], np.zeros((1024, len(self.langs)))])
+        self.at: dict[str, int] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.at, self.used = dict(self.grams[0][0]), self.known
 
     def word(self, word: str) -> np.ndarray:
-        if (found := self.tables[0].get(word)) is not None:
-            return found
-        if (found := self.seen.get(word)) is not None:
-            return found
-        found = np.zeros(len(self.langs))
+        """The word's log frequencies, or the mean of those of its longest n-grams of which any is known."""
+        places, matrix = self.grams[0]
+        if (found := places.get(word)) is not None:
+            return matrix[found]
         for size in range(min(LONGEST, len(word) + 2), 0, -1):
-            known = [x for g in grams(word, size) if (x := self.tables[size].get(g)) is not None]
+            places, matrix = self.grams[size]
+            known = [x for g in grams(word, size) if (x := places.get(g)) is not None]
             if known:
-                found = np.mean(known, axis=0)
-                break
-        if len(self.seen) > REMEMBERED:
-            self.seen.clear()
-        self.seen[word] = found
+                return matrix[known].mean(axis=0)
+        return np.zeros(len(self.langs))
+
+    def _place(self, word: str) -> int:
+        if (found := self.at.get(word)) is None:
+            if self.used == len(self.rows):
+                self.rows = np.concatenate([self.rows, np.zeros((len(self.rows) // 2, len(self.langs)))])
+            found = self.used
+            self.rows[found] = self.word(word)
+            self.used += 1
+            if len(word) <= REMEMBERED_LENGTH:
+                self.at[word] = found
         return found
 
     def predict(self, text: str | None) -> tuple[str, float]:
@@ -112,22 +147,33 @@ class Model:
         if not self.langs or not (any(map(str.isalpha, found)) or any(c.isalpha() for w in found for c in w)):
             return UNKNOWN, 0.0
         total = np.zeros(len(self.langs))
-        first, seen, own = self.tables[0].get, self.seen.get, self.word
         for i in range(0, len(found), 4096):
-            rows = [x if (x := first(w)) is not None else y if (y := seen(w)) is not None else own(w) for w in found[i : i + 4096]]
-            total += np.add.reduce(rows)
+            if self.used > self.known + REMEMBERED:
+                self._forget()
+            at = list(map(self.at.get, some := found[i : i + 4096]))
+            if None in at:
+                at = [self._place(w) if x is None else x for w, x in zip(some, at, strict=True)]
+            total += self.rows[at].sum(axis=0)
         best = int(np.argmax(total))
         share = np.exp((total - total[best]) / math.sqrt(len(found)))
         return self.langs[best], float(1 / share.sum())
 
 
-def predict(docs: DataFrame, model: list[tuple[str, int, str, int, int]], key: str = "doc_id", text: str = "text") -> DataFrame:
+def _model(token: str, shared: Broadcast) -> Model:
+    """One model, with what it remembers, for all tasks of a Python worker."""
+    made = worker_cache("language")
+    if token not in made:
+        made.clear()
+        made[token] = Model(shared.value)
+    return made[token]
+
+
+def predict(docs: DataFrame, counts: pa.Table, key: str = "doc_id", text: str = "text") -> DataFrame:
     """`key`, `lang_pred` and `score` (0 to 1) of every row; one map, no shuffle."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, token = docs.sparkSession.sparkContext.broadcast(tables(counts)), uuid.uuid4().hex
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        worker_cache("language")
-        made = Model(shared.value)
+        made = _model(token, shared)
         for batch in batches:
             found = [made.predict(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], [key, "lang_pred", "score"])

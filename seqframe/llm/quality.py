@@ -9,13 +9,16 @@ two layers in numpy gives a logit; a temperature fitted on held-back rows of the
 sample turns it into a probability.
 
 Learning takes a bounded sample: up to `SAMPLE` labelled texts, by a hash of the
-key. The model has up to `TOKENS` tokens and `SHAPES` shapes, so it may be
+key, which stay on the executors. The model has up to `TOKENS` tokens (the most
+frequent; the others count by their shapes) and `SHAPES` shapes, so it may be
 broadcast. Scoring reads every whole text in one map.
 
 Defined results: a null or word-less text has features of zeros and gets the
 score of those; a token outside the model counts by its shape; without labels
 every score is 0.5, and with one kind of label it is that label's; labels that
-are null aren't learned; other columns are ignored; an empty table gives none.
+are null aren't learned, and of a key with several labels or texts the least are;
+texts of any length are read whole; rows with equal or null keys are scored each;
+other columns are ignored or, in `keep`, kept; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -25,16 +28,18 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import islice
 from operator import eq
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from seqframe.llm.common import bounded_rows, small_batches, worker_cache
+from seqframe.llm.common import bounded_rows, small_batches, worker_cache, written
 
 #: Labelled texts to learn from; tokens and shapes in the model; numbers in a vector and non-zero ones in an index vector; neighbours on each side; hidden units.
 SAMPLE, TOKENS, SHAPES, WIDTH, NONZERO, AROUND, HIDDEN = 5000, 20_000, 4000, 64, 6, 2, 24
@@ -42,15 +47,17 @@ SAMPLE, TOKENS, SHAPES, WIDTH, NONZERO, AROUND, HIDDEN = 5000, 20_000, 4000, 64,
 LEAST = 0.3
 #: Features beside the vectors: repeats, distinct tokens, length.
 EXTRA = 3
-#: Tokens that a Python worker remembers.
-REMEMBERED = 150_000
+#: Tokens that a Python worker remembers, and the longest of them.
+REMEMBERED, REMEMBERED_LENGTH = 150_000, 120
+#: Tokens whose neighbours are summed in one go.
+AT_ONCE = 1 << 19
 
 _RUNS = re.compile(r"(?P<A>[A-ZÀ-ÖØ-Þ]+)|(?P<a>[a-zß-öø-ÿ]+)|(?P<n>[0-9]+)|(?P<w>[^\W\d_]+)|(?P<s>(.)\6*)", re.DOTALL)
 
 
 def shape(token: str) -> str:
-    """The token with each run of capitals, small letters, digits or other letters as one sign, and runs of one mark as two at most."""
-    return _RUNS.sub(lambda m: m.lastgroup if m.lastgroup in ("A", "a", "n", "w") else m[0][:2], token)[:24]
+    """The token with each run of capitals, small letters, digits or other letters as one sign, and a run of one mark as that mark, twice."""
+    return _RUNS.sub(lambda m: m.lastgroup if m.lastgroup in ("A", "a", "n", "w") else m[0][0] * min(len(m[0]), 2), token)
 
 
 def index_vectors(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -59,21 +66,36 @@ def index_vectors(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return (raw >> 1) % WIDTH, (raw & 1).astype(np.float64) * 2 - 1
 
 
-def _contexts(docs: list[list[int]], tokens: list[str]) -> np.ndarray:
-    """Context vectors, scaled to length one, of the numbered tokens in the documents."""
-    place, sign = index_vectors(tokens)
-    out = np.zeros(len(tokens) * WIDTH)
-    for start in range(0, len(docs), 500):
-        gap = [-1] * AROUND
-        ids = np.array([x for d in docs[start : start + 500] for x in (*d, *gap)], np.int64)
+class Contexts:
+    """Running sums of the context vectors of numbered tokens; sums of whole numbers, so alike in any order of the documents."""
+
+    def __init__(self, tokens: list[str]) -> None:
+        self.place, self.sign = index_vectors(tokens)
+        self.sums = np.zeros(len(tokens) * WIDTH)
+        self.held: list[int] = []
+
+    def add(self, doc: list[int]) -> None:
+        """A document as numbers of its tokens, -1 for one outside the model."""
+        self.held += doc
+        self.held += [-1] * AROUND
+        if len(self.held) > AT_ONCE:
+            self._sum()
+
+    def _sum(self) -> None:
+        ids, self.held = np.array(self.held, np.int64), []
         for step in range(-AROUND, AROUND + 1):
             near = np.roll(ids, step)
             both = (ids >= 0) & (near >= 0)
             a, b = ids[both], near[both]
             for k in range(NONZERO):
-                out += np.bincount(a * WIDTH + place[b, k], weights=sign[b, k], minlength=len(out))
-    out = out.reshape(len(tokens), WIDTH)
-    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
+                self.sums += np.bincount(a * WIDTH + self.place[b, k], weights=self.sign[b, k], minlength=len(self.sums))
+
+    def vectors(self) -> np.ndarray:
+        """Scaled to length one, and a row of zeros for all other tokens."""
+        self._sum()
+        out = self.sums.reshape(-1, WIDTH)
+        out = out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
+        return np.concatenate([out, np.zeros((1, WIDTH))]).astype(np.float32)
 
 
 @dataclass
@@ -92,10 +114,11 @@ class Model:
     def _place(self, token: str) -> int:
         """A token's row and its shape's, as one number; the last row of each is for all others."""
         t, s = self.tokens.get(token, len(self.tokens)), self.shapes.get(shape(token), len(self.shapes))
-        if len(self.seen) > REMEMBERED:
-            self.seen.clear()
-        self.seen[token] = found = t << 32 | s
-        return found
+        if len(token) <= REMEMBERED_LENGTH:
+            if len(self.seen) > REMEMBERED:
+                self.seen.clear()
+            self.seen[token] = t << 32 | s
+        return t << 32 | s
 
     def features(self, text: str | None) -> np.ndarray:
         tokens = text.split() if text else []
@@ -103,8 +126,8 @@ class Model:
         seen, place = self.seen.get, self._place
         for i in range(0, len(tokens), 16_384):
             at = np.array([x if (x := seen(t)) is not None else place(t) for t in tokens[i : i + 16_384]], np.int64)
-            sums[:WIDTH] += self.token_vectors[at >> 32].sum(axis=0)
-            sums[WIDTH : 2 * WIDTH] += self.shape_vectors[at & 0xFFFFFFFF].sum(axis=0)
+            sums[:WIDTH] += self.token_vectors[at >> 32].sum(axis=0, dtype=np.float64)
+            sums[WIDTH : 2 * WIDTH] += self.shape_vectors[at & 0xFFFFFFFF].sum(axis=0, dtype=np.float64)
         n = max(1, len(tokens))
         sums[2 * WIDTH] = sum(map(eq, tokens, islice(tokens, 1, None)))
         sums[2 * WIDTH + 1] = len(set(tokens))
@@ -146,45 +169,79 @@ def _fit(x: np.ndarray, y: np.ndarray, rounds: int = 400, rate: float = 0.02, de
     return mean, spread, *weights
 
 
-def learn(texts: list[str], labels: list[int]) -> Model:
-    """A model from labelled texts (in a fixed order, so alike on every run)."""
-    y = np.array(labels, float)
-    if len(set(labels)) < 2:
-        return Model({}, {}, np.zeros((1, WIDTH)), np.zeros((1, WIDTH)), None, 1.0, float(y[0]) if len(y) else 0.5)
-    split = [t.split() for t in texts]
-    counts = Counter(t for d in split for t in d)
-    tokens = [t for t, n in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:TOKENS] if n > 2]
-    shape_of = {t: shape(t) for t in counts}
-    shape_counts: Counter[str] = Counter()
-    for t, n in counts.items():
-        shape_counts[shape_of[t]] += n
-    shapes = [s for s, _ in sorted(shape_counts.items(), key=lambda x: (-x[1], x[0]))[:SHAPES]]
-    token_at, shape_at = {t: i for i, t in enumerate(tokens)}, {s: i for i, s in enumerate(shapes)}
-    token_vectors = _contexts([[token_at.get(t, -1) for t in d] for d in split], tokens) if tokens else np.zeros((0, WIDTH))
-    shape_vectors = _contexts([[shape_at.get(shape_of[t], -1) for t in d] for d in split], shapes) if shapes else np.zeros((0, WIDTH))
-    row = np.zeros((1, WIDTH))
-    model = Model(token_at, shape_at, np.concatenate([token_vectors, row]), np.concatenate([shape_vectors, row]), None, 1.0, 0.5)
-    x = np.array([model.features(t) for t in texts])
-    held = np.arange(len(y)) % 5 == 4  # for the temperature
+def fit(x: np.ndarray, y: np.ndarray) -> tuple[tuple[np.ndarray, ...], float]:
+    """The network's layers from features and labels in a fixed order, and the temperature that suits every fifth row best, which the network doesn't see."""
+    held = np.arange(len(y)) % 5 == 4
     if len(set(y[~held])) < 2:
         held[:] = False
-    model.layers = _fit(x[~held], y[~held])
+    layers, temperature = _fit(x[~held], y[~held]), 1.0
     if held.any():
-        raw, options = logits(x[held], model.layers), np.geomspace(0.5, 8, 41)
+        raw, options = logits(x[held], layers), np.geomspace(0.5, 8, 41)
         losses = [-np.mean(np.log(np.maximum(np.where(y[held] > 0, p, 1 - p), 1e-12))) for t in options for p in [sigmoid(raw / t)]]
-        model.temperature = float(options[int(np.argmin(losses))])
-    return model
+        temperature = float(options[int(np.argmin(losses))])
+    return layers, temperature
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Tokens (kind 0) and shapes (kind 1) of texts, counted."""
+    for batch in batches:
+        tokens = Counter(t for value in batch.column(0) for t in value.as_py().split())
+        shapes: Counter[str] = Counter()
+        for t, n in tokens.items():
+            shapes[shape(t)] += n
+        yield pa.RecordBatch.from_arrays([pa.array([0] * len(tokens) + [1] * len(shapes), pa.int32()), pa.array([*tokens, *shapes], pa.string()), pa.array([*tokens.values(), *shapes.values()], pa.int64())], ["kind", "token", "n"])
+
+
+def _marked(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, sample: int) -> DataFrame:
+    """`place` (a hash of the key), `name`, `y` and `text` of up to `sample` labelled keys; of a key's labels and texts the least."""
+    marked = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("y")).filter("y in (0, 1) and key is not null").groupBy("key").agg(F.min("y").alias("y"))
+    texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).filter("key is not null")
+    place = F.xxhash64(F.lit("quality"), "key")
+    picked = texts.select("key").distinct().join(marked, "key").orderBy(place, "key").limit(sample)
+    rows = bounded_rows(texts, picked, "key").filter("text is not null").groupBy("key").agg(F.min("y").alias("y"), F.min("text").alias("text"))
+    return rows.select(place.alias("place"), F.col("key").cast("string").alias("name"), "y", "text")
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> Model:
-    """A model from up to `sample` rows of `docs` that `labels` marks 0 or 1."""
-    marked = labels.select(key, F.col(label).cast("int").alias("_y")).filter(F.col("_y").isin(0, 1) & F.col(key).isNotNull()).dropDuplicates([key])
-    keys = docs.select(key).filter(F.col(key).isNotNull()).distinct().join(marked, key)
-    picked = keys.orderBy(F.xxhash64(F.lit("quality"), key), key).limit(sample)
-    rows = bounded_rows(docs.select(key, text), picked, key).filter(F.col(text).isNotNull()).dropDuplicates([key])
-    # `sample` texts at most come to the driver
-    found = sorted(tuple(r) for r in rows.select(F.xxhash64(F.lit("quality"), key), key, "_y", text).collect())
-    return learn([r[3] for r in found], [r[2] for r in found])
+    """A model from up to `sample` rows of `docs` that `labels` marks 0 or 1.
+
+    Texts stay on the executors: the driver gets the model's tokens, its vectors and the sample's features, all of bounded size.
+    """
+    spark = docs.sparkSession
+    rows = written(small_batches(_marked(docs, labels, key, text, label, sample)), "quality-sample")
+    kinds = [r.y for r in rows.select("y").distinct().collect()]
+    if len(kinds) < 2:
+        return Model({}, {}, np.zeros((1, WIDTH)), np.zeros((1, WIDTH)), None, 1.0, float(kinds[0]) if kinds else 0.5)
+    counted = rows.select("text").mapInArrow(_counts, "kind int, token string, n long").groupBy("kind", "token").agg(F.sum("n").alias("n"))
+    most = Window.partitionBy("kind").orderBy(F.desc("n"), "token")
+    found = counted.filter("kind = 1 or n > 2").withColumn("nth", F.row_number().over(most)).filter(F.col("nth") <= F.when(F.col("kind") == 0, TOKENS).otherwise(SHAPES)).orderBy("kind", "nth").select("kind", "token").toArrow()
+    names = [found.filter(pc.equal(found.column("kind"), k)).column("token").to_pylist() for k in (0, 1)]
+    known = spark.sparkContext.broadcast(names)
+
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, shapes = ({t: i for i, t in enumerate(x)} for x in known.value)
+        sums = [Contexts(x) for x in known.value]
+        for batch in batches:
+            for value in batch.column(0):
+                split = value.as_py().split()
+                sums[0].add([tokens.get(t, -1) for t in split])
+                sums[1].add([shapes.get(shape(t), -1) for t in split])
+        yield pa.RecordBatch.from_arrays([pa.array([x.vectors().tobytes()], pa.binary()) for x in sums], ["tokens", "shapes"])
+
+    # one task, as the sample is bounded: its texts pass through one after another, and only the sums stay
+    raw = rows.select("text").coalesce(1).mapInArrow(contexts, "tokens binary, shapes binary").first()
+    vectors = [np.frombuffer(x, np.float32).reshape(-1, WIDTH) for x in raw]
+    model = Model({t: i for i, t in enumerate(names[0])}, {t: i for i, t in enumerate(names[1])}, *vectors, None, 1.0, 0.5)
+    shared = spark.sparkContext.broadcast(model)
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([shared.value.features(t.as_py()).tobytes() for t in batch.column(3)], pa.binary())], ["place", "name", "y", "x"])
+
+    learned = rows.mapInArrow(features, "place long, name string, y int, x binary").toArrow().sort_by([("place", "ascending"), ("name", "ascending")])  # `sample` rows at most
+    x = np.frombuffer(b"".join(learned.column("x").to_pylist())).reshape(-1, 2 * WIDTH + EXTRA)
+    layers, temperature = fit(x, learned.column("y").to_numpy().astype(float))
+    return replace(model, layers=layers, temperature=temperature)
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -1,6 +1,7 @@
 import math
 import random
 
+import pyarrow as pa
 import pytest
 
 from seqframe.llm import language, quality
@@ -22,14 +23,15 @@ def test_held_out_languages(spark, docs):
 
 
 def test_backoff_by_hand():
-    model = language.Model([("a", 0, "known", 3, 10), ("b", 0, "known", 1, 10), ("a", 2, "ab", 1, 4), ("b", 2, "ab", 3, 4), ("b", 1, "z", 1, 2)])
+    rows = [("a", 0, "known", 3, 10), ("b", 0, "known", 1, 10), ("a", 2, "ab", 1, 4), ("b", 2, "ab", 3, 4), ("b", 1, "z", 1, 2)]
+    model = language.Model(language.tables(pa.table([list(x) for x in zip(*rows, strict=True)], schema=language.COUNTS)))
     assert model.word("known").tolist() == pytest.approx([math.log(3 / 11), math.log(1 / 11)])
     assert model.word("xaby").tolist() == pytest.approx([math.log(1 / 5), math.log(3 / 5)])  # no longer n-gram is known
     assert model.word("z").tolist() == pytest.approx([-20.0, math.log(1 / 3)])
     assert model.word("q").tolist() == [0, 0]
     assert model.predict("Known known!")[0] == "a" and model.predict("xaby")[0] == "b"
     assert model.predict(None) == model.predict("") == model.predict("12 _ ?! ²") == (language.UNKNOWN, 0.0)
-    assert language.Model([]).predict("text") == (language.UNKNOWN, 0.0)
+    assert language.Model(language.tables(language.COUNTS.empty_table())).predict("text") == (language.UNKNOWN, 0.0)
 
 
 def test_language_edges(spark, docs):
@@ -37,8 +39,9 @@ def test_language_edges(spark, docs):
     odd = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double")
     model = language.train(odd)
     assert [(r.doc_id, r.lang_pred) for r in language.predict(odd, model).collect()] == [(1, "und"), (None, "und"), (3, "en"), (3, "en"), (5, "de")]
-    assert language.train(odd.limit(0)) == [] and language.predict(odd.limit(0), model).count() == 0
-    assert {r.lang_pred for r in language.predict(odd, []).collect()} == {"und"}
+    none = language.train(odd.limit(0))
+    assert none.num_rows == 0 and language.predict(odd.limit(0), model).count() == 0
+    assert {r.lang_pred for r in language.predict(odd, none).collect()} == {"und"}
 
 
 def test_held_out_quality(spark, docs):
