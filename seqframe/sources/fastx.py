@@ -40,7 +40,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
-from seqframe.sources.files import found, is_gzip, opened, store_of
+from seqframe.sources.files import found, is_gzip, opened, reached, store_of
 
 #: Bytes of a piece.
 SPLIT_BYTES = 64 << 20
@@ -221,7 +221,7 @@ def read_fastx(spark: SparkSession, *paths: str, columns: list[str] | None = Non
     register(spark)
     fields = {f.name: f for f in SCHEMA.fields}
     wanted = columns or list(fields)
-    source = spark.read.format("fastx").option("malformed", malformed).option("paths", json.dumps(list(paths)))
+    source = spark.read.format("fastx").option("malformed", malformed).option("paths", json.dumps([reached(spark, p) for p in paths]))
     if layout == "any" or malformed == "stop":
         return source.schema(StructType([fields[c] for c in wanted])).load()
     source = source.option("layout", layout).option("split_bytes", split_bytes)

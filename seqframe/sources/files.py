@@ -1,4 +1,7 @@
-"""Files, their sizes, and lines of text whose compression is told by content.
+"""Files, their sizes, and lines of text whose compression is told by content.
+
+`reached` copies what only the driver can read (a web or FTP address, standard input) once to the shared folder; all else is a path
+of Spark's and pyarrow's file systems. Commands are not run.
 
 Spark's text reader goes by a file's name: gzip without its ending gives garbage, and plain text with it an error. `text_lines` looks at the first
 two bytes of each file. Files whose name tells the truth are Spark's, split where they are plain; only the others go
@@ -10,6 +13,9 @@ from __future__ import annotations
 import gzip
 import io
 import json
+import sys
+import urllib.parse
+import urllib.request
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from typing import BinaryIO
@@ -21,6 +27,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StringType, StructField, StructType
 from pyspark.sql.utils import AnalysisException
 
+from seqframe.plans.scratch import new_folder
+
 GZIP = b"\x1f\x8b"
 #: Files looked at together; bytes of lines that are sent at once.
 TOGETHER, AT_ONCE = 32, 4 << 20
@@ -76,6 +84,37 @@ def file_sizes(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(rows, "file string, bytes long")
 
 
+class _NoRedirect(urllib.request.HTTPRedirectHandler):
+    def redirect_request(self, *_: object) -> None:
+        return None
+
+
+def copied(spark: SparkSession, stream: BinaryIO, name: str) -> str:
+    """The path of a copy of a stream in the folder that the driver and all executors share."""
+    path = f"{new_folder(spark, 'copied')}/{name}"
+    store, inner = store_of(path)
+    store.create_dir(inner.rpartition("/")[0])
+    with store.open_output_stream(inner, compression=None) as out:
+        while some := stream.read(AT_ONCE):
+            out.write(some)
+    return path
+
+
+def reached(spark: SparkSession, name: str) -> str:
+    """The path of what `name` names: itself, or a copy of `-` (standard input), an `http(s)://` or an `ftp://` address.
+
+    A proxy in the environment is used; an answer other than 200, a redirect among them, is an error.
+    """
+    if name == "-":
+        return copied(spark, sys.stdin.buffer, "stdin")
+    if not name.startswith(("http://", "https://", "ftp://")):
+        return name
+    with urllib.request.build_opener(_NoRedirect).open(name, timeout=60) as stream:
+        if getattr(stream, "status", None) not in (None, 200):
+            raise OSError(f"{name}: status {stream.status}")
+        return copied(spark, stream, urllib.parse.urlsplit(name).path.rpartition("/")[2] or "copy")
+
+
 class _File(InputPartition):
     def __init__(self, path: str) -> None:
         self.path = path
@@ -110,7 +149,8 @@ class LinesSource(DataSource):
 
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
-    """`value`, the lines of the file, or of the files below the folder, at `path`, whether or not its name says that they are compressed."""
+    """`value`, the lines of the file, or of the files below the folder, at `path` (see `reached`), whether or not its name says that they are compressed."""
+    path = reached(spark, path)
     try:
         every = [p for p, _ in found([path])]
     except (ValueError, OSError):  # a store that only Spark's readers reach: the name must tell

@@ -1,6 +1,8 @@
 import gzip
+import http.server
 import io
 import random
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -158,3 +160,33 @@ def test_sam_by_content(spark, tmp_path):
     lines = read_sam(spark, f"{tmp_path}/x.sam")
     assert [(r.qname, r.pos) for r in parse_records(lines).collect()] == [("q", 7)]
     assert sorted((r.qname, r.pos) for r in parse_records(lines, blank="zero").collect()) == [("", 0), ("q", 7)]
+
+
+def test_addresses_and_standard_input(spark, tmp_path, monkeypatch):
+    """Over a server on this machine: only what answers 200 is read, and redirects aren't followed."""
+    data = gzip.compress(b"@a\nAC\n+\nII\n")
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            self.send_response({"/x.fq": 200, "/moved": 302}.get(self.path, 404))
+            if self.path == "/moved":
+                self.send_header("Location", "/x.fq")
+            self.end_headers()
+            if self.path == "/x.fq":
+                self.wfile.write(data)
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    top = f"http://127.0.0.1:{server.server_port}"
+    try:
+        assert [r.name for r in read_fastx(spark, f"{top}/x.fq").collect()] == ["a"]
+        for path in ("moved", "none"):
+            with pytest.raises(OSError):
+                read_fastx(spark, f"{top}/{path}")
+    finally:
+        server.shutdown()
+    monkeypatch.setattr("sys.stdin", io.TextIOWrapper(io.BytesIO(b"one\ntwo\n")))
+    assert [r.value for r in read_lines(spark, "-").orderBy("line_no").collect()] == ["one", "two"]
