@@ -1,8 +1,8 @@
 """Groups of equal or similar pieces of text: MinHash candidates, exact Jaccard similarity, union-find.
 
 A `Kind` says how a text is cut into pieces, what a piece's normal form is, and what its shingles are. Equal normal forms
-are one piece, named by a 128-bit hash; half of it is enough to find groups, as pieces that share a half only meet there once
-more. `signed`, `links` and `components` of `links` are the steps; operator 8 uses them for lines, the near-duplicate stage of the
+are one piece, named by a 128-bit hash; a short name of 64 bits is enough to find groups, as pieces that share one only meet
+there once more. `signed`, `links` and `components` of `links` are the steps; operator 8 uses them for lines, the near-duplicate stage of the
 pipeline for whole documents.
 
 Defined results: a null or blank text has no pieces with a name; equal pieces are one, however many rows have them; a piece of
@@ -12,6 +12,7 @@ are ignored or kept, whatever their names; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import partial
@@ -19,11 +20,11 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from seqframe.llm.common import give_back, hot_keys, row_columns, small_batches, spread_join, with_facts, worker_cache, written
+from seqframe.llm.common import HOT, give_back, row_columns, small_batches, spread_join, threshold, with_facts, worker_cache, written
 from seqframe.llm.components import Forest, components
 
 #: Characters of a line's shingle and words of a document's; least Jaccard similarity; bands and rows of a signature.
@@ -37,6 +38,8 @@ BLOCK_CHARS, MOST_BITS = 1 << 20, 1 << 26
 REMEMBERED, AT_ONCE, MANY = 400_000, 1 << 18, 2048
 #: Characters whose windows are hashed in one go, so that the steps stay in a core's cache.
 IN_CACHE = 1 << 15
+#: Pieces and characters up to which a group is compared by sets, which is faster there than arrays.
+FEW_PIECES, FEW_CHARS = 8, 8000
 
 _BINS = BANDS * ROWS
 _EMPTY = np.uint32(0xFFFFFFFF)
@@ -126,61 +129,93 @@ def _powers(factor: np.uint64, n: int) -> np.ndarray:
     return found[:n]
 
 
+def shingle_set(piece: str, size: int = SHINGLE) -> set[str]:
+    """The shingles themselves; a shorter piece is one."""
+    return {piece[i : i + size] for i in range(len(piece) - size + 1)} if len(piece) > size else {piece}
+
+
+def word_set(piece: str) -> set[tuple[str, ...]]:
+    words = piece.split(" ")
+    return {tuple(words[i : i + WORDS]) for i in range(max(1, len(words) - WORDS + 1))}
+
+
+#: Hashes of shingles and how many each piece has, of many pieces at once.
+Hashes = Callable[[list[str]], tuple[np.ndarray, np.ndarray]]
+
+fine_shingles = partial(shingles, size=FINE)
+fine_set = partial(shingle_set, size=FINE)
+
+
 @dataclass(frozen=True)
 class Kind:
-    """`fine`, if given, are the second shingles of pieces of `SHINGLE` to `SHORT` characters: two such are also alike if alike by these."""
+    """`fine`, if given, are the second shingles of pieces of `SHINGLE` to `SHORT` characters: two such are also alike if alike by these. The sets are of the same shingles, unhashed."""
 
     cut: Callable[[str], list[str]]
-    shingles: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]
-    fine: Callable[[list[str]], tuple[np.ndarray, np.ndarray]] | None = None
+    shingles: Hashes
+    set_of: Callable[[str], set]
+    fine: Hashes | None = None
+    fine_set_of: Callable[[str], set] | None = None
 
     def has_fine(self, piece: str) -> bool:
         return self.fine is not None and SHINGLE <= len(piece) <= SHORT
 
 
-fine_shingles = partial(shingles, size=FINE)
-
-
 #: For each bin, all bins in an order of its own.
 _ORDERS = np.argsort(np.random.default_rng(1).random((_BINS, _BINS)), axis=1)
 
 
-def _borrowed(least: np.ndarray) -> np.ndarray:
-    """`least` with each empty bin given the value of the first full one in its own order, so that the bins of a band differ in what they borrow, however few shingles a piece has."""
-    full = least != _EMPTY
-    out = least.copy()
-    piece, place = np.nonzero(~full & full.any(axis=1)[:, None])
+def _filled(least: np.ndarray, few: bool) -> np.ndarray:
+    """`least` with each empty bin given another's value: that of the next full one and how far it is, or with `few` the first full one in the bin's own order, so that the bins of a band differ in what they borrow, however few shingles a piece has."""
+    out = least.astype(np.uint64)
+    piece, place = np.nonzero(least == _EMPTY)
     for step in range(_BINS):
         if not len(piece):
             break
-        other = _ORDERS[place, step]
-        good = full[piece, other]
-        out[piece[good], place[good]] = least[piece[good], other[good]]
+        other = _ORDERS[place, step] if few else (place + step) % _BINS
+        found = least[piece, other]
+        good = found != _EMPTY
+        out[piece[good], place[good]] = found[good].astype(np.uint64) + (np.uint64(0) if few else np.uint64(step * 0x1000193))
         piece, place = piece[~good], place[~good]
     return out
 
 
-def band_keys(lines: list[str], hashes: Callable[[list[str]], tuple[np.ndarray, np.ndarray]] = shingles, few: bool = False) -> np.ndarray:
-    """Band keys of each piece, `BANDS` signed 64-bit numbers; `few`: pieces have few shingles, and common ones, so a key must not hang on one of them."""
-    h, counts = hashes(lines)
-    owner = np.repeat(np.arange(len(lines)) * _BINS, counts)
+def _least_of_windows(pieces: list[str], size: int) -> np.ndarray:
+    """The least hash in each bin of each piece's shingles of `size` characters."""
+    padded = [x if len(x) >= size else x.ljust(size, "\0") for x in pieces]
+    codes = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), "<u4")
+    sizes = np.fromiter(map(len, padded), np.int64, len(padded))
+    row = np.repeat(np.arange(len(pieces)) * _BINS, sizes)
+    row[(np.cumsum(sizes)[:, None] - np.arange(1, size)).ravel()] = len(pieces) * _BINS  # windows that reach into the next piece
+    out = np.full((len(pieces) + 1) * _BINS, _EMPTY)
+    for start in range(0, len(codes) - size + 1, IN_CACHE):
+        h = _windows(codes[start : start + IN_CACHE + size - 1], size)
+        at = ((h >> np.uint64(32)) * np.uint64(_BINS) >> np.uint64(32)).astype(np.int64)
+        at += row[start : start + len(h)]
+        np.minimum.at(out, at, h.astype(np.uint32))
+    return out[:-_BINS].reshape(-1, _BINS)
+
+
+def _least(pieces: list[str], hashes: Hashes) -> np.ndarray:
+    """The same of any shingles."""
+    h, counts = hashes(pieces)
+    row = np.repeat(np.arange(len(pieces)) * _BINS, counts)
     bins = ((h >> np.uint64(32)) * np.uint64(_BINS) >> np.uint64(32)).astype(np.int64)
-    least = np.full(len(lines) * _BINS, _EMPTY)
-    np.minimum.at(least, owner + bins, h.astype(np.uint32))
-    least = least.reshape(-1, _BINS)
-    if few:
-        values = _borrowed(least).astype(np.uint64)
-    else:
-        # a bin that got nothing takes the value of the next that did, and how far that is
-        twice = np.concatenate([least, least], axis=1)[:, ::-1]
-        place = np.where(twice != _EMPTY, np.arange(2 * _BINS), -1)
-        source = np.maximum.accumulate(place, axis=1)[:, ::-1][:, :_BINS]
-        source = 2 * _BINS - 1 - source
-        far = source - np.arange(_BINS)
-        values = np.take_along_axis(least, source % _BINS, axis=1).astype(np.uint64) + far.astype(np.uint64) * np.uint64(0x1000193)
-    keys = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F), (len(lines), BANDS)).copy()
-    for row in values.reshape(len(lines), BANDS, ROWS).transpose(2, 0, 1):
-        keys = (keys ^ row) * np.uint64(0x9E3779B97F4A7C15)
+    out = np.full(len(pieces) * _BINS, _EMPTY)
+    np.minimum.at(out, row + bins, h.astype(np.uint32))
+    return out.reshape(-1, _BINS)
+
+
+_WINDOWS = {shingles: SHINGLE, fine_shingles: FINE}
+
+
+def band_keys(pieces: list[str], hashes: Hashes = shingles, few: bool = False) -> np.ndarray:
+    """Band keys of each piece, `BANDS` signed 64-bit numbers; `few`: pieces have few shingles, and common ones, so a key must not hang on one of them."""
+    least = _least_of_windows(pieces, _WINDOWS[hashes]) if hashes in _WINDOWS and pieces else _least(pieces, hashes)
+    values = _filled(least, few)
+    keys = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F), (len(pieces), BANDS)).copy()
+    for row in values.reshape(len(pieces), BANDS, ROWS).transpose(2, 0, 1):
+        keys ^= row
+        keys *= np.uint64(0x9E3779B97F4A7C15)
         keys ^= keys >> np.uint64(30)
     return keys.view(np.int64)
 
@@ -193,7 +228,7 @@ def _groups(sizes: Iterable[int]) -> Iterator[tuple[int, int]]:
             yield start, end
             start, held = end, 0
         held += size
-    if start <= end and held:
+    if held:
         yield start, end + 1
 
 
@@ -209,13 +244,42 @@ def _bands(pieces: list[str], kind: Kind) -> tuple[np.ndarray, np.ndarray]:
     return flat, ends
 
 
+#: Bits of a short name that are a hash; those above tell about how long the piece is, in steps of `STEP`.
+HASH_BITS, STEP = 56, 1.2
+
+
+def short_names(names: list[bytes], sizes: Iterable[int]) -> np.ndarray:
+    """For each name a positive 64-bit number to find groups by, which holds the piece's length, up to a fifth too large."""
+    hashes = np.frombuffer(b"".join(names), "<u8")[::2] >> np.uint64(64 - HASH_BITS)
+    steps = np.ceil(np.log(np.fromiter(sizes, np.float64, len(names)) + 1) / math.log(STEP))
+    return (np.minimum(steps, 127).astype(np.uint64) << np.uint64(HASH_BITS) | hashes).view(np.int64)
+
+
+def chars_of(line: Column) -> Column:
+    """About how many characters the piece of a short name has."""
+    return F.pow(F.lit(STEP), F.shiftright(line, HASH_BITS))
+
+
+#: Bits of a band key that name the bucket it is counted in.
+BUCKET_BITS = 16
+
+
 def signed(docs: DataFrame, kind: Kind, key: str, text: str) -> DataFrame:
-    """`doc_id`, `h1`, `h2` (a row's identity, see `row_columns`), `names` (of a text's pieces, null for blank ones) and `fresh` (half a name, characters and band keys of pieces that the task hadn't seen)."""
+    """`doc_id`, `h1`, `h2` (a row's identity, see `row_columns`), `names` (of a text's pieces, null for blank ones), `fresh` (short name and band keys of pieces that the task hadn't seen) and `heavy`.
+
+    `heavy`, in a task's last row, are the buckets that have 1/HOT of the task's band keys or more: a key that has that share of all
+    has it in some task.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_cache("alike")
         sent: set[bytes] = set()
+        counts, held = np.zeros(1 << BUCKET_BITS, np.int64), None
         for batch in batches:
+            if not batch.num_rows:
+                continue
+            if held is not None:
+                yield held
             names: list[bytes | None] = []
             ends, places, fresh = [0], [], []
             for value in batch.column(3).to_pylist():
@@ -232,18 +296,22 @@ def signed(docs: DataFrame, kind: Kind, key: str, text: str) -> DataFrame:
                         names.append(None)
                 ends.append(len(names))
             flat, starts = _bands(fresh, kind)
-            halves = np.frombuffer(b"".join([names[i][:8] for i in places]), "<i8")
+            counts += np.bincount(flat.view(np.uint64) >> np.uint64(64 - BUCKET_BITS), minlength=len(counts))
             bands = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(flat, pa.int64()))
-            structs = pa.StructArray.from_arrays([pa.array(halves, pa.int64()), pa.array(list(map(len, fresh)), pa.int32()), bands], ["line", "chars", "bands"])
+            structs = pa.StructArray.from_arrays([pa.array(short_names([names[i] for i in places], map(len, fresh)), pa.int64()), bands], ["line", "bands"])
             new = pa.ListArray.from_arrays(pa.array(np.searchsorted(np.array(places, np.int64), ends), pa.int32()), structs)
             named = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(names, pa.binary()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], named, new], ["doc_id", "h1", "h2", "names", "fresh"])
+            heavy = pa.nulls(batch.num_rows, pa.list_(pa.int32()))
+            held = pa.RecordBatch.from_arrays([*batch.columns[:3], named, new, heavy], ["doc_id", "h1", "h2", "names", "fresh", "heavy"])
+        if held is not None:
+            heavy = np.flatnonzero((counts > 0) & (counts * HOT >= counts.sum())).tolist()
+            yield held.set_column(5, "heavy", pa.array([None] * (held.num_rows - 1) + [heavy], pa.list_(pa.int32())))
         sent.clear()
         give_back()
 
     doc_id = docs.schema[key].dataType.simpleString()
     rows = small_batches(docs).select(*row_columns(f"`{key}`", f"`{text}`"), F.col(f"`{text}`").alias("text"))
-    return written(rows.mapInArrow(work, f"doc_id {doc_id}, h1 long, h2 int, names array<binary>, fresh array<struct<line: long, chars: int, bands: array<long>>>"), "signatures")
+    return written(rows.mapInArrow(work, f"doc_id {doc_id}, h1 long, h2 int, names array<binary>, fresh array<struct<line: long, bands: array<long>>>, heavy array<int>"), "signatures")
 
 
 def _bitmap(lines: DataFrame) -> tuple[int, np.ndarray]:
@@ -259,7 +327,7 @@ def _bitmap(lines: DataFrame) -> tuple[int, np.ndarray]:
 
 
 def _texts(docs: DataFrame, lines: DataFrame, kind: Kind, text: str) -> DataFrame:
-    """`line`, `name` and `value`, the normal form, of the pieces whose half names are in `lines` (and of few others)."""
+    """`line`, `name` and `value`, the normal form, of the pieces whose short names are in `lines` (and of few others)."""
     shared = docs.sparkSession.sparkContext.broadcast(_bitmap(lines))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,7 +337,7 @@ def _texts(docs: DataFrame, lines: DataFrame, kind: Kind, text: str) -> DataFram
             for at in range(0, batch.num_rows, 512):
                 values = [x for t in batch.column(0).slice(at, 512).to_pylist() if t for piece in kind.cut(t) if (x := normal(piece))]
                 names = list(map(name_of, values))
-                halves = np.frombuffer(b"".join(names), "<i8")[::2]
+                halves = short_names(names, map(len, values))
                 place = halves % bits
                 out = []
                 for k in np.flatnonzero(bitmap[place >> 6] >> (place & 63).astype(np.uint64) & np.uint64(1)).tolist():
@@ -285,15 +353,29 @@ def _texts(docs: DataFrame, lines: DataFrame, kind: Kind, text: str) -> DataFram
     return small_batches(docs).select(f"`{text}`").mapInArrow(work, "line long, name binary, value string")
 
 
-def similar_links(values: list[str], least: float = LEAST, hashes: Callable[[list[str]], tuple[np.ndarray, np.ndarray]] = shingles) -> Iterator[tuple[int, np.ndarray]]:
-    """Places (i, those newly reached from i) of a spanning forest of the links among lines, by exact Jaccard similarity."""
+def set_links(sets: list[set], least: float = LEAST) -> Iterator[tuple[int, list[int]]]:
+    """Places (i, those newly reached from i) of a spanning forest of the links among sets, by exact Jaccard similarity."""
+    left = list(range(len(sets)))
+    while len(left) > 1:
+        queue = [left.pop(0)]
+        while queue and left:
+            i = queue.pop()
+            near = []
+            for j in left:
+                n, m = len(sets[i]), len(sets[j])
+                if min(n, m) >= least * max(n, m):
+                    both = len(sets[i] & sets[j])
+                    if both >= least * (n + m - both):
+                        near.append(j)
+            if near:
+                left = [j for j in left if j not in near]
+                queue += near
+                yield i, near
+
+
+def similar_links(values: list[str], least: float = LEAST, hashes: Hashes = shingles) -> Iterator[tuple[int, np.ndarray]]:
+    """The same among pieces, by the hashes of their shingles; for groups with many or long ones."""
     h, counts = hashes(values)
-    if len(values) == 2:  # most groups
-        one, other = np.unique(h[: counts[0]]), np.unique(h[counts[0] :])
-        both = len(np.intersect1d(one, other, assume_unique=True))
-        if both >= least * (len(one) + len(other) - both):
-            yield 0, np.array([1])
-        return
     owner = np.repeat(np.arange(len(values)), counts)
     order = np.lexsort((h, owner))
     h, owner = h[order], owner[order]
@@ -321,7 +403,7 @@ def similar_links(values: list[str], least: float = LEAST, hashes: Callable[[lis
                 queue.extend(reached.tolist())
                 left_codes = left_codes[np.repeat(~near, left_sizes)]
                 left, left_sizes = left[~near], left_sizes[~near]
-                yield i, reached
+                yield i, reached.tolist()
 
 
 def _linked(kind: Kind, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -335,15 +417,16 @@ def _linked(kind: Kind, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
         if len(names) < 2 or len(names) == 2 and forest.root(names[0]) == forest.root(names[1]):
             return []
         short = [i for i, x in enumerate(values) if kind.has_fine(x)]
-        ways = [(kind.shingles, range(len(values))), (kind.fine, short)]
+        ways = [(kind.shingles, kind.set_of, range(len(values))), (kind.fine, kind.fine_set_of, short)]
+        small = len(values) <= FEW_PIECES and sum(map(len, values)) <= FEW_CHARS
         found, linked = [], 0
-        for hashes, some in ways[::-1] if len(short) == len(values) else ways:
+        for hashes, set_of, some in ways[::-1] if len(short) == len(values) else ways:
             if linked == len(values) - 1 or len(some) < 2:  # all are in one component already, or none can be joined
                 continue
-            linked = 0
-            for i, reached in similar_links([values[k] for k in some], hashes=hashes):
+            linked, those = 0, [values[k] for k in some]
+            for i, reached in set_links(list(map(set_of, those))) if small else similar_links(those, hashes=hashes):
                 linked += len(reached)
-                found += [(names[some[i]], names[some[j]]) for j in reached.tolist() if forest.join(names[some[i]], names[some[j]])]
+                found += [(names[some[i]], names[some[j]]) for j in reached if forest.join(names[some[i]], names[some[j]])]
         return found
 
     def rows(made: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
@@ -372,17 +455,23 @@ def _linked(kind: Kind, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
 
 
 def _met(signatures: DataFrame) -> DataFrame:
-    """`hub`, `line`, `chars`: which half names meet in which group, that of the smallest under a band key they share.
+    """`hub`, `line`: which short names meet in which group, that of the smallest under a band key they share.
 
-    Band keys that over 1/HOT of all have are counted apart, and their groups are found by broadcast; all others are ordered by key.
+    Band keys that over 1/HOT of all have are counted apart, in the buckets that are heavy in some task, and their groups are found
+    by broadcast; all others are ordered by key.
     """
-    fresh = signatures.select(F.explode("fresh").alias("f")).select(F.col("f.line").alias("line"), F.col("f.chars").alias("chars"), F.explode("f.bands").alias("band"))
+    fresh = signatures.select(F.explode("fresh").alias("f")).select(F.col("f.line").alias("line"), F.explode("f.bands").alias("band"))
     under = Window.partitionBy("band")
-    hot = hot_keys(fresh, "band", F.min("line").alias("hub"), F.max("line").alias("_last"))
-    rest = fresh if hot is None else fresh.join(F.broadcast(hot.select("band")), "band", "left_anti")
-    met = rest.withColumn("hub", F.min("line").over(under)).withColumn("_last", F.max("line").over(under)).filter("hub < _last").select("hub", "line", "chars")
+    rest, hot = fresh, None
+    heavy = [r.b for r in signatures.select(F.explode("heavy").alias("b")).distinct().collect()]  # a number of buckets that is fixed
+    if heavy:
+        many = F.lit(threshold(fresh.count()))
+        counted = fresh.filter(F.shiftrightunsigned("band", 64 - BUCKET_BITS).isin(heavy)).groupBy("band")
+        hot = written(counted.agg(F.count("*").alias("n"), F.min("line").alias("hub"), F.max("line").alias("last")).filter(F.col("n") > many).drop("n"), "hot-bands")
+        rest = fresh.join(F.broadcast(hot.select("band")), "band", "left_anti")  # HOT rows at most
+    met = rest.withColumn("hub", F.min("line").over(under)).withColumn("last", F.max("line").over(under)).filter("hub < last").select("hub", "line")
     if hot is not None:
-        met = met.unionByName(fresh.join(F.broadcast(hot), "band").filter("hub < _last").select("hub", "line", "chars"))
+        met = met.unionByName(fresh.join(F.broadcast(hot), "band").filter("hub < last").select("hub", "line"))
     return written(met.distinct(), "groups")
 
 
@@ -390,8 +479,8 @@ def links(docs: DataFrame, signatures: DataFrame, kind: Kind, text: str, block_c
     """Links a, b between names that join all pieces that share a band key and have a Jaccard similarity of `LEAST` or more by either shingles."""
     met = _met(signatures)
     values = _texts(docs, met.select("line").distinct(), kind, text).groupBy("line", "name").agg(F.min("value").alias("value"))
-    sizes = met.groupBy("hub").agg(F.ceil(F.sum(F.col("chars") + F.lit(1)) / block_chars).cast("long").alias("blocks"), F.count("*").alias("_n"))
-    group = spread_join(met, sizes, "hub", met.count()).drop("chars").join(values, "line")
+    sizes = met.groupBy("hub").agg(F.ceil(F.sum(chars_of(F.col("line"))) / block_chars).cast("long").alias("blocks"), F.count("*").alias("_n"))
+    group = spread_join(met, sizes, "hub", met.count()).join(values, "line")
     group = group.withColumn("_own", F.pmod(F.xxhash64("name"), F.col("blocks"))).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     group = group.select("hub", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), "name", "value")
     return group.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j").mapInArrow(partial(_linked, kind), "a binary, b binary")
@@ -402,7 +491,7 @@ def whole(text: str) -> list[str]:
 
 
 #: Whole documents by windows of `WORDS` words, and the characters of them that a task compares at once.
-DOCUMENTS, DOCUMENT_BLOCK = Kind(whole, word_shingles), 1 << 22
+DOCUMENTS, DOCUMENT_BLOCK = Kind(whole, word_shingles, word_set), 1 << 22
 
 
 def first_of_similar(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqframe.llm.alike import BLOCK_CHARS, Kind, fine_shingles, links, shingles, signed
+from seqframe.llm.alike import BLOCK_CHARS, Kind, fine_set, fine_shingles, links, shingle_set, shingles, signed
 from seqframe.llm.common import fresh_name, give_back, small_batches, with_facts, worker_cache
 from seqframe.llm.components import components
 
@@ -51,7 +51,7 @@ def cut_lines(text: str) -> list[str]:
     return text.split("\n")
 
 
-LINES = Kind(cut_lines, shingles, fine_shingles)
+LINES = Kind(cut_lines, shingles, shingle_set, fine_shingles, fine_set)
 
 
 def decide(docs: DataFrame, key: str = "doc_id", text: str = "text", block_chars: int = BLOCK_CHARS) -> tuple[DataFrame, DataFrame]:
@@ -62,7 +62,7 @@ def decide(docs: DataFrame, key: str = "doc_id", text: str = "text", block_chars
     first = places.groupBy("line").agg(F.min(F.struct("doc_id", "h1", "h2", "place")).alias("at"))
     named = first.join(alike, first.line == alike.node, "left").select(F.coalesce("component", "line").alias("component"), "at")
     stays = named.groupBy("component").agg(F.min("at").alias("at")).select("at.*")
-    return signatures.drop("fresh"), stays.groupBy("doc_id", "h1", "h2").agg(F.collect_list("place").alias("kept"))
+    return signatures.drop("fresh", "heavy"), stays.groupBy("doc_id", "h1", "h2").agg(F.collect_list("place").alias("kept"))
 
 
 def report(decided: tuple[DataFrame, DataFrame]) -> DataFrame:

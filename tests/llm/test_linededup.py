@@ -94,10 +94,52 @@ def test_links_span_their_components():
     reached = {0}
     for i, new in alike.similar_links(lines):
         assert all(jaccard(lines[i], lines[j]) >= 0.8 for j in new)
-        reached |= set(new.tolist())
+        reached |= set(new)
     assert reached == set(range(len(lines) - 3))
 
 
+def test_sets_and_arrays_agree():
+    rng = random.Random(5)
+    for kind in (ld.LINES, alike.DOCUMENTS):
+        for _ in range(60):
+            base = [rng.choice(["a", "bb", "ccc", "one", "two", "the", "xyz"]) + rng.choice(["", "1", "22"]) for _ in range(rng.randint(1, 40))]
+            values = []
+            for _ in range(rng.randint(2, 9)):
+                copy = list(base)
+                for _ in range(rng.randint(0, 2)):
+                    copy[rng.randrange(len(copy))] = rng.choice(["q", "rr", "a"])
+                values.append(" ".join(copy))
+            values = list(dict.fromkeys(values))
+            for hashes, set_of in ((kind.shingles, kind.set_of), *([(kind.fine, kind.fine_set_of)] if kind.fine else [])):
+                def parts(found):
+                    name = list(range(len(values)))
+                    for i, new in found:
+                        for j in new:
+                            name = [name[i] if x == name[j] else x for x in name]
+                    return {frozenset(k for k, x in enumerate(name) if x == y) for y in name}
+
+                assert parts(alike.set_links(list(map(set_of, values)))) == parts(alike.similar_links(values, hashes=hashes))
+
+
+def test_windows_give_the_bins_of_all_shingles():
+    lines = ["x", "abcdefgh", "é" * 30, "one line of text and more", "z" * 5000 + "end"]
+    for hashes, size in ((alike.shingles, alike.SHINGLE), (alike.fine_shingles, alike.FINE)):
+        assert (alike._least_of_windows(lines, size) == alike._least(lines, hashes)).all()
+
+
+def test_common_bands_are_found_apart(spark, monkeypatch):
+    """A band key that a large share of all lines has doesn't change what is dropped."""
+    rng = random.Random(12)
+    base = "".join(rng.choice("abcdefgh ") for _ in range(150))
+    docs = [(i, base[: 20 + i % 100] + chr(300 + i) + base[20 + i % 100 :] + "\n" + "".join(rng.choice("abcdefgh ") for _ in range(60))) for i in range(300)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    want = {r.doc_id: r.dropped for r in ld.report(ld.decide(df)).collect()}
+    assert sum(map(len, want.values())) >= 299
+    hot = []
+    monkeypatch.setattr(alike, "threshold", lambda n: hot.append(n) or 10**12)  # no key is hot
+    assert {r.doc_id: r.dropped for r in ld.report(ld.decide(df)).collect()} == want and hot
+
+
 def test_hashes_depend_on_the_line_alone():
     lines = ["one line of text", "x", "another line, a longer one", "é" * 30]
     alone = np.concatenate([alike.band_keys([x]) for x in lines])
