@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from seqframe import streaming
 from seqframe.functions import sequence, text
 from seqframe.operators import align, lookup, reorder, stats
 from seqframe.plans.fixtures import view, with_views
 from seqframe.plans.scratch import new_folder
-from seqframe.report import logs
+from seqframe.report import logs, tables
 from seqframe.sinks.fastx import listing, rendered, write_fastx
 from seqframe.sources import fastx, files, lines, sam
 
@@ -485,6 +488,49 @@ def mapq_table_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.accuracy_of_table(rows, unmapped)
 
 
+@query(
+    """with t as (select cast(r_regionkey as string) as k, r_name as n, r_regionkey as o from region union all select 'r_regionkey', 'r_name', -1),
+    w as (select max(length(k)) + 2 as a, max(length(n)) + 2 as b from t),
+    p as (select o, k, n, a, b, a - length(k) as x, b - length(n) as y from t, w),
+    l as (select o, x // 2 + (x & a & 1) as xl, y // 2 + (y & b & 1) as yl, * exclude (o) from p),
+    r as (select o, '|' || repeat(' ', cast(xl as bigint)) || k || repeat(' ', cast(x - xl as bigint)) || '|' || repeat(' ', cast(yl as bigint)) || n || repeat(' ', cast(y - yl as bigint)) || '|' as line, '+' || repeat('-', cast(a as bigint)) || '+' || repeat('-', cast(b as bigint)) || '+' as rule from l)
+    select max(rule) || chr(10) || string_agg(line || chr(10) || rule, chr(10) order by o) as value from r"""
+)
+def report_box(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A box table of the regions, made on the driver."""
+    regions = spark.read.parquet(f"{sf_dir}/region.parquet").orderBy("r_regionkey").select("r_regionkey", "r_name")
+    return spark.createDataFrame([(tables.frame_table(regions),)], "value string")
+
+
+@query("select n_name as name, cast(n_nationkey as string) as cell from nation where contains(n_name, (select left(max(n_name), 7) from nation)) order by n_nationkey limit 1")
+def report_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two tables put into a Markdown file of the driver, one of them twice, and a cell looked up by a part of its row's name."""
+    nations = spark.read.parquet(f"{sf_dir}/nation.parquet").orderBy("n_nationkey").select("n_nationkey", "n_name").collect()
+    part = max(r.n_name for r in nations)[:7]
+    with tempfile.TemporaryDirectory() as folder:
+        file = f"{folder}/notes.md"
+        tables.put_markdown_table(file, "Table: other", ["|ID|key|", "|---|---|", "|ANY|0|"])
+        for shift in (7, 0):
+            tables.put_markdown_table(file, "Table: nations", ["|ID|key|", "|---|---|", *(f"|{r.n_name}|{r.n_nationkey + shift}|" for r in nations)])
+        cells = [tables.markdown_lookup(file, "Table: nations", column, part) for column in ("ID", "key")]
+    return spark.createDataFrame([tuple(cells)], "name string, cell string")
+
+
+@query(
+    """select count(*) as alignments, count(*) filter (where (flag & 4) <> 0) as unmapped, count(*) filter (where (flag & 2308) = 0) as primary_n,
+    count(*) filter (where (flag & 4) = 0 and (flag & 2048) <> 0) as supplementary, count(*) filter (where (flag & 4) = 0 and (flag & 256) <> 0) as secondary,
+    cast(sum(as_score) filter (where (flag & 2308) = 0) as double) / count(*) filter (where (flag & 2308) = 0) as mean_as,
+    cast(sum(nm) filter (where (flag & 2308) = 0) as double) / count(*) filter (where (flag & 2308) = 0) as mean_nm from alignments""",
+    "alignments",
+)
+def sam_summary_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summary of alignments that arrive as files."""
+    folder = _file(alignment_lines(spark, sf_dir).repartition(4), "stream")
+    name = f"summary_{uuid.uuid4().hex}"
+    streaming.start(streaming.stream_summary(streaming.stream_lines(spark, folder, 2), "sam_summary"), name, new_folder(spark, "stream-state")).awaitTermination()
+    return spark.table(name)
+
+
 @query("select case when o_orderkey % 3 = 0 then 'x' else 'y' end as kind, count(*) as reads, count(*) - count(distinct seq) as duplicates from reads join orders on sid = o_orderkey group by 1", "reads")
 def read_duplicates_by(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(F.col("sid") % 3 == 0, "x").otherwise("y").alias("kind")
