@@ -36,7 +36,7 @@ import json
 import os
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
 
 import numpy as np
@@ -299,29 +299,30 @@ def _write_recipes(spark: SparkSession, path: str) -> None:
             yield held.set_column(7, "file_root", last)
 
     rows.mapInArrow(running, _RECIPES).write.option("compression", "zstd").parquet(f"{path}/recipes")
-    spark.createDataFrame([_manifest(spark, path)], _MANIFEST).coalesce(1).write.parquet(f"{path}/manifest")
+    stated = spark.read.schema(_RECIPES).parquet(f"{path}/recipes").filter("file_root is not null").select("pid", "file_root").toArrow()  # a row a file
+    spark.createDataFrame([_manifest(zip(*(c.to_pylist() for c in stated.columns), strict=True))], _MANIFEST).coalesce(1).write.parquet(f"{path}/manifest")
 
 
 _MANIFEST = "files long, root binary"
 
 
-def _manifest(spark: SparkSession, path: str) -> tuple[int, bytes]:
-    """How many files of recipes there are, and the Merkle root of their roots; a row a file comes to the driver, one after another."""
-    files, roots = 0, MerkleStream()
-    for row in spark.read.schema(_RECIPES).parquet(f"{path}/recipes").filter("file_root is not null").select("pid", "file_root").orderBy("pid", "file_root").toLocalIterator():
-        files += 1
-        roots.add(bytes(row.file_root))
-    return files, roots.root()
+def _manifest(files: Iterable[tuple[int, bytes]]) -> tuple[int, bytes]:
+    """How many files of recipes there are, and the Merkle root of their roots in the order of their numbers."""
+    ordered, roots = sorted(files), MerkleStream()
+    for _, root in ordered:
+        roots.add(root)
+    return len(ordered), roots.root()
 
 
 def verify(spark: SparkSession, path: str) -> None:
-    """Fail unless all files of recipes are there and meet their roots and the manifest."""
-    stated = spark.read.schema(_MANIFEST).parquet(f"{path}/manifest").first()
-    if stated is None or (stated.files, bytes(stated.root)) != _manifest(spark, path):
-        raise ValueError("files of recipes are missing or don't meet the manifest")
-    broken = [r.pid for r in broken_files(spark, path).take(5)]
+    """Fail unless all files of recipes are there and meet their roots and the manifest; a row a file comes to the driver."""
+    pids, stated, made = (c.to_pylist() for c in file_roots(spark, path).toArrow().columns)
+    broken = [p for p, s, m in zip(pids, stated, made, strict=True) if s != m]
     if broken:
-        raise ValueError(f"files of recipes don't meet their roots: {broken}")
+        raise ValueError(f"files of recipes don't meet their roots: {broken[:5]}")
+    manifest = spark.read.schema(_MANIFEST).parquet(f"{path}/manifest").first()
+    if manifest is None or (manifest.files, bytes(manifest.root)) != _manifest(zip(pids, stated, strict=True)):
+        raise ValueError("files of recipes are missing or don't meet the manifest")
 
 
 def recipes(spark: SparkSession, path: str) -> DataFrame:
@@ -425,22 +426,21 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return docs.mapInArrow(work, "doc_id long, start long, ids array<long>")
 
 
-def broken_files(spark: SparkSession, path: str) -> DataFrame:
-    """Numbers of recipe files whose document roots don't meet the file's root."""
+def file_roots(spark: SparkSession, path: str) -> DataFrame:
+    """`pid`, `stated` and `made` of every recipe file: the root that it states and that of its documents' roots."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pid, roots, stated = None, MerkleStream(), None
+        pid, roots, stated, kind = None, MerkleStream(), None, pa.binary()
         for batch in batches:
-            for p, root, file_root in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                pid = p
+            pid, kind = batch.column(0)[0].as_py(), batch.schema.field(1).type
+            for root, file_root in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 roots.add(root)
                 stated = file_root or stated
-        if pid is not None and roots.root() != stated:
-            yield pa.RecordBatch.from_arrays([pa.array([pid], pa.int32())], ["pid"])
+        yield pa.RecordBatch.from_arrays([pa.array([pid], pa.int32()), pa.array([stated], kind), pa.array([roots.root()], kind)], ["pid", "stated", "made"])
 
     rows = spark.read.schema(_RECIPES).parquet(f"{path}/recipes")
-    order = rows.repartition("pid").sortWithinPartitions("pid", "local_start", F.col("file_root").asc_nulls_first())
-    return order.select("pid", "root", "file_root").mapInArrow(_by_file(work), "pid int")
+    order = rows.select("pid", "root", "file_root", "local_start").repartition("pid").sortWithinPartitions("pid", "local_start", F.col("file_root").asc_nulls_first())
+    return order.select("pid", "root", "file_root").mapInArrow(_by_file(work), "pid int, stated binary, made binary")
 
 
 def _by_file(work):
