@@ -36,6 +36,8 @@ from seqframe.llm.common import bounded_rows, small_batches, stratified_ids, wor
 
 #: Texts a language to learn from; words, and n-grams of a length, that the model keeps a language; longest n-gram.
 EACH, KEPT, LONGEST = 800, 20_000, 5
+#: Tasks, at most, that count the sample.
+TASKS = 64
 #: Unseen words that a Python worker remembers, and the longest of them.
 REMEMBERED, REMEMBERED_LENGTH = 200_000, 120
 UNKNOWN = "und"
@@ -52,20 +54,32 @@ def grams(word: str, n: int) -> list[str]:
     return [marked[i : i + n] for i in range(len(marked) - n + 1)]
 
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _rows(found: Counter[tuple[str, int, str]]) -> pa.RecordBatch:
+    keys = list(found)
+    return pa.RecordBatch.from_arrays(
+        [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.string()), pa.array(list(found.values()), pa.int64())],
+        ["lang", "size", "token", "n"],
+    )
+
+
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found: Counter[tuple[str, int, str]] = Counter()
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             for word, n in Counter(words(text)).items():
                 found[lang, 0, word] += n
-                for size in range(1, LONGEST + 1):
-                    for g in grams(word, size):
-                        found[lang, size, g] += n
-        keys = list(found)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.string()), pa.array(list(found.values()), pa.int64())],
-            ["lang", "size", "token", "n"],
-        )
+        yield _rows(found)
+
+
+def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The n-grams of counted words."""
+    for batch in batches:
+        found: Counter[tuple[str, int, str]] = Counter()
+        for lang, word, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for size in range(1, LONGEST + 1):
+                for g in grams(word, size):
+                    found[lang, size, g] += n
+        yield _rows(found)
 
 
 #: What training gives: for each language, n-gram length (0 for words) and token its count, and all counts of that length in the language.
@@ -76,8 +90,12 @@ def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: s
     """A table of `COUNTS`, of up to `KEPT` tokens a language and length."""
     known = labelled.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(label).cast("string").alias("lang")).filter("lang is not null and text is not null")
     sample = bounded_rows(known, stratified_ids(known, "key", "lang", EACH, "language").select("key"), "key")
-    counted = small_batches(sample).select("lang", "text").mapInArrow(_counts, "lang string, size int, token string, n long").groupBy("lang", "size", "token").agg(F.sum("n").alias("n"))
-    counted = written(counted, "language-counts")
+    kind = "lang string, size int, token string, n long"
+    tasks = max(1, min(TASKS, labelled.sparkSession.sparkContext.defaultParallelism))  # the sample is bounded, and may come in few partitions
+    counted = small_batches(sample).select("lang", "text").repartition(tasks).mapInArrow(_word_counts, kind).groupBy("lang", "size", "token").agg(F.sum("n").alias("n"))
+    counted = written(counted, "language-words")
+    pieces = counted.select("lang", "token", "n").repartition(tasks).mapInArrow(_gram_counts, kind).groupBy("lang", "size", "token").agg(F.sum("n").alias("n"))
+    counted = counted.unionByName(written(pieces, "language-grams"))
     totals = counted.groupBy("lang", "size").agg(F.sum("n").alias("total"))
     place = F.row_number().over(Window.partitionBy("lang", "size").orderBy(F.desc("n"), "token"))
     kept = counted.withColumn("nth", place).filter(F.col("nth") <= KEPT).drop("nth")
