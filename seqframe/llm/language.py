@@ -128,37 +128,45 @@ class Model:
 
     def __init__(self, found: Tables) -> None:
         self.langs, every = found
-        self.grams = [({t: i for i, t in enumerate(tokens)}, matrix) for tokens, matrix in every]
+        self.matrix = np.concatenate([matrix for _, matrix in every])
+        first = np.cumsum([0, *(len(tokens) for tokens, _ in every)]).tolist()
+        #: Rows of words and, by their length, of n-grams.
+        self.places = [{t: at + i for i, t in enumerate(tokens)} for at, (tokens, _) in zip(first, every, strict=False)]
         self.known = len(every[0][0])
         self.rows = np.concatenate([every[0][1], np.zeros((1024, len(self.langs)))])
         self.at: dict[str, int] = {}
         self._forget()
 
     def _forget(self) -> None:
-        self.at, self.used = dict(self.grams[0][0]), self.known
+        self.at, self.used = dict(self.places[0]), self.known
 
-    def word(self, word: str) -> np.ndarray:
-        """The word's log frequencies, or the mean of those of its longest n-grams of which any is known."""
-        places, matrix = self.grams[0]
-        if (found := places.get(word)) is not None:
-            return matrix[found]
+    def parts(self, word: str) -> list[int]:
+        """The rows that a word's log frequencies are the mean of: its own, or those of its longest n-grams of which any is known."""
+        if (found := self.places[0].get(word)) is not None:
+            return [found]
         for size in range(min(LONGEST, len(word) + 2), 0, -1):
-            places, matrix = self.grams[size]
-            known = [x for g in grams(word, size) if (x := places.get(g)) is not None]
-            if known:
-                return matrix[known].mean(axis=0)
-        return np.zeros(len(self.langs))
-
-    def _place(self, word: str) -> int:
-        if (found := self.at.get(word)) is None:
-            if self.used == len(self.rows):
-                self.rows = np.concatenate([self.rows, np.zeros((len(self.rows) // 2, len(self.langs)))])
-            found = self.used
-            self.rows[found] = self.word(word)
-            self.used += 1
-            if len(word) <= REMEMBERED_LENGTH:
-                self.at[word] = found
-        return found
+            get = self.places[size].get
+            if known := [x for g in grams(word, size) if (x := get(g)) is not None]:
+                return known
+        return []
+
+    def word(self, word: str) -> np.ndarray:
+        return self.matrix[self.parts(word)].mean(axis=0) if self.parts(word) else np.zeros(len(self.langs))
+
+    def _learn(self, new: list[str]) -> None:
+        """Rows for words that have none yet."""
+        parts = list(map(self.parts, new))
+        counts = np.fromiter(map(len, parts), np.int64, len(parts))
+        while self.used + len(new) > len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros((len(self.rows) // 2, len(self.langs)))])
+        own = self.rows[self.used : self.used + len(new)]
+        own[:] = 0
+        some = counts > 0
+        if some.any():
+            flat = [x for p in parts for x in p]
+            own[some] = np.add.reduceat(self.matrix[flat], (np.cumsum(counts) - counts)[some]) / counts[some][:, None]
+        self.at.update(zip(new, range(self.used, self.used + len(new)), strict=True))
+        self.used += len(new)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         found = words(text)
@@ -170,7 +178,12 @@ class Model:
                 self._forget()
             at = list(map(self.at.get, some := found[i : i + 4096]))
             if None in at:
-                at = [self._place(w) if x is None else x for w, x in zip(some, at, strict=True)]
+                new = list({w for w, x in zip(some, at, strict=True) if x is None})
+                self._learn(new)
+                at = list(map(self.at.get, some))
+                for w in new:
+                    if len(w) > REMEMBERED_LENGTH:
+                        del self.at[w]
             total += self.rows[at].sum(axis=0)
         best = int(np.argmax(total))
         share = np.exp((total - total[best]) / math.sqrt(len(found)))
