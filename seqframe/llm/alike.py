@@ -478,7 +478,8 @@ def _met(signatures: DataFrame) -> DataFrame:
 def links(docs: DataFrame, signatures: DataFrame, kind: Kind, text: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Links a, b between names that join all pieces that share a band key and have a Jaccard similarity of `LEAST` or more by either shingles."""
     met = _met(signatures)
-    values = _texts(docs, met.select("line").distinct(), kind, text).groupBy("line", "name").agg(F.min("value").alias("value"))
+    # dealt by the short name alone, which is the join's key too, so that texts move once; a task sends a piece once, so none is hot
+    values = _texts(docs, met.select("line").distinct(), kind, text).repartition("line").groupBy("line", "name").agg(F.min("value").alias("value"))
     sizes = met.groupBy("hub").agg(F.ceil(F.sum(chars_of(F.col("line"))) / block_chars).cast("long").alias("blocks"), F.count("*").alias("_n"))
     group = spread_join(met, sizes, "hub", met.count()).join(values, "line")
     group = group.withColumn("_own", F.pmod(F.xxhash64("name"), F.col("blocks"))).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
