@@ -34,10 +34,8 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from seqframe.llm.common import bounded_rows, small_batches, worker_cache, written
 
@@ -212,10 +210,9 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     kinds = [r.y for r in rows.select("y").distinct().collect()]
     if len(kinds) < 2:
         return Model({}, {}, np.zeros((1, WIDTH)), np.zeros((1, WIDTH)), None, 1.0, float(kinds[0]) if kinds else 0.5)
-    counted = rows.select("text").mapInArrow(_counts, "kind int, token string, n long").groupBy("kind", "token").agg(F.sum("n").alias("n"))
-    most = Window.partitionBy("kind").orderBy(F.desc("n"), "token")
-    found = counted.filter("kind = 1 or n > 2").withColumn("nth", F.row_number().over(most)).filter(F.col("nth") <= F.when(F.col("kind") == 0, TOKENS).otherwise(SHAPES)).orderBy("kind", "nth").select("kind", "token").toArrow()
-    names = [found.filter(pc.equal(found.column("kind"), k)).column("token").to_pylist() for k in (0, 1)]
+    counted = written(rows.select("text").mapInArrow(_counts, "kind int, token string, n long").groupBy("kind", "token").agg(F.sum("n").alias("n")), "quality-counts")
+    kept = [counted.filter(f).orderBy(F.desc("n"), "token").limit(most) for f, most in (("kind = 0 and n > 2", TOKENS), ("kind = 1", SHAPES))]
+    names = [k.select("token").toArrow().column(0).to_pylist() for k in kept]
     known = spark.sparkContext.broadcast(names)
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
