@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqframe.llm import bpe, decontaminate, language, licenses, linededup, quality, runs, simhash, token_store, topk, urls
+from seqframe.llm import bpe, decontaminate, language, licenses, linededup, packing, quality, runs, simhash, token_store, topk, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,6 +83,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", held_out, "score", predicted)
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=1)
+
+
 def runs_digests(docs: DataFrame) -> DataFrame:
     """Runs of the documents, one in ten of which is made to repeat."""
     planted = docs.select("doc_id", runs.with_repeats(F.col("doc_id"), F.col("text")).alias("text"))
@@ -104,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lines": op8_lines,
     "op9_decontaminate": op9_decontaminate,
     "op10_quality": op10_quality,
+    "op11_packing": op11_packing,
     "op12_runs": op12_runs,
 }
 
