@@ -21,6 +21,6 @@ def read_lines(spark: SparkSession, path: str, missing_ok: bool = False) -> Data
         return spark.createDataFrame([], "line_no long, value string")
 
 
-def bare_reads(lines: DataFrame) -> DataFrame:
-    """`rid`, `seq` of numbered lines of bases; header lines (`@`) and blank ones are no reads but keep their number."""
-    return lines.filter(~F.col("value").startswith("@") & (F.trim("value") != "")).select(F.col("line_no").alias("rid"), F.rtrim("value").alias("seq"))
+def bare_reads(lines: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """`keep` columns, `rid`, `seq` of numbered lines of bases; header lines (`@`) and blank ones are no reads but keep their number."""
+    return lines.filter(~F.col("value").startswith("@") & (F.trim("value") != "")).select(*keep, F.col("line_no").alias("rid"), F.rtrim("value").alias("seq"))
