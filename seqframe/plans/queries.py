@@ -13,11 +13,12 @@ from pyspark.sql.window import Window
 from seqframe import streaming
 from seqframe.functions import sequence, text
 from seqframe.operators import align, lookup, reorder, stats
+from seqframe.plans import fixtures
 from seqframe.plans.fixtures import view, with_views
 from seqframe.plans.scratch import new_folder
 from seqframe.report import logs, tables
 from seqframe.sinks.fastx import listing, rendered, write_fastx
-from seqframe.sources import fastx, files, lines, sam
+from seqframe.sources import fastx, files, index, lines, sam
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -271,16 +272,44 @@ def contig_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup.nth_record(records, 7).select(rendered().alias("value"))
 
 
+_VIEW = """with r as (select r_regionkey, r_name, n_name as name, cast(n_nationkey * 13 + 1 as int) as start, cast(r_regionkey * 40 + 5 as int) as length from region join nation on n_regionkey = r_regionkey)
+    select c.name, '' as comment, cast(length(c.seq) as int) as l_seq, start, r.length, case when start - 1 + r.length <= length(c.seq) then substring(c.seq, start, r.length) end as bases,
+    start - 1 + r.length <= length(c.seq) as in_bounds from r join contigs c on c.name = r.name"""
+
+
+def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nations = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    return nations.select(F.col("n_name").alias("name"), (F.col("n_nationkey") * 13 + 1).cast("int").alias("start"), (F.col("n_regionkey") * 40 + 5).cast("int").alias("length"))
+
+
+@query(_VIEW, "contigs")
+def sequence_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookup.sequence_view(view(spark, sf_dir, "contigs"), _requests(spark, sf_dir))
+
+
+@query(_VIEW, "contigs")
+def sequence_view_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from FASTA files of lines of 60 bases, by an index and byte ranges."""
+    wrapped = F.regexp_replace("seq", "(.{60})(?=.)", "$1\n")
+    folder = _file(view(spark, sf_dir, "contigs").select(F.concat(F.lit(">"), "name", F.lit("\n"), wrapped).alias("value")), "fasta")
+    return index.fetch(spark, index.write_index(spark, new_folder(spark, "index"), folder), _requests(spark, sf_dir))
+
+
 @query(
-    """with r as (select r_regionkey, r_name, n_name as name, cast(n_nationkey * 13 + 1 as int) as start, cast(r_regionkey * 40 + 5 as int) as length from region join nation on n_regionkey = r_regionkey)
+    f"""with c as (select 'c' || (o_custkey % 50) as name, string_agg({fixtures.bases("cast(o_orderkey as string)")}, '' order by o_orderkey) as seq from orders group by 1),
+    r as (select distinct 'c' || (o_custkey % 50) as name, cast(o_orderkey % 3000 + 1 as int) as start, cast(o_orderkey % 97 as int) as length from orders)
     select c.name, '' as comment, cast(length(c.seq) as int) as l_seq, start, r.length, case when start - 1 + r.length <= length(c.seq) then substring(c.seq, start, r.length) end as bases,
-    start - 1 + r.length <= length(c.seq) as in_bounds from r join contigs c on c.name = r.name""",
-    "contigs",
+    start - 1 + r.length <= length(c.seq) as in_bounds from r join c on c.name = r.name"""
 )
-def sequence_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nations = spark.read.parquet(f"{sf_dir}/nation.parquet")
-    requests = nations.select(F.col("n_name").alias("name"), (F.col("n_nationkey") * 13 + 1).cast("int").alias("start"), (F.col("n_regionkey") * 40 + 5).cast("int").alias("length"))
-    return lookup.sequence_view(view(spark, sf_dir, "contigs"), requests)
+def sequence_view_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A range of bases for every order, from 50 long records."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    part = F.struct("o_orderkey", F.expr(fixtures.bases("cast(o_orderkey as string)")).alias("s"))
+    contigs = orders.groupBy(F.concat(F.lit("c"), F.col("o_custkey") % 50).alias("name")).agg(F.array_join(F.array_sort(F.collect_list(part))["s"], "").alias("seq"))
+    wrapped = F.regexp_replace("seq", "(.{60})(?=.)", "$1\n")
+    folder = _file(contigs.select(F.concat(F.lit(">"), "name", F.lit("\n"), wrapped).alias("value")), "fasta")
+    asked = orders.select(F.concat(F.lit("c"), F.col("o_custkey") % 50).alias("name"), (F.col("o_orderkey") % 3000 + 1).cast("int").alias("start"), (F.col("o_orderkey") % 97).cast("int").alias("length"))
+    return index.fetch(spark, index.write_index(spark, new_folder(spark, "index"), folder), asked.distinct())
 
 
 @query("with r as (select name from reads union all select '/1' union all select 'a/12' union all select 'b/1/2') select name, case when length(name) > 2 and regexp_matches(name, '/[0-9]$') then left(name, length(name) - 2) else name end as trimmed from r", "reads")

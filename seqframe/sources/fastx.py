@@ -61,6 +61,12 @@ SCHEMA = StructType(
 _HEADER = re.compile(rb"(\S*)(?:\s(.*))?", re.DOTALL)
 
 
+def header_parts(line: bytes, at: int) -> tuple[str, str | None]:
+    """Name and comment of a header line whose mark stands before `at`."""
+    found = _HEADER.match(line, at)
+    return found[1].decode(), (found[2] or b"").decode() or None
+
+
 class MalformedRecord(ValueError):
     pass
 
@@ -79,8 +85,7 @@ def parsed(lines: Iterator[bytes], malformed: str = "fail") -> Iterator[tuple[st
         if at < 0:
             line = next(lines, None)
             continue
-        found = _HEADER.match(line, at + 1)
-        name, comment = found[1].decode(), (found[2] or b"").decode() or None
+        name, comment = header_parts(line, at + 1)
         parts: list[bytes] = []
         line = next(lines, None)
         while line is not None and line[:1] not in (b">", b"+", b"@"):
