@@ -21,24 +21,31 @@ from seqframe.functions.sequence import bkdr_hash, chop2, is_strict, trim_mate_s
 SUPPORT, SLICE, CHUNK_BASES = 1 / 1000, 1 << 20, 1_000_000_000
 #: Buckets that rows are counted in to find large keys; source reads whose bases are summed together to find the ends of chunks.
 BUCKETS, READS = 1 << 14, 1 << 20
+#: Reads near the ends of chunks that the driver walks over at once.
+WALKED = 1 << 22
+#: Chunks of a source at most, and ranges of ordinals that are told how many chunks start before them.
+MOST_CHUNKS, PARTS = 1 << 22, 1 << 16
 _SPAN = 1 << 40
 
 
 def frequent(rows: DataFrame, key: str, most: int, support: float = SUPPORT) -> list:
     """Values of `key` that have over `most` rows and over `support` of all; 1 / `support` at most.
 
-    Rows are counted by a hash of the key into a fixed number of buckets, combined before the shuffle; only if a bucket has that
-    many are its keys counted each.
+    Rows are counted first: with `most` or fewer there are none. Else they are counted by a hash of the key into a fixed number of
+    buckets, combined before the shuffle; only if a bucket has that many are its keys counted each.
     """
-    bucket = F.pmod(F.xxhash64(key), F.lit(BUCKETS))
     known = rows.select(key).filter(F.col(key).isNotNull())
-    sizes = {r.bucket: r.n for r in known.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n")).collect()}
-    many = max(most, support * sum(sizes.values()))
-    heavy = [b for b, n in sizes.items() if n > many]
+    total = known.count()
+    many = max(most, support * total)
+    if total <= many:
+        return []
+    bucket = F.pmod(F.xxhash64(key), F.lit(BUCKETS))
+    sizes = known.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n")).filter(F.col("n") > many).toArrow()  # 1 / `support` rows at most
+    heavy = sizes.column("bucket").to_pylist()
     if not heavy:
         return []
     counted = known.filter(bucket.isin(heavy)).groupBy(key).count().filter(F.col("count") > many)
-    return [r[0] for r in counted.collect()]
+    return counted.toArrow().column(0).to_pylist()
 
 
 def ranked(rows: DataFrame, key: str, order: Column, name: str = "_k", slice_: int = SLICE) -> DataFrame:
@@ -71,36 +78,80 @@ def constant_length_chunk(ordinal: Column, length: int, chunk_bases: int = CHUNK
     return F.floor(ordinal / -(-chunk_bases // length)).cast("bigint")
 
 
-def chunk_starts(source: DataFrame, chunk_bases: int = CHUNK_BASES, reads: int = READS) -> list[int]:
+def _windows(target: int, chunk_bases: int, longest: int, mean: float, total: int, rows: int) -> list[list[int]]:
+    """Ranges of running totals, disjoint and in order, that the next chunks' ends lie in, as many chunks as give about `rows` reads; one at least.
+
+    Each end passes its mark by less than the longest read, so the k-th after a known one lies in a range of k such lengths.
+    """
+    out: list[list[int]] = []
+    k, reads = 1, 0.0
+    while target <= total and (k == 1 or reads <= rows):
+        low, high = target, target + (k + 1) * longest  # one read more: the next chunk begins with it
+        if out and low <= out[-1][1]:
+            out[-1][1] = high
+        else:
+            out.append([low, high])
+        reads += (k + 1) * longest / mean
+        k, target = k + 1, target + chunk_bases
+    return out
+
+
+def chunk_starts(source: DataFrame, chunk_bases: int = CHUNK_BASES, reads: int = READS, rows: int = WALKED) -> list[int]:
     """W5 for reads of any length: the first ordinal (`sid`, a distinct long from 0 on) of each chunk of a source.
 
-    A chunk ends with the read that brings its bases to `chunk_bases`. Empty reads are none. Bases are summed by ranges of `reads`
-    ordinals once; then only the range that a chunk ends in is looked into, one after another, so a job a chunk, each over a
-    range. The list has one number for every `chunk_bases` bases of the source.
+    A chunk ends with the read that brings its bases to `chunk_bases`. Empty reads are none. One job sums bases by ranges of `reads`
+    ordinals. Where a chunk ends is known but for the lengths by which earlier ends passed their marks; so one more job brings the
+    reads around the marks of many chunks at once, about `rows` of them, and the driver walks from end to end. With reads of like lengths that is
+    a job for some sqrt(2 * rows) chunks: one for any source of fewer. The list has a number for every `chunk_bases` bases of the source.
     """
-    rows = source.filter("seq <> ''").select(F.col("sid").cast("bigint").alias("sid"), F.length("seq").cast("bigint").alias("l"))
-    sums = sorted((r.range, r.l, r.first) for r in rows.groupBy(F.floor(F.col("sid") / reads).cast("bigint").alias("range")).agg(F.sum("l").alias("l"), F.min("sid").alias("first")).collect())
-    starts, held = [], 0
-    for range_, bases, first in sums:
-        if not starts or held >= chunk_bases:
-            starts.append(first)
-            held = 0
-        if held + bases < chunk_bases:
-            held += bases
-            continue
-        inside = rows.filter((F.col("sid") >= range_ * reads) & (F.col("sid") < (range_ + 1) * reads)).orderBy("sid").toArrow()  # `reads` rows at most
-        sids, until = inside.column("sid").to_numpy(), np.cumsum(inside.column("l").to_numpy())
-        done = 0
-        while (end := int(np.searchsorted(until, done + chunk_bases - held))) < len(until) - 1:
-            starts.append(int(sids[end + 1]))
-            held, done = 0, int(until[end])
-        held += int(until[-1]) - done
+    each = source.filter("seq <> ''").select(F.col("sid").cast("bigint").alias("sid"), F.length("seq").cast("bigint").alias("l"), F.floor(F.col("sid") / reads).cast("bigint").alias("range"))
+    sums = each.groupBy("range").agg(F.sum("l").alias("l"), F.max("l").alias("longest"), F.min("sid").alias("first"), F.count("*").alias("n")).toArrow().sort_by("range")
+    if not sums.num_rows:
+        return []
+    ranges, bases, n = (sums.column(c).to_numpy() for c in ("range", "l", "n"))
+    until = np.cumsum(bases)
+    longest, total, mean = int(sums.column("longest").to_numpy().max()), int(until[-1]), float(until[-1] / n.sum())
+    starts, held = [int(sums.column("first").to_numpy().min())], 0
+    spark = source.sparkSession
+    while held + chunk_bases < total:
+        windows = _windows(held + chunk_bases, chunk_bases, longest, mean, total, rows)
+        near = []
+        for low, high in windows:
+            first, last = np.searchsorted(until, low), min(np.searchsorted(until, high), len(ranges) - 1)
+            near += [(int(ranges[i]), int(until[i] - bases[i]), low, high) for i in range(first, last + 1)]
+        asked = spark.createDataFrame(near, "range long, before long, low long, high long").groupBy("range", "before").agg(F.collect_list(F.struct("low", "high")).alias("w"))
+        summed = each.join(F.broadcast(asked), "range").withColumn("c", F.col("before") + F.sum("l").over(Window.partitionBy("range").orderBy("sid").rowsBetween(Window.unboundedPreceding, 0)))
+        found = summed.filter(F.exists("w", lambda w: (F.col("c") >= w["low"]) & (F.col("c") <= w["high"]))).select("c", "sid").toArrow().sort_by("c")
+        c, sid = found.column("c").to_numpy(), found.column("sid").to_numpy()
+        for low, high in windows:
+            while low <= held + chunk_bases <= high + 1 - 2 * longest:  # the end and the read after it are there
+                at = int(np.searchsorted(c, held + chunk_bases))
+                if at == len(c) or c[at] == total:  # no read comes after
+                    return starts
+                held = int(c[at])
+                starts.append(int(sid[at + 1]))
     return starts
 
 
-def chunk_by(starts: list[int], ordinal: Column) -> Column:
-    """The chunk, from 0, of a source read, by the ordinals that chunks start at."""
-    return F.size(F.filter(F.array(*[F.lit(x).cast("bigint") for x in starts[1:]]), lambda x: x <= ordinal)).cast("bigint") if len(starts) > 1 else F.lit(0).cast("bigint")
+def with_chunks(source: DataFrame, starts: list[int], name: str = "chunk") -> DataFrame:
+    """`source` with the chunk, from 0, of each read, by the ordinals that chunks start at.
+
+    The ordinals up to the last start are cut into `PARTS` even ranges at most; a row a range, with the chunks that start before it and
+    those that start in it, is broadcast, and a read looks at its range's row alone.
+    """
+    if len(starts) >= MOST_CHUNKS:
+        raise ValueError(f"{len(starts)} chunks; take larger ones, {MOST_CHUNKS - 1} at most")
+    marks = np.array(starts[1:], np.int64)
+    span = int(marks[-1]) + 1 if len(marks) else 1
+    width = -(-span // PARTS)
+    edges = np.arange(span // width + 1, dtype=np.int64) * width
+    base = np.searchsorted(marks, edges)
+    inside = np.split(marks, base[1:])
+    rows = [(r, int(n), m.tolist()) for r, (n, m) in enumerate(zip(base, inside, strict=True))]
+    table = F.broadcast(source.sparkSession.createDataFrame(rows, "_range long, _before long, _marks array<long>"))
+    at = F.least(F.floor(F.col("sid") / F.lit(width)).cast("bigint"), F.lit(len(rows) - 1).cast("bigint"))
+    joined = source.withColumn("_range", at).join(table, "_range")
+    return joined.withColumn(name, F.col("_before") + F.size(F.filter("_marks", lambda x: x <= F.col("sid")))).drop("_range", "_before", "_marks")
 
 
 def _strict(rows: DataFrame, strict: bool) -> DataFrame:

@@ -56,7 +56,7 @@ def _split(columns: str) -> list[str]:
     return [*out, columns[start:].strip()]
 
 
-def with_views(sql: str, *names: str) -> str:
+def with_views(sql: str, *names: str, recursive: bool = False) -> str:
     """A query with the named views (and what they need) as common table expressions."""
     needed: list[str] = []
 
@@ -70,4 +70,5 @@ def with_views(sql: str, *names: str) -> str:
         add(n)
     listed = ", ".join(f"{n} as (select {VIEWS[n][0]} from {VIEWS[n][1]})" for n in needed)
     body = sql.strip()
-    return f"with {listed}, {body[5:]}" if body.startswith("with ") else f"with {listed} {body}"
+    word = "with recursive" if recursive else "with"
+    return f"{word} {listed}, {body[5:]}" if body.startswith("with ") else f"{word} {listed} {body}"

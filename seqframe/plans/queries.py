@@ -29,11 +29,11 @@ ORACLE_SQL: dict[str, str] = {}
 READ_LENGTH, SMALL_CHUNK = 32, 32_000
 
 
-def query(sql: str | None, *views: str) -> Callable[[Query], Query]:
+def query(sql: str | None, *views: str, recursive: bool = False) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = f
         if sql:
-            ORACLE_SQL[f.__name__] = with_views(sql, *views) if views else sql
+            ORACLE_SQL[f.__name__] = with_views(sql, *views, recursive=recursive) if views else sql
         return f
 
     return add
@@ -204,13 +204,38 @@ def reorder_by_sequence_chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reorder.reorder_by_sequence(view(spark, sf_dir, "bare_reads"), view(spark, sf_dir, "reads"), chunk=chunk)
 
 
-@query(None)
+@query(
+    f"""with odd as (select sid, name, comment, qual, substring(seq, 1, cast(sid % 7 + 8 as int)) as seq from reads),
+    sums as (select *, cast(sum(length(seq)) over (order by sid) as bigint) as c from odd),
+    ends(c) as (select cast(0 as bigint) union all select n.c from ends e, lateral (select min(s.c) as c from sums s where s.c >= e.c + {SMALL_CHUNK}) n where n.c is not null),
+    s as (select sums.*, row_number() over (partition by seq order by (select count(*) from ends where ends.c < sums.c), sid desc) as k from sums),
+    x as (select rid, substring(seq, 1, cast(rid % 5 + 8 as int)) as seq from bare_reads),
+    b as (select *, row_number() over (partition by seq order by rid) as k from x)
+    select b.rid, s.name, s.comment, b.seq, s.qual from b left join s on b.seq = s.seq and b.k = s.k""",
+    "reads",
+    "bare_reads",
+    recursive=True,
+)
 def reorder_by_sequence_odd_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Source reads of several lengths in chunks of a number of bases; a running total that starts anew isn't SQL, so the tests hold it."""
+    """Source reads of several lengths in chunks of a number of bases: a running total that starts anew."""
     reads = view(spark, sf_dir, "reads").withColumn("seq", F.substring("seq", F.lit(1), (F.col("sid") % 7 + 8).cast("int")))
     bare = view(spark, sf_dir, "bare_reads").withColumn("seq", F.substring("seq", F.lit(1), (F.col("rid") % 5 + 8).cast("int")))
-    chunk = reorder.chunk_by(reorder.chunk_starts(reads, SMALL_CHUNK), F.col("sid"))
-    return reorder.reorder_by_sequence(bare, reads, chunk=chunk, strict_alphabet=True)
+    chunked = reorder.with_chunks(reads, reorder.chunk_starts(reads, SMALL_CHUNK))
+    return reorder.reorder_by_sequence(bare, chunked, chunk=F.col("chunk"), strict_alphabet=True)
+
+
+@query(
+    "with t as (select substring(seq, 1, cast(sid % 7 + 8 as int)) as seq, sid from reads), sums as (select sid, cast(sum(length(seq)) over (order by sid) as bigint) as c, cast(length(seq) as bigint) as l from t), "
+    f"ends(c) as (select cast(0 as bigint) union all select n.c from ends e, lateral (select min(s.c) as c from sums s where s.c >= e.c + {SMALL_CHUNK // 100}) n where n.c is not null) "
+    "select chunk, count(*) as reads, cast(sum(l) as bigint) as bases, min(sid) as first from (select *, (select count(*) from ends where ends.c < sums.c) - 1 as chunk from sums) group by chunk",
+    "reads",
+    recursive=True,
+)
+def read_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Many small chunks of reads of several lengths: the reads, bases and first ordinal of each."""
+    reads = view(spark, sf_dir, "reads").withColumn("seq", F.substring("seq", F.lit(1), (F.col("sid") % 7 + 8).cast("int")))
+    chunked = reorder.with_chunks(reads, reorder.chunk_starts(reads, SMALL_CHUNK // 100))
+    return chunked.groupBy("chunk").agg(F.count("*").alias("reads"), F.sum(F.length("seq").cast("bigint")).alias("bases"), F.min("sid").alias("first"))
 
 
 @query("select count(*) filter (where o_orderkey % 11 = 0) as bare_empty, count(*) filter (where o_orderkey % 13 = 0) as source_empty from orders")

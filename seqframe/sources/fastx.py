@@ -1,8 +1,7 @@
 """FASTA and FASTQ records as a Python data source.
 
-`spark.read.format("fastx").load(paths)` after `register(spark)`. A file is one
-partition, since records may span lines and a gzip stream can't be split;
-gzip is told by its first bytes, not the name. Files may lie in any store that
+`spark.read.format("fastx").load(paths)` after `register(spark)`, a file a
+partition; gzip is told by its first bytes, not the name. Files may lie in any store that
 pyarrow's file systems reach.
 
 A record begins at `>` or `@`, wherever it stands after the record before. The
@@ -16,12 +15,10 @@ Option `malformed`, for a quality that is missing or of another length: `fail`
 (default) raises, `skip` leaves the record out, `stop` ends the file there.
 A schema given by the user narrows the columns that are sent.
 
-Plain files of a known `layout` are split every `split_bytes`: `four_line` (FASTQ
-whose records are four lines each, as sequencers write it) and `fasta`. A piece has
-the records that begin in it; the first is found by the layout: a line with `@`
-whose next but one begins with `+` and whose fourth is as long as its second, or a
-line with `>`. `read_fastx` numbers records over all pieces of a file, by a first
-pass that counts them.
+`read_fastx` splits files over `split_bytes`, plain ones and those of gzip blocks (see `pieces`). A piece has the records that begin in it. Of a
+known `layout` the first is found by it: `four_line` (FASTQ whose records are four lines each, as sequencers write it), a line with `@`
+whose next but one begins with `+` and whose fourth is as long as its second; `fasta`, a line with `>`. For any other layout a pass over all pieces
+tells what each begins with. Records are numbered over all pieces of a file, by a pass that counts them.
 
 `fasta_lines` is a way for FASTA without Python, in which large plain files are split.
 """
@@ -31,16 +28,20 @@ from __future__ import annotations
 import io
 import json
 import re
+from collections import deque
 from collections.abc import Iterator
+from itertools import islice
 from typing import Any, BinaryIO
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
-from seqframe.sources.files import found, is_gzip, opened, reached, store_of
+from seqframe.sources.files import found, opened, reached, store_of
+from seqframe.sources.pieces import H, Piece, Q, S, State, entries, kinds
 
 #: Bytes of a piece.
 SPLIT_BYTES = 64 << 20
@@ -73,34 +74,53 @@ class MalformedRecord(ValueError):
 
 def records(stream: BinaryIO, malformed: str = "fail") -> Iterator[tuple[str, str | None, str, str | None]]:
     """(name, comment, seq, qual) of each record."""
-    return parsed((line.rstrip(b"\n") for line in opened(stream)), malformed)
+    return parsed(((True, line.removesuffix(b"\n")) for line in opened(stream)), malformed)
 
 
-def parsed(lines: Iterator[bytes], malformed: str = "fail") -> Iterator[tuple[str, str | None, str, str | None]]:
-    """(name, comment, seq, qual) of each record in lines without their ends."""
-    lines = (line[:-1] if len(line) > 1 and line.endswith(b"\r") else line for line in lines)
-    line = next(lines, None)
+def parsed(lines: Iterator[tuple[bool, bytes]], malformed: str = "fail", state: State = (H, 0)) -> Iterator[tuple[str, str | None, str, str | None]]:
+    """(name, comment, seq, qual) of each record that begins in a line which belongs here; lines come without their ends.
+
+    `state` tells what the first line is part of: of a record that began before, the rest is passed over.
+    """
+    lines = ((owned, line[:-1] if len(line) > 1 and line.endswith(b"\r") else line) for owned, line in lines)
+    end: tuple[bool, bytes | None] = (False, None)
+    owned, line = next(lines, end)
+    kind, short = state
+    if kind == S:
+        while line is not None and line[:1] not in (b">", b"+", b"@"):
+            short += len(line)
+            owned, line = next(lines, end)
+        kind = Q if line is not None and line[:1] == b"+" else H
+        if kind == Q:
+            owned, line = next(lines, end)
+    if kind == Q:
+        begun = False
+        while line is not None and (short > 0 or not begun):
+            short, begun = short - len(line), True
+            owned, line = next(lines, end)
     while line is not None:
         at = min((i for i in (line.find(b">"), line.find(b"@")) if i >= 0), default=-1)
         if at < 0:
-            line = next(lines, None)
+            owned, line = next(lines, end)
             continue
+        if not owned:
+            return
         name, comment = header_parts(line, at + 1)
         parts: list[bytes] = []
-        line = next(lines, None)
+        owned, line = next(lines, end)
         while line is not None and line[:1] not in (b">", b"+", b"@"):
             parts.append(line)
-            line = next(lines, None)
+            owned, line = next(lines, end)
         seq = b"".join(parts)
         if line is None or line[:1] != b"+":
             yield name, comment, seq.decode(), None
             continue
-        line = next(lines, None)
+        owned, line = next(lines, end)
         missing, quals, size = line is None, [], 0
         while line is not None:  # one line at least
             quals.append(line)
             size += len(line)
-            line = next(lines, None)
+            owned, line = next(lines, end)
             if size >= len(seq):
                 break
         if missing or size != len(seq):
@@ -119,47 +139,28 @@ def _begins(layout: str, held: list[bytes]) -> bool:
     return len(held) > 3 and held[0].startswith(b"@") and held[2].startswith(b"+") and len(held[1]) == len(held[3])
 
 
-def piece(stream: BinaryIO, layout: str, start: int, end: int) -> Iterator[bytes]:
-    """The lines of the records of a plain file that begin at `start` or later and before `end`."""
-    if start:
-        stream.seek(start - 1)
-        at = start - 1 + len(stream.readline())
-    else:
-        stream.seek(0)
-        at = 0
-    held: list[tuple[int, bytes]] = []  # lines read ahead, with their places
-
-    def ahead() -> None:
-        nonlocal at
-        while len(held) < 4 and (line := stream.readline()):
-            held.append((at, line.rstrip(b"\n").removesuffix(b"\r")))
-            at += len(line)
-
-    ahead()
-    if start:
-        while held and not _begins(layout, [x for _, x in held]):
-            held.pop(0)
-            ahead()
-    while held:
-        if held[0][0] >= end and _begins(layout, [x for _, x in held]):
-            return
-        size = 4 if layout == "four_line" and _begins(layout, [x for _, x in held]) else 1
-        for _, line in held[:size]:
-            yield line
-        del held[:size]
-        ahead()
+def synced(lines: Iterator[tuple[bool, bytes]], layout: str) -> Iterator[tuple[bool, bytes]]:
+    """The lines from the first record's start on, which the layout tells."""
+    held: deque[tuple[bool, bytes]] = deque(islice(lines, 4))
+    while held and not _begins(layout, [x.removesuffix(b"\r") for _, x in held]):
+        held.popleft()
+        held.extend(islice(lines, 1))
+    yield from held
+    yield from lines
 
 
 class FilePartition(InputPartition):
-    """A file, or the piece of it from `start` to `end`."""
+    """A file, or a piece of it from `start` to `end`, entered in `state` (None: the layout tells where records begin)."""
 
-    def __init__(self, file_id: int, path: str, number: int = 0, start: int = 0, end: int | None = None) -> None:
-        self.file_id, self.path, self.number, self.start, self.end = file_id, path, number, start, end
+    def __init__(self, file_id: int, path: str, number: int = 0, kind: str = "", start: int = 0, end: int | None = None, state: State | None = None) -> None:
+        self.file_id, self.path, self.number, self.kind, self.start, self.end, self.state = file_id, path, number, kind, start, end, state
 
 
 #: The piece of the file that a record comes from; only where files are split.
 PIECE = StructField("piece", IntegerType(), False)
 LAYOUTS = ("any", "four_line", "fasta")
+#: Records and characters that are sent at once.
+RECORDS, CHARACTERS = 1 << 14, 4 << 20
 
 
 class FastxReader(DataSourceReader):
@@ -174,32 +175,54 @@ class FastxReader(DataSourceReader):
         self.layout = options.get("layout", "any")
         if self.layout not in LAYOUTS:
             raise ValueError(f"layout must be one of {LAYOUTS}")
-        self.split_bytes = int(options.get("split_bytes", SPLIT_BYTES))
+        pieces = options.get("pieces")
+        self.pieces = json.loads(pieces) if pieces else None
         paths = options.get("paths")
         self.paths = json.loads(paths) if paths else [options["path"]]
 
     def partitions(self) -> list[FilePartition]:
-        out = []
-        for i, (path, size) in enumerate(found(self.paths)):
-            if self.layout == "any" or size <= self.split_bytes or is_gzip(path):
-                out.append(FilePartition(i, path))
-            else:
-                out += [FilePartition(i, path, k, at, at + self.split_bytes) for k, at in enumerate(range(0, size, self.split_bytes))]
-        return out
+        if self.pieces is not None:
+            return [FilePartition(*p[:-1], tuple(p[-1]) if p[-1] else None) for p in self.pieces]
+        return [FilePartition(i, path) for i, (path, _) in enumerate(found(self.paths))]
 
     def _records(self, part: FilePartition) -> Iterator[tuple[str, str | None, str, str | None]]:
-        store, inner = store_of(part.path)
         if part.end is None:
+            store, inner = store_of(part.path)
             with store.open_input_stream(inner, compression=None) as stream:
                 yield from records(io.BufferedReader(stream), self.malformed)
-        else:
-            with store.open_input_file(inner) as stream:
-                yield from parsed(piece(io.BufferedReader(stream), self.layout, part.start, part.end), self.malformed)
-
-    def read(self, partition: FilePartition) -> Iterator[tuple[Any, ...]]:
-        for number, (name, comment, seq, qual) in enumerate(self._records(partition)):
-            row = {"file_id": partition.file_id, "rec_no": number, "name": name, "comment": comment, "seq": seq, "qual": qual, "l_seq": len(seq), "piece": partition.number}
-            yield tuple(row[c] for c in self.columns)
+            return
+        with Piece(part.path, part.kind, part.start, part.end) as piece:
+            lines = piece.lines()
+            if part.state is None and part.start:
+                lines = synced(lines, self.layout)
+            yield from parsed(lines, self.malformed, part.state or (H, 0))
+
+    def read(self, partition: FilePartition) -> Iterator[pa.RecordBatch]:
+        kinds = [{"int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}[SCHEMA[c].dataType.simpleString() if c != PIECE.name else "int"] for c in self.columns]
+        makers = {
+            "file_id": lambda first, rows: [partition.file_id] * len(rows),
+            "rec_no": lambda first, rows: range(first, first + len(rows)),
+            "name": lambda first, rows: [r[0] for r in rows],
+            "comment": lambda first, rows: [r[1] for r in rows],
+            "seq": lambda first, rows: [r[2] for r in rows],
+            "qual": lambda first, rows: [r[3] for r in rows],
+            "l_seq": lambda first, rows: [len(r[2]) for r in rows],
+            PIECE.name: lambda first, rows: [partition.number] * len(rows),
+        }
+
+        def batch(first: int, rows: list[tuple[str, str | None, str, str | None]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(makers[c](first, rows), k) for c, k in zip(self.columns, kinds, strict=True)], self.columns)
+
+        held: list[tuple[str, str | None, str, str | None]] = []
+        first, size = 0, 0
+        for record in self._records(partition):
+            held.append(record)
+            size += len(record[2])
+            if len(held) == RECORDS or size > CHARACTERS:
+                yield batch(first, held)
+                first, held, size = first + len(held), [], 0
+        if held:
+            yield batch(first, held)
 
 
 class FastxSource(DataSource):
@@ -218,18 +241,41 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(FastxSource)
 
 
+def pieces_of(spark: SparkSession, paths: list[str], layout: str, split_bytes: int) -> list[list[Any]]:
+    """All pieces of all files, each with its file, number, kind, ends and, where the layout doesn't tell, the state that it is entered in."""
+    files = found(paths)
+    told = kinds(spark, [p for p, size in files if size > split_bytes])
+    out: list[list[Any]] = []
+    for i, (path, size) in enumerate(files):
+        kind = told.get(path, "gzip")
+        if kind == "gzip":  # or a small file, whatever it is
+            out.append([i, path, 0, "", 0, None, None])
+        else:
+            out += [[i, path, k, kind, at, min(at + split_bytes, size), None] for k, at in enumerate(range(0, size, split_bytes))]
+    if layout == "any":
+        split = [p for p in out if p[5] is not None]
+        for piece, state in zip(split, entries(spark, [(p[1], p[3], p[4], p[5]) for p in split]), strict=True):
+            piece[6] = state
+    return out
+
+
 def read_fastx(spark: SparkSession, *paths: str, columns: list[str] | None = None, malformed: str = "fail", layout: str = "any", split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """Records of all files, numbered by file and within it; `columns` narrows what is read, a `layout` other than `any` splits plain files.
+    """Records of all files, numbered by file and within it; `columns` narrows what is read.
 
-    With `malformed="stop"` files aren't split, as what follows a bad record is another piece's.
+    Files over `split_bytes` are read in pieces, plain ones and those of gzip blocks. For `layout="any"` they are read once before, to tell what
+    each piece begins with. With `malformed="stop"` files aren't split, as what follows a bad record is another piece's.
     """
     register(spark)
+    if layout not in LAYOUTS:
+        raise ValueError(f"layout must be one of {LAYOUTS}")
     fields = {f.name: f for f in SCHEMA.fields}
     wanted = columns or list(fields)
-    source = spark.read.format("fastx").option("malformed", malformed).option("paths", json.dumps([reached(spark, p) for p in paths]))
-    if layout == "any" or malformed == "stop":
+    every = [reached(spark, p) for p in paths]
+    source = spark.read.format("fastx").option("malformed", malformed).option("paths", json.dumps(every)).option("layout", layout)
+    split = [] if malformed == "stop" else pieces_of(spark, every, layout, split_bytes)
+    if not any(p[2] for p in split):
         return source.schema(StructType([fields[c] for c in wanted])).load()
-    source = source.option("layout", layout).option("split_bytes", split_bytes)
+    source = source.option("pieces", json.dumps(split))
     if "rec_no" not in wanted:
         return source.schema(StructType([fields[c] for c in wanted])).load()
     counts = source.schema(StructType([fields["file_id"], PIECE])).load().groupBy("file_id", "piece").agg(F.count("*").alias("n"))

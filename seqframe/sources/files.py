@@ -4,8 +4,8 @@
 of Spark's and pyarrow's file systems. Commands are not run.
 
 Spark's text reader goes by a file's name: gzip without its ending gives garbage, and plain text with it an error. `text_lines` looks at the first
-two bytes of each file. Files whose name tells the truth are Spark's, split where they are plain; only the others go
-through a Python data source, a file a partition.
+bytes of each file, in a job. Files whose name tells the truth are Spark's, split where they are plain; only the others go
+through a Python data source, a file a partition, and large gzip files of blocks, in pieces.
 """
 
 from __future__ import annotations
@@ -17,7 +17,6 @@ import sys
 import urllib.parse
 import urllib.request
 from collections.abc import Iterator
-from concurrent.futures import ThreadPoolExecutor
 from typing import BinaryIO
 
 import pyarrow as pa
@@ -30,8 +29,8 @@ from pyspark.sql.utils import AnalysisException
 from seqframe.plans.scratch import new_folder
 
 GZIP = b"\x1f\x8b"
-#: Files looked at together; bytes of lines that are sent at once.
-TOGETHER, AT_ONCE = 32, 4 << 20
+#: Bytes of lines that are sent at once.
+AT_ONCE = 4 << 20
 
 
 def store_of(path: str):
@@ -66,12 +65,6 @@ def found(paths: list[str]) -> list[tuple[str, int]]:
     return out
 
 
-def is_gzip(path: str) -> bool:
-    store, inner = store_of(path)
-    with store.open_input_stream(inner, compression=None) as stream:
-        return stream.read(2) == GZIP
-
-
 def file_sizes(spark: SparkSession, path: str) -> DataFrame:
     """`file`, `bytes` of every file below a path; only listed, not read."""
     top = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -116,24 +109,34 @@ def reached(spark: SparkSession, name: str) -> str:
 
 
 class _File(InputPartition):
-    def __init__(self, path: str) -> None:
-        self.path = path
+    def __init__(self, path: str, kind: str, start: int, end: int) -> None:
+        self.path, self.kind, self.start, self.end = path, kind, start, end
 
 
 class LinesReader(DataSourceReader):
-    def __init__(self, paths: list[str]) -> None:
-        self.paths = paths
+    def __init__(self, pieces: list[tuple[str, str, int, int]]) -> None:
+        self.pieces = pieces
 
     def partitions(self) -> list[_File]:
-        return [_File(p) for p in self.paths]
+        return [_File(*p) for p in self.pieces]
 
-    def read(self, partition: _File) -> Iterator[pa.RecordBatch]:
-        store, inner = store_of(partition.path)
+    def _blocks(self, part: _File) -> Iterator[list[bytes]]:
+        from seqframe.sources.pieces import Piece
+
+        if part.kind == "blocks":
+            with Piece(part.path, part.kind, part.start, part.end) as piece:
+                for body in piece.blocks():
+                    yield body.removesuffix(b"\n").split(b"\n")
+            return
+        store, inner = store_of(part.path)
         with store.open_input_stream(inner, compression=None) as stream:
             lines = opened(io.BufferedReader(stream))
             while some := lines.readlines(AT_ONCE):
-                values = [x.rstrip(b"\n").removesuffix(b"\r").decode("utf-8", "replace") for x in some]
-                yield pa.RecordBatch.from_arrays([pa.array(values, pa.string())], ["value"])
+                yield [x.removesuffix(b"\n") for x in some]
+
+    def read(self, partition: _File) -> Iterator[pa.RecordBatch]:
+        for some in self._blocks(partition):
+            yield pa.RecordBatch.from_arrays([pa.array([x.removesuffix(b"\r").decode("utf-8", "replace") for x in some], pa.string())], ["value"])
 
 
 class LinesSource(DataSource):
@@ -145,25 +148,36 @@ class LinesSource(DataSource):
         return StructType([StructField("value", StringType())])
 
     def reader(self, schema: StructType) -> LinesReader:
-        return LinesReader(json.loads(self.options["paths"]))
+        return LinesReader(json.loads(self.options["pieces"]))
+
 
+def text_lines(spark: SparkSession, path: str, split_bytes: int = 64 << 20) -> DataFrame:
+    """`value`, the lines of the file, or of the files below the folder, at `path` (see `reached`), whether or not its name says that they are compressed.
+
+    Executors look at the files' first bytes. Gzip files of blocks that are over `split_bytes` are read in pieces, each a task.
+    """
+    from seqframe.sources.pieces import kinds
 
-def text_lines(spark: SparkSession, path: str) -> DataFrame:
-    """`value`, the lines of the file, or of the files below the folder, at `path` (see `reached`), whether or not its name says that they are compressed."""
     path = reached(spark, path)
     try:
-        every = [p for p, _ in found([path])]
+        every = found([path])
     except (ValueError, OSError):  # a store that only Spark's readers reach: the name must tell
         return spark.read.text(path)
-    with ThreadPoolExecutor(TOGETHER) as pool:
-        content = list(pool.map(is_gzip, every))
-    other = [p for p, c in zip(every, content, strict=True) if c != p.endswith((".gz", ".gzip")) and (c or p.endswith(".gz"))]
-    if not other:
+    told = kinds(spark, [p for p, _ in every])
+    odd: list[tuple[str, str, int, int]] = []
+    good = []
+    for p, size in every:
+        if told[p] == "blocks" and size > split_bytes:
+            odd += [(p, "blocks", at, min(at + split_bytes, size)) for at in range(0, size, split_bytes)]
+        elif p.endswith(".gz") == (told[p] != "plain"):
+            good.append(p)
+        else:
+            odd.append((p, told[p], 0, size))
+    if not odd:
         return spark.read.text(path)
     spark.dataSource.register(LinesSource)
-    odd = spark.read.format("lines_by_content").option("paths", json.dumps(other)).load()
-    good = [p for p in every if p not in set(other)]
-    return spark.read.text(good).unionByName(odd) if good else odd
+    rows = spark.read.format("lines_by_content").option("pieces", json.dumps(odd)).load()
+    return spark.read.text(good).unionByName(rows) if good else rows
 
 
 def numbered(lines: DataFrame) -> DataFrame:

@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from seqframe.sinks.fastx import listing, rendered, write_fastx
-from seqframe.sources.fastx import MalformedRecord, fasta_lines, parsed, piece, read_fastx, records
+from seqframe.sources.fastx import MalformedRecord, fasta_lines, parsed, read_fastx, records, synced
+from seqframe.sources.pieces import Piece
 from seqframe.sources.files import file_sizes, text_lines
 from seqframe.sources.lines import read_lines
 from seqframe.sources.sam import parse_records, read_sam
@@ -109,9 +110,9 @@ def test_pieces_of_a_four_line_file(spark, tmp_path, end, size):
     (tmp_path / "y.fq.gz").write_bytes(gzip.compress(text.encode()))
     step = max(size, 37)
     found = []
-    for at in range(0, len(text), size if size > 1 else step):
-        with open(tmp_path / "x.fq", "rb") as stream:
-            found += list(parsed(piece(stream, "four_line", at, at + (size if size > 1 else step))))
+    for at in range(0, len(text), step):
+        with Piece(f"{tmp_path}/x.fq", "plain", at, at + step) as piece:
+            found += list(parsed(synced(piece.lines(), "four_line") if at else piece.lines()))
     assert found == rows
     if size in (37, 400):
         df = read_fastx(spark, f"{tmp_path}/x.fq", f"{tmp_path}/y.fq.gz", layout="four_line", split_bytes=max(size, 400))

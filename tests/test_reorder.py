@@ -89,11 +89,25 @@ def test_chunks_of_reads_of_any_length(spark, reads):
                 held += len(seq)
         starts = reorder.chunk_starts(source, most, reads)
         assert starts == want
-        found = {r.sid: r.c for r in source.select("sid", reorder.chunk_by(starts, F.col("sid")).alias("c")).collect()}
+        assert reorder.chunk_starts(source, most, reads, 50) == want
+        found = {r.sid: r.c for r in reorder.with_chunks(source, starts, "c").collect()}
         assert all(found[sid] == sum(x <= sid for x in want[1:]) for sid, _ in rows)
     assert reorder.chunk_starts(source.limit(0)) == []
 
 
+def test_chunks_take_few_jobs(spark):
+    """One pass over the lengths and one over the reads near the marks, however many chunks."""
+    rng = random.Random(2)
+    rows = [(i, "A" * rng.randint(50, 150)) for i in range(4000)]
+    source = spark.createDataFrame(rows, "sid long, seq string").repartition(4)
+    group = f"chunks-{rng.random()}"
+    spark.sparkContext.setJobGroup(group, "chunks")
+    starts = reorder.chunk_starts(source, 1000, 64)
+    few = set(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    spark.sparkContext.setJobGroup("", "")
+    assert len(starts) > 350 and len(few) < 12
+
+
 def test_odd_chunks_one_by_one(spark):
     rng = random.Random(9)
     seqs = ["ACGT" * n for n in (1, 3, 8)]
@@ -101,7 +115,7 @@ def test_odd_chunks_one_by_one(spark):
     source = [(i, f"s{i}", None, rng.choice(seqs), None) for i in range(200)]
     s = spark.createDataFrame(source, "sid long, name string, comment string, seq string, qual string").repartition(3)
     starts = reorder.chunk_starts(s, 300, 16)
-    out = reorder.reorder_by_sequence(spark.createDataFrame(bare, "rid long, seq string"), s, chunk=reorder.chunk_by(starts, F.col("sid")))
+    out = reorder.reorder_by_sequence(spark.createDataFrame(bare, "rid long, seq string"), reorder.with_chunks(s, starts), chunk=F.col("chunk"))
     assert sorted((r.rid, r.name, r.comment, r.qual) for r in out.collect()) == sorted(one_by_one(bare, source, "lifo", lambda i: sum(x <= i for x in starts[1:])))
 
 
