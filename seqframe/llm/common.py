@@ -177,19 +177,21 @@ def slices(batches: Iterator[pa.RecordBatch], column: int, most_bytes: int) -> I
 
 
 def stratified_ids(df: DataFrame, key: str, group: str, each: int, salt: str, sizes: DataFrame | None = None) -> DataFrame:
-    """Up to `each` values of `key` per `group`, those of least hash, so alike on every run and partitioning.
+    """Up to `each` distinct values of `key` per `group`, those of least hash, so alike on every run and partitioning.
 
-    Groups are counted first, so that only about `SLACK` * `each` keys of a group go on to be ordered, however large it is. The counts
-    are broadcast: a row a group, far smaller than the model that is made of `each` texts a group and broadcast too.
+    Repeated rows of a key and group are one, before anything is counted. Groups are counted first, so that only about `SLACK` * `each` keys of
+    a group go on to be ordered, however large it is. The counts are broadcast: a row a group, far smaller than the model that is made
+    of `each` texts a group and broadcast too.
     """
     place = F.pmod(F.xxhash64(F.lit(salt), F.col(key)), F.lit(1 << 30))
-    sizes = df.groupBy(group).agg(F.count("*").alias("_size")) if sizes is None else sizes
+    pairs = df.select(key, group).distinct()
+    sizes = pairs.groupBy(group).agg(F.count("*").alias("_size")) if sizes is None else sizes
     order = Window.partitionBy(group).orderBy("_place", F.col(key))
     # in doubles, as the product leaves 64 bits once a group has 2^33 rows
-    near = df.select(key, group, place.alias("_place")).join(F.broadcast(sizes), group).filter(F.col("_place").cast("double") * F.col("_size") < F.lit(float(SLACK * each * (1 << 30))))
+    near = pairs.select(key, group, place.alias("_place")).join(F.broadcast(sizes), group).filter(F.col("_place").cast("double") * F.col("_size") < F.lit(float(SLACK * each * (1 << 30))))
     return near.withColumn("_nth", F.row_number().over(order)).filter(F.col("_nth") <= each).select(key, group)
 
 
-def bounded_rows(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """The rows of `df` whose `key` is in `ids`, a set of proven size (see `stratified_ids`), so it may be broadcast."""
-    return df.join(F.broadcast(ids), key, "inner")
+def bounded_rows(df: DataFrame, ids: DataFrame, *columns: str) -> DataFrame:
+    """The rows of `df` whose `columns` are in `ids`, distinct rows of a proven number (see `stratified_ids`), so they may be broadcast."""
+    return df.join(F.broadcast(ids), list(columns), "inner")

@@ -86,10 +86,15 @@ def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 COUNTS = pa.schema([("lang", pa.string()), ("size", pa.int32()), ("token", pa.string()), ("n", pa.int64()), ("total", pa.int64())])
 
 
+def one_text_each(sample: DataFrame) -> DataFrame:
+    """One of the texts of each key and language, the least, so that a repeated key has the weight of one document."""
+    return sample.groupBy("key", "lang").agg(F.min("text").alias("text"))
+
+
 def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang") -> pa.Table:
     """A table of `COUNTS`, of up to `KEPT` tokens a language and length."""
     known = labelled.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(label).cast("string").alias("lang")).filter("lang is not null and text is not null")
-    sample = bounded_rows(known, stratified_ids(known, "key", "lang", EACH, "language").select("key"), "key")
+    sample = one_text_each(bounded_rows(known, stratified_ids(known, "key", "lang", EACH, "language"), "key", "lang"))
     kind = "lang string, size int, token string, n long"
     tasks = max(1, min(TASKS, labelled.sparkSession.sparkContext.defaultParallelism))  # the sample is bounded, and may come in few partitions
     counted = small_batches(sample).select("lang", "text").repartition(tasks).mapInArrow(_word_counts, kind).groupBy("lang", "size", "token").agg(F.sum("n").alias("n"))

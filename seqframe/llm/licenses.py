@@ -2,7 +2,8 @@
 
 DataFrame functions and Spark's own logistic regression only. A paragraph is a
 line, or a window of a wrapped notice's lines (2 to `MOST_LINES`, without a blank
-line among them); windows count only if confirmed. Its features are which words and
+line among them); windows count only if confirmed. Texts are taken apart into blocks of
+lines first, so that windows are only ever made of one block's lines. Its features are which words and
 word pairs it has of those that the notices below and frequent ones of plain
 paragraphs have. A multinomial logistic regression tells licence families, notices of
 other licences (`unknown`) and plain text apart. It learns from the templates, from
@@ -16,7 +17,8 @@ the bar that tells known and other licences apart best on names in forms kept
 apart), if it has the family's distinguishing terms and none that tell of another
 licence (`TELLING`), and if a template of that family confirms it, by having at
 least `CONFIRM` of its words and word pairs in the paragraph. Else it is `unknown`, if it
-speaks of licences, permission or copyright (`SPEAKS`), or plain. A paragraph
+speaks of licences, permission or copyright (`SPEAKS`), or plain; an unknown line that
+speaks of "the license" a few lines below a notice belongs to that. A paragraph
 without any `CUE` has neither, so only those with one are classified.
 
 Defined results: null and empty texts have no paragraphs; blank lines are none;
@@ -58,7 +60,7 @@ TEMPLATES: dict[str, list[str]] = {
         "Licensed under the Apache License, Version 2.0.",
         "Released under the Apache License 2.0.",
         "SPDX-License-Identifier: Apache-2.0",
-        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.',
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at',
     ],
     "bsd-3-clause": [
         "Released under the BSD 3-Clause License.",
@@ -198,6 +200,9 @@ TELLING: dict[str, tuple[list[list[str]], list[str]]] = {
 SPEAKS = r"licen[sc]|permission|permitted|copyright|redistribut|public domain"
 RESERVED = r"rights reserved\s*($|[^\p{L}\p{N}\s])"
 
+#: An unknown line that speaks so of a notice's licence, at most `MOST_LINES` lines below it, belongs to the notice.
+REFERS = r"\bthe licen[sc]e\b"
+
 #: A wrapped notice is looked for in windows of up to `MOST_LINES` lines of at most `WRAPPED` characters; a paragraph without
 #: `CUE` (lower case) is plain, as every family's telling terms or its templates have it.
 MOST_LINES, WRAPPED = 8, 200
@@ -211,24 +216,31 @@ def _cued(x: Column) -> Column:
     return F.lower(x).rlike(CUE)
 
 
+#: Lines of a block; blocks overlap by the lines that a window starting in one may reach into the next.
+BLOCK = 32
+
 _PARAGRAPHS = "array<struct<start: int, end: int, paragraph: string>>"
 
 
-def _single(lines: Column) -> Column:
-    """The lines that aren't blank, each with its place as `start` and `end`."""
-    return F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("start"), i.alias("end"), x.alias("paragraph"))), lambda p: F.trim(p["paragraph"]) != "")
+def _blocks(lines: Column) -> Column:
+    """Lines in blocks, with the number of each block's first line, of those blocks that have a `CUE`."""
+    starts = F.sequence(F.lit(0), F.size(lines) - 1, F.lit(BLOCK))
+    every = F.transform(starts, lambda i: F.struct(i.alias("first"), F.slice(lines, i + 1, F.lit(BLOCK + MOST_LINES - 1)).alias("lines")))
+    return F.filter(every, lambda b: F.exists(b["lines"], _cued))
 
 
-def _cued_paragraphs(lines: Column) -> Column:
-    """Lines with a `CUE`, and each run of 2 to `MOST_LINES` lines with one that isn't broken by a blank or long line."""
-    good = F.transform(lines, lambda x: (F.trim(x) != "") & (F.length(x) <= WRAPPED))
+def _paragraphs(first: Column, lines: Column, good: Column) -> Column:
+    """The paragraphs with a `CUE` that start in a block: lines that aren't blank, and each run of 2 to `MOST_LINES` lines that are all `good`."""
 
     def runs(i: Column) -> Column:
         sizes = F.filter(F.array(*[F.lit(k) for k in range(2, MOST_LINES + 1)]), lambda k: (i + k <= F.size(lines)) & F.forall(F.slice(good, i + 1, k), lambda g: g))
-        return F.transform(sizes, lambda k: F.struct(i.alias("start"), (i + k - 1).alias("end"), F.array_join(F.slice(lines, i + 1, k), " ").alias("paragraph")))
+        return F.transform(sizes, lambda k: F.struct((first + i).alias("start"), (first + i + k - 1).alias("end"), F.array_join(F.slice(lines, i + 1, k), " ").alias("paragraph")))
 
-    wrapped = F.flatten(F.transform(lines, lambda x, i: runs(i)))
-    return F.filter(F.concat(_single(lines), wrapped), lambda p: _cued(p["paragraph"]))
+    def starting(x: Column, i: Column) -> Column:
+        single = F.struct((first + i).alias("start"), (first + i).alias("end"), x.alias("paragraph"))
+        return F.when(F.trim(x) != "", F.concat(F.array(single), runs(i))).otherwise(F.array().cast(_PARAGRAPHS))
+
+    return F.filter(F.flatten(F.transform(F.slice(lines, 1, F.lit(BLOCK)), starting)), lambda p: _cued(p["paragraph"]))
 
 
 def _words(paragraph: Column) -> Column:
@@ -299,7 +311,7 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int
     spark = docs.sparkSession
     texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).filter("key is not null")
     picked = texts.select("key").distinct().orderBy(F.xxhash64(F.lit("licence"), "key"), "key").limit(sample)
-    texts = texts.join(F.broadcast(picked), "key")  # `sample` keys
+    texts = texts.join(F.broadcast(picked), "key").groupBy("key").agg(F.min("text").alias("text"))  # `sample` keys, and one text of each
     # notices among them would be learned as plain text, so paragraphs that speak of licences or rights are left out
     plain = texts.select(F.explode(F.array_distinct(F.split("text", "\n"))).alias("paragraph")).filter(F.trim("paragraph") != "").filter(~F.lower("paragraph").rlike(rf"{SPEAKS}|\brights\b"))
     plain = _terms(plain.distinct()).select("paragraph", "terms", (F.pmod(F.xxhash64("paragraph"), F.lit(2)) == 1).alias("apart"))
@@ -336,13 +348,17 @@ def parting(values: list[tuple[float, bool]]) -> float:
 def _found(docs: DataFrame, scanner: Scanner, key: str, text: str) -> DataFrame:
     """`key`, `row`, `n` and the classified paragraphs of `docs`: lines, and the windows of lines that a family's template confirms, if they are notices; before them, a row without a paragraph for each text, with the number `n` of its lines."""
 
-    def entries(lines: Column) -> Column:
-        return F.concat(F.array(F.lit(None).cast(_PARAGRAPHS[6:-1])), F.when(_cued(F.col("text")), _cued_paragraphs(lines)).otherwise(F.array().cast(_PARAGRAPHS)))
-
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row"))
-    # through a lambda of one value, so that the text is split once
-    split = F.transform(F.array(F.split("text", "\n")), lambda x: F.struct(F.size(_single(x)).alias("n"), entries(x).alias("p")))
-    rows = rows.select("key", "row", F.get(split, F.lit(0)).alias("x")).select("key", "row", "x.n", F.explode("x.p").alias("p")).select("key", "row", "n", "p.*")
+    # each step is a select of its own, so that a text is split once, and no row of a block carries the text, no paragraph its block
+    rows = rows.select("key", "row", F.split("text", "\n").alias("lines"), _cued(F.col("text")).alias("cued"))
+    blank = F.array().cast("array<struct<first: int, lines: array<string>>>")
+    rows = rows.select("key", "row", F.size(F.filter("lines", lambda x: F.trim(x) != "")).alias("n"), F.when(F.col("cued"), _blocks(F.col("lines"))).otherwise(blank).alias("blocks"))
+    rows = rows.select("key", "row", "n", F.explode_outer("blocks").alias("b")).select("key", "row", "n", F.col("b.first").alias("first"), F.col("b.lines").alias("lines"))
+    good = F.transform("lines", lambda x: (F.trim(x) != "") & (F.length(x) <= WRAPPED))
+    rows = rows.select("key", "row", "n", "first", "lines", good.alias("good"))
+    found = F.concat(F.array(F.lit(None).cast(_PARAGRAPHS[6:-1])), F.coalesce(_paragraphs(F.col("first"), F.col("lines"), F.col("good")), F.array().cast(_PARAGRAPHS)))
+    rows = rows.select("key", "row", "n", found.alias("paragraphs"))
+    rows = rows.select("key", "row", "n", F.explode("paragraphs").alias("p")).select("key", "row", "n", "p.*")
     found = scanner.classified(_terms(rows))
     return found.filter(F.col("paragraph").isNull() | F.col("family").isNotNull() & ((F.col("start") == F.col("end")) | (F.col("share") >= CONFIRM)))
 
@@ -354,7 +370,7 @@ def _apart(found: Column) -> Column:
     another, and unknown lines are last. One pass in the order of the lines: a window that reaches into one of another family is
     left, as the one that starts after it follows.
     """
-    struct = "struct<row: bigint, start: int, end: int, worth: double, family: string>"
+    struct = "struct<row: bigint, start: int, end: int, worth: double, family: string, refers: boolean>"
     start = F.struct(F.lit(None).cast(struct).alias("last"), F.lit(0).cast("long").alias("n"), F.array().cast("array<string>").alias("families"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -363,10 +379,13 @@ def _apart(found: Column) -> Column:
         over = same & (x["start"] <= last["end"])
         # unknown lines that follow each other are one notice
         on = same & ~over & (last["family"] == UNKNOWN) & (x["family"] == UNKNOWN) & (x["start"] == last["end"] + 1)
-        closed = last.isNotNull() & ~over & ~on
+        # one that refers to the licence of a notice above is a part of that
+        part = same & ~over & (x["family"] == UNKNOWN) & (last["family"] != UNKNOWN) & x["refers"] & (x["start"] <= last["end"] + MOST_LINES)
+        closed = last.isNotNull() & ~over & ~on & ~part
+        kept = last.withField("end", F.greatest(last["end"], x["end"]))
         better = (x["worth"] > last["worth"]) & ((x["family"] == last["family"]) | (last["family"] == UNKNOWN) | (x["start"] == x["end"]))
         return F.struct(
-            F.when(over & ~better, last).otherwise(x).alias("last"),
+            F.when(part, kept).when(over & ~better, last).otherwise(x).alias("last"),
             (acc["n"] + closed.cast("long")).alias("n"),
             F.when(closed, F.array_union(acc["families"], F.array(last["family"]))).otherwise(acc["families"]).alias("families"),
         )
@@ -386,7 +405,7 @@ def scan(docs: DataFrame, scanner: Scanner, key: str = "doc_id", text: str = "te
     """`key`, `licenses` (families found, sorted), `n_paragraphs` (lines) and `n_notices` (a wrapped notice is one) of every document."""
     single = F.col("start") == F.col("end")
     worth = F.when(F.col("family") == UNKNOWN, 0.0).when(single, 2.0).otherwise(F.col("share") - 0.01 * (F.col("end") - F.col("start")))
-    notice = F.when(F.col("paragraph").isNotNull(), F.struct("row", "start", "end", worth.alias("worth"), "family"))
+    notice = F.when(F.col("paragraph").isNotNull(), F.struct("row", "start", "end", worth.alias("worth"), "family", F.lower("paragraph").rlike(REFERS).alias("refers")))
     # notices are gathered by row, so a key's rows, however many, are only ever summed
     by_row = _found(docs, scanner, key, text).groupBy("key", "row").agg(F.collect_list(notice).alias("notices"), F.max("n").alias("n"))
     by_row = by_row.withColumn("notices", _apart(F.col("notices")))

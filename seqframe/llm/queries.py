@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqframe.llm import bpe, decontaminate, language, licenses, linededup, packing, quality, runs, simhash, token_store, topk, urls
@@ -56,11 +56,15 @@ def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(_table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def held_out(parts: int, remainder: int) -> Column:
+    """Whether a document is kept apart from learning; one without an id is not, and can't be learned from either."""
+    return F.coalesce(language.fold("doc_id", parts) == remainder, F.lit(False)).alias("held_out")
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = language.train(docs.filter(language.fold("doc_id", 4) != 2))
-    held_out = (language.fold("doc_id", 4) == 2).alias("held_out")
-    return language.predict(docs, model).select("doc_id", held_out, "lang_pred", "score")
+    return language.predict(docs, model).select("doc_id", held_out(4, 2), "lang_pred", "score")
 
 
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,9 +82,8 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = quality.train(docs.filter(language.fold("doc_id", 5) != 0), _table(spark, sf_dir, "labels"))
-    held_out = (language.fold("doc_id", 5) == 0).alias("held_out")
     predicted = (F.col("score") >= quality.LEAST).cast("int").alias("predicted")
-    return quality.score(docs, model).select("doc_id", held_out, "score", predicted)
+    return quality.score(docs, model).select("doc_id", held_out(5, 0), "score", predicted)
 
 
 def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

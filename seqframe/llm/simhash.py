@@ -248,8 +248,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, key: str = "doc_id", text
 
 
 def first_of_each(docs: DataFrame, shingle: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of `docs` that are the first of their component, by `key`; of repeated rows (equal in key and text) all stay or go."""
-    gone = with_first(docs, shingle, key, text).filter(_row() != F.col("first")).select("doc_id", "h1", "h2").distinct()
+    """The rows of `docs` that are the first of their component, by `key`; of repeated rows (equal in key and text) all stay or go.
+
+    Texts without words have nothing that could be alike: they take no part, and all stay.
+    """
+    worded = docs.filter(F.col(f"`{text}`").rlike(r"[^\x20\x09-\x0D]"))
+    gone = with_first(worded, shingle, key, text).filter(_row() != F.col("first")).select("doc_id", "h1", "h2").distinct()
     return with_facts(docs, gone, key, text, "left_anti").select("row.*")
 
 

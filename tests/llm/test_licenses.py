@@ -110,6 +110,43 @@ def test_null_and_repeated_keys_and_clashing_names(spark, scanner):
     assert rows == {None: (["mit"], 3, 2), "4": (["cc-by-4.0"], 3, 1)}
 
 
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+
+
+def test_a_notice_and_the_lines_that_refer_to_it(spark, scanner):
+    lines = APACHE.split("\n")
+    cases = [APACHE, "\n".join(lines[:3]), APACHE + "\n\nThe end.", "The weather was mild.\n" + APACHE, APACHE + "\n\nLicensed under the Eclipse Public License 2.0"]
+    docs = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    rows = {r.doc_id: (r.licenses, r.n_notices) for r in licenses.scan(docs, scanner).collect()}
+    assert rows == {**dict.fromkeys(range(4), (["apache-2.0"], 1)), 4: (["apache-2.0", "unknown"], 2)}
+
+
+def test_texts_of_many_cue_lines(spark, scanner):
+    """Windows are made a block at a time: texts of 50 KB and of 5 MB of lines that all have a cue."""
+    line = "a line of some words about the copyright of things and the rights of all the others"
+    docs = spark.createDataFrame([(1, "\n".join([line] * 616)), (2, "\n".join([line] * 60_000)), (3, "\n".join([line + " x" * 100_000] * 40))], "doc_id long, text string")
+    rows = {r.doc_id: r.n_paragraphs for r in licenses.scan(docs, scanner).collect()}
+    assert rows == {1: 616, 2: 60_000, 3: 40}
+
+
+def test_blocks_give_the_windows_of_whole_texts(spark, scanner):
+    """A wrapped notice at every place around the end of a block."""
+    wrapped = textwrap.wrap(licenses.TEMPLATES["mit"][3], 60)
+    cases = [(k, "\n".join([*["The weather was mild."] * k, "", *wrapped, "", "The end."])) for k in range(licenses.BLOCK - 10, licenses.BLOCK + 4)]
+    docs = spark.createDataFrame(cases, "doc_id long, text string")
+    assert {r.doc_id: (r.licenses, r.n_notices, r.n_paragraphs) for r in licenses.scan(docs, scanner).collect()} == {k: (["mit"], 1, k + len(wrapped) + 1) for k, _ in cases}
+
+
 def plainly(paragraph, scanner, model):
     """The family of a paragraph and its share, without Spark."""
     words = [w for w in re.split(r"[\W_]+", paragraph.lower()) if w]

@@ -1,13 +1,15 @@
 """Every stage of the pipeline and every operator on tables with clashing columns, odd keys, nulls, repeated and very long rows, and on empty ones."""
 
 import random
+import zlib
 
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
-from seqframe.llm import bpe, decontaminate, language, licenses, linededup, quality, simhash, token_store, topk, urls
-from seqframe.llm.queries import URL_RULES, tokenizer_path
+from seqframe.llm import bpe, common, decontaminate, language, licenses, linededup, quality, simhash, token_store, topk, urls
+from seqframe.llm.queries import URL_RULES, held_out, tokenizer_path
 
 SF = "/root/testdata/sf0.001"
 #: Names that the operators use for columns of their own.
@@ -58,8 +60,31 @@ def test_near_duplicates_among_null_and_repeated_keys(spark, plain):
     kept = texts(cp.near_duplicate_stage(spark, plain, SF))
     rows = odd_rows()
     gone = [("020", rows[0][1]), ("021", rows[13][1]), (None, rows[2][1])]
-    blank = [r for r in rows if not (r[1] or "").strip()]
-    assert kept == sorted([r for r in rows if r not in gone and r not in blank[1:]], key=str) and rows[5] in kept
+    assert kept == sorted([r for r in rows if r not in gone], key=str) and rows[5] in kept
+
+
+def test_texts_without_words_stay(spark):
+    rows = [(None, None), (None, None), (1, ""), (2, "  "), (3, "\n"), (4, "a text of some words"), (5, "a text of some words"), (6, "\u00a0")]
+    kept = texts(cp.near_duplicate_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF))
+    assert kept == sorted([r for r in rows if r[0] != 5], key=str)
+
+
+def test_samples_of_repeated_keys_are_bounded(spark, monkeypatch):
+    """A key that 3,000 rows have is one document of the sample."""
+    docs = spark.range(3020).select(F.when(F.col("id") < 3000, 7).otherwise(F.col("id")).cast("long").alias("doc_id"), F.concat(F.lit("word"), F.pmod("id", F.lit(3))).alias("text"), F.lit("en").alias("lang"))
+    ids = common.stratified_ids(docs.select("doc_id", "lang"), "doc_id", "lang", language.EACH, "language")
+    assert ids.count() == 21 and language.one_text_each(common.bounded_rows(docs.withColumnRenamed("doc_id", "key"), ids.withColumnRenamed("doc_id", "key"), "key", "lang")).count() == 21
+    counts = language.train(docs)
+    found = {(r["lang"], r["token"]): r["n"] for r in counts.filter(pc.equal(counts.column("size"), 0)).to_pylist()}
+    assert sum(found.values()) == 21 and max(r["total"] for r in counts.to_pylist() if r["size"] == 0) == 21
+    two = docs.unionByName(docs.limit(5).withColumn("lang", F.lit("de")))
+    assert common.bounded_rows(two, common.stratified_ids(two.select("doc_id", "lang"), "doc_id", "lang", 5, "x"), "doc_id", "lang").select("doc_id", "lang").distinct().groupBy("lang").count().filter("count > 5").count() == 0
+
+
+def test_held_out_of_null_keys(spark):
+    """Rows without a key are held out of nothing."""
+    rows = spark.createDataFrame([(None,), (1,), (7,)], "doc_id long").select("doc_id", held_out(4, 2)).collect()
+    assert [r.held_out for r in rows] == [False, zlib.crc32(b"1") % 4 == 2, zlib.crc32(b"7") % 4 == 2]
 
 
 def test_fingerprints_of_rows_without_a_key_link(spark, monkeypatch):
@@ -102,7 +127,6 @@ def test_operators_on_crowded_and_empty_tables(spark, plain, crowded):
 
 
 def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
-    from seqframe.llm import common
 
     class Context:
         master = "spark://host:7077"
@@ -122,7 +146,6 @@ def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
 
 def test_samples_of_very_large_groups(spark):
     """Places times sizes leave 64 bits where a group has 2^34 rows; that many are claimed here."""
-    from seqframe.llm import common
 
     rows = spark.range(1000).select(F.col("id").alias("k"), F.lit("en").alias("g"))
     assert common.stratified_ids(rows, "k", "g", 50, "x").count() == 50
