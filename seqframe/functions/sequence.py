@@ -70,8 +70,19 @@ def bases_at(seq: Column, start: Column, length: Column) -> Column:
 
 
 def bkdr_hash(text: Column, factor: int = 1313) -> Column:
-    """h = h * factor + code over the (ASCII) characters, modulo 2^64, as a decimal; exact but slow, for diagnosis only."""
-    zero = F.lit(0).cast("decimal(38,0)")
-    modulus = F.lit(str(1 << 64)).cast("decimal(38,0)")
+    """h = h * factor + code over the (ASCII) characters, modulo 2^64, as a decimal.
+
+    In two halves of 32 bits, as longs: neither leaves 63 bits, and only the last step is a decimal's.
+    """
+    half, zero = F.lit((1 << 32) - 1).cast("bigint"), F.lit(0).cast("bigint")
     characters = F.filter(F.split(text, ""), lambda c: c != "")
-    return F.aggregate(characters, zero, lambda h, c: F.pmod(h * F.lit(factor).cast("decimal(5,0)") + F.ascii(c), modulus).cast("decimal(38,0)"))
+
+    def step(h: Column, c: Column) -> Column:
+        low = h["low"] * factor + F.ascii(c)
+        high = h["high"] * factor + F.shiftright(low, 32)
+        return F.struct(high.bitwiseAND(half).alias("high"), low.bitwiseAND(half).alias("low"))
+
+    def whole(h: Column) -> Column:
+        return (h["high"].cast("decimal(10,0)") * F.lit(1 << 32).cast("decimal(10,0)") + h["low"].cast("decimal(10,0)")).cast("decimal(38,0)")
+
+    return F.aggregate(characters, F.struct(zero.alias("high"), zero.alias("low")), step, whole)

@@ -366,6 +366,37 @@ def fastx_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select(F.substring_index("comment", " ", 1).cast("bigint").alias("sid"), "name", F.substring("comment", at + 1, F.length("comment")).alias("comment"), "seq", "qual")
 
 
+_BACK = "select sid, name, comment, seq, case when sid % 5 <> 0 then qual end as qual from reads"
+
+
+def _with_sid(reads: DataFrame) -> DataFrame:
+    return reads.withColumn("qual", F.when(F.col("sid") % 5 != 0, F.col("qual"))).withColumn("comment", F.concat_ws(" ", F.col("sid").cast("string"), "comment"))
+
+
+def _without_sid(records: DataFrame) -> DataFrame:
+    at = F.instr("comment", " ")
+    return records.select(F.substring_index("comment", " ", 1).cast("bigint").alias("sid"), "name", F.substring("comment", at + 1, F.length("comment")).alias("comment"), "seq", "qual")
+
+
+@query(_BACK, "reads")
+def fastx_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records written by the sink in gzip blocks, in order, and read back in pieces of compressed files."""
+    folder = new_folder(spark, "sink")
+    fastx.register(spark)
+    reads = _with_sid(view(spark, sf_dir, "reads")).orderBy("sid").select("name", "comment", "seq", "qual")
+    reads.write.format("fastx").mode("overwrite").option("compression", "blocks").save(folder)
+    return _without_sid(fastx.read_fastx(spark, folder, split_bytes=1 << 16))
+
+
+@query(_BACK, "reads")
+def fastx_many_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of several lines each, qualities that begin with any character among them, from plain files in small pieces."""
+    reads = _with_sid(view(spark, sf_dir, "reads"))
+    seq, qual = F.regexp_replace("seq", "(.{12})(?=.)", "$1\n"), F.regexp_replace("qual", "(.{9})(?=.)", "$1\n")
+    folder = _file(reads.select("name", "comment", seq.alias("seq"), qual.alias("qual")).select(rendered().alias("value")), "lines")
+    return _without_sid(fastx.read_fastx(spark, folder, split_bytes=1 << 16))
+
+
 _SEC = "cast(o_orderkey * 7 as bigint)"
 
 

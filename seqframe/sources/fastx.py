@@ -197,7 +197,9 @@ class FastxReader(DataSourceReader):
                 lines = synced(lines, self.layout)
             yield from parsed(lines, self.malformed, part.state or (H, 0))
 
-    def read(self, partition: FilePartition) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: FilePartition | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # there are no files
+            return
         kinds = [{"int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}[SCHEMA[c].dataType.simpleString() if c != PIECE.name else "int"] for c in self.columns]
         makers = {
             "file_id": lambda first, rows: [partition.file_id] * len(rows),
@@ -236,6 +238,11 @@ class FastxSource(DataSource):
     def reader(self, schema: StructType) -> FastxReader:
         return FastxReader(schema, self.options)
 
+    def writer(self, schema: StructType, overwrite: bool):
+        from seqframe.sinks.store import FastxWriter
+
+        return FastxWriter(schema, self.options, overwrite, SCHEMA.fieldNames())
+
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(FastxSource)

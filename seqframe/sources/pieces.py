@@ -35,6 +35,8 @@ H, S, Q = 0, 1, 2
 State = tuple[int, int]
 #: Bytes of a member of a block gzip file at most, and of a member's fixed header.
 _MEMBER, _HEAD = 1 << 16, 12
+#: Bytes of content of a member that is written: also what can't be compressed fits in 64 KiB.
+BLOCK_BYTES = 0xFF00
 _AT_ONCE, _BLOCK = 8 << 20, 1 << 20
 
 
@@ -52,6 +54,14 @@ def member_size(head: bytes) -> tuple[int, int] | None:
     return None
 
 
+def block_member(content: bytes) -> bytes:
+    """A member with `BLOCK_BYTES` bytes of content at most that says its size; one without content marks a file's end."""
+    squeeze = zlib.compressobj(6, zlib.DEFLATED, -15)
+    data = squeeze.compress(content) + squeeze.flush()
+    extra = struct.pack("<2sHH", b"BC", 2, len(data) + _HEAD + 6 + 8 - 1)
+    return b"\x1f\x8b\x08\x04" + bytes(5) + b"\xff" + struct.pack("<H", len(extra)) + extra + data + struct.pack("<II", zlib.crc32(content), len(content))
+
+
 def kind_of(path: str) -> str:
     """`plain`, `gzip`, or `blocks`: a gzip file whose members say their sizes."""
     store, inner = store_of(path)
