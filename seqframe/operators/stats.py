@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, NumericType, TimestampNTZType, TimestampType
 from pyspark.sql.window import Window
 
 from seqframe.functions.sequence import n_count
+from seqframe.plans.scratch import new_folder
 
 
 def read_stats(reads: DataFrame, by: tuple[str, ...] = (), seq: str = "seq") -> DataFrame:
@@ -50,17 +52,54 @@ def reference_length(sequences: DataFrame, ln: str = "ln") -> DataFrame:
     return sequences.agg(F.coalesce(F.sum(F.col(ln).cast("bigint")), F.lit(0)).cast("bigint").alias("ref_len"))
 
 
-#: Distinct values that one task orders, and ranges that more of them are dealt to.
+#: Values that one task orders; ranges that more of them are dealt to; quantiles of a sketch, and the share of all ranks (one in so many) that each may be off by.
 ORDERED, RANGES = 1 << 20, 256
+QUANTILES, ACCURACY = 1000, 10_000
 
 
 def kth_smallest(rows: DataFrame, value: Column, k: int, ordered: int = ORDERED) -> DataFrame:
-    """The k-th smallest value (from 1), repeats counted; no row if there are fewer.
+    """The k-th smallest value (from 1), repeats counted; no row if there are fewer.
 
-    Equal values are counted first. While there are more than `ordered` distinct ones, they are counted by ranges whose ends are
-    values taken by a hash, and only the range that has the k-th goes on; so no task orders more.
+    Numbers, dates and times are read twice whatever k is: a sketch of quantiles (merged from those of all tasks) brackets the k-th, and one exact
+    pass counts what lies below and each value within. If that may be more than `ordered` rows, those within are written, a few thousandths of all,
+    and bracketed again. Values of other kinds are counted, and found by ranges whose ends are values taken by a hash.
     """
-    counted = rows.select(value.alias("value")).filter("value is not null").groupBy("value").agg(F.count("*").alias("n"))
+    values = rows.select(value.alias("value")).filter("value is not null")
+    kind = values.schema["value"].dataType
+    if not isinstance(kind, (NumericType, DateType, TimestampType, TimestampNTZType)):
+        return _kth_by_ranges(values, k, ordered)
+    shares = F.array(*[F.lit(i / QUANTILES) for i in range(QUANTILES + 1)])
+    while True:
+        n, grid = values.agg(F.count("*"), F.percentile_approx("value", shares, ACCURACY)).first()
+        if not 1 <= k <= n:
+            return values.limit(0)
+        first, last = int((k / n - 2 / ACCURACY) * QUANTILES) - 1, int((k / n + 2 / ACCURACY) * QUANTILES) + 2
+        low = F.col("value") < F.lit(grid[first]).cast(kind) if first > 0 else F.lit(False)
+        high = F.col("value") > F.lit(grid[last]).cast(kind) if last < QUANTILES else F.lit(False)
+        few = n * ((last - first) / QUANTILES + 4 / ACCURACY) <= ordered
+        # null stands for all values below the bracket; those above it don't matter
+        counted = values.filter(~high).groupBy(F.when(low, None).otherwise(F.col("value")).alias("value")).agg(F.count("*").alias("n"))
+        if few or n <= ordered:
+            return _at(counted, k)
+        below, inside = values.agg(F.count_if(low), F.count_if(~low & ~high)).first()
+        if not below < k <= below + inside or inside == n:  # a sketch that is off, or all values are one of a few
+            return _kth_by_ranges(values, k, ordered)
+        folder = new_folder(rows.sparkSession, "bracket")
+        values.filter(~low & ~high).write.parquet(folder)
+        values, k = rows.sparkSession.read.schema(values.schema).parquet(folder), k - below
+
+
+def _at(counted: DataFrame, k: int) -> DataFrame:
+    """The value at rank `k` of values with their numbers `n`, few enough for one task; a null value comes first and isn't one."""
+    to = F.sum("n").over(Window.orderBy(F.col("value").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
+    return counted.withColumn("to", to).filter((F.col("to") >= k) & (F.col("to") - F.col("n") < k)).select("value").filter("value is not null")
+
+
+def _kth_by_ranges(values: DataFrame, k: int, ordered: int) -> DataFrame:
+    """The same for values of any kind: counted once, and while more than `ordered` distinct ones are left only the range that has the k-th goes on."""
+    folder = new_folder(values.sparkSession, "counted")
+    values.groupBy("value").agg(F.count("*").alias("n")).write.parquet(folder)
+    counted = values.sparkSession.read.parquet(folder)
     round_ = 0
     while (distinct := counted.count()) > ordered:
         place = F.pmod(F.xxhash64(F.lit(round_), "value"), F.lit(max(1, distinct // RANGES)))
@@ -81,6 +120,4 @@ def kth_smallest(rows: DataFrame, value: Column, k: int, ordered: int = ORDERED)
             counted = counted.filter(F.col("value") > F.lit(ends[at - 1]))
         if at < len(ends):
             counted = counted.filter(F.col("value") <= F.lit(ends[at]))
-    reached = F.sum("n").over(Window.orderBy("value").rowsBetween(Window.unboundedPreceding, 0))  # over `ordered` rows at most
-    least = counted.orderBy("value").limit(k) if k < ordered else counted
-    return least.withColumn("to", reached).filter((F.col("to") >= k) & (F.col("to") - F.col("n") < k)).select("value")
+    return _at(counted, k)

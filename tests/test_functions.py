@@ -1,5 +1,7 @@
+import datetime
 import math
 import random
+from decimal import Decimal
 from types import SimpleNamespace
 
 import pytest
@@ -134,6 +136,23 @@ def test_kth_smallest_by_ranges(spark):
     assert stats.kth_smallest(rows.limit(0), F.col("x"), 1).count() == 0
 
 
+def test_kth_smallest_by_a_sketch(spark):
+    """Numbers, ties, dates and values that aren't finite, with brackets that are narrowed again and again."""
+    rng = random.Random(5)
+    pools = {
+        "double": [rng.gauss(0, 1) for _ in range(3000)] + [float("inf")] * 40 + [float("-inf")] * 30,
+        "decimal(12,2)": [Decimal(rng.randint(-(10**6), 10**6)) / 100 for _ in range(3000)],
+        "int": [rng.choice([1, 1, 1, 2, 9]) for _ in range(3000)],
+        "date": [datetime.date(2020, 1, 1) + datetime.timedelta(rng.randint(0, 900)) for _ in range(3000)],
+    }
+    for kind, pool in pools.items():
+        rows = spark.createDataFrame([(x,) for x in pool] + [(None,)], f"x {kind}").repartition(3)
+        for k in (1, 3, len(pool) // 2, len(pool)):
+            for ordered in (30, 1 << 20):
+                assert [r.value for r in stats.kth_smallest(rows, F.col("x"), k, ordered).collect()] == [sorted(pool)[k - 1]], (kind, k, ordered)
+        assert stats.kth_smallest(rows, F.col("x"), len(pool) + 1).count() == 0 == stats.kth_smallest(rows, F.col("x"), 0).count()
+
+
 def test_children_and_stages(spark, tmp_path):
     status, usage = measure.child(["python3", "-c", "import sys; x = bytes(30_000_000); sys.exit(3)"])
     assert status == 3 and usage.wall > 0 and usage.peak_kb > 20_000
