@@ -213,7 +213,7 @@ def match_report(bare: DataFrame, source: DataFrame) -> DataFrame:
     )
 
 
-def _key(name: Column, suffix: str) -> Column:
+def mate_key(name: Column, suffix: str) -> Column:
     if suffix == "chop2":
         return F.coalesce(chop2(name), F.raise_error(F.lit("a read name has fewer than two characters")).cast("string"))
     if suffix == "slash_digit":
@@ -228,8 +228,8 @@ def reorder_mates(first: DataFrame, second: DataFrame, suffix: str = "chop2", un
     """
     if unmatched not in ("fail", "drop"):
         raise ValueError("unmatched must be fail or drop")
-    a = first.select("rid", _key(F.col("name"), suffix).alias("_name"))
-    b = second.withColumn("_name", _key(F.col("name"), suffix)).withColumnRenamed("rid", "_rid2").drop("name")
+    a = first.select("rid", mate_key(F.col("name"), suffix).alias("_name"))
+    b = second.withColumn("_name", mate_key(F.col("name"), suffix)).withColumnRenamed("rid", "_rid2").drop("name")
     out = multiset_join(a, b, "_name", F.col("rid"), F.col("_rid2"), "left", slice_)
     met = F.col("_rid2").isNotNull()
     if unmatched == "fail":
@@ -239,8 +239,8 @@ def reorder_mates(first: DataFrame, second: DataFrame, suffix: str = "chop2", un
 
 def mates_missing(first: DataFrame, second: DataFrame, suffix: str = "chop2", slice_: int = SLICE) -> DataFrame:
     """First reads (`rid`, `name` without suffix) that find no mate."""
-    a = first.select("rid", _key(F.col("name"), suffix).alias("name"))
-    b = second.select(_key(F.col("name"), suffix).alias("name"), F.col("rid").alias("_rid2"))
+    a = first.select("rid", mate_key(F.col("name"), suffix).alias("name"))
+    b = second.select(mate_key(F.col("name"), suffix).alias("name"), F.col("rid").alias("_rid2"))
     return multiset_join(a, b, "name", F.col("rid"), F.col("_rid2"), "left", slice_).filter("_rid2 is null").select("rid", "name")
 
 
