@@ -292,6 +292,49 @@ def read_fastx(spark: SparkSession, *paths: str, columns: list[str] | None = Non
     return rows.join(counts, ["file_id", "piece"]).withColumn("rec_no", F.col("rec_no") + F.col("before")).select(*wanted)
 
 
+def _batches(rows: Iterator[tuple[Any, ...]], schema: StructType) -> Iterator[pa.RecordBatch]:
+    """Rows, whose fifth value is the sequence, in batches of bounded size."""
+    kinds = [{"int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}[f.dataType.simpleString()] for f in schema]
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], schema.fieldNames())
+
+    held: list[tuple[Any, ...]] = []
+    size = 0
+    for row in rows:
+        held.append(row)
+        size += len(row[4])
+        if len(held) == RECORDS or size > CHARACTERS:
+            yield batch()
+            held, size = [], 0
+    if held:
+        yield batch()
+
+
+#: Columns of a stream: the file's path instead of its number.
+STREAMED = StructType([StructField("path", StringType(), False), *SCHEMA.fields[1:]])
+
+
+def stream_fastx(spark: SparkSession, folder: str, malformed: str = "fail", files_per_batch: int = 1000) -> DataFrame:
+    """A stream of the records of the files that appear in a folder: `path` and the columns of `read_fastx` but `file_id`.
+
+    Spark's file stream tells which files are new and keeps that in the query's checkpoint, so a restart neither repeats nor loses a
+    record; of a file only its name travels, and the task that gets it reads it, a file a task's row, compressed or not. Files must be whole when
+    they appear and not change. A file that comes late counts whatever its time says.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                store, inner = store_of(path if "://" in path else path.replace("file:", "file://", 1))
+                with store.open_input_stream(inner, compression=None) as stream:
+                    found = records(io.BufferedReader(stream), malformed)
+                    yield from _batches(((path, n, name, comment, seq, qual, len(seq)) for n, (name, comment, seq, qual) in enumerate(found)), STREAMED)
+
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("maxFilesPerTrigger", files_per_batch).option("maxFileAge", "36500d").load(folder)
+    return files.select("path").mapInArrow(work, STREAMED)
+
+
 def fasta_lines(spark: SparkSession, path: str) -> DataFrame:
     """name, comment, seq, l_seq of FASTA files, split by Spark at record starts; in file order within each file, not numbered."""
     rows = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", "^>", "").alias("value"))

@@ -1,4 +1,4 @@
-"""The algebraic summaries over streams of text files; the multiset joins need all rows and don't stream."""
+"""The algebraic summaries over streams of text files, and mates paired on streams (`mates`); the join by sequence needs all rows and doesn't stream."""
 
 from __future__ import annotations
 

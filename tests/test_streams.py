@@ -1,12 +1,14 @@
 """Mates paired on streams: as the batch join pairs them, in any order of files, over restarts."""
 
 import datetime
+import gzip
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from seqframe.operators.reorder import reorder_mates
+from seqframe.sources.fastx import read_fastx, stream_fastx
 from seqframe.streaming.mates import pair_mates, start_pairs
 
 FIRST, SECOND = "rid long, name string", "rid long, name string, seq string, qual string, n long, at timestamp"
@@ -50,3 +52,29 @@ def test_repeated_names_are_used_once(spark, tmp_path):
     got = take(spark, folder)
     assert sorted(r.rid for r in got.collect()) == [1, 2, 3] and got.select("seq").distinct().count() == 3
     assert got.filter(F.col("name") != "x/2").count() == 0
+
+
+def test_records_of_new_files(spark, tmp_path):
+    """Two runs over a growing folder: each record once, from plain and compressed files; and a bad file fails the run."""
+    (tmp_path / "in").mkdir()
+
+    def add(name, n, squeeze=lambda x: x):
+        (tmp_path / "in" / name).write_bytes(squeeze("".join(f"@{name}.{i}/1 c\nAC\nGT\n+\n@III\n" for i in range(n)).encode()))
+
+    def run(**more):
+        query = stream_fastx(spark, f"file://{tmp_path}/in", files_per_batch=1, **more).writeStream.format("parquet").option("path", f"file://{tmp_path}/out").option("checkpointLocation", f"file://{tmp_path}/mark").trigger(availableNow=True).start()
+        query.awaitTermination()
+        return spark.read.parquet(f"file://{tmp_path}/out")
+
+    add("b.fq", 30)
+    add("c.fq.gz", 20, gzip.compress)
+    assert run().count() == 50
+    add("a.fq", 40_000)  # before the others in name, and more than a batch
+    add("d", 5, gzip.compress)
+    columns = ["rec_no", "name", "comment", "seq", "qual", "l_seq"]
+    want = sorted(tuple(r) for r in read_fastx(spark, f"{tmp_path}/in").select(*columns).collect())
+    assert sorted(tuple(r) for r in run().select(*columns).collect()) == want and run().count() == len(want)
+    (tmp_path / "in" / "e.fq").write_text("@x\nAC\n+\nI\n")
+    with pytest.raises(Exception, match="1 qualities for 2 bases"):
+        run()
+    assert run(malformed="skip").count() == len(want)
