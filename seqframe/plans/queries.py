@@ -385,7 +385,7 @@ def fastx_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     fastx.register(spark)
     reads = _with_sid(view(spark, sf_dir, "reads")).orderBy("sid").select("name", "comment", "seq", "qual")
     reads.write.format("fastx").mode("overwrite").option("compression", "blocks").save(folder)
-    return _without_sid(fastx.read_fastx(spark, folder, split_bytes=1 << 16))
+    return _without_sid(fastx.read_fastx(spark, folder, split_bytes=1 << 18))
 
 
 @query(_BACK, "reads")
@@ -394,7 +394,7 @@ def fastx_many_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     reads = _with_sid(view(spark, sf_dir, "reads"))
     seq, qual = F.regexp_replace("seq", "(.{12})(?=.)", "$1\n"), F.regexp_replace("qual", "(.{9})(?=.)", "$1\n")
     folder = _file(reads.select("name", "comment", seq.alias("seq"), qual.alias("qual")).select(rendered().alias("value")), "lines")
-    return _without_sid(fastx.read_fastx(spark, folder, split_bytes=1 << 16))
+    return _without_sid(fastx.read_fastx(spark, folder, split_bytes=1 << 18))
 
 
 _SEC = "cast(o_orderkey * 7 as bigint)"
