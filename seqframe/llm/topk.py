@@ -1,22 +1,22 @@
 """Operator 7: exact top-k search by tiled matrix products.
 
-Vectors are scaled and floored to integers. Queries are dealt to blocks of about
-`BLOCK` rows and candidates to shards, both by a hash of their row; each pair of
-block and shard is one tile. A block is what a task holds, a shard only passes by,
-so shards are as large as the number of tasks to keep busy allows, and `SHARD`
-rows at most: a candidate is sent once a block, a query once a shard, and each tile
-gives k rows a query. A task multiplies its queries with a few candidates at a
-time, keeps each query's best k by partial selection among those that reach its
-k-th score, and the lists of a query are merged in a tree, `FAN` shards at a time.
+Vectors are scaled and floored to integers. Queries are cut into blocks that weigh
+`BLOCK_BYTES` about (vectors and best lists), candidates into shards. Each pass
+broadcasts one block and streams every shard past it, so a candidate is never sent
+for a query: it is dealt to its shard once, and if there are several passes, shards
+are written then and only read by each. A task multiplies the block with a few
+candidates at a time, keeps each query's best by partial selection among those that
+reach its last kept score, and the lists of a query are merged in a tree, `FAN`
+shards at a time. The lists of a pass are written before the next, and its block is
+given up, so driver and executors hold one block at a time however many there are.
 
 Products are exact: doubles are used where no sum can leave the 53 bits that
 they hold, integers of 64 bits otherwise, and Python's integers beyond.
 
 Defined results: vectors that are null or hold a null or non-finite component
 take no part, nor do rows with a null id; vectors of unequal lengths are compared as if the shorter ended in
-zeros; ties go to the smaller id; rows with equal ids are candidates of their
-own, but never of a query with their id; a query id with several different vectors
-has a list for each, equal rows are one query; a score beyond 64 bits becomes the
+zeros; ties go to the smaller id; every row that is a query has a list of its own, of all rows but itself: rows that
+repeat its id, or the whole row, are candidates like any other, and repeated queries have as many equal lists; a score beyond 64 bits becomes the
 nearest long; other columns are ignored, whatever their names; an empty table
 gives no rows.
 """
@@ -27,12 +27,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Rows of a query block, about, and of a candidate shard, at least and at most about; tiles for each core, if there are enough rows; shards whose lists meet in one merge; products made at once.
-BLOCK, LEAST, SHARD, TILES, FAN, AT_ONCE = 4096, 4096, 1 << 20, 2, 16, 1 << 22
+from seqframe.llm.common import new_folder, written
+
+#: Bytes of a block of queries, about, with `LISTED` a kept candidate and `HELD` more a query; rows of a shard, at least and at most about; shards for each core, if there are enough rows; shards whose lists meet in one merge; products made at once; lists that one task repeats for equal queries.
+BLOCK_BYTES, LISTED, HELD, LEAST, SHARD, TILES, FAN, AT_ONCE, COPIES = 48 << 20, 32, 200, 4096, 1 << 20, 2, 16, 1 << 22, 10_000
 
 _LONG = (-(1 << 63), (1 << 63) - 1)
 
@@ -56,9 +59,12 @@ def quantize(vectors: DataFrame, scale: float, key: str, vector: str) -> DataFra
 
 
 def _matrix(rows: list[bytes], width: int) -> np.ndarray:
+    """The first `width` numbers of each row; shorter ones end in zeros."""
+    if width and all(len(r) == 8 * width for r in rows):
+        return np.frombuffer(b"".join(rows), "<f8").reshape(len(rows), width)
     out = np.zeros((len(rows), width))
     for i, r in enumerate(rows):
-        x = np.frombuffer(r, "<f8")
+        x = np.frombuffer(r, "<f8")[:width]
         out[i, : len(x)] = x
     return out
 
@@ -88,79 +94,136 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return found[np.lexsort((ids[found], -scores[found].astype(object) if (scores[found] == _LONG[0]).any() else -scores[found]))]
 
 
-def _tiles(k: int):
+def _squares(a: np.ndarray) -> np.ndarray:
+    """Each row's exact product with itself."""
+    if np.abs(a).max(initial=0) ** 2 * max(1, a.shape[1]) < 2**53:
+        return (a * a).sum(axis=1).astype(np.int64)
+    return np.array([products(a[i : i + 1], a[i : i + 1])[0, 0] for i in range(len(a))], np.int64)
+
+
+class _Queries:
+    """Queries of like lengths (up to the same power of two), and the best candidates seen so far of each.
+
+    What a candidate has beyond their longest vector meets zeros only, so it is left out.
+    """
+
+    def __init__(self, numbers: np.ndarray, ids: np.ndarray, copies: np.ndarray, rows: list[bytes], k: int) -> None:
+        self.numbers, self.ids, self.copies, self.k = numbers, ids, copies, k
+        self.width = max(map(len, rows)) // 8
+        self.matrix = _matrix(rows, self.width)
+        self.own = _squares(self.matrix)
+        self.kept = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(rows)
+        self.at_least = np.full(len(rows), _LONG[0])
+
+    def compare(self, ids: np.ndarray, rows: list[bytes]) -> None:
+        width = min(self.width, max(map(len, rows)) // 8)
+        step = max(1, AT_ONCE // max(len(self.ids), width))
+        for at in range(0, len(rows), step):
+            self._some(ids[at : at + step], _matrix(rows[at : at + step], width))
+
+    def _some(self, ids: np.ndarray, matrix: np.ndarray) -> None:
+        scores = products(self.matrix[:, : matrix.shape[1]], matrix)
+        for i in np.flatnonzero((scores >= self.at_least[:, None]).any(axis=1)).tolist():
+            some = np.flatnonzero(scores[i] >= self.at_least[i])
+            found = np.concatenate([self.kept[i][1], scores[i, some]])
+            some_ids = np.concatenate([self.kept[i][0], ids[some]])
+            top = best(found, some_ids, self.k)
+            self.kept[i] = some_ids[top], found[top]
+            if len(top) == self.k:
+                self.at_least[i] = found[top[-1]]
+
+    def lists(self) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(self.ids), 4096):
+            sizes = [len(ids) for ids, _ in self.kept[i : i + 4096]]
+            at = np.repeat(np.arange(i, i + len(sizes)), sizes)
+            vec, score = (np.concatenate([kept[c] for kept in self.kept[i : i + 4096]]) for c in (0, 1))
+            own = (vec == self.ids[at]) & (score == self.own[at])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (self.numbers[at], self.ids[at], self.copies[at], vec, score, own)], ["query", "query_id", "copies", "vec_id", "score", "own"])
+
+
+def _against(block: Broadcast, k: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by tile, queries first; candidates are multiplied as they come, a few at a time."""
-        tile, queries, kept = None, [], []
-        at_least = np.zeros(0, np.int64)
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            out = [(tile[1], q, h, v, s) for (q, h, _), (ids, scores) in zip(queries, kept, strict=True) for v, s in zip(ids.tolist(), scores.tolist(), strict=True)]
-            for i in range(0, len(out), 100_000):
-                cols = list(zip(*out[i : i + 100_000], strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.int64()) for c in cols[1:])], ["shard", "query_id", "query", "vec_id", "score"])
-
-        def compare(ids: np.ndarray, rows: list[bytes]) -> None:
-            width = max(map(len, [*(r for _, _, r in queries), *rows])) // 8
-            scores = products(_matrix([r for _, _, r in queries], width), _matrix(rows, width))
-            for i in np.flatnonzero((scores >= at_least[:, None]).any(axis=1)).tolist():
-                some = np.flatnonzero((scores[i] >= at_least[i]) & (ids != queries[i][0]))
-                some_ids, some = np.concatenate([kept[i][0], ids[some]]), np.concatenate([kept[i][1], scores[i, some]])
-                top = best(some, some_ids, k)
-                kept[i] = some_ids[top], some[top]
-                if len(top) == k:
-                    at_least[i] = some[top[-1]]
-
+        """Candidates are multiplied with the block as they come; the k best of each query are given at the end."""
+        *names, rows = block.value
+        alike: dict[int, list[int]] = {}
+        for i, row in enumerate(rows):
+            alike.setdefault((len(row) // 8).bit_length(), []).append(i)
+        groups = [_Queries(*(x[some] for x in names), [rows[i] for i in some], k) for some in alike.values()]
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            names = np.stack([batch.column(i).to_numpy() for i in range(3)])
-            ids, hashes, rows = batch.column(3).to_numpy(), batch.column(4).to_pylist(), batch.column(5).to_pylist()
-            cuts = [0, *(np.flatnonzero((names[:, 1:] != names[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
-            for i, j in zip(cuts, cuts[1:], strict=False):
-                here = tuple(names[:2, i].tolist())
-                if here != tile:
-                    if tile is not None:
-                        yield from flush()
-                    tile, queries, kept = here, [], []
-                if names[2, i] == 0:
-                    queries += zip(ids[i:j].tolist(), hashes[i:j], rows[i:j], strict=True)
-                    kept += [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * (j - i)
-                    at_least = np.full(len(queries), _LONG[0])
-                elif queries:
-                    step = max(1, AT_ONCE // len(queries))
-                    for at in range(i, j, step):
-                        compare(ids[at : min(j, at + step)], rows[at : min(j, at + step)])
-        if tile is not None:
-            yield from flush()
+            if batch.num_rows:
+                others, vectors = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+                for group in groups:
+                    group.compare(others, vectors)
+        shard = TaskContext.get().partitionId()
+        for group in groups:
+            for lists in group.lists():
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(lists.num_rows, shard, np.int32)), *lists.columns], ["shard", *lists.schema.names])
 
     return work
 
 
-def _ranked(rows: DataFrame, k: int, *by: str) -> DataFrame:
-    order = Window.partitionBy("query_id", "query", *by).orderBy(F.desc("score"), "vec_id")
-    return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+def _numbered(rows: DataFrame, *by: str) -> DataFrame:
+    order = Window.partitionBy("query", *by).orderBy(F.desc("score"), "vec_id")
+    return rows.withColumn("rank", F.row_number().over(order))
+
+
+def _merged(lists: DataFrame, k: int, shards: int) -> DataFrame:
+    """The k best of each query of all shards' lists, with their `rank`."""
+    while shards > FAN:
+        shards = -(-shards // FAN)
+        lists = _numbered(lists.withColumn("shard", F.pmod("shard", F.lit(shards))), "shard").filter(F.col("rank") <= k).drop("rank")
+    return _numbered(lists).filter(F.col("rank") <= k)
+
+
+def shard_count(candidates: int, cores: int, least: int = LEAST, shard: int = SHARD) -> int:
+    """How many shards of candidates there are."""
+    return max(1, -(-candidates // shard), min(TILES * cores, -(-candidates // least)))
+
+
+def _block(queries: DataFrame, blocks: int, number: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """Numbers, ids, copies and vectors of one block of queries; about `BLOCK_BYTES`, as distinct queries are dealt by hash (one longer query stays whole)."""
+    some = queries.filter(F.pmod(F.xxhash64("id", "v"), F.lit(blocks)) == number) if blocks > 1 else queries
+    table = some.select("id", "copies", "v").toArrow()
+    return (number << 32) + np.arange(table.num_rows), table.column("id").to_numpy(), table.column("copies").to_numpy(), table.column("v").to_pylist()
+
 
+def _repeated(ranked: DataFrame, most: int) -> DataFrame:
+    """Each row `copies` times, `most` at most; more than `COPIES` of one row are made by several tasks."""
+    def upto(least: Column) -> Column:
+        return F.explode(F.sequence(F.lit(1).cast("long"), least))
 
-def tile_counts(queries: int, candidates: int, cores: int, block: int = BLOCK, least: int = LEAST, shard: int = SHARD) -> tuple[int, int]:
-    """How many blocks of queries and shards of candidates there are."""
-    blocks = max(1, -(-queries // block))
-    wanted = -(-TILES * cores // blocks)
-    return blocks, max(1, -(-candidates // shard), min(wanted, -(-candidates // least)))
+    pieces = ranked.withColumn("piece", upto(F.ceil(F.col("copies") / COPIES)))
+    if most > COPIES:
+        pieces = pieces.repartition("query", "piece")
+    return pieces.withColumn("copy", upto(F.least(F.lit(COPIES).cast("long"), F.col("copies") - (F.col("piece") - 1) * COPIES)))
 
 
-def search(vectors: DataFrame, is_query: Column, k: int, scale: float = 64, key: str = "vec_id", vector: str = "embedding", block: int = BLOCK, least: int = LEAST, shard: int = SHARD) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int, scale: float = 64, key: str = "vec_id", vector: str = "embedding", block_bytes: int = BLOCK_BYTES, least: int = LEAST, shard: int = SHARD) -> DataFrame:
     """query_id, rank, vec_id, score: the k best inner products of every row that `is_query` (a condition on `key`) holds for with all other rows."""
-    rows = quantize(vectors, scale, key, vector)
-    total, n_queries = vectors.agg(F.count("*"), F.count_if(is_query)).first()
-    blocks, shards = tile_counts(n_queries, total, vectors.sparkSession.sparkContext.defaultParallelism, block, least, shard)
-    of_query = rows.withColumnRenamed("id", key).filter(is_query).withColumnRenamed(key, "id").dropDuplicates(["id", "v"])
-    # each query goes to every shard and each candidate to every block: tiles, not pairs of rows
-    dealt = F.xxhash64("id", "v")
-    queries = of_query.select(F.pmod(dealt, F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(0).alias("role"), "id", F.xxhash64("v").alias("query"), "v")
-    others = rows.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(dealt, F.lit(shards)).cast("int").alias("shard"), F.lit(1).alias("role"), "id", F.lit(0).cast("long").alias("query"), "v")
-    tiles = queries.unionByName(others).repartition("block", "shard").sortWithinPartitions("block", "shard", "role")
-    found = tiles.mapInArrow(_tiles(k), "shard int, query_id long, query long, vec_id long, score long")
-    while shards > 1:
-        found, shards = _ranked(found.withColumn("shard", (F.col("shard") / FAN).cast("int")), k, "shard").drop("rank"), -(-shards // FAN)
-    return _ranked(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    spark = vectors.sparkSession
+    asked = quantize(vectors.filter(is_query), scale, key, vector).groupBy("id", "v").agg(F.count("*").alias("copies"))
+    queries = written(asked, "topk-queries")
+    weight, most = queries.agg(F.sum(F.length("v") + F.lit(HELD + LISTED * (k + 1))), F.max("copies")).first()
+    blocks = max(1, -(-(weight or 0) // block_bytes))
+    shards = shard_count(vectors.count(), spark.sparkContext.defaultParallelism, least, shard)
+    candidates = quantize(vectors, scale, key, vector).repartition(shards)
+    if blocks > 1:
+        candidates = written(candidates, "topk-candidates")
+    folder = new_folder(spark, "topk-lists")
+    # one place more than asked: a query's own row is among the best of all rows, or beyond them
+    for number in range(blocks):
+        shared = spark.sparkContext.broadcast(_block(queries, blocks, number))
+        found = candidates.mapInArrow(_against(shared, k + 1), "shard int, query long, query_id long, copies long, vec_id long, score long, own boolean")
+        lists = _merged(found.withColumn("shard", F.pmod("shard", F.lit(shards))), k + 1, shards)
+        if blocks > 1:
+            lists.write.parquet(f"{folder}/block={number}")
+            shared.destroy()
+    if blocks > 1:
+        lists = spark.read.schema(lists.schema).parquet(folder)
+    one = Window.partitionBy("query")
+    itself = F.min(F.when(F.col("own"), F.col("rank"))).over(one)
+    others = lists.withColumn("itself", itself).filter("itself is null or rank <> itself")
+    ranked = others.withColumn("rank", F.when(F.col("rank") > F.col("itself"), F.col("rank") - 1).otherwise(F.col("rank"))).filter(F.col("rank") <= k)
+    if most and most > 1:
+        ranked = _repeated(ranked, most)
+    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
