@@ -88,12 +88,19 @@ class Contexts:
             for k in range(NONZERO):
                 self.sums += np.bincount(a * WIDTH + self.place[b, k], weights=self.sign[b, k], minlength=len(self.sums))
 
-    def vectors(self) -> np.ndarray:
-        """Scaled to length one, and a row of zeros for all other tokens."""
+    def rows(self) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens that had neighbours, and their sums."""
         self._sum()
-        out = self.sums.reshape(-1, WIDTH)
-        out = out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
-        return np.concatenate([out, np.zeros((1, WIDTH))]).astype(np.float32)
+        out = self.sums.reshape(-1, WIDTH).astype(np.int64)
+        at = np.flatnonzero(out.any(axis=1))
+        return at, out[at]
+
+
+def unit_vectors(n: int, at: np.ndarray, sums: np.ndarray) -> np.ndarray:
+    """The sums of `n` tokens scaled to length one, and a row of zeros for all other tokens."""
+    out = np.zeros((n + 1, WIDTH))
+    out[at] = sums
+    return (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
 
 @dataclass
@@ -223,11 +230,17 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
                 split = value.as_py().split()
                 sums[0].add([tokens.get(t, -1) for t in split])
                 sums[1].add([shapes.get(shape(t), -1) for t in split])
-        yield pa.RecordBatch.from_arrays([pa.array([x.vectors().tobytes()], pa.binary()) for x in sums], ["tokens", "shapes"])
-
-    # one task, as the sample is bounded: its texts pass through one after another, and only the sums stay
-    raw = rows.select("text").coalesce(1).mapInArrow(contexts, "tokens binary, shapes binary").first()
-    vectors = [np.frombuffer(x, np.float32).reshape(-1, WIDTH) for x in raw]
+        for kind, x in enumerate(sums):
+            at, totals = x.rows()
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind, np.int32)), pa.array(at), *map(pa.array, totals.T)], ["kind", "at", *places])
+
+    # whole numbers, so each task gives its sums, a row a token of the model at most, and Spark adds them up
+    places = [f"c{i}" for i in range(WIDTH)]
+    parts = rows.select("text").mapInArrow(contexts, ", ".join(["kind int", "at long", *(f"{c} long" for c in places)]))
+    sums = parts.groupBy("kind", "at").agg(*[F.sum(c).alias(c) for c in places]).toArrow()
+    kind, at, *columns = (c.to_numpy() for c in sums.columns)
+    totals = np.stack(columns, axis=1)
+    vectors = [unit_vectors(len(x), at[kind == i], totals[kind == i]) for i, x in enumerate(names)]
     model = Model({t: i for i, t in enumerate(names[0])}, {t: i for i, t in enumerate(names[1])}, *vectors, None, 1.0, 0.5)
     shared = spark.sparkContext.broadcast(model)
 

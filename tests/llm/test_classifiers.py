@@ -181,3 +181,30 @@ def test_quality_against_a_plain_version(spark):
     model = quality.train(docs.filter(language.fold("doc_id", 5) != 0), spark.read.parquet(f"{TINY}/labels.parquet"))
     found = {r.doc_id: r.score for r in quality.score(docs, model).collect()}
     assert all(found[r.doc_id] == pytest.approx(s, abs=1e-3) for r, s in zip(rows, want, strict=True)) and len(set(want)) > 50
+
+
+def test_context_sums_add_up():
+    """Sums of parts of the documents add up to those of all, whatever the parts."""
+    rng = np.random.default_rng(0)
+    names = [f"t{i}" for i in range(30)]
+    docs = [rng.integers(-1, 25, n).tolist() for n in (0, 1, 2, 5, 40, 300)]
+
+    def sums(some):
+        made = quality.Contexts(names)
+        for d in some:
+            made.add(d)
+        at, rows = made.rows()
+        out = np.zeros((len(names), quality.WIDTH), np.int64)
+        out[at] = rows
+        return out
+
+    whole = sums(docs)
+    assert whole.any() and (whole == sums(docs[:4]) + sums(docs[4:])).all() and (whole == sum(sums([d]) for d in docs)).all()
+    vectors = quality.unit_vectors(30, np.arange(30), whole)
+    assert vectors.shape == (31, quality.WIDTH) and not vectors[-1].any()
+
+
+def test_quality_model_is_the_same_on_other_partitions(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    one, other = quality.train(docs.coalesce(1), labels), quality.train(docs.repartition(7), labels.repartition(3))
+    assert one.tokens == other.tokens and (one.token_vectors == other.token_vectors).all() and all((a == b).all() for a, b in zip(one.layers, other.layers, strict=True))
