@@ -237,16 +237,18 @@ def _shard(texts: list[str | None], windows: Windows) -> list[tuple[int, list[di
 
 
 def _passes(items: DataFrame, item: str, text: str) -> Iterator[list[tuple[str, list[bytes]]]]:
-    """Items in groups that have `PASS_WINDOWS` windows at most (one longer item stays alone)."""
+    """Items in groups that have `PASS_WINDOWS` windows at most; an item of more is in several, with some of its windows in each."""
     held, size = [], 0
     for name, value in items.select(F.coalesce(F.col(item).cast("string"), F.lit("")), text).toLocalIterator():
         tokens = words(value)
-        n = max(1, len(tokens) - WINDOW + 1)
-        if held and size + n > PASS_WINDOWS:
-            yield held
-            held, size = [], 0
-        held.append((name, tokens))
-        size += n
+        for start in range(0, max(1, len(tokens) - WINDOW + 1), PASS_WINDOWS):
+            part = tokens[start : start + PASS_WINDOWS + WINDOW - 1]
+            n = max(1, len(part) - WINDOW + 1)
+            if held and size + n > PASS_WINDOWS:
+                yield held
+                held, size = [], 0
+            held.append((name, part))
+            size += n
     yield held
 
 

@@ -52,6 +52,28 @@ def test_against_brute_force(spark, monkeypatch, per_pass):
     assert sorted(tuple(r) for r in rows.collect()) == sorted(brute(docs, items))
 
 
+def test_passes_hold_so_many_windows_each(spark, monkeypatch):
+    """A long item is cut into parts that have all its windows once, and no pass has more windows than it may."""
+    monkeypatch.setattr(dc, "PASS_WINDOWS", 7)
+    texts = {"long": 43, "exact": 16, "short": 4, "one": 10, "none": 0}
+    items = spark.createDataFrame([(name, " ".join(f"{name}{i}" for i in range(n))) for name, n in texts.items()], "item_id string, text string")
+    groups = list(dc._passes(items, "item_id", "text"))
+    assert all(sum(max(1, len(part) - dc.WINDOW + 1) for _, part in group) <= 7 for group in groups)
+    windows = [(name, b" ".join(part[i : i + dc.WINDOW])) for group in groups for name, part in group for i in range(max(1, len(part) - dc.WINDOW + 1))]
+    whole = [(name, " ".join(f"{name}{k}" for k in range(i, min(n, i + dc.WINDOW))).encode()) for name, n in texts.items() for i in range(max(1, n - dc.WINDOW + 1))]
+    assert sorted(windows) == sorted(whole)
+
+
+def test_an_item_in_several_passes(spark, monkeypatch):
+    monkeypatch.setattr(dc, "PASS_WINDOWS", 7)
+    rng = random.Random(3)
+    item = [rng.choice("abcdefgh") + str(rng.randint(0, 30)) for _ in range(60)]
+    docs = [(1, "x y " + " ".join(item[12:35]) + " z"), (2, " ".join(item)), (3, " ".join(item[5:13])), (4, None), (5, " ".join(item[50:60] + item[0:10]))]
+    items = [(1, " ".join(item)), (2, "x y"), (3, " ".join(item[20:33]))]
+    rows = dc.digests(dc.find(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")))
+    assert sorted(tuple(r) for r in rows.collect()) == sorted(brute(docs, items))
+
+
 def test_nothing_to_find(spark):
     docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
     none = spark.createDataFrame([], "item_id long, text string")
