@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+from pyarrow.fs import FileSelector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -19,6 +20,7 @@ from seqframe.plans.scratch import new_folder
 from seqframe.report import logs, tables
 from seqframe.sinks.fastx import listing, rendered, write_fastx
 from seqframe.sources import fastx, files, index, lines, sam
+from seqframe.sources.files import store_of
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -63,6 +65,15 @@ def _file(lines: DataFrame, name: str, order: str | None = None, **options: str)
     return folder
 
 
+def _misnamed(folder: str) -> str:
+    """The folder, whose compressed files have lost the ending that says so."""
+    store, inner = store_of(folder)
+    for file in store.get_file_info(FileSelector(inner)):
+        if file.path.endswith(".gz"):
+            store.move(file.path, file.path.removesuffix(".gz"))
+    return folder
+
+
 _TRUTH = """with truth as (
     select mapq, split_part(qname,'_',1) = rname
         and abs(pos - case when (flag & 16) <> 0 then cast(split_part(qname,'_',3) as int) - length(seq) + 1 else cast(split_part(qname,'_',2) as int) end) <= {d} as correct
@@ -506,8 +517,8 @@ def bare_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bare reads as lines of a compressed file whose name doesn't say so, headers and blank lines among them."""
     reads = view(spark, sf_dir, "bare_reads")
     value = F.when(F.col("rid") % 3 == 0, "@header").when(F.col("rid") % 7 == 0, " ").when(F.col("rid") % 4 == 0, "ACGTN ").otherwise(F.col("seq"))
-    folder = _file(reads.select("rid", value.alias("value")), "bare", "rid")
-    return lines.bare_reads(lines.read_lines(spark, folder))
+    folder = _file(reads.select("rid", value.alias("value")), "bare", "rid", compression="gzip")
+    return lines.bare_reads(lines.read_lines(spark, _misnamed(folder)))
 
 
 @query("select rid as line_no, seq as value from bare_reads", "bare_reads")

@@ -36,3 +36,9 @@ def test_no_python_but_in_the_reader(spark):
     for name in ("sam_mapq_accuracy", "reorder_by_sequence", "reorder_mates", "read_stats"):
         plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def test_misnamed_files_are_told_by_content(spark):
+    """The files of `bare_lines` are compressed and named as if they weren't, so the reader by content takes them."""
+    plan = QUERIES["bare_lines"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "lines_by_content" in plan
