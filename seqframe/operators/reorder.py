@@ -10,7 +10,10 @@ large key is one task's work.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -24,7 +27,7 @@ BUCKETS, READS = 1 << 14, 1 << 20
 #: Reads near the ends of chunks that the driver walks over at once.
 WALKED = 1 << 22
 #: Chunks of a source at most, and ranges of ordinals that are told how many chunks start before them.
-MOST_CHUNKS, PARTS = 1 << 22, 1 << 16
+MOST_CHUNKS, PARTS = 1 << 22, 1 << 18
 _SPAN = 1 << 40
 
 
@@ -100,7 +103,7 @@ def chunk_starts(source: DataFrame, chunk_bases: int = CHUNK_BASES, reads: int =
     """W5 for reads of any length: the first ordinal (`sid`, a distinct long from 0 on) of each chunk of a source.
 
     A chunk ends with the read that brings its bases to `chunk_bases`. Empty reads are none. One job sums bases by ranges of `reads`
-    ordinals. Where a chunk ends is known but for the lengths by which earlier ends passed their marks; so one more job brings the
+    ordinals. Many small chunks are found by ranges: see `_starts_by_ranges`. For few large ones: where a chunk ends is known but for the lengths by which earlier ends passed their marks; so one more job brings the
     reads around the marks of many chunks at once, about `rows` of them, and the driver walks from end to end. With reads of like lengths that is
     a job for some sqrt(2 * rows) chunks: one for any source of fewer. The list has a number for every `chunk_bases` bases of the source.
     """
@@ -112,16 +115,23 @@ def chunk_starts(source: DataFrame, chunk_bases: int = CHUNK_BASES, reads: int =
     until = np.cumsum(bases)
     longest, total, mean = int(sums.column("longest").to_numpy().max()), int(until[-1]), float(until[-1] / n.sum())
     starts, held = [int(sums.column("first").to_numpy().min())], 0
-    spark = source.sparkSession
+    each_size = chunk_bases / mean  # reads of a chunk
+    # reads that the next chunk's end may fall on, of all ranges, against chunks that one job's windows hold
+    if min(each_size, reads) * len(ranges) / rows <= total / chunk_bases / max(1.0, (2 * rows * mean / longest) ** 0.5):
+        return _starts_by_ranges(each, sums, chunk_bases, max(1, int(rows // min(each_size + 1, reads))))
     while held + chunk_bases < total:
         windows = _windows(held + chunk_bases, chunk_bases, longest, mean, total, rows)
-        near = []
-        for low, high in windows:
-            first, last = np.searchsorted(until, low), min(np.searchsorted(until, high), len(ranges) - 1)
-            near += [(int(ranges[i]), int(until[i] - bases[i]), low, high) for i in range(first, last + 1)]
-        asked = spark.createDataFrame(near, "range long, before long, low long, high long").groupBy("range", "before").agg(F.collect_list(F.struct("low", "high")).alias("w"))
-        summed = each.join(F.broadcast(asked), "range").withColumn("c", F.col("before") + F.sum("l").over(Window.partitionBy("range").orderBy("sid").rowsBetween(Window.unboundedPreceding, 0)))
-        found = summed.filter(F.exists("w", lambda w: (F.col("c") >= w["low"]) & (F.col("c") <= w["high"]))).select("c", "sid").toArrow().sort_by("c")
+        lows, highs = np.array(windows, np.int64).T
+        asked = np.unique(np.concatenate([np.arange(np.searchsorted(until, low), min(np.searchsorted(until, high), len(ranges) - 1) + 1) for low, high in windows]))
+        before = dict(zip(ranges[asked].tolist(), (until - bases)[asked].tolist(), strict=True))
+
+        def near(here: int, sid: np.ndarray, c: np.ndarray, before: dict = before, lows: np.ndarray = lows, highs: np.ndarray = highs) -> pa.Table:
+            c = c + before[here]
+            at = np.searchsorted(lows, c, "right") - 1
+            inside = (at >= 0) & (c <= highs[np.maximum(at, 0)])
+            return pa.table({"c": c[inside], "sid": sid[inside]})
+
+        found = _by_range(each, list(before), near, "c long, sid long").toArrow().sort_by("c")
         c, sid = found.column("c").to_numpy(), found.column("sid").to_numpy()
         for low, high in windows:
             while low <= held + chunk_bases <= high + 1 - 2 * longest:  # the end and the read after it are there
@@ -133,23 +143,91 @@ def chunk_starts(source: DataFrame, chunk_bases: int = CHUNK_BASES, reads: int =
     return starts
 
 
+def _by_range(each: DataFrame, ranges: list[int], work: Callable[[int, np.ndarray, np.ndarray], pa.Table], schema: str) -> DataFrame:
+    """`work` done on each of these ranges of reads: its number, ordinals in order and running total of bases."""
+
+    def group(table: pa.Table) -> pa.Table:
+        sid, l = table.column("sid").to_numpy(), table.column("l").to_numpy()
+        order = np.argsort(sid)
+        return work(table.column("range")[0].as_py(), sid[order], np.cumsum(l[order]))
+
+    return each.filter(F.col("range").between(min(ranges), max(ranges))).groupBy("range").applyInArrow(_of_those(group, set(ranges), schema), schema)
+
+
+def _of_those(group: Callable[[pa.Table], pa.Table], ranges: set[int], schema: str) -> Callable[[pa.Table], pa.Table]:
+    """`group`, but for ranges that aren't asked for no rows."""
+    names = [f.split()[0] for f in schema.split(", ")]
+    kinds = [pa.list_(pa.int64()) if "array" in f else pa.int64() for f in schema.split(", ")]
+    none = pa.table([pa.array([], k) for k in kinds], names=names)
+    return lambda table: group(table) if table.column("range")[0].as_py() in ranges else none
+
+
+def _next_ends(c: np.ndarray, chunk_bases: int) -> np.ndarray:
+    """For a chunk that ends with each read the place of the read that the next one ends with; the number of reads if that is none of these."""
+    return np.searchsorted(c, c + chunk_bases)
+
+
+def _left(c: np.ndarray, chunk_bases: int) -> tuple[np.ndarray, np.ndarray]:
+    """What the open chunk still needs behind a range with running total `c`, for all that it may need before it.
+
+    If it needs up to `upper[i]` bases, and more than `upper[i - 1]`, it needs `needs[i]` behind; if more than the last of these, no chunk ends here.
+    """
+    n, then = len(c), _next_ends(c, chunk_bases)
+    last = np.where(then < n, then, np.arange(n))
+    while (further := last[last]).tobytes() != last.tobytes():  # twice as many chunks a step
+        last = further
+    first = min(int(np.searchsorted(c, chunk_bases)) + 1, n)  # reads that the open chunk may end with
+    upper, needs = c[:first], chunk_bases - (c[-1] - c[last[:first]])
+    edge = np.append(needs[1:] != needs[:-1], True)
+    return upper[edge], needs[edge]
+
+
+def _starts_by_ranges(each: DataFrame, sums: pa.Table, chunk_bases: int, at_once: int) -> list[int]:
+    """The same for chunks of any number: a job gives, for `at_once` ranges, what is left of the open chunk behind each for all that it may be before;
+    the driver runs through these tables, and then one job walks through all ranges, each by itself."""
+    ranges, bases, first = (sums.column(c).to_pylist() for c in ("range", "l", "first"))
+
+    def left(here: int, sid: np.ndarray, c: np.ndarray) -> pa.Table:
+        upper, needs = _left(c, chunk_bases)
+        return pa.table({"range": [here], "upper": [upper], "needs": [needs]}, pa.schema([("range", pa.int64()), ("upper", pa.list_(pa.int64())), ("needs", pa.list_(pa.int64()))]))
+
+    entered, need = {}, chunk_bases
+    for i in range(0, len(ranges), at_once):
+        found = _by_range(each, ranges[i : i + at_once], left, "range long, upper array<long>, needs array<long>").toArrow()
+        place = {r: k for k, r in enumerate(found.column("range").to_pylist())}
+        for r, total in zip(ranges[i : i + at_once], bases[i : i + at_once], strict=True):
+            entered[r] = need
+            upper, needs = (found.column(c)[place[r]].values.to_numpy() for c in ("upper", "needs"))
+            at = int(np.searchsorted(upper, need))
+            need = need - total if at == len(upper) else int(needs[at])
+    following = dict(zip(ranges, [*first[1:], None], strict=True))
+
+    def walk(here: int, sid: np.ndarray, c: np.ndarray) -> pa.Table:
+        then, at, out = _next_ends(c, chunk_bases), int(np.searchsorted(c, entered[here])), []
+        while at < len(c):
+            out.append(int(sid[at + 1]) if at + 1 < len(c) else following[here])
+            at = int(then[at])
+        return pa.table({"sid": pa.array([x for x in out if x is not None], pa.int64())})
+
+    return [first[0], *np.sort(_by_range(each, ranges, walk, "sid long").toArrow().column("sid").to_numpy()).tolist()]
+
+
 def with_chunks(source: DataFrame, starts: list[int], name: str = "chunk") -> DataFrame:
     """`source` with the chunk, from 0, of each read, by the ordinals that chunks start at.
 
-    The ordinals up to the last start are cut into `PARTS` even ranges at most; a row a range, with the chunks that start before it and
+    The ordinals up to the last start are cut into even ranges, about one a chunk and `PARTS` at most; a row a range, with the chunks that start before it and
     those that start in it, is broadcast, and a read looks at its range's row alone.
     """
     if len(starts) >= MOST_CHUNKS:
         raise ValueError(f"{len(starts)} chunks; take larger ones, {MOST_CHUNKS - 1} at most")
     marks = np.array(starts[1:], np.int64)
     span = int(marks[-1]) + 1 if len(marks) else 1
-    width = -(-span // PARTS)
+    width = -(-span // max(1, min(len(marks), PARTS)))
     edges = np.arange(span // width + 1, dtype=np.int64) * width
     base = np.searchsorted(marks, edges)
-    inside = np.split(marks, base[1:])
-    rows = [(r, int(n), m.tolist()) for r, (n, m) in enumerate(zip(base, inside, strict=True))]
-    table = F.broadcast(source.sparkSession.createDataFrame(rows, "_range long, _before long, _marks array<long>"))
-    at = F.least(F.floor(F.col("sid") / F.lit(width)).cast("bigint"), F.lit(len(rows) - 1).cast("bigint"))
+    inside = pa.ListArray.from_arrays(pa.array([*base.tolist(), len(marks)], pa.int32()), pa.array(marks))
+    table = F.broadcast(source.sparkSession.createDataFrame(pa.table({"_range": np.arange(len(edges)), "_before": base.astype(np.int64), "_marks": inside})))
+    at = F.least(F.floor(F.col("sid") / F.lit(width)).cast("bigint"), F.lit(len(edges) - 1).cast("bigint"))
     joined = source.withColumn("_range", at).join(table, "_range")
     return joined.withColumn(name, F.col("_before") + F.size(F.filter("_marks", lambda x: x <= F.col("sid")))).drop("_range", "_before", "_marks")
 

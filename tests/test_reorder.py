@@ -108,6 +108,25 @@ def test_chunks_take_few_jobs(spark):
     assert len(starts) > 350 and len(few) < 12
 
 
+def test_small_chunks_take_few_jobs(spark):
+    """The number of jobs doesn't grow with that of chunks: ranges of reads are walked through by themselves."""
+    rng = random.Random(6)
+    rows = [(i, "A" * rng.randint(5, 15)) for i in range(4000)]
+    source = spark.createDataFrame(rows, "sid long, seq string").repartition(4)
+    group = f"small-chunks-{rng.random()}"
+    spark.sparkContext.setJobGroup(group, "chunks")
+    starts = reorder.chunk_starts(source, 40, 256, 1000)
+    few = set(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    spark.sparkContext.setJobGroup("", "")
+    want, held = [], 40
+    for sid, seq in rows:
+        if held >= 40:
+            want.append(sid)
+            held = 0
+        held += len(seq)
+    assert starts == want and len(starts) > 800 and len(few) < 12
+
+
 def test_odd_chunks_one_by_one(spark):
     rng = random.Random(9)
     seqs = ["ACGT" * n for n in (1, 3, 8)]
