@@ -1,8 +1,8 @@
 """One-to-one matching of records that keeps an order.
 
 Both joins are multiset joins: equal keys on the two sides are numbered, and a
-number is matched with the same number. A key's rows are numbered by one window,
-but not those of keys that have over `SUPPORT` of all rows and over `SLICE` rows (a
+number is matched with the same number. A key's rows are numbered by one window, after
+the only shuffle of both sides, but not those of keys that have over `SUPPORT` of all rows and over `SLICE` rows (a
 poly-N read): these, 1 / `SUPPORT` keys at most, are taken in slices of `SLICE`
 ordinals, the slices counted, and the counts of those before added, so that no
 large key is one task's work.
@@ -51,29 +51,44 @@ def frequent(rows: DataFrame, key: str, most: int, support: float = SUPPORT) ->
     return counted.toArrow().column(0).to_pylist()
 
 
-def ranked(rows: DataFrame, key: str, order: Column, name: str = "_k", slice_: int = SLICE) -> DataFrame:
-    """`rows` with their number (from 1) among equal `key`s by `order`, a distinct long."""
-    ordered = rows.withColumn("_o", order.cast("bigint"))
-    one_window = F.row_number().over(Window.partitionBy(key).orderBy("_o")).cast("bigint")
-    large = frequent(rows, key, slice_)
-    if not large:
-        return ordered.withColumn(name, one_window).drop("_o")
-    common = F.coalesce(F.col(key).isin(large), F.lit(False))
-    rare = ordered.filter(~common).withColumn(name, one_window)
-    cut = ordered.filter(common).withColumn("_slice", F.col("_o") - F.pmod("_o", F.lit(slice_)))
+def _sliced(rows: DataFrame, key: str, order: Column, slice_: int = SLICE) -> DataFrame:
+    """`rows` of a few large keys with their number `_k` (from 1) among equal `key`s by `order`, a distinct long."""
+    cut = rows.withColumn("_o", order.cast("bigint")).withColumn("_slice", F.col("_o") - F.pmod(F.col("_o"), F.lit(slice_)))
     local = cut.withColumn("_r", F.row_number().over(Window.partitionBy(key, "_slice").orderBy("_o")))
     counts = cut.groupBy(key, "_slice").agg(F.count("*").alias("_n"))
     earlier = Window.partitionBy(key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).select(key, "_slice", "_before")
-    sliced = local.join(before, [key, "_slice"], "left").withColumn(name, F.col("_r") + F.coalesce("_before", F.lit(0)))
-    return rare.drop("_o").unionByName(sliced.drop("_o", "_slice", "_r", "_before"))
+    return local.join(before, [key, "_slice"], "left").withColumn("_k", F.col("_r") + F.coalesce("_before", F.lit(0))).drop("_o", "_slice", "_r", "_before")
+
+
+def _paired(left: DataFrame, right: DataFrame, key: str, left_order: Column, right_order: Column) -> DataFrame:
+    """Rows of `left` with those of `right` by a single shuffle by `key`: both sides are numbered where they meet, and equal numbers follow each other."""
+
+    def side(rows: DataFrame, number: int, order: Column) -> DataFrame:
+        own = F.struct(*[c for c in rows.columns if c != key])
+        other = F.lit(None).cast((right if number else left).drop(key).schema)
+        return rows.select(F.col(key), F.lit(number).cast("tinyint").alias("_side"), order.cast("bigint").alias("_o"), *(x.alias(n) for x, n in zip((own, other) if number else (other, own), ("_left", "_right"), strict=True)))
 
+    both = side(right, 0, right_order).unionByName(side(left, 1, left_order)).repartition(key)
+    numbered = both.withColumn("_k", F.row_number().over(Window.partitionBy(key, "_side").orderBy("_o")))
+    before = F.lag("_right").over(Window.partitionBy(key, "_k").orderBy("_side"))
+    met = numbered.withColumn("_right", F.when(F.col(key).isNotNull(), before)).filter("_side = 1")
+    return met.select(key, *[F.col(f"_{n}.`{c}`").alias(c) for n, rows in (("left", left), ("right", right)) for c in rows.columns if c != key])
 
-def multiset_join(left: DataFrame, right: DataFrame, key: str, left_order: Column, right_order: Column, how: str = "left", slice_: int = SLICE) -> DataFrame:
-    """Each row of `left` with one row of `right` of equal `key`, each used once at most: the k-th by order with the k-th."""
-    a = ranked(left, key, left_order, slice_=slice_)
-    b = ranked(right, key, right_order, slice_=slice_)
-    return a.join(b, [key, "_k"], how).drop("_k")
+
+def multiset_join(left: DataFrame, right: DataFrame, key: str, left_order: Column, right_order: Column, slice_: int = SLICE) -> DataFrame:
+    """Each row of `left` with one row of `right` of equal `key` or with nulls, each used once at most: the k-th by order with the k-th.
+
+    The two sides' other columns have names of their own. Rows of a key that is large on either side are numbered in slices and joined by key and
+    number; all others are shuffled once, by key.
+    """
+    large = sorted({*frequent(left, key, slice_), *frequent(right, key, slice_)})
+    if not large:
+        return _paired(left, right, key, left_order, right_order)
+    common = F.coalesce(F.col(key).isin(large), F.lit(False))
+    rare = _paired(left.filter(~common), right.filter(~common), key, left_order, right_order)
+    a, b = (_sliced(x.filter(common), key, order, slice_) for x, order in ((left, left_order), (right, right_order)))
+    return rare.unionByName(a.join(b, [key, "_k"], "left").drop("_k"))
 
 
 def constant_length_chunk(ordinal: Column, length: int, chunk_bases: int = CHUNK_BASES) -> Column:
@@ -261,7 +276,7 @@ def reorder_by_sequence(bare: DataFrame, source: DataFrame, tie: str = "lifo", c
     sid = F.col("sid") if tie == "fifo" else F.lit(_SPAN - 1) - F.col("sid")
     order = sid if chunk is None else chunk * _SPAN + sid
     reads, pool = (_strict(x.filter("seq <> ''"), strict_alphabet) for x in (bare.select("rid", "seq"), source))
-    out = multiset_join(reads, pool, "seq", F.col("rid"), order, "left", slice_)
+    out = multiset_join(reads, pool, "seq", F.col("rid"), order, slice_)
     out = out.select("rid", "name", "comment", "seq", "qual", F.col("sid").isNotNull().alias("_met"))
     if unmatched == "drop":
         out = out.filter("_met")
@@ -308,7 +323,7 @@ def reorder_mates(first: DataFrame, second: DataFrame, suffix: str = "chop2", un
         raise ValueError("unmatched must be fail or drop")
     a = first.select("rid", mate_key(F.col("name"), suffix).alias("_name"))
     b = second.withColumn("_name", mate_key(F.col("name"), suffix)).withColumnRenamed("rid", "_rid2").drop("name")
-    out = multiset_join(a, b, "_name", F.col("rid"), F.col("_rid2"), "left", slice_)
+    out = multiset_join(a, b, "_name", F.col("rid"), F.col("_rid2"), slice_)
     met = F.col("_rid2").isNotNull()
     if unmatched == "fail":
         met = F.when(met, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("no mate for "), F.col("_name"))).cast("boolean"))
@@ -319,7 +334,7 @@ def mates_missing(first: DataFrame, second: DataFrame, suffix: str = "chop2", sl
     """First reads (`rid`, `name` without suffix) that find no mate."""
     a = first.select("rid", mate_key(F.col("name"), suffix).alias("name"))
     b = second.select(mate_key(F.col("name"), suffix).alias("name"), F.col("rid").alias("_rid2"))
-    return multiset_join(a, b, "name", F.col("rid"), F.col("_rid2"), "left", slice_).filter("_rid2 is null").select("rid", "name")
+    return multiset_join(a, b, "name", F.col("rid"), F.col("_rid2"), slice_).filter("_rid2 is null").select("rid", "name")
 
 
 def hash_collisions(names: DataFrame, name: str = "name") -> DataFrame:

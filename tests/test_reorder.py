@@ -153,3 +153,23 @@ def test_large_keys_are_found(spark):
     rows = spark.createDataFrame([(i, "hot" if i % 3 == 0 else f"k{i}") for i in range(600)] + [(1000 + i, None) for i in range(300)], "id long, key string")
     assert reorder.frequent(rows, "key", 100) == ["hot"]
     assert reorder.frequent(rows, "key", 250) == [] and reorder.frequent(rows.limit(0), "key", 1) == []
+
+
+@pytest.mark.parametrize("slice_", [50, reorder.SLICE])
+def test_both_sides_are_shuffled_once(spark, slice_):
+    """Rows are numbered and matched after a shuffle by key alone; null keys match none."""
+    first = spark.createDataFrame([(i, None if i % 5 == 0 else "hot" if i % 2 else f"k{i % 9}") for i in range(300)], "rid long, key string")
+    second = spark.createDataFrame([(i, None if i % 7 == 0 else "hot" if i % 3 else f"k{i % 9}") for i in range(250)], "sid long, key string")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        out = reorder.multiset_join(first, second, "key", F.col("rid"), -F.col("sid"), slice_=slice_)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        rows = sorted(tuple(r) for r in out.select("rid", "key", "sid").collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    waiting = {}
+    for sid, key in second.sort("sid").collect():
+        waiting.setdefault(key, []).append(sid)
+    assert rows == [(rid, key, waiting[key].pop() if key and waiting.get(key) else None) for rid, key in first.sort("rid").collect()]
+    assert slice_ == 50 or plan.count("Exchange hashpartitioning") == 1
