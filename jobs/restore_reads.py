@@ -56,9 +56,10 @@ def run(
     reads, pool = _side(spark, input, bare_table, bare, "bare"), _side(spark, input, source_table, source, "source")
     restored = reorder_by_sequence(reads, pool, tie=tie, unmatched=unmatched)
     part = F.floor(F.col("rid") / F.lit(rows_per_part)).cast("bigint")
-    records = restored.select(*SIDES["bare"][:1], "name", "comment", "seq", "qual", rendered().alias("record"), part.alias("part"))
-    # a part is a range of ordinals, so no task has more than a few times `rows_per_part` rows, whatever the bases are
-    records.repartition("part").sortWithinPartitions("part", "rid").write.mode("overwrite").partitionBy("part").parquet(f"{output}/records")
+    # a part is a range of ordinals, so no task has more than a few times `rows_per_part` rows, whatever the bases are; texts are made after the shuffle
+    parts = restored.select(*SIDES["bare"][:1], "name", "comment", "seq", "qual", part.alias("part")).repartition("part").sortWithinPartitions("part", "rid")
+    records = parts.select("rid", "name", "comment", "seq", "qual", rendered().alias("record"), "part")
+    records.write.mode("overwrite").option("compression", "zstd").partitionBy("part").parquet(f"{output}/records")
     report = match_report(reads, pool).crossJoin(empty_reads(reads, pool))  # a row each
     report.coalesce(1).write.mode("overwrite").parquet(f"{output}/report")
     told = spark.read.parquet(f"{output}/report").first()

@@ -141,6 +141,19 @@ def test_restored_records_are_in_order(spark, tmp_path):
     assert {"@r397\nAAA\n+\nIII", ">r395\nACACAC"} < {r.record for r in by_file}  # with qualities and without
 
 
+def test_restored_texts_are_made_after_the_shuffle(spark, tmp_path, monkeypatch):
+    """What is moved to the parts has no text of records in it, and what is written is compressed by entropy."""
+    tables(spark, tmp_path, 100)
+    moved, out = [], f"file://{tmp_path}/out"
+    kind = type(spark.range(1))
+    repartition = kind.repartition
+    monkeypatch.setattr(kind, "repartition", lambda self, *a: (moved.append(self.columns), repartition(self, *a))[1])
+    restore_reads.run(spark, f"file://{tmp_path}", out, **SIDES)
+    assert [c for c in moved if "part" in c] == [["rid", "name", "comment", "seq", "qual", "part"]]
+    files = list((tmp_path / "out/records").rglob("*.parquet"))
+    assert files and all(".zstd." in f.name for f in files)
+
+
 def test_restore_of_no_reads(spark, tmp_path):
     tables(spark, tmp_path, 0)
     assert restore_reads.run(spark, f"file://{tmp_path}", f"file://{tmp_path}/out", **SIDES).collect() == []
