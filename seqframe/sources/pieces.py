@@ -38,6 +38,8 @@ _MEMBER, _HEAD = 1 << 16, 12
 #: Bytes of content of a member that is written: also what can't be compressed fits in 64 KiB.
 BLOCK_BYTES = 0xFF00
 _AT_ONCE, _BLOCK = 8 << 20, 1 << 20
+#: Bytes of pieces that a task reads one after another, unless one is larger.
+TASK_BYTES = 64 << 20
 
 
 def member_size(head: bytes) -> tuple[int, int] | None:
@@ -306,19 +308,29 @@ def leave(s: dict[str, Any], state: State) -> State:
     return tuple(s["states"][header]) if first == 1 else qualities(count + bases, before, one)
 
 
+def per_task(spark: SparkSession, pieces: list[tuple[str, str, int, int]]) -> int:
+    """Bytes of pieces (the last two: start, end) that a task reads, about: a share of all, `TASK_BYTES` at most."""
+    total = sum(end - start for *_, start, end in pieces)
+    return max(1, min(TASK_BYTES, total // (4 * spark.sparkContext.defaultParallelism)))
+
+
 def entries(spark: SparkSession, pieces: list[tuple[str, str, int, int]]) -> list[State]:
-    """The state in which each piece (path, kind, start, end; in order) is entered; executors read the pieces, the driver gets a short row of each."""
+    """The state in which each piece (path, kind, start, end; in order) is entered; executors read the pieces, the driver gets a short row of each.
+
+    A piece is summed up a block of lines at a time, so a task holds tables of one block only; small pieces share tasks.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, *piece in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 with Piece(*piece) as lines:
-                    told = json.dumps(summary(lines.blocks()), default=int)
+                    told = json.dumps([summary(iter([body])) for body in lines.blocks()], default=int)
                 yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([told])], ["i", "told"])
 
     if not pieces:
         return []
-    rows = spark.createDataFrame([(i, *p) for i, p in enumerate(pieces)], "i long, path string, kind string, start long, end long").repartition(len(pieces), "i")
+    tasks = min(len(pieces), -(-sum(end - start for *_, start, end in pieces) // per_task(spark, pieces)))
+    rows = spark.createDataFrame([(i, *p) for i, p in enumerate(pieces)], "i long, path string, kind string, start long, end long").repartition(tasks, "i")
     found = rows.mapInArrow(work, "i long, told string").toArrow()
     told = dict(zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True))
     out: list[State] = []
@@ -327,6 +339,7 @@ def entries(spark: SparkSession, pieces: list[tuple[str, str, int, int]]) -> lis
         if not i or pieces[i - 1][0] != piece[0]:
             state = (H, 0)
         out.append(state)
-        state = leave(json.loads(told[i]), state)
+        for block in json.loads(told[i]):
+            state = leave(block, state)
     return out
 

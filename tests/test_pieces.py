@@ -1,12 +1,14 @@
 """Files in pieces, cut anywhere, against one pass over the whole file."""
 
 import io
+import pickle
 import random
 import struct
 import zlib
 
 import pytest
 
+from seqframe.sources import fastx, pieces
 from seqframe.sources.fastx import parsed, read_fastx, records
 from seqframe.sources.files import text_lines
 from seqframe.sources.pieces import H, Piece, Q, S, entries, kind_of, kinds, leave, summary
@@ -121,3 +123,25 @@ def test_damage_is_told(tmp_path):
     (tmp_path / "x").write_bytes(bytes(raw))
     with pytest.raises((ValueError, zlib.error)), Piece(f"{tmp_path}/x", "blocks", 0, len(raw)) as piece:
         list(piece.lines())
+
+
+def test_a_piece_is_summed_up_block_by_block(spark, tmp_path, monkeypatch):
+    """No more than a block of lines is looked at together, and the states are the same."""
+    text = "".join(f"@r{i}\n{'ACG' * (i % 5)}\nT\n+\n{'@>+' * (i % 5)}\nI\n" for i in range(400)).encode()
+    path = tmp_path / "a.fq"
+    path.write_bytes(text)
+    cut = [(f"file://{path}", "plain", at, min(at + 3000, len(text))) for at in range(0, len(text), 3000)]
+    want, state = [], (0, 0)
+    for piece in cut:
+        want.append(state)
+        with pieces.Piece(*piece) as lines:
+            state = pieces.leave(pieces.summary(lines.blocks()), state)
+    with pieces.Piece(f"file://{path}", "plain", 0, len(text)) as lines:
+        monkeypatch.setattr(pieces, "_AT_ONCE", 500)
+        blocks = list(lines.blocks())
+    assert len(blocks) > 10
+    state = (0, 0)
+    for body in blocks:
+        state = pieces.leave(pieces.summary(iter([body])), state)
+    assert state == (0, 0)
+    assert pieces.entries(spark, cut) == want
