@@ -489,11 +489,11 @@ def log_variable(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select row_number() over (order by sid) - 1 as rec_no, name, seq, qual from reads", "reads")
 def fastx_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records written in an order and read back in pieces: their numbers follow that order."""
-    reads = view(spark, sf_dir, "reads").repartition(5)
+    reads = view(spark, sf_dir, "reads").repartition("sid")
     folder = new_folder(spark, "ordered")
     write_fastx(reads, folder, order="sid", compression="none")
-    back = fastx.read_fastx(spark, folder, layout="four_line", split_bytes=50_000)
-    counts = back.groupBy("file_id").agg(F.count("*").alias("n"))
+    back, numbers = (fastx.read_fastx(spark, folder, columns=c, layout="four_line", split_bytes=50_000) for c in (None, ["file_id"]))
+    counts = numbers.groupBy("file_id").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("file_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a file
     offsets = F.broadcast(counts.select("file_id", before.alias("before")))
     return back.join(offsets, "file_id").select((F.col("rec_no") + F.col("before")).alias("rec_no"), "name", "seq", "qual")

@@ -41,7 +41,7 @@ from pyspark.sql.types import IntegerType, LongType, StringType, StructField, St
 from pyspark.sql.window import Window
 
 from seqframe.sources.files import found, opened, reached, store_of
-from seqframe.sources.pieces import H, Piece, Q, S, State, entries, kinds
+from seqframe.sources.pieces import H, Piece, Q, S, State, entries, kinds, per_task
 
 #: Bytes of a piece.
 SPLIT_BYTES = 64 << 20
@@ -156,6 +156,31 @@ class FilePartition(InputPartition):
         self.file_id, self.path, self.number, self.kind, self.start, self.end, self.state = file_id, path, number, kind, start, end, state
 
 
+class Pieces(InputPartition):
+    """Pieces that one task reads, one after another."""
+
+    def __init__(self, parts: list[FilePartition]) -> None:
+        self.parts = parts
+
+
+def packed(pieces: list[list[Any]], split_bytes: int) -> str:
+    """Pieces as text, a file's together, so that it grows by files, and by pieces only where their states must be told."""
+    out: list[list[Any]] = []
+    for i, path, number, kind, _, end, state in pieces:
+        if not number:
+            out.append([i, path, kind, split_bytes, end, []])
+        out[-1][4] = end
+        out[-1][5].append(list(state) if state else None)
+    return json.dumps([[*f[:5], f[5] if any(f[5]) else len(f[5])] for f in out])
+
+
+def unpacked(text: str) -> Iterator[FilePartition]:
+    for i, path, kind, step, size, states in json.loads(text):
+        states = [None] * states if isinstance(states, int) else states
+        for k, state in enumerate(states):
+            yield FilePartition(i, path, k, kind, k * step, None if size is None else min(k * step + step, size), tuple(state) if state else None)
+
+
 #: The piece of the file that a record comes from; only where files are split.
 PIECE = StructField("piece", IntegerType(), False)
 LAYOUTS = ("any", "four_line", "fasta")
@@ -175,15 +200,30 @@ class FastxReader(DataSourceReader):
         self.layout = options.get("layout", "any")
         if self.layout not in LAYOUTS:
             raise ValueError(f"layout must be one of {LAYOUTS}")
-        pieces = options.get("pieces")
-        self.pieces = json.loads(pieces) if pieces else None
+        self.pieces, self.at_once = options.get("pieces"), int(options.get("at_once", 0))
         paths = options.get("paths")
         self.paths = json.loads(paths) if paths else [options["path"]]
 
-    def partitions(self) -> list[FilePartition]:
-        if self.pieces is not None:
-            return [FilePartition(*p[:-1], tuple(p[-1]) if p[-1] else None) for p in self.pieces]
-        return [FilePartition(i, path) for i, (path, _) in enumerate(found(self.paths))]
+    def __getstate__(self) -> dict[str, Any]:
+        """A task gets its own pieces, not the list of all."""
+        return {**self.__dict__, "pieces": None, "paths": []}
+
+    def partitions(self) -> list[FilePartition | Pieces]:
+        if self.pieces is None:
+            return [FilePartition(i, path) for i, (path, _) in enumerate(found(self.paths))]
+        out: list[FilePartition | Pieces] = []
+        held: list[FilePartition] = []
+        size = 0
+        for part in unpacked(self.pieces):
+            if part.end is None:
+                out.append(part)
+                continue
+            if held and size + part.end - part.start > self.at_once:
+                out.append(Pieces(held))
+                held, size = [], 0
+            held.append(part)
+            size += part.end - part.start
+        return [*out, Pieces(held)] if held else out
 
     def _records(self, part: FilePartition) -> Iterator[tuple[str, str | None, str, str | None]]:
         if part.end is None:
@@ -197,9 +237,11 @@ class FastxReader(DataSourceReader):
                 lines = synced(lines, self.layout)
             yield from parsed(lines, self.malformed, part.state or (H, 0))
 
-    def read(self, partition: FilePartition | None) -> Iterator[pa.RecordBatch]:
-        if partition is None:  # there are no files
-            return
+    def read(self, partition: FilePartition | Pieces | None) -> Iterator[pa.RecordBatch]:
+        for part in partition.parts if isinstance(partition, Pieces) else [partition] if partition else []:  # None: there are no files
+            yield from self._batches(part)
+
+    def _batches(self, partition: FilePartition) -> Iterator[pa.RecordBatch]:
         kinds = [{"int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}[SCHEMA[c].dataType.simpleString() if c != PIECE.name else "int"] for c in self.columns]
         makers = {
             "file_id": lambda first, rows: [partition.file_id] * len(rows),
@@ -269,7 +311,7 @@ def pieces_of(spark: SparkSession, paths: list[str], layout: str, split_bytes: i
 def read_fastx(spark: SparkSession, *paths: str, columns: list[str] | None = None, malformed: str = "fail", layout: str = "any", split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """Records of all files, numbered by file and within it; `columns` narrows what is read.
 
-    Files over `split_bytes` are read in pieces, plain ones and those of gzip blocks. For `layout="any"` they are read once before, to tell what
+    Files over `split_bytes` are read in pieces, plain ones and those of gzip blocks; small pieces share tasks. For `layout="any"` they are read once before, to tell what
     each piece begins with. With `malformed="stop"` files aren't split, as what follows a bad record is another piece's.
     """
     register(spark)
@@ -282,7 +324,8 @@ def read_fastx(spark: SparkSession, *paths: str, columns: list[str] | None = Non
     split = [] if malformed == "stop" else pieces_of(spark, every, layout, split_bytes)
     if not any(p[2] for p in split):
         return source.schema(StructType([fields[c] for c in wanted])).load()
-    source = source.option("pieces", json.dumps(split))
+    cut = [(*p[:2], p[4], p[5]) for p in split if p[5] is not None]
+    source = source.option("pieces", packed(split, split_bytes)).option("at_once", per_task(spark, cut))
     if "rec_no" not in wanted:
         return source.schema(StructType([fields[c] for c in wanted])).load()
     counts = source.schema(StructType([fields["file_id"], PIECE])).load().groupBy("file_id", "piece").agg(F.count("*").alias("n"))

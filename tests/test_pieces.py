@@ -145,3 +145,16 @@ def test_a_piece_is_summed_up_block_by_block(spark, tmp_path, monkeypatch):
         state = pieces.leave(pieces.summary(iter([body])), state)
     assert state == (0, 0)
     assert pieces.entries(spark, cut) == want
+
+
+def test_small_pieces_share_tasks(spark, tmp_path):
+    """Tasks grow with bytes, not with pieces, and none is sent the list of all pieces."""
+    (tmp_path / "a.fq").write_text("".join(f"@r{i}\nACGT\n+\n@>+I\n" for i in range(3000)))
+    for layout in ("four_line", "any"):
+        rows = fastx.read_fastx(spark, f"file://{tmp_path}/a.fq", columns=["rec_no", "name"], layout=layout, split_bytes=100)
+        assert rows.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism + 1
+        assert sorted(map(tuple, rows.collect())) == [(i, f"r{i}") for i in range(3000)]
+    options = {"pieces": fastx.packed(fastx.pieces_of(spark, [f"file://{tmp_path}/a.fq"], "any", 100), 100), "at_once": "4000", "paths": "[]"}
+    reader = fastx.FastxReader(fastx.SCHEMA, options)
+    assert len(pickle.dumps(reader)) < 2000 < len(options["pieces"])
+    assert 9 <= len(reader.partitions()) < 20
