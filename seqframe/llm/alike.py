@@ -22,7 +22,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from seqframe.llm.common import HOT, give_back, row_columns, small_batches, spread_join, threshold, with_facts, worker_cache, written
 from seqframe.llm.components import Forest, components
@@ -233,15 +232,24 @@ def _groups(sizes: Iterable[int]) -> Iterator[tuple[int, int]]:
 
 
 def _bands(pieces: list[str], kind: Kind) -> tuple[np.ndarray, np.ndarray]:
-    """Band keys of all pieces one after another (twice `BANDS` for one with finer shingles), and where each piece's begin."""
-    short = np.fromiter(map(kind.has_fine, pieces), bool, len(pieces))
-    ends = np.concatenate([[0], np.cumsum(BANDS * (1 + short))])
-    flat = np.zeros(int(ends[-1]), np.int64)
-    for hashes, some, past in ((kind.shingles, np.arange(len(pieces)), 0), (kind.fine, np.flatnonzero(short), BANDS)):
+    """Places of pieces, and `BANDS` band keys for each; a piece with finer shingles is there twice."""
+    owners, keys = [np.zeros(0, np.int64)], [np.zeros((0, BANDS), np.int64)]
+    for hashes, some, few in ((kind.shingles, range(len(pieces)), False), (kind.fine, [k for k, x in enumerate(pieces) if kind.has_fine(x)], True)):
         for i, j in _groups(len(pieces[k]) for k in some):
-            at = some[i:j]
-            flat[ends[at][:, None] + np.arange(past, past + BANDS)] = band_keys([pieces[k] for k in at], hashes, few=past > 0)
-    return flat, ends
+            owners.append(np.array(some[i:j], np.int64))
+            keys.append(band_keys([pieces[k] for k in some[i:j]], hashes, few))
+    return np.concatenate(owners), np.concatenate(keys)
+
+
+def _blobs(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Runs of `sizes` of the 64-bit `values`, one after another, as binary values."""
+    ends = np.concatenate([[0], np.cumsum(sizes * 8)]).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _numbers(blobs: pa.Array) -> np.ndarray:
+    """The values of such runs, one after another."""
+    return np.frombuffer(b"".join(blobs.to_pylist()), np.int64)
 
 
 #: Bits of a short name that are a hash; those above tell about how long the piece is, in steps of `STEP`.
@@ -262,13 +270,18 @@ def chars_of(line: Column) -> Column:
 
 #: Bits of a band key that name the bucket it is counted in.
 BUCKET_BITS = 16
+#: Short names whose band keys are one value of a table (small ones, as a table's writer looks at its memory every hundred values).
+PACKED = 256
+#: Band keys that a task matches, about, and that a task deals at a time.
+MATCHED, DEALT = 1 << 20, 1 << 21
 
 
 def signed(docs: DataFrame, kind: Kind, key: str, text: str) -> DataFrame:
-    """`doc_id`, `h1`, `h2` (a row's identity, see `row_columns`), `names` (of a text's pieces, null for blank ones), `fresh` (short name and band keys of pieces that the task hadn't seen) and `heavy`.
+    """`doc_id`, `h1`, `h2` (a row's identity, see `row_columns`), `names` (of a text's pieces, null for blank ones), `fresh`, `heavy` and `keys`.
 
-    `heavy`, in a task's last row, are the buckets that have 1/HOT of the task's band keys or more: a key that has that share of all
-    has it in some task.
+    `fresh`, in a batch's last row, are the pieces that the task hadn't seen before: blocks of their short names, and of `BANDS` band keys for
+    each, as bytes, since these are by far the most numbers here and only arrays are made of them. In a task's last row `keys` is the number of its band keys, and `heavy` are the
+    buckets that have 1/HOT of them or more: a key that has that share of all has it in some task.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,23 +308,25 @@ def signed(docs: DataFrame, kind: Kind, key: str, text: str) -> DataFrame:
                     else:
                         names.append(None)
                 ends.append(len(names))
-            flat, starts = _bands(fresh, kind)
-            counts += np.bincount(flat.view(np.uint64) >> np.uint64(64 - BUCKET_BITS), minlength=len(counts))
-            bands = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(flat, pa.int64()))
-            structs = pa.StructArray.from_arrays([pa.array(short_names([names[i] for i in places], map(len, fresh)), pa.int64()), bands], ["line", "bands"])
-            new = pa.ListArray.from_arrays(pa.array(np.searchsorted(np.array(places, np.int64), ends), pa.int32()), structs)
+            owners, keys = _bands(fresh, kind)
+            counts += np.bincount(keys.ravel().view(np.uint64) >> np.uint64(64 - BUCKET_BITS), minlength=len(counts))
+            sizes = np.diff([*range(0, len(owners), PACKED), len(owners)])
+            lines = short_names([names[i] for i in places], map(len, fresh))[owners]
+            blocks = pa.StructArray.from_arrays([_blobs(lines, sizes), _blobs(keys, sizes * BANDS)], ["lines", "bands"])
+            new = pa.ListArray.from_arrays(pa.array([0] * batch.num_rows + [len(blocks)], pa.int32()), blocks)
             named = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(names, pa.binary()))
-            heavy = pa.nulls(batch.num_rows, pa.list_(pa.int32()))
-            held = pa.RecordBatch.from_arrays([*batch.columns[:3], named, new, heavy], ["doc_id", "h1", "h2", "names", "fresh", "heavy"])
+            told = [pa.nulls(batch.num_rows, pa.list_(pa.int32())), pa.nulls(batch.num_rows, pa.int64())]
+            held = pa.RecordBatch.from_arrays([*batch.columns[:3], named, new, *told], ["doc_id", "h1", "h2", "names", "fresh", "heavy", "keys"])
         if held is not None:
-            heavy = np.flatnonzero((counts > 0) & (counts * HOT >= counts.sum())).tolist()
-            yield held.set_column(5, "heavy", pa.array([None] * (held.num_rows - 1) + [heavy], pa.list_(pa.int32())))
+            heavy, before = np.flatnonzero((counts > 0) & (counts * HOT >= counts.sum())).tolist(), [None] * (held.num_rows - 1)
+            held = held.set_column(5, "heavy", pa.array([*before, heavy], pa.list_(pa.int32())))
+            yield held.set_column(6, "keys", pa.array([*before, int(counts.sum())], pa.int64()))
         sent.clear()
         give_back()
 
     doc_id = docs.schema[key].dataType.simpleString()
     rows = small_batches(docs).select(*row_columns(f"`{key}`", f"`{text}`"), F.col(f"`{text}`").alias("text"))
-    return written(rows.mapInArrow(work, f"doc_id {doc_id}, h1 long, h2 int, names array<binary>, fresh array<struct<line: long, bands: array<long>>>, heavy array<int>"), "signatures")
+    return written(rows.mapInArrow(work, f"doc_id {doc_id}, h1 long, h2 int, names array<binary>, fresh array<struct<lines: binary, bands: binary>>, heavy array<int>, keys long"), "signatures")
 
 
 def _bitmap(lines: DataFrame) -> tuple[int, np.ndarray]:
@@ -454,24 +469,94 @@ def _linked(kind: Kind, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
     give_back()
 
 
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Short names and band keys, one for one, about `DEALT` at a time, of batches with blocks of `fresh`."""
+    lines: list[np.ndarray] = []
+    bands: list[np.ndarray] = []
+    for batch in batches:
+        for at in range(0, batch.num_rows, 64):
+            some = batch.slice(at, 64)
+            lines.append(np.repeat(_numbers(some.column(0)), BANDS))
+            bands.append(_numbers(some.column(1)))
+            if sum(map(len, bands)) >= DEALT:
+                yield np.concatenate(lines), np.concatenate(bands)
+                lines, bands = [], []
+    if bands:
+        yield np.concatenate(lines), np.concatenate(bands)
+
+
+def _suspected(heavy: list[int], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The band keys of `heavy` buckets."""
+    is_heavy = np.zeros(1 << BUCKET_BITS, bool)
+    is_heavy[heavy] = True
+    for lines, bands in _keys(batches):
+        those = is_heavy[bands.view(np.uint64) >> np.uint64(64 - BUCKET_BITS)]
+        made = pa.RecordBatch.from_arrays([pa.array(lines[those]), pa.array(bands[those])], ["line", "band"])
+        for i in range(0, made.num_rows, 1 << 17):
+            yield made.slice(i, 1 << 17)
+
+
+def _dealt(buckets: int, hot: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The band keys but `hot` ones, a row for each bucket that some of those dealt at a time are in; `buckets` is 2^16 at most."""
+    for lines, bands in _keys(batches):
+        if len(hot):
+            rest = ~np.isin(bands, hot)
+            lines, bands = lines[rest], bands[rest]
+        bucket = ((bands.view(np.uint64) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.uint16)
+        order, sizes = np.argsort(bucket, kind="stable"), np.bincount(bucket, minlength=buckets)
+        full = np.flatnonzero(sizes)
+        made = pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), _blobs(lines[order], sizes[full]), _blobs(bands[order], sizes[full])], ["bucket", "lines", "bands"])
+        for i in range(0, made.num_rows, 4096):
+            yield made.slice(i, 4096)
+    give_back()
+
+
+def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """`hub` and `line` of the band keys of whole buckets, each once."""
+    parts = [(_numbers(batch.column(1)), _numbers(batch.column(2))) for batch in batches if batch.num_rows]
+    if parts:
+        lines, bands = map(np.concatenate, zip(*parts, strict=True))
+        del parts
+        order = np.argsort(bands)
+        lines, bands = lines[order], bands[order]
+        again = np.concatenate([[False], bands[1:] == bands[:-1], [False]])
+        shared = again[1:] | again[:-1]  # most keys have one line
+        lines, starts = lines[shared], np.flatnonzero(~again[:-1][shared])
+        if len(lines):
+            sizes = np.diff([*starts, len(lines)])
+            hub = np.repeat(np.minimum.reduceat(lines, starts), sizes)
+            several = hub < np.repeat(np.maximum.reduceat(lines, starts), sizes)
+            hub, lines = hub[several], lines[several]
+            order = np.lexsort((lines, hub))
+            hub, lines = hub[order], lines[order]
+            first = np.ones(len(hub), bool)
+            first[1:] = (hub[1:] != hub[:-1]) | (lines[1:] != lines[:-1])
+            made = pa.RecordBatch.from_arrays([pa.array(hub[first]), pa.array(lines[first])], ["hub", "line"])
+            for i in range(0, made.num_rows, 1 << 17):
+                yield made.slice(i, 1 << 17)
+    give_back()
+
+
 def _met(signatures: DataFrame) -> DataFrame:
     """`hub`, `line`: which short names meet in which group, that of the smallest under a band key they share.
 
     Band keys that over 1/HOT of all have are counted apart, in the buckets that are heavy in some task, and their groups are found
-    by broadcast; all others are ordered by key.
+    by broadcast; all others are dealt by buckets, packed, to tasks that match `MATCHED` about.
     """
-    fresh = signatures.select(F.explode("fresh").alias("f")).select(F.col("f.line").alias("line"), F.explode("f.bands").alias("band"))
-    under = Window.partitionBy("band")
-    rest, hot = fresh, None
+    blocks = small_batches(signatures).select(F.explode("fresh").alias("f")).select("f.lines", "f.bands")
+    total = signatures.agg(F.coalesce(F.sum("keys"), F.lit(0))).first()[0]
     heavy = [r.b for r in signatures.select(F.explode("heavy").alias("b")).distinct().collect()]  # a number of buckets that is fixed
+    hot, keys = None, np.zeros(0, np.int64)
     if heavy:
-        many = F.lit(threshold(fresh.count()))
-        counted = fresh.filter(F.shiftrightunsigned("band", 64 - BUCKET_BITS).isin(heavy)).groupBy("band")
-        hot = written(counted.agg(F.count("*").alias("n"), F.min("line").alias("hub"), F.max("line").alias("last")).filter(F.col("n") > many).drop("n"), "hot-bands")
-        rest = fresh.join(F.broadcast(hot.select("band")), "band", "left_anti")  # HOT rows at most
-    met = rest.withColumn("hub", F.min("line").over(under)).withColumn("last", F.max("line").over(under)).filter("hub < last").select("hub", "line")
-    if hot is not None:
-        met = met.unionByName(fresh.join(F.broadcast(hot), "band").filter("hub < last").select("hub", "line"))
+        many = F.lit(threshold(total))
+        suspected = blocks.mapInArrow(partial(_suspected, heavy), "line long, band long")
+        hot = written(suspected.groupBy("band").agg(F.count("*").alias("n"), F.min("line").alias("hub"), F.max("line").alias("last")).filter(F.col("n") > many).drop("n"), "hot-bands")
+        keys = hot.select("band").toArrow().column("band").to_numpy()  # HOT rows at most
+    tasks = -(-max(total, 1) // MATCHED)
+    dealt = blocks.mapInArrow(partial(_dealt, min(8 * tasks, 1 << 16), keys), "bucket int, lines binary, bands binary")
+    met = dealt.repartition(tasks, "bucket").mapInArrow(_meeting, "hub long, line long")
+    if len(keys):
+        met = met.unionByName(suspected.join(F.broadcast(hot), "band").filter("hub < last").select("hub", "line"))
     return written(met.distinct(), "groups")
 
 

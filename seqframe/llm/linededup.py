@@ -16,7 +16,7 @@ The steps are those of `alike`:
    two lines share a key with a probability of 0.99, at 0.9 of 0.99999. Lines of up
    to `SHORT` characters have a second signature, of the finer shingles.
 2. Lines that share a key meet in the group of the smallest line name under that
-   key. The texts of such lines, and only those, are fetched by a second pass: a
+   key; keys go to the tasks that match them packed, by buckets. The texts of such lines, and only those, are fetched by a second pass: a
    bitmap of their names, of bounded size, tells which lines to send.
 3. In a group, a breadth-first search by exact Jaccard similarity (`LEAST` or
    more) over lines not yet reached gives a spanning forest, never all pairs. A
@@ -62,7 +62,7 @@ def decide(docs: DataFrame, key: str = "doc_id", text: str = "text", block_chars
     first = places.groupBy("line").agg(F.min(F.struct("doc_id", "h1", "h2", "place")).alias("at"))
     named = first.join(alike, first.line == alike.node, "left").select(F.coalesce("component", "line").alias("component"), "at")
     stays = named.groupBy("component").agg(F.min("at").alias("at")).select("at.*")
-    return signatures.drop("fresh", "heavy"), stays.groupBy("doc_id", "h1", "h2").agg(F.collect_list("place").alias("kept"))
+    return signatures.drop("fresh", "heavy", "keys"), stays.groupBy("doc_id", "h1", "h2").agg(F.collect_list("place").alias("kept"))
 
 
 def report(decided: tuple[DataFrame, DataFrame]) -> DataFrame:

@@ -140,6 +140,43 @@ def test_common_bands_are_found_apart(spark, monkeypatch):
     assert {r.doc_id: r.dropped for r in ld.report(ld.decide(df)).collect()} == want and hot
 
 
+def met_by_hand(lines, kind):
+    under = {}
+    for x in lines:
+        short = int(alike.short_names([alike.name_of(x)], [len(x)])[0])
+        for hashes, few in ((kind.shingles, False), (kind.fine, True))[: 1 + kind.has_fine(x)]:
+            for band in alike.band_keys([x], hashes, few)[0].tolist():
+                under.setdefault(band, set()).add(short)
+    return {(min(some), x) for some in under.values() if len(some) > 1 for x in some}
+
+
+def test_band_keys_are_shuffled_packed(spark, monkeypatch):
+    """The groups of lines that share a band key are those made by hand, and far fewer rows than band keys, or than lines, are shuffled for them."""
+    rng = random.Random(13)
+    lines = ["".join(rng.choice("abcdefgh ") for _ in range(120)).strip() for _ in range(1500)]
+    lines += [x[:60] + "#" + x[61:] for x in lines[:40]] + [lines[0][:k] + "#" + lines[0][k + 1 :] for k in range(5, 100, 9)] + ["x", "abcdefg", "é" * 300]
+    lines = list(dict.fromkeys(map(alike.normal, lines)))
+    df = spark.createDataFrame([(i, "\n".join(lines[i::50])) for i in range(50)], "doc_id long, text string").repartition(2)
+    want = met_by_hand(lines, ld.LINES)
+
+    def stages():
+        kept = spark._jsc.sc().statusStore().stageList(None, False, False, spark._sc._gateway.new_array(spark._jvm.double, 0), None)
+        return {kept.apply(i).stageId(): kept.apply(i).shuffleWriteRecords() for i in range(kept.size())}
+
+    signatures = alike.signed(df, ld.LINES, "doc_id", "text")
+    for matched in (alike.MATCHED, 5000):
+        monkeypatch.setattr(alike, "MATCHED", matched)
+        before = stages()
+        met = alike._met(signatures).collect()
+        moved = sum(n for k, n in stages().items() if k not in before)
+        assert {(r.hub, r.line) for r in met} == want and len(met) == len(want) > 80
+        assert moved < len(lines) or matched == 5000
+    monkeypatch.setattr(alike, "DEALT", 7000)
+    blocks = signatures.selectExpr("explode(fresh) as f").select("f.*").toArrow().to_batches()
+    dealt = list(alike._dealt(16, np.zeros(0, np.int64), iter(blocks)))
+    assert {tuple(r.values()) for made in alike._meeting(iter(dealt)) for r in made.to_pylist()} == want
+
+
 def test_hashes_depend_on_the_line_alone():
     lines = ["one line of text", "x", "another line, a longer one", "é" * 30]
     alone = np.concatenate([alike.band_keys([x]) for x in lines])
