@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqframe.llm.common import HOT, give_back, row_columns, small_batches, spread_join, threshold, with_facts, worker_cache, written
+from seqframe.llm.common import ARROW_BYTES, HOT, give_back, row_columns, small_batches, spread_join, threshold, with_facts, worker_cache, written
 from seqframe.llm.components import Forest, components
 
 #: Characters of a line's shingle and words of a document's; least Jaccard similarity; bands and rows of a signature.
@@ -506,8 +506,9 @@ def _dealt(buckets: int, hot: np.ndarray, batches: Iterator[pa.RecordBatch]) ->
         order, sizes = np.argsort(bucket, kind="stable"), np.bincount(bucket, minlength=buckets)
         full = np.flatnonzero(sizes)
         made = pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), _blobs(lines[order], sizes[full]), _blobs(bands[order], sizes[full])], ["bucket", "lines", "bands"])
-        for i in range(0, made.num_rows, 4096):
-            yield made.slice(i, 4096)
+        step = max(1, made.num_rows * ARROW_BYTES // max(1, made.nbytes))
+        for i in range(0, made.num_rows, step):
+            yield made.slice(i, step)
     give_back()
 
 
